@@ -32,7 +32,7 @@ from .tokens import encoder, vocabulary_path
 #: Sequences of one record batch.
 BATCH_ROWS = 128
 #: Documents encoded at once.
-DOCS_AT_ONCE = 1_000
+DOCS_AT_ONCE = 500
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 

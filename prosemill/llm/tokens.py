@@ -14,9 +14,11 @@ import numpy as np
 
 #: Distinct pieces (about 170 bytes each) of each of the two generations that a
 #: Python worker remembers; one that falls out is encoded again when it returns.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 200000
 #: Punctuation taken off the end of a missing piece, so that its word is looked up.
 ENDINGS = ".,;:!?#*$%&|"
+#: White space beside the space and the line feed: a text with any goes to the library whole.
+OTHER_WHITE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 #: Missing pieces joined into one call of the library.
 PIECES_AT_ONCE = 1_000
 
@@ -54,9 +56,10 @@ class TextEncoder:
             return None
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return None
-        pieces = ("\n" + text).replace("\n", " \n")[1:].split(" ")
+        if any(map(text.__contains__, OTHER_WHITE)):
+            return None
         # The first stands after a line feed here, whose id is taken off again.
-        return pieces if len(text.split()) == len(pieces) else None
+        return ("\n" + text).replace("\n", " \n")[1:].split(" ")
 
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
         groups = [missing[i : i + PIECES_AT_ONCE] for i in range(0, len(missing), PIECES_AT_ONCE)]
@@ -83,22 +86,24 @@ class TextEncoder:
         """Ids of each text (null: empty) as little-endian uint32 bytes."""
         cut = [self._pieces(t) if t else None for t in texts]
         young, old = self._young, self._old
-        wanted = set().union(*filter(None, cut)).difference(young)
-        split = {}
-        for p in wanted:
+        split, missing = [], set()
+        for p in set().union(*filter(None, cut)).difference(young):
+            if p in old:
+                young[p] = old[p]
+                continue
             core = p.rstrip(ENDINGS)
             # Letters or digits before punctuation end a pre-token there.
             if core != p and core and core[-1].isalnum():
-                split[p] = core
-        missing = []
-        for p in wanted.difference(split).union(split.values()):
-            if p in old:
-                young[p] = old[p]
-            elif p not in young:
-                missing.append(p)
+                split.append((p, core))
+                p = core
+            if p not in young:
+                missing.add(p)
+        known = [p for p in missing if p in old]
+        young.update((p, old[p]) for p in known)
+        missing.difference_update(known)
         if missing:
-            young.update(self._learn(missing))
-        for p, core in split.items():
+            young.update(self._learn(list(missing)))
+        for p, core in split:
             young[p] = young[core] + self._ending(p[len(core) :])
         out = []
         for text, pieces in zip(texts, cut, strict=True):
