@@ -10,8 +10,10 @@ by leaving out one position of the chunk in turn.  So all pairs within
 
 Pairs that share a key are confirmed on full shingle sets.  Texts with equal
 sets are one node from the start, and nodes that a confirmed link has already
-joined need no further pair: each node first meets the smallest node of its
-keys, and only keys that still hold several components are enumerated.
+joined need no further pair: nodes first meet a few random leaders of their
+keys; then the nodes of the largest keys are compared in place, block against
+block; only what after that still shares a key across components is enumerated
+as pairs, all of it.
 
 Defined results: a null or blank text has no shingles, is linked with nothing
 and is its own component; a text under five words is one shingle; a null
@@ -23,11 +25,13 @@ empty table gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -41,6 +45,12 @@ POSITIONS = CHUNKS * WIDTH
 LEAST_AGREE = 48
 SHINGLES_AT_ONCE = 16_384
 KNOWN_WORDS = 400_000
+#: Rounds in which nodes meet a few leaders of their keys, and rounds in which
+#: the nodes of a large key are compared in place.  They end when at most so many
+#: pairs a row are left of different components.
+LEADERS, LEADER_ROUNDS, TILE_ROUNDS, CROSSING_PER_ROW = 4, 2, 6, 1
+#: Nodes and shingles of a block of a tile.
+TILE_NODES, TILE_SHINGLES = 1_000, 1_000_000
 #: The nodes that share a key are broadcast up to this size, and shuffled beyond it.
 INVOLVED_BYTES, BROADCAST_BYTES = 80, 16 << 20
 
@@ -195,6 +205,114 @@ def _member_sets(texts: DataFrame, involved: DataFrame) -> DataFrame:
     return stage(found.mapInArrow(_sets, "node long, members binary").dropDuplicates(["node"]), "members")
 
 
+def _split_keys(part: DataFrame, round_no: int) -> DataFrame:
+    """Rows ``key, node, part, tiles`` of the keys with open pairs, with the key's leader.
+
+    A pair is open unless its nodes have one part or have had one tile;
+    ``open`` bounds a key's number of them.  A leader is a random node of its
+    key, so mostly one of the key's largest part.
+    """
+    turn = F.xxhash64("node", F.lit(round_no))
+    same = part.select("key", F.posexplode(F.concat(F.array("part"), "tiles")).alias("by", "group"))
+    same = same.groupBy("key", "by", "group").agg(F.count("*").alias("n"))
+    same = same.groupBy("key", "by").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    same = same.groupBy("key").agg(F.min(F.expr("(n * n - own) div 2")).alias("open")).filter("open > 0")
+    lead = part.groupBy("key").agg(F.min_by("node", turn).alias("leader"), F.min_by("part", turn).alias("leader_part"))
+    return part.join(same.join(lead, "key"), "key")
+
+
+def _crossing(rest: DataFrame) -> tuple[int, int]:
+    """Rows, and at most so many open pairs."""
+    row = rest.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("open")).agg(F.sum("n"), F.sum("open")).first()
+    return row[0] or 0, row[1] or 0
+
+
+def _tries(rest: DataFrame) -> DataFrame:
+    """Each node with the few leaders of other parts that it shares most keys with."""
+    common = rest.filter("part <> leader_part").groupBy("node", "leader").agg(F.count("*").alias("n"))
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "leader"))
+    return common.withColumn("place", best).filter(F.col("place") <= LEADERS).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+
+
+def _tiled(rest: DataFrame, sizes: DataFrame, round_no: int) -> DataFrame:
+    """Each node with one tile: the key, of those it still has, with most open pairs."""
+    size = rest.join(sizes, "node").groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("open"), "key"))
+    chosen = rest.join(size, "key").withColumn("place", best).filter("place = 1")
+    blocks = F.greatest(F.ceil(F.col("rows") / TILE_NODES), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
+    tile = F.xxhash64("key", F.lit(round_no))
+    return stage(chosen.select("node", "part", tile.alias("tile"), blocks.alias("blocks")), "tiles")
+
+
+def _within_tiles(tiled: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links between the nodes of each tile, all pairs of different parts confirmed.
+
+    A tile of more than one block is compared block by block, each pair of
+    blocks a group of its own, so that no task holds more than two blocks.
+    """
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    d = tiled.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("node")
+        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
+        return pd.DataFrame(
+            links_between(
+                frame["node"].tolist(),
+                frame["part"].tolist(),
+                frame["block"].tolist() if i != j else None,
+                [np.frombuffer(x, np.uint64) for x in frame["members"]],
+                percent,
+            ),
+            columns=["a", "b"],
+        )
+
+    found = d.join(members, "node").groupBy("tile", "i", "j").applyInPandas(compare, "a long, b long")
+    return stage(found, "links")
+
+
+def links_between(
+    nodes: list[int], parts: list[int], blocks: list[int] | None, sets: list[np.ndarray], percent: int
+) -> list[tuple[int, int]]:
+    """Enough links to join all that the pairs of different parts (and blocks) join."""
+    root = {p: p for p in parts}
+
+    def find(p: int) -> int:
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
+    sizes = np.array([len(s) for s in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros(len(values), bool)
+    block = np.array(blocks) if blocks else None
+    found = []
+    for a in range(len(nodes) - 1):
+        own = ids[starts[a] : starts[a] + sizes[a]]
+        held[own] = True
+        both = np.add.reduceat(held[ids[starts[a + 1] :]], starts[a + 1 :] - starts[a + 1], dtype=np.int64)
+        held[own] = False
+        alike = 100 * both >= percent * (sizes[a] + sizes[a + 1 :] - both)
+        if block is not None:
+            alike &= block[a + 1 :] != block[a]
+        for b in (np.flatnonzero(alike) + a + 1).tolist():
+            p, q = find(parts[a]), find(parts[b])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                found.append((nodes[a], nodes[b]))
+    return found
+
+
+def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """Parts after ``links``; two passes may leave some apart that belong together."""
+    ends = _with_both(links, joined, "part").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    into = connected_components(ends, passes=2).select(F.col("node").alias("part"), "component")
+    return stage(joined.join(into, "part", "left").select("node", F.coalesce("component", "part").alias("part"), "tiles"), "parts")
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75
 ) -> DataFrame:
@@ -223,34 +341,38 @@ def near_duplicates(
     involved = stage(shared.select("node").distinct().join(nodes.select("node", "pick", "set_key"), "node"), "involved")
     members = _member_sets(texts, involved)
 
-    sizes = nodes.select("node", "n")
-
-    def alike_in_size(pairs: DataFrame) -> DataFrame:
-        x, y = F.col("x"), F.col("y")
-        enough = (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-        return _with_both(pairs, sizes, "n").filter(enough).select("a", "b")
-
-    def agreeing(pairs: DataFrame) -> DataFrame:
-        return _with_both(alike_in_size(pairs), nodes, "signature").mapInArrow(_agree, "a long, b long")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        agreeing = _with_both(pairs, nodes, "signature").mapInArrow(_agree, "a long, b long")
+        return stage(_with_both(agreeing, members, "members").mapInArrow(_confirm(percent), "a long, b long"), "links")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return _with_both(pairs, members, "members").mapInArrow(_confirm(percent), "a long, b long")
-
-    first = shared.filter("node <> hub").groupBy("node").agg(F.min("hub").alias("b"))
-    links = stage(confirmed(agreeing(first.select(F.col("node").alias("a"), "b"))), "links")
-    joined = stage(connected_components(links), "components")
-
-    # Keys that still hold nodes of several components.
-    part = shared.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    part = stage(part, "parts")
-    several = part.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("key")
-    left = stage(part.join(several, "key"), "several")
-    x = left.select("key", F.col("node").alias("a"), F.col("part").alias("p"))
-    y = left.select("key", F.col("node").alias("b"), F.col("part").alias("q"))
-    pairs = x.join(y, "key").filter("a < b and p <> q").select("a", "b").distinct()
-    more = stage(confirmed(stage(agreeing(pairs), "agreeing")), "links")
-
-    whole = stage(connected_components(links.unionByName(more)), "components")
+        agreeing = _with_both(pairs, nodes, "signature").mapInArrow(_agree, "a long, b long")
+        return stage(_with_both(agreeing, members, "members").mapInArrow(_confirm(percent), "a long, b long"), "links")
+
+    joined = involved.select("node", F.col("node").alias("part"), F.array().cast("array<long>").alias("tiles"))
+    rest, links = shared.select("key", "node"), []
+    for round_no in range(LEADER_ROUNDS + TILE_ROUNDS + 1):
+        rest = stage(_split_keys(rest.join(joined, "node"), round_no), "rest")
+        rows_left, crossing = _crossing(rest)
+        if round_no == LEADER_ROUNDS + TILE_ROUNDS or (round_no and crossing <= CROSSING_PER_ROW * rows_left):
+            break
+        if round_no < LEADER_ROUNDS:
+            links.append(confirmed(_tries(rest)))
+        else:
+            tiled = _tiled(rest, nodes.select("node", "n"), round_no)
+            links.append(_within_tiles(tiled, members, percent))
+            joined = joined.join(tiled.select("node", "tile"), "node", "left")
+            joined = joined.withColumn("tiles", F.when(F.col("tile").isNull(), F.col("tiles")).otherwise(F.array_append("tiles", F.col("tile"))))
+        joined = _merged(joined, links[-1])
+        rest = rest.select("key", "node")
+
+    # What still shares a key across components is confirmed pair by pair.
+    x = rest.select("key", F.col("node").alias("a"), F.col("part").alias("p"), F.col("tiles").alias("s"))
+    y = rest.select("key", F.col("node").alias("b"), F.col("part").alias("q"), F.col("tiles").alias("t"))
+    apart = (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & ~F.arrays_overlap("s", "t")
+    links.append(confirmed(x.join(y, "key").filter(apart).select("a", "b").distinct()))
+
+    whole = stage(connected_components(reduce(DataFrame.unionByName, links)), "components")
     named = nodes.select("set_key", "node", "least").join(whole, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
