@@ -1,15 +1,80 @@
-"""Corpus preparation as five stages over ``documents``."""
+"""Corpus preparation as five stages over ``documents``.
+
+Each stage reads what its predecessor wrote and returns the columns of
+``documents``; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prosemill.llm import mixing, near_duplicates, packing, quality_classifier, quality_rules
+from prosemill.llm.common import fresh_path, stage
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier.keep_good(docs, model)
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a rule rejects go."""
+    judged = quality_rules.quality_rules(docs)
+    return _without(docs, judged.filter("not kept").select("doc_id"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays; of rows with one id, one."""
+    judged = stage(near_duplicates.near_duplicates(docs), "judged")
+    kept = _without(docs, judged.filter("not kept").select("doc_id"))
+    repeated = judged.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not repeated.take(1):
+        return kept
+    twice = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(twice)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks for, the last of a source in part."""
+    return mixing.repeat_documents(docs, mixing.mix_documents(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, capacity=1024, end_id=2)
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows of some ids; the texts are not shuffled where the ids are few enough to send."""
+    gone = stage(gone.filter("doc_id is not null").distinct(), "gone")
+    if gone.count() * ID_BYTES <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+#: Ids are broadcast up to this size and shuffled beyond it.
+ID_BYTES, BROADCAST_BYTES = 40, 16 << 20
+
+STAGES = [
+    ("quality classifier", classify_quality),
+    ("quality rules", apply_quality_rules),
+    ("near-duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: No SQL for the whole: the classifier, the robust distances and the ids of texts can't be said in it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, function in STAGES:
+    for i, (_, function) in enumerate(STAGES):
         docs = function(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            path = fresh_path(spark, f"pipeline-{i}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
