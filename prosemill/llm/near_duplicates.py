@@ -11,8 +11,8 @@ by leaving out one position of the chunk in turn.  So all pairs within
 Pairs that share a key are confirmed on full shingle sets.  Texts with equal
 sets are one node from the start, and nodes that a confirmed link has already
 joined need no further pair: nodes first meet a few random leaders of their
-keys; then the nodes of the largest keys are compared in place, block against
-block; only what after that still shares a key across components is enumerated
+keys; then the nodes around the largest parts and keys are compared in place,
+block against block; only what after that still shares a key across components is enumerated
 as pairs, all of it.
 
 Defined results: a null or blank text has no shingles, is linked with nothing
@@ -46,9 +46,9 @@ LEAST_AGREE = 48
 SHINGLES_AT_ONCE = 16_384
 KNOWN_WORDS = 400_000
 #: Rounds in which nodes meet a few leaders of their keys, and rounds in which
-#: the nodes of a large key are compared in place.  They end when at most so many
+#: the nodes of a large part or key are compared in place.  They end when at most so many
 #: pairs a row are left of different components.
-LEADERS, LEADER_ROUNDS, TILE_ROUNDS, CROSSING_PER_ROW = 4, 2, 6, 1
+LEADERS, LEADER_ROUNDS, TILE_ROUNDS, CROSSING_PER_ROW = 4, 1, 6, 8
 #: Nodes and shingles of a block of a tile.
 TILE_NODES, TILE_SHINGLES = 1_000, 1_000_000
 #: The nodes that share a key are broadcast up to this size, and shuffled beyond it.
@@ -234,24 +234,50 @@ def _tries(rest: DataFrame) -> DataFrame:
     return common.withColumn("place", best).filter(F.col("place") <= LEADERS).select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
 
-def _tiled(rest: DataFrame, sizes: DataFrame, round_no: int) -> DataFrame:
-    """Each node with one tile: the key, of those it still has, with most open pairs."""
-    size = rest.join(sizes, "node").groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("open"), "key"))
-    chosen = rest.join(size, "key").withColumn("place", best).filter("place = 1")
-    blocks = F.greatest(F.ceil(F.col("rows") / TILE_NODES), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
-    tile = F.xxhash64("key", F.lit(round_no))
-    return stage(chosen.select("node", "part", tile.alias("tile"), blocks.alias("blocks")), "tiles")
+def _tiled(rest: DataFrame, joined: DataFrame, sizes: DataFrame, round_no: int) -> DataFrame:
+    """Each node with one tile, its host part and the tile's blocks of hosts and guests.
+
+    In turn a tile is the largest part that a node shares a key with, and the
+    key, of those the node still has, with most open pairs.
+    """
+    if (round_no - LEADER_ROUNDS) % 2 == 0:
+        part_size = joined.groupBy("part").agg(F.count("*").alias("size"))
+        top = rest.join(part_size, "part").groupBy("key").agg(F.max_by("part", "size").alias("top"), F.max("size").alias("size"))
+        chosen = rest.join(top, "key").groupBy("node", "part").agg(F.max_by("top", F.struct("size", "top")).alias("group"))
+    else:
+        best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("open"), "key"))
+        chosen = rest.withColumn("place", best).filter("place = 1").select("node", "part", F.col("key").alias("group"))
+    chosen = stage(chosen.select("node", "part", F.xxhash64("group", F.lit(round_no)).alias("tile")), "chosen")
+    count = chosen.join(sizes, "node").groupBy("tile", "part").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    need = F.greatest(F.ceil(F.col("rows") / TILE_NODES), F.ceil(F.col("shingles") / TILE_SHINGLES))
+    host = count.groupBy("tile").agg(
+        F.max_by("part", F.struct("rows", "part")).alias("host"),
+        F.max_by(need, F.struct("rows", "part")).cast("int").alias("host_blocks"),
+        F.sum("rows").alias("all_rows"),
+        F.sum("shingles").alias("all_shingles"),
+        F.max_by("shingles", F.struct("rows", "part")).alias("host_shingles"),
+        F.max("rows").alias("host_rows"),
+    )
+    guests = F.greatest(
+        F.ceil((F.col("all_rows") - F.col("host_rows")) / TILE_NODES),
+        F.ceil((F.col("all_shingles") - F.col("host_shingles")) / TILE_SHINGLES),
+    ).cast("int")
+    host = host.filter("all_rows > host_rows").select("tile", "host", "host_blocks", guests.alias("guest_blocks"))
+    return stage(chosen.join(host, "tile"), "tiles")
 
 
 def _within_tiles(tiled: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links between the nodes of each tile, all pairs of different parts confirmed.
 
-    A tile of more than one block is compared block by block, each pair of
-    blocks a group of its own, so that no task holds more than two blocks.
+    The nodes of a tile's largest part are its hosts, which need not meet each
+    other; the rest are guests.  Each block of guests meets each block of either
+    as a group of its own, so that no task holds more than two blocks.
     """
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    d = tiled.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    guest, g, h = F.col("part") != F.col("host"), F.col("guest_blocks"), F.col("host_blocks")
+    turn = F.xxhash64("node", F.lit(1))
+    mine = F.when(guest, F.pmod(turn, g)).otherwise(g + F.pmod(turn, h)).cast("int")
+    meets = F.sequence(F.lit(0), F.when(guest, g + h - 1).otherwise(g - 1))
+    d = tiled.withColumn("block", mine).withColumn("other", F.explode(meets))
     d = d.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
@@ -359,7 +385,7 @@ def near_duplicates(
         if round_no < LEADER_ROUNDS:
             links.append(confirmed(_tries(rest)))
         else:
-            tiled = _tiled(rest, nodes.select("node", "n"), round_no)
+            tiled = _tiled(rest, joined, nodes.select("node", "n"), round_no)
             links.append(_within_tiles(tiled, members, percent))
             joined = joined.join(tiled.select("node", "tile"), "node", "left")
             joined = joined.withColumn("tiles", F.when(F.col("tile").isNull(), F.col("tiles")).otherwise(F.array_append("tiles", F.col("tile"))))
