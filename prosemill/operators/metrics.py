@@ -31,7 +31,9 @@ NAMES = tuple(x for names in GROUPS.values() for x in names)
 def grams(words: Column, n: int) -> Column:
     """Runs of n words, joined by spaces, of at least 4 n characters."""
     starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")), lambda g: F.length(g) >= 4 * n)
+    # Not slice(), which copies the whole array each time.
+    joined = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + (k - 1)) for k in range(n)]))
+    return F.filter(joined, lambda g: F.length(g) >= 4 * n)
 
 
 def repeats(xs: Column) -> Column:
