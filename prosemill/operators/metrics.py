@@ -42,10 +42,15 @@ def repeats(xs: Column) -> Column:
 
 
 def repeated_kinds(xs: Column) -> Column:
-    """How many different elements occur more than once."""
-    s = F.sort_array(xs)
-    again = F.filter(s, lambda x, i: (i > 0) & (F.get(s, i - 1) == x))
-    return F.size(F.array_distinct(again))
+    """How many different elements occur more than once: one pass over them in order."""
+    start = F.struct(F.lit("").alias("last"), F.lit(False).alias("counted"), F.lit(0).alias("n"))
+
+    def step(state: Column, x: Column) -> Column:
+        same = x == state["last"]
+        new = same & ~state["counted"]
+        return F.struct(x.alias("last"), same.alias("counted"), (state["n"] + new.cast("int")).alias("n"))
+
+    return F.aggregate(F.sort_array(xs), start, step, lambda s: s["n"])
 
 
 def with_metrics(prepared: DataFrame) -> DataFrame:
