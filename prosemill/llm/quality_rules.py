@@ -40,6 +40,8 @@ NAMES = tuple(FLOORS)
 P = len(NAMES)
 #: Steps of the grid on which a group's subset is cut, per doubling of the distance.
 GRID = 32
+#: Estimates of groups are broadcast up to this size, and shuffled beyond it.
+GROUP_BYTES, BROADCAST_BYTES = 400, 16 << 20
 
 
 def chi2_below(x: float, dof: int) -> float:
@@ -150,12 +152,12 @@ def _distance() -> Column:
     return total
 
 
-def _with(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Joined by group; the side of the groups is small, and split tasks take a hot group."""
-    return members.join(groups, "group")
+def _with(members: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+    """Joined by group; where the groups are few (their count is checked) the members stay in place."""
+    return members.join(F.broadcast(groups) if few else groups, "group")
 
 
-def _nearest(members: DataFrame, share: float) -> DataFrame:
+def _nearest(members: DataFrame, share: float, few: bool) -> DataFrame:
     """Each group's members of least distance, cut on a grid that holds at least ``share``."""
     cell = F.floor(F.log2(F.col("d2") + F.lit(1e-6)) * GRID).cast("int")
     members = members.withColumn("cell", cell)
@@ -163,7 +165,7 @@ def _nearest(members: DataFrame, share: float) -> DataFrame:
     counts = members.groupBy("group", "cell").count()
     counts = counts.withColumn("so_far", F.sum("count").over(upto)).withColumn("all", F.sum("count").over(Window.partitionBy("group")))
     last = counts.filter(F.col("so_far") >= F.col("all") * share).groupBy("group").agg(F.min("cell").alias("last"))
-    return _with(members, last).filter("cell <= last").drop("last", "cell")
+    return _with(members, last, few).filter("cell <= last").drop("last", "cell")
 
 
 def quality_rules(
@@ -198,7 +200,8 @@ def quality_rules(
 
     # Start: distance from the medians, in units of the median deviation.
     middle = members.groupBy("group").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in NAMES])
-    off = _with(members, middle)
+    few = needed.count() * GROUP_BYTES <= BROADCAST_BYTES
+    off = _with(members, middle, few)
     spread = off.groupBy("group").agg(
         *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 1000).alias(f"s_{x}") for x in NAMES],
         *[F.first(f"m_{x}").alias(f"m_{x}") for x in NAMES],
@@ -206,18 +209,18 @@ def quality_rules(
     d2 = F.lit(0.0)
     for x in NAMES:
         d2 = d2 + F.pow((F.col(x) - F.col(f"m_{x}")) / F.greatest(F.col(f"s_{x}") * 1.4826, F.lit(FLOORS[x])), 2)
-    near = _nearest(_with(members, stage(spread, "quality-start")).select("group", *NAMES, d2.alias("d2")), subset)
+    near = _nearest(_with(members, stage(spread, "quality-start"), few).select("group", *NAMES, d2.alias("d2")), subset, few)
     # Makes the covariance of the nearest share of normal data that of all of it.
     scale = subset / chi2_below(chi2_quantile(subset, P), P + 2)
     for _ in range(STEPS):
         fit = stage(_moments(near, scale), "quality-fit")
-        near = _nearest(_with(members, fit).select("group", *NAMES, _distance().alias("d2")), subset)
+        near = _nearest(_with(members, fit, few).select("group", *NAMES, _distance().alias("d2")), subset, few)
     fit = stage(_moments(near, scale), "quality-fit")
-    inner = _with(members, fit).withColumn("d2", _distance()).filter(F.col("d2") <= chi2_quantile(REWEIGHT, P))
+    inner = _with(members, fit, few).withColumn("d2", _distance()).filter(F.col("d2") <= chi2_quantile(REWEIGHT, P))
     fit = stage(_moments(inner.select("group", *NAMES), 1.0), "quality-fit")
     by_source = chosen.join(fit.withColumnRenamed("group", "chosen"), "chosen").drop("chosen")
 
-    out = base.join(by_source, "g2", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    out = base.join(F.broadcast(by_source) if chosen.count() * GROUP_BYTES <= BROADCAST_BYTES else by_source, "g2", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(cutoff, P), F.lit(True))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
