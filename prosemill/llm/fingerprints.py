@@ -28,7 +28,7 @@ from .common import WHITE, stage
 
 SAMPLES = 32
 #: Positions of one row of the sampling aggregate: more would make its compiled code too long.
-PER_ROW = 8
+PER_ROW = 4
 ROWS_PER_RANGE = 1_000
 #: Ranges at most, so that the table of their first ids stays small enough to broadcast (16 bytes each).
 MOST_RANGES = 1 << 18
@@ -42,22 +42,36 @@ def _uniform(bits: Column) -> Column:
     return (bits.bitwiseAND(F.lit((1 << 21) - 1)) + F.lit(0.5)) / F.lit(float(1 << 21))
 
 
-def _sample(word: Column, position: Column, weights: list[Column]) -> list[Column]:
-    """For each weight a long whose least one over the words names the sample in its low bits."""
-    x, y = F.xxhash64(word, position), F.xxhash64(position, word)
-    r = -F.log(_uniform(x) * _uniform(F.shiftrightunsigned(x, 21)))
-    c = -F.log(_uniform(y) * _uniform(F.shiftrightunsigned(y, 21)))
-    b = _uniform(F.shiftrightunsigned(x, 42))
-    own = F.shiftrightunsigned(y, 42)
-    out = []
-    for weight in weights:
-        t = F.floor(F.log(weight) / r + b)
-        value = F.log(c) - r * (t - b + F.lit(1.0))
-        # 2^31 steps for each unit; the logarithm stays far within -2^6 and 2^6.
-        scaled = F.shiftleft(((F.greatest(value, F.lit(-63.0)) + F.lit(64.0)) * F.lit(float(1 << 31))).cast("long"), ID_BITS)
-        name = own.bitwiseXOR(t * F.lit(0x9E37)).bitwiseAND(F.lit((1 << ID_BITS) - 1))
-        out.append(F.when(weight > 0, scaled.bitwiseOR(name)))
-    return out
+def _random(dealt: DataFrame, per_row: int) -> DataFrame:
+    """Adds for each position of a row the values that depend on word and position alone.
+
+    They are columns of their own, so that each logarithm is taken once for all weights.
+    """
+    hashes = {}
+    for k in range(per_row):
+        position = (F.col("part") * per_row + k).cast("long")
+        hashes |= {f"x{k}": F.xxhash64("word", position), f"y{k}": F.xxhash64(position, "word")}
+    dealt = dealt.withColumns(hashes)
+    values = {}
+    for k in range(per_row):
+        x, y = F.col(f"x{k}"), F.col(f"y{k}")
+        values |= {
+            f"r{k}": -F.log(_uniform(x) * _uniform(F.shiftrightunsigned(x, 21))),
+            f"c{k}": F.log(-F.log(_uniform(y) * _uniform(F.shiftrightunsigned(y, 21)))),
+            f"b{k}": _uniform(F.shiftrightunsigned(x, 42)),
+        }
+    return dealt.withColumns(values)
+
+
+def _sample(k: int, weight: Column) -> Column:
+    """A long whose least one over the words names the sample in its low bits; ``weight`` is a logarithm."""
+    r, c, b, y = (F.col(f"{n}{k}") for n in "rcby")
+    t = F.floor(weight / r + b)
+    value = c - r * (t - b + F.lit(1.0))
+    # 2^31 steps for each unit; the logarithm stays far within -2^6 and 2^6.
+    scaled = F.shiftleft(((F.greatest(value, F.lit(-63.0)) + F.lit(64.0)) * F.lit(float(1 << 31))).cast("long"), ID_BITS)
+    name = F.shiftrightunsigned(y, 42).bitwiseXOR(t * F.lit(0x9E37)).bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    return F.when(weight.isNotNull(), scaled.bitwiseOR(name))
 
 
 def _word_array(text: Column) -> Column:
@@ -76,15 +90,11 @@ def signatures(rows: DataFrame, keys: list[str], texts: list[str], samples: int
     each = each.select(*keys, F.col("of.side").alias("side"), F.explode(_word_array(F.col("of.text"))).alias("word"))
     counts = [F.count(F.when(F.col("side") == i, 1)).alias(f"w{i}") for i in range(len(texts))]
     counted = each.select(*keys, "side", F.xxhash64("word").alias("word")).groupBy(*keys, "word").agg(*counts)
+    weights = [F.when(F.col(f"w{i}") > 0, F.log(f"w{i}")).alias(f"l{i}") for i in range(len(texts))]
     parts = -(-samples // PER_ROW)
-    dealt = counted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    weights = [F.col(f"w{i}") for i in range(len(texts))]
-    least = []
-    for k in range(PER_ROW):
-        position = (F.col("part") * PER_ROW + k).cast("long")
-        for i, value in enumerate(_sample(F.col("word"), position, weights)):
-            least.append(F.min(value).alias(f"m{i}_{k}"))
-    sampled = dealt.groupBy(*keys, "part").agg(*least)
+    dealt = counted.select(*keys, "word", *weights).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    least = [F.min(_sample(k, F.col(f"l{i}"))).alias(f"m{i}_{k}") for k in range(PER_ROW) for i in range(len(texts))]
+    sampled = _random(dealt, PER_ROW).groupBy(*keys, "part").agg(*least)
 
     def hexes(i: int) -> Column:
         low = F.lit((1 << ID_BITS) - 1)
