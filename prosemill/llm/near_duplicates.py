@@ -44,7 +44,7 @@ POSITIONS = CHUNKS * WIDTH
 #: similarity of 0.75 that has a probability of 2e-8.
 LEAST_AGREE = 48
 SHINGLES_AT_ONCE = 16_384
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 150_000
 #: Rounds in which nodes meet a few leaders of their keys, and rounds in which
 #: the nodes of a large part or key are compared in place.  They end when at most so many
 #: pairs a row are left of different components.

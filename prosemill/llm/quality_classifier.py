@@ -39,7 +39,7 @@ THRESHOLD = 0.3
 FOLDS = 5
 SMOOTH, COST, DRAWN = 1.0, 1.0, 0.25
 EPOCHS = 12
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 150_000
 
 _TIMES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _SHAPE_BITS = np.uint64(20)
