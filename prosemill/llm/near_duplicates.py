@@ -48,7 +48,7 @@ KNOWN_WORDS = 150_000
 #: Rounds in which nodes meet a few leaders of their keys, and rounds in which
 #: the nodes of a large part or key are compared in place.  They end when at most so many
 #: pairs a row are left of different components.
-LEADERS, LEADER_ROUNDS, TILE_ROUNDS, CROSSING_PER_ROW = 4, 1, 6, 8
+LEADERS, LEADER_ROUNDS, TILE_ROUNDS, CROSSING_PER_ROW = 4, 1, 8, 1
 #: Nodes and shingles of a block of a tile.
 TILE_NODES, TILE_SHINGLES = 1_000, 1_000_000
 #: The nodes that share a key are broadcast up to this size, and shuffled beyond it.
