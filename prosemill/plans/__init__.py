@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import scoring_queries, text_queries
+from . import scoring_queries, source_queries, text_queries
 
-MODULES = (text_queries, scoring_queries)
+MODULES = (text_queries, scoring_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
