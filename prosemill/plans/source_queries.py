@@ -12,6 +12,7 @@ from ..operators import proofreading as R
 from ..sources import pages as G
 from ..streaming import governance as V
 from . import sql as S
+from . import text_queries as TQ
 from .text_queries import prepared
 
 
@@ -111,6 +112,43 @@ def proof_issues(spark, sf_dir):
     return d.select("doc_id", "place", "rule", "start", "end", "suggestion")
 
 
+def claim_spans(spark, sf_dir):
+    """Where claims that need attention stand: unsupported, cited only inline, or likely stale."""
+    d = prepared(spark, sf_dir)
+    places = P.sentence_rows(d).select("doc_id", "ord", "start", "end")
+    found = C.claim_status(C.claims(d), _sources(spark, sf_dir, d)).select("doc_id", "ord", "status", "stale")
+    label = F.when(F.col("status").isin("unsupported", "inline_citation_only"), F.col("status")).when(F.col("stale"), "freshness_risk")
+    d = found.withColumn("label", label).filter("label is not null").join(places, ["doc_id", "ord"])
+    return d.select("doc_id", "start", "end", "label")
+
+
+def claim_locations(spark, sf_dir):
+    """The paragraph that holds each claim: sentences and paragraphs meet by their places."""
+    d = prepared(spark, sf_dir)
+    parts = T.spans(F.col("norm"), r"(?s)(?:(?!\n\n).)+")
+    p = d.select("doc_id", F.posexplode(F.filter(parts, lambda x: T.trimmed(x["text"]) != "")).alias("paragraph", "p"))
+    p = p.select("doc_id", "paragraph", F.col("p.start").alias("ps"), F.col("p.end").alias("pe"))
+    s = P.sentence_rows(d).select("doc_id", "ord", F.col("start").alias("ss"))
+    c = C.claims(d).select("doc_id", "ord", "place").join(s, ["doc_id", "ord"])
+    return c.join(p, "doc_id").filter("ss >= ps and ss < pe").select("doc_id", "place", "paragraph")
+
+
+def section_tree(spark, sf_dir):
+    return P.sections(P.blocks(prepared(spark, sf_dir)))
+
+
+def proof_merge(spark, sf_dir):
+    """Basic issues with those of a second provider (here one that reports spelling at the same places)."""
+    base = R.issues(P.with_language(prepared(spark, sf_dir)))
+    more = base.filter("kind <> 'typography'").withColumn("rule", F.lit("5-other")).withColumn("end", F.col("end") + F.col("place") % 2)
+    return R.merged(base, more).groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
+
+
+def text_excerpt(spark, sf_dir):
+    flat = T.trimmed(F.regexp_replace("norm", r"\s+", " "))
+    return prepared(spark, sf_dir).select("doc_id", F.when(F.length(flat) > 72, F.concat(F.substring(flat, 1, 72), F.lit("…"))).otherwise(flat).alias("excerpt"))
+
+
 def goal_inference(spark, sf_dir):
     low = F.lower("text")
     goals = (("source_support", "source|claim|citation|evidence|support"), ("clarity_rewrite", "clarity|rewrite|readability|plain|edit"), ("risk_review", "risk|integrity|provenance|safety|trust"), ("publish_ready_review", "publish|ready|approval|final"), ("editorial_triage", "triage|scan|overview|checklist"))
@@ -158,7 +196,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_title, page_size_gate, url_normalize, url_guard_ipv4, html_to_text, html_candidate_scores, readable_extract, editor_markup_text, url_redaction,
-        claim_rows, claim_keywords, claim_status, claim_review, claims_csv, proof_issues, goal_inference, dedupe_window, rate_limit_tumbling,
+        claim_rows, claim_keywords, claim_status, claim_review, claims_csv, claim_spans, claim_locations, section_tree, proof_issues, proof_merge, text_excerpt, goal_inference, dedupe_window, rate_limit_tumbling,
         rate_limit_daily, input_gates, input_fingerprint, sanitize_fields,
     )
 }
@@ -236,7 +274,35 @@ _PROOF = " UNION ALL ".join(
 )
 _GUARD = " OR ".join(f"number BETWEEN {a} AND {b}" for a, b in (G._range(n, k) for n, k in G.PRIVATE))
 
+_NEGATED = r"\b(?:no|not|never|none|cannot|without|[a-z]+n't)\b"
+_STATUS = f"""
+sr AS (SELECT doc_id, lower({_chain("b.text", *_TRIM)}) AS body FROM documents JOIN benchmark b ON b.item_id = doc_id % (SELECT count(*) FROM benchmark)
+       WHERE NOT regexp_matches({_chain("b.text", *_TRIM)}, '(?i)^(?:https?://\\S+|doi:\\s*10\\.\\S+|\\[[^\\]]*\\])?$')),
+so AS (SELECT doc_id, body, list_distinct(regexp_extract_all(body, '[\\p{{L}}\\p{{M}}\\d][\\p{{L}}\\p{{M}}\\d''-]*')) AS tokens,
+  regexp_replace(' ' || regexp_replace(body, '[^\\p{{L}}\\p{{M}}\\d%.,''-]+', ' ', 'g') || ' ', '[.,]+ ', ' ', 'g') AS plain FROM sr),
+m0 AS (SELECT c.*, so.doc_id IS NOT NULL AS sourced, coalesce(len(list_intersect(keywords, tokens)), 0) AS ov, len(keywords) AS kn,
+  len(list_filter(list_concat(list_concat(names, numbers), list_filter(dates, lambda d: regexp_matches(d, '(?:20\\d{{2}}|19\\d{{2}})'))), lambda v: NOT contains(plain, ' ' || lower(v) || ' '))) AS lacking,
+  regexp_matches(lower(claim), {S.quoted(_NEGATED)}) <> regexp_matches(body, {S.quoted(_NEGATED)}) AS negated
+  FROM c LEFT JOIN so ON so.doc_id = c.doc_id),
+m1 AS (SELECT *, CASE WHEN kn > 0 THEN ov / CAST(kn AS DOUBLE) ELSE 0.0 END AS cov, least(5, greatest(least(3, kn), CAST(ceil(kn * 0.45::DOUBLE) AS INTEGER))) AS needed FROM m0),
+m2 AS (SELECT *, ov > 0 AND lacking = 0 AND NOT negated AND ((cov >= 0.92 AND ov >= least(needed, 2)) OR (ov >= needed AND cov >= 0.38)) AS strong FROM m1),
+m3 AS (SELECT *, CASE WHEN type <> 'factual' THEN 'not_checked' WHEN cov >= 0.48 AND strong THEN 'supported' WHEN ov >= 2 AND cov >= 0.25 THEN 'partially_supported'
+  WHEN NOT sourced AND regexp_matches(claim, {S.quoted("(?i)" + S.CITATION_SQL)}) THEN 'inline_citation_only' WHEN sourced THEN 'unsupported' ELSE 'not_checked' END AS status FROM m2),
+sc AS (SELECT *, CASE WHEN type <> 'factual' OR status = 'supported' THEN 'none' WHEN stale OR importance = 'high' THEN 'essential'
+  WHEN status = 'unsupported' THEN CASE WHEN sourced THEN 'essential' ELSE 'important' END WHEN status = 'inline_citation_only' THEN 'important'
+  WHEN status = 'partially_supported' OR importance = 'medium' THEN 'recommended' ELSE 'none' END AS need FROM m3)"""
+
 ORACLE = {
+    "claim_status": S.with_prepared("SELECT doc_id, place, ov AS overlap, status, need FROM sc", _CLAIMS, _STATUS),
+    "claim_review": S.with_prepared(
+        """SELECT *, CASE WHEN factual = 0 OR n_sources = 0 THEN 'not_checked' WHEN supported > 0 AND unsupported + partial + inline_only = 0 THEN 'supported'
+  WHEN supported + partial + inline_only > 0 THEN 'mixed' ELSE 'weakly_supported' END AS source_band FROM (SELECT doc_id, count(*) AS claims,
+  count(*) FILTER (type = 'factual') AS factual, count(*) FILTER (status = 'supported') AS supported, count(*) FILTER (status = 'partially_supported') AS partial,
+  count(*) FILTER (status = 'unsupported') AS unsupported, count(*) FILTER (status = 'inline_citation_only') AS inline_only, count(*) FILTER (stale) AS stale,
+  count(*) FILTER (need = 'essential') AS essential, CAST(max(CAST(sourced AS INTEGER)) AS BIGINT) AS n_sources FROM sc GROUP BY doc_id)""",
+        _CLAIMS,
+        _STATUS,
+    ),
     "page_title": f"SELECT page_id, CASE WHEN x <> '' THEN {_fragment('x')} END AS title FROM (SELECT page_id, regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1) AS x FROM pages)",
     "page_size_gate": f"SELECT strlen(html) <= {G.MOST_BYTES} AS accepted, count(*) AS n, CAST(sum(strlen(html)) AS BIGINT) AS bytes FROM pages GROUP BY 1",
     "url_normalize": f"WITH {_NURL} SELECT * FROM nu",
@@ -265,6 +331,20 @@ SELECT page_id, length(x) AS n_chars, words, chosen, CAST(CASE WHEN words >= 180
         """ru AS (SELECT *, ord - row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS island FROM pr)""",
         """rp AS (SELECT doc_id, start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY ord) AS z FROM ru) WHERE z % 2 = 1)""",
     ),
+    "claim_spans": S.with_prepared(
+        """SELECT sc.doc_id, x.start, x."end", CASE WHEN status IN ('unsupported', 'inline_citation_only') THEN status ELSE 'freshness_risk' END AS label
+FROM sc JOIN sx x ON x.doc_id = sc.doc_id AND x.ord = sc.ord WHERE status IN ('unsupported', 'inline_citation_only') OR stale""",
+        _CLAIMS,
+        _STATUS,
+        f"""sx AS (SELECT * FROM {S.span_rows("t", "norm", r"[^.!?\n]+(?:[.!?]+|$)")})""",
+    ),
+    "text_excerpt": S.with_prepared(f"SELECT doc_id, CASE WHEN length(f) > 72 THEN substring(f, 1, 72) || '…' ELSE f END AS excerpt FROM (SELECT doc_id, {_chain('norm', (chr(92) + 's+', chr(39) + ' ' + chr(39)), *_TRIM)} AS f FROM d)"),
+    "section_tree": S.with_prepared(
+        f"""SELECT doc_id, ord, kind, section, CASE WHEN kind = 'heading' THEN coalesce((SELECT max(b.ord) FROM bk b WHERE b.doc_id = a.doc_id AND b.ord < a.ord AND b.kind = 'heading' AND b.level < a.level), -1) END AS parent
+FROM (SELECT *, coalesce(max(CASE WHEN kind = 'heading' THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord), -1) AS section FROM bk) a""",
+        "pp AS (SELECT doc_id, CAST(unnest(range(0, len(paras))) AS INTEGER) AS ord, unnest(paras) AS x FROM t)",
+        f"bk AS (SELECT doc_id, ord, {TQ._KIND} AS kind, CASE WHEN {TQ._KIND} = 'heading' THEN length(regexp_extract({TQ._FIRST}, '^(#+)', 1)) END AS level FROM pp)",
+    ),
     "goal_inference": r"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\b(?:source|claim|citation|evidence|support)\b') THEN 'source_support'
   WHEN regexp_matches(lower(text), '\b(?:clarity|rewrite|readability|plain|edit)\b') THEN 'clarity_rewrite'
   WHEN regexp_matches(lower(text), '\b(?:risk|integrity|provenance|safety|trust)\b') THEN 'risk_review'
