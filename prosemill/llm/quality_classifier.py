@@ -189,6 +189,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float) -> QualityMode
     return QualityModel(ratio, (w * ratio).astype(np.float32), slope, offset)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few texts are Python strings at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
@@ -228,7 +235,7 @@ def score_documents(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in _sliced(batches):
             scores = np.array([m.score(indicators(t)) for t in batch.column(1).to_pylist()], np.float64)
             yield pa.record_batch([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
 
@@ -246,7 +253,7 @@ def keep_good(docs: DataFrame, model: QualityModel, *, text_col: str = "text") -
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in _sliced(batches):
             keep = [m.score(indicators(t)) >= THRESHOLD for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
