@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as X
 from ..functions import text as T
 from ..operators import scoring as R
-from ..sources import store
+from ..sources import store, tables
 from . import sql as S
 from . import text_queries as TQ
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.measured(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
+    return R.measured(tables.spread(tables.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
 
 
 def quality_dimensions(spark, sf_dir):

@@ -10,6 +10,7 @@ from ..operators import claims as C
 from ..operators import preparation as P
 from ..operators import proofreading as R
 from ..sources import pages as G
+from ..sources import tables
 from ..streaming import governance as V
 from . import sql as S
 from . import text_queries as TQ
@@ -17,11 +18,11 @@ from .text_queries import prepared
 
 
 def _pages(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return tables.spread(tables.table(spark, sf_dir, "pages"))
 
 
 def _events(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return tables.table(spark, sf_dir, "events")
 
 
 def page_title(spark, sf_dir):

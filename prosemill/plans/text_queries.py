@@ -9,12 +9,13 @@ from ..functions import lexicon as X
 from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import preparation as P
+from ..sources import tables
 from . import sql as S
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return P.prepare(docs)
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return P.prepare(tables.spread(docs))
 
 
 def text_normalize(spark, sf_dir):
