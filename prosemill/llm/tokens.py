@@ -14,7 +14,7 @@ import numpy as np
 
 #: Distinct pieces (about 170 bytes each) of each of the two generations that a
 #: Python worker remembers; one that falls out is encoded again when it returns.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 600_000
 #: Punctuation taken off the end of a missing piece, so that its word is looked up.
 ENDINGS = ".,;:!?#*$%&|"
 #: White space beside the space and the line feed: a text with any goes to the library whole.
