@@ -62,7 +62,6 @@ def with_metrics(prepared: DataFrame) -> DataFrame:
     d = d.withColumn("paragraph_sizes", F.transform(parts, lambda p: F.size(T.all_matches(p, r"\S+")).cast("long")))
     d = d.withColumns(structure_counts())
     d = d.withColumns({"citation_spans": T.spans(F.col("norm"), X.CITATION), "url_spans": T.spans(F.col("norm"), X.URL)})
-    d = d.withColumn("sentence_spans", T.spans(F.col("norm"), X.SENTENCE))
     words, low, norm = F.col("words"), F.col("low"), F.col("norm")
     n, sizes, psizes = F.size("words"), F.col("sentence_sizes"), F.col("paragraph_sizes")
     long_words = F.filter(words, lambda w: F.length(w) >= 4)
@@ -122,7 +121,7 @@ def with_metrics(prepared: DataFrame) -> DataFrame:
             "heading_coverage": T.over(F.col("headings"), F.col("n_paragraphs") / 4),
             "formatting_density": T.over(F.col("headings") + F.col("list_items") + F.col("table_lines") + F.col("quote_lines"), F.col("filled_lines")),
         }
-    ).drop("grams_3", "openings", "sentence_sizes", "paragraph_sizes", "citation_spans", "url_spans", "sentence_spans")
+    ).drop("grams_3", "openings", "sentence_sizes", "paragraph_sizes", "citation_spans", "url_spans")
 
 
 def _opening(sentence: Column) -> Column:
@@ -131,7 +130,8 @@ def _opening(sentence: Column) -> Column:
 
 def _proximity() -> Column:
     """Share of the sentences with a verb or number that have a reference inside, or starting within 180 of their end."""
-    stated = F.filter("sentence_spans", lambda s: s["text"].rlike(r"[\p{L}\p{M}]") & s["text"].rlike(f"{X.whole(X.FACT_VERBS)}|{X.NUMBER}"))
+    sentences = T.spans(F.col("norm"), X.SENTENCE)
+    stated = F.filter(sentences, lambda s: s["text"].rlike(r"[\p{L}\p{M}]") & s["text"].rlike(f"{X.whole(X.FACT_VERBS)}|{X.NUMBER}"))
 
     def near(s: Column) -> Column:
         def by(m: Column) -> Column:
@@ -139,7 +139,9 @@ def _proximity() -> Column:
 
         return F.exists("citation_spans", by) | F.exists("url_spans", by)
 
-    return T.over(F.size(F.filter(stated, near)), F.size(stated))
+    # Most texts have no reference, and then no sentence need be looked at.
+    marks = F.size("citation_spans") + F.size("url_spans")
+    return F.when(marks == 0, 0.0).otherwise(T.over(F.size(F.filter(stated, near)), F.size(stated)))
 
 
 def connector_count(low: Column, language: Column) -> Column:

@@ -206,3 +206,10 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 200
     names, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(names)
+
+
+def test_citation_proximity(spark):
+    near, none = "The tower is 40 m high [12]. It was built early.", "The tower is 40 m high. It was built early."
+    far = "The tower is 40 m high. " + "Bells ring loudly here now and then. " * 8 + "See [12]."
+    got = [r.citation_proximity for r in metrics.with_metrics(preparation.prepare(docs(spark, near, none, far))).orderBy("doc_id").collect()]
+    assert got == [1.0, 0.0, 0.5]
