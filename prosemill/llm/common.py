@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,21 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cache(name: str, clear: Callable[[], None]) -> None:
+    """Registers what a Python worker remembers between tasks."""
+    _caches[name] = clear
+
+
+def use_cache(name: str) -> None:
+    """Empties the others: a worker outlives operators, so their memories would add up."""
+    for other, clear in _caches.items():
+        if other != name:
+            clear()
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITE), lambda w: w != "")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import cache, stage, use_cache
 from .components import connected_components
 
 SHINGLE = 5
@@ -73,6 +73,7 @@ class _Words(dict):
 
 
 _words = _Words()
+cache("shingles", _words.clear)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -130,6 +131,7 @@ def chunk_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    use_cache("shingles")
     for batch in batches:
         sets = [shingles(t) for t in batch.column(1).to_pylist()]
         full = [i for i, s in enumerate(sets) if len(s)]
@@ -152,7 +154,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    step = 4_096
+    use_cache("shingles")
+    step = 512
     for batch in batches:
         for i in range(0, batch.num_rows, step):
             some = batch.slice(i, step)
@@ -163,6 +166,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    use_cache("shingles")
     for batch in batches:
         sets = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
         own = [k == xxhash.xxh3_128_digest(s) for k, s in zip(batch.column(2).to_pylist(), sets, strict=True)]
@@ -171,6 +175,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    use_cache("shingles")
     for batch in batches:
         if batch.num_rows:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, POSITIONS) for i in (2, 3))

@@ -32,6 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cache, use_cache
+
 BITS = 18
 #: Most labelled rows of each class that the fit sees.
 PER_CLASS = 3_000
@@ -67,6 +69,7 @@ class _Words(dict):
 
 
 _words = _Words()
+cache("indicators", _words.clear)
 
 
 def _bins(x: np.ndarray, kind: int) -> np.ndarray:
@@ -191,6 +194,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float) -> QualityMode
 
 def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that few texts are Python strings at once."""
+    use_cache("indicators")
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)

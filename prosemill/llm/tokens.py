@@ -12,9 +12,11 @@ import os
 
 import numpy as np
 
+from .common import cache, use_cache
+
 #: Distinct pieces (about 170 bytes each) of each of the two generations that a
 #: Python worker remembers; one that falls out is encoded again when it returns.
-MEMO_PIECES = 600_000
+MEMO_PIECES = 400_000
 #: Punctuation taken off the end of a missing piece, so that its word is looked up.
 ENDINGS = ".,;:!?#*$%&|"
 #: White space beside the space and the line feed: a text with any goes to the library whole.
@@ -119,8 +121,12 @@ class TextEncoder:
 _encoders: dict[str, TextEncoder] = {}
 
 
+cache("tokens", _encoders.clear)
+
+
 def encoder(path: str) -> TextEncoder:
     """The Python worker's encoder for a vocabulary file."""
+    use_cache("tokens")
     if path not in _encoders:
         _encoders[path] = TextEncoder(path)
     return _encoders[path]
