@@ -214,7 +214,8 @@ def _split_keys(part: DataFrame, round_no: int) -> DataFrame:
     """Rows ``key, node, part, tiles`` of the keys with open pairs, with the key's leader.
 
     A pair is open unless its nodes have one part or have had one tile;
-    ``open`` bounds a key's number of them.  A leader is a random node of its
+    ``open`` bounds a key's number of them, as all lists of tiles are of one
+    length.  A leader is a random node of its
     key, so mostly one of the key's largest part.
     """
     turn = F.xxhash64("node", F.lit(round_no))
@@ -393,7 +394,8 @@ def near_duplicates(
             tiled = _tiled(rest, joined, nodes.select("node", "n"), round_no)
             links.append(_within_tiles(tiled, members, percent))
             joined = joined.join(tiled.select("node", "tile"), "node", "left")
-            joined = joined.withColumn("tiles", F.when(F.col("tile").isNull(), F.col("tiles")).otherwise(F.array_append("tiles", F.col("tile"))))
+            # A node without a tile has one to itself, so that all lists have a place a round.
+            joined = joined.withColumn("tiles", F.array_append("tiles", F.coalesce("tile", -1 - F.col("node"))))
         joined = _merged(joined, links[-1])
         rest = rest.select("key", "node")
 

@@ -328,6 +328,17 @@ def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, rounds):
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_where_some_nodes_get_no_tile(spark, monkeypatch):
+    tiled = near_duplicates._tiled
+    monkeypatch.setattr(near_duplicates, "LEADER_ROUNDS", 0)
+    monkeypatch.setattr(near_duplicates, "TILE_ROUNDS", 2)
+    monkeypatch.setattr(near_duplicates, "CROSSING_PER_ROW", 0)
+    monkeypatch.setattr(near_duplicates, "_tiled", lambda *a: tiled(*a).filter("part = host"))
+    text = words_of(random.Random(3), 100)
+    df = spark.createDataFrame([(i, f"{text} end{i}", "en", "a", 0, "k", 0, "s") for i in range(3)], SCHEMA)
+    assert [r.component_id for r in near_duplicates.near_duplicates(df).collect()] == [0, 0, 0]
+
+
 def test_near_duplicates_of_odd_rows(odd):
     rows, df = odd
     out = near_duplicates.near_duplicates(df).collect()
