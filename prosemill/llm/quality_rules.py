@@ -32,10 +32,12 @@ LEAST_WORDS, REPEAT_PERCENT = 50, 50
 LEAST_GROUP = 100
 SUBSET = 0.75
 STEPS = 3
-REWEIGHT, CUTOFF = 0.975, 1 - 1e-6
-#: Least standard deviation of each statistic: clean texts mostly have no
-#: symbol and no repeated line, and a first one is no reason to reject.
-FLOORS = {"word_length": 0.05, "symbols": 0.04, "lines": 0.2, "repeats": 0.2}
+REWEIGHT, CUTOFF = 0.975, 0.999
+#: Least standard deviation of each statistic in texts of any length, for what
+#: chance repeats; sampling noise at the text's own length comes on top.
+FLOORS = {"word_length": 0.05, "symbols": 0.04, "lines": 0.05, "repeats": 0.08}
+#: Words that one repeated window of three covers, in its two places.
+WINDOW_WORDS = 6
 NAMES = tuple(FLOORS)
 P = len(NAMES)
 #: Steps of the grid on which a group's subset is cut, per doubling of the distance.
@@ -120,36 +122,52 @@ def _statistics() -> dict[str, Column]:
     }
 
 
+def _noise() -> dict[str, Column]:
+    """``v_x``: the least variance of each statistic at the text's length.
+
+    The root of a share of Poisson counts has a variance of 1/4 over the number
+    of places, times what one event adds to the count; words' lengths deviate
+    by about half their mean.
+    """
+    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
+    lines = F.greatest(F.col("n_lines"), F.lit(1))
+    of = {"word_length": 0.25 / words, "symbols": 0.25 / chars, "lines": 0.25 / lines, "repeats": 0.25 * WINDOW_WORDS / words}
+    return {f"v_{x}": F.lit(FLOORS[x] ** 2) + v for x, v in of.items()}
+
+
 def _moments(members: DataFrame, scale: float) -> DataFrame:
-    """Per group the means and the Cholesky factor of the (floored) covariance."""
+    """Per group the means and the covariance."""
     sums = [F.count("*").alias("n")]
     sums += [F.avg(x).alias(f"m_{x}") for x in NAMES]
     sums += [F.avg(F.col(x) * F.col(y)).alias(f"p{i}{j}") for i, x in enumerate(NAMES) for j, y in enumerate(NAMES[: i + 1])]
     g = members.groupBy("group").agg(*sums)
-    for i, x in enumerate(NAMES):
-        for j, y in enumerate(NAMES[: i + 1]):
-            cov = (F.col(f"p{i}{j}") - F.col(f"m_{x}") * F.col(f"m_{y}")) * F.lit(scale)
-            rest = (cov + F.lit(FLOORS[x] ** 2)) if i == j else cov
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            # The floor keeps the diagonal positive; rounding alone can't undo it.
-            value = F.sqrt(F.greatest(rest, F.lit(FLOORS[x] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}")
-            g = g.withColumn(f"l{i}{j}", value)
-    return g.select("group", *[f"m_{x}" for x in NAMES], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
+    cov = [
+        ((F.col(f"p{i}{j}") - F.col(f"m_{x}") * F.col(f"m_{y}")) * F.lit(scale)).alias(f"c{i}{j}")
+        for i, x in enumerate(NAMES)
+        for j, y in enumerate(NAMES[: i + 1])
+    ]
+    return g.select("group", *[f"m_{x}" for x in NAMES], *cov)
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance, by forward substitution."""
-    z: list[Column] = []
+def _distance(d: DataFrame) -> DataFrame:
+    """With ``d2``, the squared Mahalanobis distance: Cholesky factors of the covariance
+    plus the row's noise, and forward substitution."""
     for i, x in enumerate(NAMES):
+        for j in range(i + 1):
+            rest = F.col(f"c{i}{j}") + F.col(f"v_{x}") if i == j else F.col(f"c{i}{j}")
+            for k in range(j):
+                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+            # The noise keeps the diagonal positive; rounding alone can't undo it.
+            value = F.sqrt(F.greatest(rest, F.col(f"v_{x}") / 4)) if i == j else rest / F.col(f"l{j}{j}")
+            d = d.withColumn(f"l{i}{j}", value)
         rest = F.col(x) - F.col(f"m_{x}")
         for k in range(i):
-            rest = rest - F.col(f"l{i}{k}") * z[k]
-        z.append(rest / F.col(f"l{i}{i}"))
-    total = z[0] * z[0]
-    for x in z[1:]:
-        total = total + x * x
-    return total
+            rest = rest - F.col(f"l{i}{k}") * F.col(f"z{k}")
+        d = d.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
+    total = F.col("z0") * F.col("z0")
+    for i in range(1, P):
+        total = total + F.col(f"z{i}") * F.col(f"z{i}")
+    return d.withColumn("d2", total)
 
 
 def _with(members: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
@@ -186,7 +204,7 @@ def quality_rules(
         1: F.to_json(F.struct(F.lit(1).alias("level"), "lang")),
         0: F.lit('{"level":0}'),
     }
-    base = base.withColumn("base_failed", failed).withColumns(_statistics())
+    base = base.withColumn("base_failed", failed).withColumns(_statistics() | _noise())
     base = stage(base.withColumns({f"g{i}": k for i, k in keys.items()}), "quality-base")
     judged = base.filter("not base_failed")
 
@@ -195,7 +213,7 @@ def quality_rules(
     which = F.when(F.col("n2") >= LEAST_GROUP, F.col("g2")).when(F.col("n1") >= LEAST_GROUP, F.col("g1")).otherwise(keys[0])
     chosen = stage(size.select("g2", which.alias("chosen")), "quality-groups")
     needed = chosen.select(F.col("chosen").alias("group")).distinct()
-    members = judged.select(*NAMES, F.explode(F.array("g2", "g1", "g0")).alias("group"))
+    members = judged.select(*NAMES, *[f"v_{x}" for x in NAMES], F.explode(F.array("g2", "g1", "g0")).alias("group"))
     members = stage(members.join(needed, "group"), "quality-members")
 
     # Start: distance from the medians, in units of the median deviation.
@@ -208,19 +226,20 @@ def quality_rules(
     )
     d2 = F.lit(0.0)
     for x in NAMES:
-        d2 = d2 + F.pow((F.col(x) - F.col(f"m_{x}")) / F.greatest(F.col(f"s_{x}") * 1.4826, F.lit(FLOORS[x])), 2)
+        d2 = d2 + F.pow(F.col(x) - F.col(f"m_{x}"), 2) / F.greatest(F.pow(F.col(f"s_{x}") * 1.4826, 2), F.col(f"v_{x}"))
     near = _nearest(_with(members, stage(spread, "quality-start"), few).select("group", *NAMES, d2.alias("d2")), subset, few)
     # Makes the covariance of the nearest share of normal data that of all of it.
     scale = subset / chi2_below(chi2_quantile(subset, P), P + 2)
     for _ in range(STEPS):
         fit = stage(_moments(near, scale), "quality-fit")
-        near = _nearest(_with(members, fit, few).select("group", *NAMES, _distance().alias("d2")), subset, few)
+        near = _nearest(_distance(_with(members, fit, few)).select("group", *NAMES, "d2"), subset, few)
     fit = stage(_moments(near, scale), "quality-fit")
-    inner = _with(members, fit, few).withColumn("d2", _distance()).filter(F.col("d2") <= chi2_quantile(REWEIGHT, P))
+    inner = _distance(_with(members, fit, few)).filter(F.col("d2") <= chi2_quantile(REWEIGHT, P))
     fit = stage(_moments(inner.select("group", *NAMES), 1.0), "quality-fit")
     by_source = chosen.join(fit.withColumnRenamed("group", "chosen"), "chosen").drop("chosen")
 
-    out = base.join(F.broadcast(by_source) if chosen.count() * GROUP_BYTES <= BROADCAST_BYTES else by_source, "g2", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    out = _distance(base.join(F.broadcast(by_source) if chosen.count() * GROUP_BYTES <= BROADCAST_BYTES else by_source, "g2", "left"))
+    out = out.withColumn("distance", F.when(~F.col("base_failed"), F.col("d2")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(cutoff, P), F.lit(True))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -240,6 +240,23 @@ def test_quality_rules_reject_outliers_and_keep_the_rest(spark):
     assert kept == set(range(400))
 
 
+def test_quality_rules_reject_repeated_lines_or_windows_alone(spark):
+    rng = random.Random(6)
+    cut = lambda w, k: "\n".join(" ".join(w[i : i + k]) for i in range(0, len(w), k))
+    rows = [(i, cut([f"w{rng.randrange(10**9):09d}" for _ in range(rng.randint(60, 300))], 10)) for i in range(400)]
+    word = lambda: f"w{rng.randrange(10**9):09d}"
+    lines = [*[f"{word()} {word()}" for _ in range(40)], *[word()] * 60]
+    lines = [x for pair in zip(lines[:40], lines[40:80], strict=True) for x in pair] + [y for x in lines[80:] for y in (" ".join(word() for _ in range(3)), x)]
+    rows.append((1000, "\n".join(lines)))
+    some = [word() for _ in range(30)]
+    rows.append((1001, cut([*some[:15], *[word() for _ in range(50)], *some[:15], *[word() for _ in range(120)], *some[15:], *[word() for _ in range(30)], *some[15:]], 7)))
+    df = spark.createDataFrame([(*r, "en", "a", 0, "k", 0, "s") for r in rows], SCHEMA)
+    out = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}
+    assert not out[1000].base_failed and out[1000].n_repeat_words == 0 and out[1000].n_dup_lines == 59 and not out[1000].kept
+    assert not out[1001].base_failed and out[1001].n_repeat_words == 60 and out[1001].n_dup_lines == 0 and not out[1001].kept
+    assert sum(r.kept for r in out.values()) == 400
+
+
 def test_chi_square():
     assert math.isclose(quality_rules.chi2_quantile(0.95, 4), 9.4877, abs_tol=1e-3)
     assert math.isclose(quality_rules.chi2_below(5.9915, 2), 0.95, abs_tol=1e-4)
