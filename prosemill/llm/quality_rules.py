@@ -86,28 +86,27 @@ def base_statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
-        # Low bits that hold a word's place; the rest of the 64 tell windows apart.
-        F.when(n <= 1 << 10, 2**10 - 1).when(n <= 1 << 15, 2**15 - 1).otherwise(2**28 - 1).cast("long").alias("low"),
     )
 
+    # Whole hashes with their places: however long the text, all 64 bits tell windows apart.
     def window(i: Column) -> Column:
         h = F.xxhash64(F.get("hashes", i), F.get("hashes", i + 1), F.get("hashes", i + 2))
-        return h.bitwiseAND(F.bitwise_not(F.col("low"))).bitwiseOR(i.cast("long"))
+        return F.struct(h.alias("hash"), i.cast("long").alias("place"))
 
     starts = F.sequence(F.lit(0), F.size("hashes") - 3)
-    no = F.array().cast("array<long>")
+    no = F.array().cast("array<struct<hash:long,place:long>>")
     d = d.withColumn("windows", F.when(F.size("hashes") >= 3, F.sort_array(F.transform(starts, window))).otherwise(no))
     d = d.drop("hashes")
 
     def repeated(x: Column, i: Column) -> Column:
         same = F.greatest(
-            F.coalesce(F.get("windows", i - 1).bitwiseXOR(x).between(0, F.col("low")), F.lit(False)),
-            F.coalesce(F.get("windows", i + 1).bitwiseXOR(x).between(0, F.col("low")), F.lit(False)),
+            F.coalesce(F.get("windows", i - 1)["hash"] == x["hash"], F.lit(False)),
+            F.coalesce(F.get("windows", i + 1)["hash"] == x["hash"], F.lit(False)),
         )
-        return F.when(same, x.bitwiseAND(F.col("low"))).otherwise(F.lit(-1).cast("long"))
+        return F.when(same, x["place"]).otherwise(F.lit(-1).cast("long"))
 
     found = F.sort_array(F.filter(F.transform("windows", repeated), lambda p: p >= 0))
-    d = d.withColumn("found", found).drop("windows", "low")
+    d = d.withColumn("found", found).drop("windows")
     covered = F.transform("found", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("found", i + 1) - p, F.lit(3))))
     return d.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)).drop("found")
 

@@ -231,6 +231,14 @@ def test_quality_rule_counts(odd, spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_rule_counts_of_a_very_long_text(spark):
+    # Of 400,000 distinct windows, 36 bits would take one or two for repeats; 64 bits none.
+    text = " ".join(f"w{i}" for i in range(400_000))
+    df = spark.createDataFrame([(0, text, "en", "a", 0, "k", 0, "s"), (1, text + " w1 w2 w3", "en", "a", 0, "k", 0, "s")], SCHEMA)
+    out = quality_rules.base_statistics(df, "doc_id", "text", "lang", "source").collect()
+    assert {r.doc_id: r.n_repeat_words for r in out} == {0: 0, 1: 6}
+
+
 def test_quality_rules_reject_outliers_and_keep_the_rest(spark):
     rng = random.Random(5)
     rows = [(i, words_of(rng, rng.randint(60, 300)), "en", "ab"[i % 2]) for i in range(400)]
