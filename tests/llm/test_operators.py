@@ -446,6 +446,17 @@ def test_licences(spark, odd):
     assert licences.scan_licences(odd[1]).count() == len(odd[0])
 
 
+def test_licences_by_their_full_texts(spark):
+    bsd = "BSD 3-Clause License\n\nCopyright (c) 2020, Someone\n\n" + licences._BSD.format(licences._NAMES).replace("1. ", "\n1. ")
+    rows = [(1, bsd), (2, licences._BSD.format(""))]
+    files = {i: t for i, t in licences.KNOWN if len(t) > 5_000}
+    rows += [(10 + k, t.upper().replace("\n", "\n  ")) for k, t in enumerate(files.values())]
+    out = {r.doc_id: r.licence for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (out[1], out[2]) == ("BSD-3-Clause", "BSD-2-Clause")
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= set(files)
+    assert [out[10 + k] for k in range(len(files))] == list(files)
+
+
 def test_empty_tables(empty, spark):
     assert mixing.mix_documents(empty).count() == 0
     assert packing.pack_documents(empty).count() == 0
