@@ -3,7 +3,8 @@
 The ids are those of ``tokenizers.Tokenizer.encode``.  A single space or line
 feed between two visible characters always starts a new pre-token of a
 byte-level BPE, so a text can be cut there and each distinct piece encoded
-once; texts with any other white space go to the library whole.
+once; texts with any other white space, and those that spell an added token of
+the vocabulary (such as its end mark), go to the library whole.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True
+        self._added = [t.content for t in self._library.get_added_tokens_decoder().values()]
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._endings: dict[str, bytes] = {}
@@ -41,9 +42,8 @@ class TextEncoder:
         self.vocab_size = self._library.get_vocab_size()
         line_feed = self._ids("\n")
         # Cutting is sound only if the line feed is one id that stands alone.
-        self._can_cut = len(line_feed) == 4 and self._ids("a\n b\nc") == (
-            self._ids("a") + line_feed + self._ids(" b") + line_feed + self._ids("c")
-        )
+        self._can_cut = self._library.normalizer is None and len(line_feed) == 4
+        self._can_cut &= self._ids("a\n b\nc") == self._ids("a") + line_feed + self._ids(" b") + line_feed + self._ids("c")
         self._feed = line_feed
         self._feed_id = int(np.frombuffer(line_feed, "<u4")[0]) if self._can_cut else -1
 
@@ -58,7 +58,7 @@ class TextEncoder:
             return None
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return None
-        if any(map(text.__contains__, OTHER_WHITE)):
+        if any(map(text.__contains__, OTHER_WHITE)) or any(map(text.__contains__, self._added)):
             return None
         # The first stands after a line feed here, whose id is taken off again.
         return ("\n" + text).replace("\n", " \n")[1:].split(" ")

@@ -43,6 +43,7 @@ def odd_rows(rng: random.Random) -> list[tuple]:
     rows = [
         (1, None, "en", "a"), (2, "", "en", "a"), (3, " \t\n", None, "a"), (4, same, "en", None), (5, same, "en", "b"), (5, same, "en", "b"),
         (6, long_text, None, None), (None, words_of(rng, 60), "en", "a"), (None, None, None, None), (7, "one", "en", "b"), (8, "é  ü\tx\n\ny", "de", "b"),
+        (9, "before <|endoftext|> after", "en", "b"),
     ]
     rows += [(i, words_of(rng, rng.randint(1, 200)), rng.choice(["en", "de"]), rng.choice("abc")) for i in range(10, 60)]
     return [(*r, 0, "k", 0, "s") for r in rows]
@@ -64,20 +65,43 @@ def encode():
     return tokens.encoder(tokens.vocabulary_path())
 
 
-def test_encoder_is_the_library(encode):
-    texts = ["a b", "a\nb c", "  x", "x\ty", "", None, "a  b\tc", "it's 'll\nfoo's ###", "é ü. ñ! ", "<|endoftext|> a", "a b c", "a b\nc", "don't. x)."]
-    got = encode.encode(texts)
-    for text, ids in zip(texts, got, strict=True):
-        want = encode._library.encode(text or "", add_special_tokens=False).ids
-        assert np.frombuffer(ids, "<u4").tolist() == want
+@pytest.fixture(scope="module")
+def library():
+    """The plain library, which the operators' encoder is compared with."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.vocabulary_path())
+    return lambda text: plain.encode(text or "", add_special_tokens=False).ids
+
+
+def test_encoder_is_the_library(encode, library):
+    texts = ["a b", "a\nb c", "  x", "x\ty", "", None, "a  b\tc", "it's 'll\nfoo's ###", "é ü. ñ! ", "<|endoftext|> a", "a b\u00a0c", "a b\nc", "don't. x)."]
+    texts += ["hello <|endoftext|> world", "x<|endoftext|>", "a <|endof text|> b", "a<|endoftext|>\nb c d", "word " * 20_000]
+    for text, ids in zip(texts, encode.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library(text)
+    assert 50256 in np.frombuffer(encode.encode(["hello <|endoftext|> world"])[0], "<u4")
+
+
+def test_encoder_is_the_library_on_fuzzed_texts(library):
+    rng = random.Random(17)
+    alphabet = "aaeiou tsrn   \n\n.,;:!?#*$%&|'\"0123ABZ\t\r\x0b\x85\u00a0\u2003\u3000éüßñøşİıКшдمرع中文字日本語한국어देवना\u0301\u0308\u200d\ufeff😀👩🏽\U00010348\x00\x7f"
+    pieces = ["don't", "'s", "'LL", "x.y", "...", "--", "3.14", "<|endoftext|>", "<|endoftext", "naïve", "Ünï", "http://a.b/c?d=1#e"]
+    texts = []
+    for _ in range(3_000):
+        parts = [rng.choice(pieces) if rng.random() < 0.2 else "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 30))]
+        texts.append(rng.choice((" ", "\n", "")).join(parts))
+    small = tokens.TextEncoder(tokens.vocabulary_path(), memo_pieces=500)
+    for at in range(0, len(texts), 100):
+        for text, ids in zip(texts[at : at + 100], small.encode(texts[at : at + 100]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library(text)
 
 
-def test_encoder_forgets_and_still_agrees():
+def test_encoder_forgets_and_still_agrees(library):
     small = tokens.TextEncoder(tokens.vocabulary_path(), memo_pieces=20)
     rng = random.Random(1)
     for _ in range(5):
         text = words_of(rng, 50) + "."
-        assert np.frombuffer(small.encode([text])[0], "<u4").tolist() == small._library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(small.encode([text])[0], "<u4").tolist() == library(text)
 
 
 def test_mix_is_capped_and_near_its_targets(odd):
@@ -138,7 +162,7 @@ def test_lower_bound_never_passes_the_best_packing():
     assert packing.lower_bound(np.array([33, 33, 31, 31]), 64) == 2
 
 
-def test_packing_round_trip(odd, encode, monkeypatch):
+def test_packing_round_trip(odd, library, monkeypatch):
     monkeypatch.setattr(packing, "PIECES_PER_BUCKET", 8)
     rows, df = odd
     out = packing.pack_documents(df, capacity=64, end_id=2, with_ids=True).collect()
@@ -157,7 +181,7 @@ def test_packing_round_trip(odd, encode, monkeypatch):
         assert at <= 64
     for doc, text in {(r[0], r[1]) for r in rows if r[0] not in (5, None)}:
         pieces = sorted(docs[doc], key=lambda r: r.piece)
-        want = encode._library.encode(text or "", add_special_tokens=False).ids + [2]
+        want = library(text) + [2]
         assert [i for p in pieces for i in p.ids] == want
         assert all(p.length == 64 for p in pieces[1:])
     assert len(docs[5]) == 2 * len({r.piece for r in docs[5]})
@@ -193,14 +217,14 @@ def test_sharding(odd, monkeypatch):
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
-def test_token_files_round_trip(odd, encode, spark, tmp_path):
+def test_token_files_round_trip(odd, library, spark, tmp_path):
     rows, df = odd
     files = token_files.write_token_files(df, path=f"file://{tmp_path}/t", length=16)
     got = sorted(files.documents().collect(), key=lambda r: r.start)
     assert len(got) == len(rows)
     at = 0
     for r, (doc, text) in zip(got, sorted(((r[0], r[1] or "") for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1])), strict=True):
-        ids = encode._library.encode(text, add_special_tokens=False).ids + [0]
+        ids = library(text) + [0]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     part = files.parts.filter("tokens > 16").first().part
