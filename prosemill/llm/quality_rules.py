@@ -5,8 +5,11 @@ word length and the square roots of the shares of symbols, of repeated lines
 and of words in repeated windows.  Length is not among them: a long clean text
 is no outlier, and short ones have a rule of their own.  Per language and
 source, concentration steps seek the three quarters of the texts whose
-covariance has the least determinant; after one reweighting, a text whose
-squared Mahalanobis distance passes the chi-square quantile is rejected.
+covariance has the least determinant.  They begin at four estimates (medians
+with median deviations, and the covariances of squashed values, of directions
+and of two halves by hash); after a few steps the start of least determinant
+goes on until that stops falling.  After one reweighting, a text whose squared
+Mahalanobis distance passes the chi-square quantile is rejected.
 
 All of it is DataFrame expressions.  Texts are read once; the steps are
 aggregates over a narrow staged table whose sums are combined before the
@@ -31,7 +34,10 @@ from .common import WHITE, stage
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 LEAST_GROUP = 100
 SUBSET = 0.75
-STEPS = 3
+#: Steps of every start, and of the best start at most; those end when no group's
+#: determinant falls by more than ``LEAST_FALL`` of itself.
+FIRST_STEPS, MOST_STEPS, LEAST_FALL = 2, 30, 1e-3
+STARTS = 4
 REWEIGHT, CUTOFF = 0.975, 0.999
 #: Least standard deviation of each statistic in texts of any length, for what
 #: chance repeats; sampling noise at the text's own length comes on top.
@@ -41,7 +47,7 @@ WINDOW_WORDS = 6
 NAMES = tuple(FLOORS)
 P = len(NAMES)
 #: Steps of the grid on which a group's subset is cut, per doubling of the distance.
-GRID = 32
+GRID = 256
 #: Estimates of groups are broadcast up to this size, and shuffled beyond it.
 GROUP_BYTES, BROADCAST_BYTES = 400, 16 << 20
 
@@ -134,31 +140,46 @@ def _noise() -> dict[str, Column]:
     return {f"v_{x}": F.lit(FLOORS[x] ** 2) + v for x, v in of.items()}
 
 
-def _moments(members: DataFrame, scale: float) -> DataFrame:
-    """Per group the means and the covariance."""
+def _moments(members: DataFrame, scale: float, keys: tuple[str, ...] = ("group",)) -> DataFrame:
+    """Per group the means, the covariance, and ``logdet`` of it with the mean noise on its diagonal."""
     sums = [F.count("*").alias("n")]
     sums += [F.avg(x).alias(f"m_{x}") for x in NAMES]
+    sums += [F.avg(f"v_{x}").alias(f"w_{x}") for x in NAMES]
     sums += [F.avg(F.col(x) * F.col(y)).alias(f"p{i}{j}") for i, x in enumerate(NAMES) for j, y in enumerate(NAMES[: i + 1])]
-    g = members.groupBy("group").agg(*sums)
+    g = members.groupBy(*keys).agg(*sums)
     cov = [
         ((F.col(f"p{i}{j}") - F.col(f"m_{x}") * F.col(f"m_{y}")) * F.lit(scale)).alias(f"c{i}{j}")
         for i, x in enumerate(NAMES)
         for j, y in enumerate(NAMES[: i + 1])
     ]
-    return g.select("group", *[f"m_{x}" for x in NAMES], *cov)
+    g = _factors(g.select(*keys, *[f"m_{x}" for x in NAMES], *[f"w_{x}" for x in NAMES], *cov), "w")
+    logdet = F.lit(0.0)
+    for i in range(P):
+        logdet = logdet + 2 * F.log(F.col(f"l{i}{i}"))
+    return g.select(*keys, *FIT, logdet.alias("logdet"))
 
 
-def _distance(d: DataFrame) -> DataFrame:
-    """With ``d2``, the squared Mahalanobis distance: Cholesky factors of the covariance
-    plus the row's noise, and forward substitution."""
+#: Columns of an estimate: means and the lower triangle of the covariance.
+FIT = (*(f"m_{x}" for x in NAMES), *(f"c{i}{j}" for i in range(P) for j in range(i + 1)))
+
+
+def _factors(d: DataFrame, noise: str) -> DataFrame:
+    """With ``l``, Cholesky factors of the covariance plus a noise of each statistic."""
     for i, x in enumerate(NAMES):
         for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") + F.col(f"v_{x}") if i == j else F.col(f"c{i}{j}")
+            rest = F.col(f"c{i}{j}") + F.col(f"{noise}_{x}") if i == j else F.col(f"c{i}{j}")
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             # The noise keeps the diagonal positive; rounding alone can't undo it.
-            value = F.sqrt(F.greatest(rest, F.col(f"v_{x}") / 4)) if i == j else rest / F.col(f"l{j}{j}")
+            value = F.sqrt(F.greatest(rest, F.col(f"{noise}_{x}") / 4)) if i == j else rest / F.col(f"l{j}{j}")
             d = d.withColumn(f"l{i}{j}", value)
+    return d
+
+
+def _distance(d: DataFrame) -> DataFrame:
+    """With ``d2``, the squared Mahalanobis distance under the covariance plus the row's noise."""
+    d = _factors(d, "v")
+    for i, x in enumerate(NAMES):
         rest = F.col(x) - F.col(f"m_{x}")
         for k in range(i):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"z{k}")
@@ -169,20 +190,94 @@ def _distance(d: DataFrame) -> DataFrame:
     return d.withColumn("d2", total)
 
 
-def _with(members: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+def _with(members: DataFrame, groups: DataFrame, few: bool, keys: tuple[str, ...] = ("group",)) -> DataFrame:
     """Joined by group; where the groups are few (their count is checked) the members stay in place."""
-    return members.join(F.broadcast(groups) if few else groups, "group")
+    return members.join(F.broadcast(groups) if few else groups, list(keys))
 
 
-def _nearest(members: DataFrame, share: float, few: bool) -> DataFrame:
+def _nearest(members: DataFrame, share: float, few: bool, keys: tuple[str, ...] = ("group",)) -> DataFrame:
     """Each group's members of least distance, cut on a grid that holds at least ``share``."""
     cell = F.floor(F.log2(F.col("d2") + F.lit(1e-6)) * GRID).cast("int")
     members = members.withColumn("cell", cell)
-    upto = Window.partitionBy("group").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    counts = members.groupBy("group", "cell").count()
-    counts = counts.withColumn("so_far", F.sum("count").over(upto)).withColumn("all", F.sum("count").over(Window.partitionBy("group")))
-    last = counts.filter(F.col("so_far") >= F.col("all") * share).groupBy("group").agg(F.min("cell").alias("last"))
-    return _with(members, last, few).filter("cell <= last").drop("last", "cell")
+    upto = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    counts = members.groupBy(*keys, "cell").count()
+    counts = counts.withColumn("so_far", F.sum("count").over(upto)).withColumn("all", F.sum("count").over(Window.partitionBy(*keys)))
+    last = counts.filter(F.col("so_far") >= F.col("all") * share).groupBy(*keys).agg(F.min("cell").alias("last"))
+    return _with(members, last, few, keys).filter("cell <= last").drop("last", "cell")
+
+
+def _starts(members: DataFrame, few: bool) -> DataFrame:
+    """``group, start`` and an estimate each, about the medians in units of the median deviation."""
+    middle = members.groupBy("group").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in NAMES])
+    off = _with(members, middle, few)
+    spread = off.groupBy("group").agg(
+        *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 1000).alias(f"s_{x}") for x in NAMES],
+        *[F.first(f"m_{x}").alias(f"m_{x}") for x in NAMES],
+        *[F.avg(f"v_{x}").alias(f"w_{x}") for x in NAMES],
+    )
+    unit = {f"u_{x}": F.sqrt(F.greatest(F.pow(F.col(f"s_{x}") * 1.4826, 2), F.col(f"w_{x}"))) for x in NAMES}
+    spread = stage(spread.withColumns(unit).select("group", *[f"m_{x}" for x in NAMES], *unit), "quality-start")
+    z = [(F.col(x) - F.col(f"m_{x}")) / F.col(f"u_{x}") for x in NAMES]
+    d = _with(members, spread, few).withColumns({f"z{i}": c for i, c in enumerate(z)})
+    norm = F.lit(0.0)
+    for i in range(P):
+        norm = norm + F.col(f"z{i}") * F.col(f"z{i}")
+    d = d.withColumns({"norm": F.sqrt(norm), "side": F.pmod(F.xxhash64(*NAMES), F.lit(2))})
+
+    def moment(of, i: int, j: int) -> Column:
+        return F.avg(of(i) * of(j)) * F.first(f"u_{NAMES[i]}") * F.first(f"u_{NAMES[j]}")
+
+    squashed = lambda i: F.tanh(f"z{i}")
+    # Of a direction each part has a square of 1/P on average; scaled back to one.
+    direction = lambda i: F.col(f"z{i}") / F.greatest("norm", F.lit(1e-6)) * math.sqrt(P)
+    half = lambda i: F.when((F.col("side") == 0) & (F.col("norm") < 2 * math.sqrt(P)), F.col(f"z{i}"))
+    means = [F.first(f"m_{x}").alias(f"m_{x}") for x in NAMES]
+    found = d.groupBy("group").agg(
+        *means,
+        *[F.first(f"u_{x}").alias(f"u_{x}") for x in NAMES],
+        *[F.coalesce(moment(of, i, j), F.lit(0.0)).alias(f"k{k}_{i}{j}") for k, of in ((1, squashed), (2, direction), (3, half)) for i in range(P) for j in range(i + 1)],
+    )
+
+    def estimate(k: int) -> Column:
+        cells = []
+        for i in range(P):
+            for j in range(i + 1):
+                value = F.col(f"k{k}_{i}{j}") if k else F.pow(F.col(f"u_{NAMES[i]}"), 2) if i == j else F.lit(0.0)
+                cells.append(value.alias(f"c{i}{j}"))
+        return F.struct(F.lit(k).alias("start"), *cells)
+
+    found = found.select("group", *[f"m_{x}" for x in NAMES], F.explode(F.array(*map(estimate, range(STARTS)))).alias("e"))
+    return found.select("group", "e.start", *[f"m_{x}" for x in NAMES], *[f"e.c{i}{j}" for i in range(P) for j in range(i + 1)])
+
+
+def least_determinant(members: DataFrame, subset: float, few: bool) -> DataFrame:
+    """``group`` and the estimate of each group's subset of least determinant.
+
+    ``members`` has ``group``, the statistics and their noises.
+    """
+    keys, values = ("group", "start"), [*NAMES, *[f"v_{x}" for x in NAMES]]
+    # Makes the covariance of the nearest share of normal data that of all of it.
+    scale = subset / chi2_below(chi2_quantile(subset, P), P + 2)
+    fit = stage(_starts(members, few), "quality-fit")
+    each = members.withColumn("start", F.explode(F.array(*map(F.lit, range(STARTS)))))
+    for _ in range(FIRST_STEPS):
+        near = _nearest(_distance(_with(each, fit, few, keys)).select(*keys, *values, "d2"), subset, few, keys)
+        fit = stage(_moments(near, scale, keys), "quality-fit")
+    best = fit.groupBy("group").agg(F.min_by(F.struct(*FIT, "logdet"), F.struct("logdet", "start")).alias("f"))
+    best = stage(best.select("group", "f.*"), "quality-fit")
+    for _ in range(MOST_STEPS):
+        near = _nearest(_distance(_with(members, best.drop("logdet"), few)).select("group", *values, "d2"), subset, few)
+        now = _moments(near, scale)
+        both = best.withColumn("at", F.lit(0)).unionByName(now.withColumn("at", F.lit(1)))
+        both = both.groupBy("group").agg(
+            F.min_by(F.struct(*FIT, "logdet"), F.struct("logdet", "at")).alias("f"),
+            (F.max(F.when(F.col("at") == 0, F.col("logdet"))) - F.min("logdet")).alias("fall"),
+        )
+        both = stage(both.select("group", "f.*", "fall"), "quality-fit")
+        best = both.drop("fall")
+        if (both.agg(F.max("fall")).first()[0] or 0.0) <= LEAST_FALL:
+            break
+    return best.drop("logdet")
 
 
 def quality_rules(
@@ -215,26 +310,10 @@ def quality_rules(
     members = judged.select(*NAMES, *[f"v_{x}" for x in NAMES], F.explode(F.array("g2", "g1", "g0")).alias("group"))
     members = stage(members.join(needed, "group"), "quality-members")
 
-    # Start: distance from the medians, in units of the median deviation.
-    middle = members.groupBy("group").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in NAMES])
-    few = needed.count() * GROUP_BYTES <= BROADCAST_BYTES
-    off = _with(members, middle, few)
-    spread = off.groupBy("group").agg(
-        *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 1000).alias(f"s_{x}") for x in NAMES],
-        *[F.first(f"m_{x}").alias(f"m_{x}") for x in NAMES],
-    )
-    d2 = F.lit(0.0)
-    for x in NAMES:
-        d2 = d2 + F.pow(F.col(x) - F.col(f"m_{x}"), 2) / F.greatest(F.pow(F.col(f"s_{x}") * 1.4826, 2), F.col(f"v_{x}"))
-    near = _nearest(_with(members, stage(spread, "quality-start"), few).select("group", *NAMES, d2.alias("d2")), subset, few)
-    # Makes the covariance of the nearest share of normal data that of all of it.
-    scale = subset / chi2_below(chi2_quantile(subset, P), P + 2)
-    for _ in range(STEPS):
-        fit = stage(_moments(near, scale), "quality-fit")
-        near = _nearest(_distance(_with(members, fit, few)).select("group", *NAMES, "d2"), subset, few)
-    fit = stage(_moments(near, scale), "quality-fit")
+    few = needed.count() * GROUP_BYTES * STARTS <= BROADCAST_BYTES
+    fit = least_determinant(members, subset, few)
     inner = _distance(_with(members, fit, few)).filter(F.col("d2") <= chi2_quantile(REWEIGHT, P))
-    fit = stage(_moments(inner.select("group", *NAMES), 1.0), "quality-fit")
+    fit = stage(_moments(inner.select("group", *NAMES, *[f"v_{x}" for x in NAMES]), 1.0).drop("logdet"), "quality-fit")
     by_source = chosen.join(fit.withColumnRenamed("group", "chosen"), "chosen").drop("chosen")
 
     out = _distance(base.join(F.broadcast(by_source) if chosen.count() * GROUP_BYTES <= BROADCAST_BYTES else by_source, "g2", "left"))
