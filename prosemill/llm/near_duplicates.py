@@ -9,24 +9,25 @@ by leaving out one position of the chunk in turn.  So all pairs within
 0.75 a pair shares none with a probability of 5e-6, and of 1e-8 at 0.8.
 
 Pairs that share a key are confirmed on full shingle sets.  Texts with equal
-sets are one node from the start, and nodes that a confirmed link has already
-joined need no further pair: nodes first meet a few random leaders of their
-keys; then the nodes around the largest parts and keys are compared in place,
-block against block; only what after that still shares a key across components is enumerated
-as pairs, all of it.
+sets are one node from the start.  Nodes first meet a few leaders of their keys;
+pairs that this has joined need no further look.  Of what is left, the pairs of
+keys with few nodes are enumerated, at most ``SMALL_KEY`` a row.  In keys with
+many nodes those drop out that have too many shingles of their own to be like
+any other there; the rest are compared in place, block against block, first by
+signatures, and of blocks with alike ones the full sets of just these nodes
+follow.  No pairs are emitted there, only links.
 
 Defined results: a null or blank text has no shingles, is linked with nothing
 and is its own component; a text under five words is one shingle; a null
-document id is kept, joins the component of its text, and is the component's
-id only where no member has one; repeated rows belong to one component; an
-empty table gives an empty result; other columns of the input are ignored.
+document id is passed on and joins the component of its text; a component
+without any id has a null one, and one of its rows is kept; repeated rows belong
+to one component, and all rows of its least id are kept; an empty table gives an
+empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -45,12 +46,12 @@ POSITIONS = CHUNKS * WIDTH
 LEAST_AGREE = 48
 SHINGLES_AT_ONCE = 16_384
 KNOWN_WORDS = 150_000
-#: Rounds in which nodes meet a few leaders of their keys, and rounds in which
-#: the nodes of a large part or key are compared in place.  They end when at most so many
-#: pairs a row are left of different components.
-LEADERS, LEADER_ROUNDS, TILE_ROUNDS, CROSSING_PER_ROW = 4, 1, 8, 1
-#: Nodes and shingles of a block of a tile.
-TILE_NODES, TILE_SHINGLES = 1_000, 1_000_000
+#: Leaders that a node is compared with first, of those whose signatures agree most.
+LEADERS = 3
+#: Nodes of a key whose pairs are enumerated; those of larger keys are compared in place.
+SMALL_KEY = 48
+#: Nodes and shingles of a block of a large key.
+BLOCK_NODES, BLOCK_SHINGLES = 2_000, 1_000_000
 #: The nodes that share a key are broadcast up to this size, and shuffled beyond it.
 INVOLVED_BYTES, BROADCAST_BYTES = 80, 16 << 20
 
@@ -145,11 +146,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 batch.column(0),
                 batch.column(2),
+                batch.column(3),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(key, pa.binary()),
                 pa.array(signature, pa.binary()),
             ],
-            names=["doc_id", "pick", "n_shingles", "set_key", "signature"],
+            names=["doc_id", "pick", "row", "n_shingles", "set_key", "signature"],
         )
 
 
@@ -174,12 +176,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.filter(pa.array(own, pa.bool_()))
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a shingle of each node."""
+    for batch in batches:
+        for node, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            tokens = np.frombuffer(members, np.int64)
+            for i in range(0, len(tokens), TOKENS_AT_ONCE):
+                some = tokens[i : i + TOKENS_AT_ONCE]
+                yield pa.record_batch([pa.array(np.full(len(some), node)), pa.array(some)], names=["node", "token"])
+
+
+TOKENS_AT_ONCE = 100_000
+
+
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     use_cache("shingles")
     for batch in batches:
         if batch.num_rows:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, POSITIONS) for i in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= LEAST_AGREE))
+            n = (x == y).sum(1)
+            out = pa.record_batch([batch.column(0), batch.column(1), pa.array(n)], names=["a", "b", "agree"])
+            yield out.filter(pa.array(n >= LEAST_AGREE))
 
 
 def _confirm(percent: int):
@@ -210,98 +227,89 @@ def _member_sets(texts: DataFrame, involved: DataFrame) -> DataFrame:
     return stage(found.mapInArrow(_sets, "node long, members binary").dropDuplicates(["node"]), "members")
 
 
-def _split_keys(part: DataFrame, round_no: int) -> DataFrame:
-    """Rows ``key, node, part, tiles`` of the keys with open pairs, with the key's leader.
-
-    A pair is open unless its nodes have one part or have had one tile;
-    ``open`` bounds a key's number of them, as all lists of tiles are of one
-    length.  A leader is a random node of its
-    key, so mostly one of the key's largest part.
-    """
-    turn = F.xxhash64("node", F.lit(round_no))
-    same = part.select("key", F.posexplode(F.concat(F.array("part"), "tiles")).alias("by", "group"))
-    same = same.groupBy("key", "by", "group").agg(F.count("*").alias("n"))
-    same = same.groupBy("key", "by").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    same = same.groupBy("key").agg(F.min(F.expr("(n * n - own) div 2")).alias("open")).filter("open > 0")
-    lead = part.groupBy("key").agg(F.min_by("node", turn).alias("leader"), F.min_by("part", turn).alias("leader_part"))
-    return part.join(same.join(lead, "key"), "key")
+def _leaders(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``a, b``: each node with the leaders of its keys (the least and greatest node of each) whose signatures agree most."""
+    tries = shared.select("node", F.explode(F.array("hub", "last")).alias("leader")).filter("node <> leader").distinct()
+    tries = tries.select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    agreeing = _with_both(tries, nodes, "signature").mapInArrow(_agree, "a long, b long, agree long")
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agree"), "b"))
+    return agreeing.withColumn("place", best).filter(F.col("place") <= LEADERS).select("a", "b")
 
 
-def _crossing(rest: DataFrame) -> tuple[int, int]:
-    """Rows, and at most so many open pairs."""
-    row = rest.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("open")).agg(F.sum("n"), F.sum("open")).first()
-    return row[0] or 0, row[1] or 0
+def _open_keys(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """``key, node, part, m`` of the keys whose ``m`` nodes are not all of one part."""
+    d = shared.select("key", "node").join(parts, "node")
+    same = d.groupBy("key").agg(F.count("*").alias("m"), F.min("part").alias("p"), F.max("part").alias("q"))
+    return stage(d.join(same.filter("p < q").select("key", "m"), "key"), "open")
 
 
-def _tries(rest: DataFrame) -> DataFrame:
-    """Each node with the few leaders of other parts that it shares most keys with."""
-    common = rest.filter("part <> leader_part").groupBy("node", "leader").agg(F.count("*").alias("n"))
-    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "leader"))
-    return common.withColumn("place", best).filter(F.col("place") <= LEADERS).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+def _unique_shingles(crowded: DataFrame, members: DataFrame) -> DataFrame:
+    """``node, own``: how many shingles a node of ``crowded`` has that no other node there has."""
+    tokens = members.join(crowded.select("node").distinct(), "node").mapInArrow(_tokens, "node long, token long")
+    own = tokens.groupBy("token").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1")
+    return own.groupBy("node").agg(F.count("*").alias("own"))
 
 
-def _tiled(rest: DataFrame, joined: DataFrame, sizes: DataFrame, round_no: int) -> DataFrame:
-    """Each node with one tile, its host part and the tile's blocks of hosts and guests.
+def _blocks(crowded: DataFrame, nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``key, i, j, block, node, part, n, common``: the nodes of large keys, in every pair of blocks that they belong to.
 
-    In turn a tile is the largest part that a node shares a key with, and the
-    key, of those the node still has, with most open pairs.
+    ``common`` is the number of a node's shingles that others have too; with
+    fewer than ``percent`` of its own number it is like no other and drops out.
     """
-    if (round_no - LEADER_ROUNDS) % 2 == 0:
-        part_size = joined.groupBy("part").agg(F.count("*").alias("size"))
-        top = rest.join(part_size, "part").groupBy("key").agg(F.max_by("part", "size").alias("top"), F.max("size").alias("size"))
-        chosen = rest.join(top, "key").groupBy("node", "part").agg(F.max_by("top", F.struct("size", "top")).alias("group"))
-    else:
-        best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("open"), "key"))
-        chosen = rest.withColumn("place", best).filter("place = 1").select("node", "part", F.col("key").alias("group"))
-    chosen = stage(chosen.select("node", "part", F.xxhash64("group", F.lit(round_no)).alias("tile")), "chosen")
-    count = chosen.join(sizes, "node").groupBy("tile", "part").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-    need = F.greatest(F.ceil(F.col("rows") / TILE_NODES), F.ceil(F.col("shingles") / TILE_SHINGLES))
-    host = count.groupBy("tile").agg(
-        F.max_by("part", F.struct("rows", "part")).alias("host"),
-        F.max_by(need, F.struct("rows", "part")).cast("int").alias("host_blocks"),
-        F.sum("rows").alias("all_rows"),
-        F.sum("shingles").alias("all_shingles"),
-        F.max_by("shingles", F.struct("rows", "part")).alias("host_shingles"),
-        F.max("rows").alias("host_rows"),
-    )
-    guests = F.greatest(
-        F.ceil((F.col("all_rows") - F.col("host_rows")) / TILE_NODES),
-        F.ceil((F.col("all_shingles") - F.col("host_shingles")) / TILE_SHINGLES),
-    ).cast("int")
-    host = host.filter("all_rows > host_rows").select("tile", "host", "host_blocks", guests.alias("guest_blocks"))
-    return stage(chosen.join(host, "tile"), "tiles")
+    d = crowded.join(nodes.select("node", "n"), "node").join(_unique_shingles(crowded, members), "node", "left")
+    d = d.withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).filter(100 * F.col("common") >= percent * F.col("n"))
+    d = stage(d.select("key", "node", "part", "n", "common"), "crowded")
+    need = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    size = d.groupBy("key").agg(need.alias("blocks"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q")
+    d = d.join(size.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    return d.select("key", i.alias("i"), j.alias("j"), "block", "node", "part", "n", "common")
+
+
+def alike(frame: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which nodes of a pair of blocks may be like one of another part, by signatures, sizes and common shingles."""
+    s = np.frombuffer(b"".join(frame["signature"]), np.uint16).reshape(-1, POSITIONS)
+    n, c, part, block = (frame[x].to_numpy() for x in ("n", "common", "part", "block"))
+    across = frame["i"].iloc[0] != frame["j"].iloc[0]
+    found = np.zeros(len(frame), bool)
+    for a in range(len(frame) - 1):
+        most = np.minimum(c[a + 1 :], c[a])
+        may = (part[a + 1 :] != part[a]) & (100 * most >= percent * (n[a + 1 :] + n[a] - most))
+        if across:
+            may &= block[a + 1 :] != block[a]
+        b = np.flatnonzero(may) + a + 1
+        b = b[(s[b] == s[a]).sum(1) >= LEAST_AGREE]
+        if len(b):
+            found[a] = found[b] = True
+    return found
 
 
-def _within_tiles(tiled: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links between the nodes of each tile, all pairs of different parts confirmed.
+def _within_blocks(blocks: DataFrame, nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links between the nodes of large keys: enough of them to join all that their pairs join."""
+    kept = "key long, i int, j int, block int, node long, part long"
 
-    The nodes of a tile's largest part are its hosts, which need not meet each
-    other; the rest are guests.  Each block of guests meets each block of either
-    as a group of its own, so that no task holds more than two blocks.
-    """
-    guest, g, h = F.col("part") != F.col("host"), F.col("guest_blocks"), F.col("host_blocks")
-    turn = F.xxhash64("node", F.lit(1))
-    mine = F.when(guest, F.pmod(turn, g)).otherwise(g + F.pmod(turn, h)).cast("int")
-    meets = F.sequence(F.lit(0), F.when(guest, g + h - 1).otherwise(g - 1))
-    d = tiled.withColumn("block", mine).withColumn("other", F.explode(meets))
-    d = d.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part")
+    def survivors(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("node")
+        return frame.loc[alike(frame, percent), ["key", "i", "j", "block", "node", "part"]]
+
+    signed = blocks.join(nodes.select("node", "signature"), "node")
+    left = stage(signed.groupBy("key", "i", "j").applyInPandas(survivors, kept), "alike")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
-        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
         return pd.DataFrame(
             links_between(
                 frame["node"].tolist(),
                 frame["part"].tolist(),
-                frame["block"].tolist() if i != j else None,
+                frame["block"].tolist() if frame["i"].iloc[0] != frame["j"].iloc[0] else None,
                 [np.frombuffer(x, np.uint64) for x in frame["members"]],
                 percent,
             ),
             columns=["a", "b"],
         )
 
-    found = d.join(members, "node").groupBy("tile", "i", "j").applyInPandas(compare, "a long, b long")
-    return stage(found, "links")
+    return left.join(members, "node").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def links_between(
@@ -338,27 +346,23 @@ def links_between(
     return found
 
 
-def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
-    """Parts after ``links``; two passes may leave some apart that belong together."""
-    ends = _with_both(links, joined, "part").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    into = connected_components(ends, passes=2).select(F.col("node").alias("part"), "component")
-    return stage(joined.join(into, "part", "left").select("node", F.coalesce("component", "part").alias("part"), "tiles"), "parts")
-
-
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row."""
     # pick: by it a row of each node is found again in a second reading of the texts.
     doc, text = F.col(id_col).cast("long"), F.col(text_col)
-    texts = docs.select(doc.alias("doc_id"), text.alias("text"), F.coalesce(doc, F.xxhash64(text)).alias("pick"))
+    texts = docs.select(
+        doc.alias("doc_id"), text.alias("text"), F.coalesce(doc, F.xxhash64(text)).alias("pick"), F.monotonically_increasing_id().alias("row")
+    )
     rows = stage(
-        texts.mapInArrow(_sign, "doc_id long, pick long, n_shingles long, set_key binary, signature binary"), "signed"
+        texts.mapInArrow(_sign, "doc_id long, pick long, row long, n_shingles long, set_key binary, signature binary"), "signed"
     )
     nodes = rows.filter("n_shingles > 0").groupBy("set_key")
     nodes = nodes.agg(
         F.min("doc_id").alias("least"),
         F.min("pick").alias("pick"),
+        F.min("row").alias("row"),
         F.max("n_shingles").alias("n"),
         F.max("signature").alias("signature"),
     )
@@ -367,51 +371,38 @@ def near_duplicates(
     # A set of one shingle is like no other set, so it needs no keys.
     keyed = nodes.filter("n > 1").select("node", "signature").mapInArrow(_keys, "key long, node long")
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
-    hubs = stage(hubs.filter("hub < last").select("key", "hub"), "hubs")
+    hubs = stage(hubs.filter("hub < last"), "hubs")
     shared = stage(keyed.join(hubs, "key"), "shared")
 
     involved = stage(shared.select("node").distinct().join(nodes.select("node", "pick", "set_key"), "node"), "involved")
-    members = _member_sets(texts, involved)
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        agreeing = _with_both(pairs, nodes, "signature").mapInArrow(_agree, "a long, b long")
-        return stage(_with_both(agreeing, members, "members").mapInArrow(_confirm(percent), "a long, b long"), "links")
+    members = _member_sets(texts.drop("row"), involved)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        agreeing = _with_both(pairs, nodes, "signature").mapInArrow(_agree, "a long, b long")
-        return stage(_with_both(agreeing, members, "members").mapInArrow(_confirm(percent), "a long, b long"), "links")
-
-    joined = involved.select("node", F.col("node").alias("part"), F.array().cast("array<long>").alias("tiles"))
-    rest, links = shared.select("key", "node"), []
-    for round_no in range(LEADER_ROUNDS + TILE_ROUNDS + 1):
-        rest = stage(_split_keys(rest.join(joined, "node"), round_no), "rest")
-        rows_left, crossing = _crossing(rest)
-        if round_no == LEADER_ROUNDS + TILE_ROUNDS or (round_no and crossing <= CROSSING_PER_ROW * rows_left):
-            break
-        if round_no < LEADER_ROUNDS:
-            links.append(confirmed(_tries(rest)))
-        else:
-            tiled = _tiled(rest, joined, nodes.select("node", "n"), round_no)
-            links.append(_within_tiles(tiled, members, percent))
-            joined = joined.join(tiled.select("node", "tile"), "node", "left")
-            # A node without a tile has one to itself, so that all lists have a place a round.
-            joined = joined.withColumn("tiles", F.array_append("tiles", F.coalesce("tile", -1 - F.col("node"))))
-        joined = _merged(joined, links[-1])
-        rest = rest.select("key", "node")
-
-    # What still shares a key across components is confirmed pair by pair.
-    x = rest.select("key", F.col("node").alias("a"), F.col("part").alias("p"), F.col("tiles").alias("s"))
-    y = rest.select("key", F.col("node").alias("b"), F.col("part").alias("q"), F.col("tiles").alias("t"))
-    apart = (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & ~F.arrays_overlap("s", "t")
-    links.append(confirmed(x.join(y, "key").filter(apart).select("a", "b").distinct()))
-
-    whole = stage(connected_components(reduce(DataFrame.unionByName, links)), "components")
-    named = nodes.select("set_key", "node", "least").join(whole, "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("set_key", "component_id")
-    out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+        return stage(_with_both(pairs, members, "members").mapInArrow(_confirm(percent), "a long, b long"), "links")
+
+    led = confirmed(_leaders(shared, nodes))
+    parts = involved.select("node").join(connected_components(led), "node", "left")
+    rest = _open_keys(shared, parts.select("node", F.coalesce("component", "node").alias("part")))
+
+    # What still shares a key across parts: pairs of small keys, and large keys in place.
+    few = rest.filter(F.col("m") <= SMALL_KEY)
+    x = few.select("key", F.col("node").alias("a"), F.col("part").alias("p"))
+    y = few.select("key", F.col("node").alias("b"), F.col("part").alias("q"))
+    pairs = x.join(y, "key").filter("a < b and p <> q").select("a", "b").distinct()
+    near = confirmed(_with_both(pairs, nodes, "signature").mapInArrow(_agree, "a long, b long, agree long").select("a", "b"))
+    crowded = rest.filter(F.col("m") > SMALL_KEY)
+    within = stage(_within_blocks(_blocks(crowded, nodes, members, percent), nodes, members, percent), "links")
+
+    whole = connected_components(led.unionByName(near).unionByName(within))
+    named = nodes.select("set_key", "node", "least", "row").join(whole, "node", "left")
+    # Nodes without links, which are nearly all, are not dealt by component.
+    linked = stage(named.filter("component is not null"), "linked")
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.min("row").alias("first"))
+    linked = linked.select("set_key", "component").join(least, "component").select("set_key", "component_id", "first")
+    alone = named.filter("component is null").select("set_key", F.col("least").alias("component_id"), F.col("row").alias("first"))
+    named = linked.unionByName(alone)
+    out = rows.select("doc_id", "row", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
-    )
+    first = F.col("doc_id").isNull() & component.isNull() & (F.col("row") == F.coalesce("first", F.col("row")))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(False)) | first
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))

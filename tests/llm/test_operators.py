@@ -365,29 +365,17 @@ def cloud(rng: random.Random) -> list[tuple[int, str]]:
     return rows
 
 
-@pytest.mark.parametrize("rounds", [(1, 8), (0, 0)])
-def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, rounds):
-    monkeypatch.setattr(near_duplicates, "LEADER_ROUNDS", rounds[0])
-    monkeypatch.setattr(near_duplicates, "TILE_ROUNDS", rounds[1])
-    monkeypatch.setattr(near_duplicates, "TILE_NODES", 16)
-    monkeypatch.setattr(near_duplicates, "CROSSING_PER_ROW", 0)
+@pytest.mark.parametrize(("leaders", "small"), [(3, 48), (0, 2), (1, 10_000)])
+def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, leaders, small):
+    monkeypatch.setattr(near_duplicates, "LEADERS", leaders)
+    monkeypatch.setattr(near_duplicates, "SMALL_KEY", small)
+    monkeypatch.setattr(near_duplicates, "BLOCK_NODES", 16)
     rows = cloud(random.Random(11))
     df = spark.createDataFrame([(d, t, "en", "a", 0, "k", 0, "s") for d, t in rows], SCHEMA)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(df).collect()}
     assert got == brute_components(rows)
 
 
-def test_near_duplicates_where_some_nodes_get_no_tile(spark, monkeypatch):
-    tiled = near_duplicates._tiled
-    monkeypatch.setattr(near_duplicates, "LEADER_ROUNDS", 0)
-    monkeypatch.setattr(near_duplicates, "TILE_ROUNDS", 2)
-    monkeypatch.setattr(near_duplicates, "CROSSING_PER_ROW", 0)
-    monkeypatch.setattr(near_duplicates, "_tiled", lambda *a: tiled(*a).filter("part = host"))
-    text = words_of(random.Random(3), 100)
-    df = spark.createDataFrame([(i, f"{text} end{i}", "en", "a", 0, "k", 0, "s") for i in range(3)], SCHEMA)
-    assert [r.component_id for r in near_duplicates.near_duplicates(df).collect()] == [0, 0, 0]
-
-
 def test_near_duplicates_of_odd_rows(odd):
     rows, df = odd
     out = near_duplicates.near_duplicates(df).collect()
@@ -396,6 +384,14 @@ def test_near_duplicates_of_odd_rows(odd):
     assert all(r.kept and r.component_id == r.doc_id for r in out if r.doc_id in (1, 2, 3))
 
 
+def test_near_duplicates_without_ids_keep_one_row(spark):
+    text = words_of(random.Random(5), 30)
+    df = spark.createDataFrame([(None, text), (None, text), (None, text + " more"), (None, None), (None, ""), (3, "other words")], "doc_id long, text string")
+    out = near_duplicates.near_duplicates(df).collect()
+    assert len(out) == 6 and all(r.component_id is None for r in out if r.doc_id is None)
+    assert [r.kept for r in out if r.n_shingles > 20].count(True) == 1 and all(r.kept for r in out if r.n_shingles < 20)
+
+
 def test_keys_reach_every_pair_within_the_distance():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 16, (200, near_duplicates.POSITIONS), dtype=np.uint16)
