@@ -5,12 +5,15 @@ A text is a bag of words with their counts as weights.  For each of the
 b come from hashes of word and position; with t = floor(ln weight / r + b) the
 word of least ln c - r (t - b + 1) is the sample, together with its t.  Two
 texts agree in a position with a probability equal to their generalised
-Jaccard similarity, so the share of equal positions estimates it.
+Jaccard similarity, so the share of equal positions estimates it.  The gamma
+values are looked up among ``LEVELS`` quantiles (of c as many again below the
+least), which costs less than taking logarithms; b makes ties as good as
+impossible.
 
 All of it is DataFrame expressions.  Texts are shuffled once, into small
-ranges of ids, where the next text is the next row: the first row of each range
-is sent to the range before it too.  Words are counted and samples taken
-without another shuffle, since a range holds whole texts.
+ranges of ids of about ``RANGE_BYTES``, where the next text is the next row: the
+first row of each range is sent to the range before it too.  Words are counted
+and samples taken without another shuffle, since a range holds whole texts.
 
 Defined results: a null text is an empty one; a text without words has an
 empty fingerprint, like only another empty one; rows of one id follow each
@@ -21,56 +24,81 @@ null; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WHITE, stage
 
-SAMPLES = 32
+SAMPLES = 128
+LEVELS = 1024
 #: Positions of one row of the sampling aggregate: more would make its compiled code too long.
 PER_ROW = 4
-ROWS_PER_RANGE = 1_000
-#: Ranges at most, so that the table of their first ids stays small enough to broadcast (16 bytes each).
-MOST_RANGES = 1 << 18
+RANGE_BYTES = 256 << 10
+#: First ids of ranges are broadcast up to this size, and shuffled beyond it.
+FIRST_BYTES, BROADCAST_BYTES = 16, 16 << 20
+#: Ranges that are put in order at once, and then their groups.
+RANGES_AT_ONCE = 4_096
 #: Quantiles by which ids are cut before each part is cut evenly.
 QUANTILES = 32
 ID_BITS = 22
 
 
-def _uniform(bits: Column) -> Column:
-    """21 bits as a number strictly between 0 and 1."""
-    return (bits.bitwiseAND(F.lit((1 << 21) - 1)) + F.lit(0.5)) / F.lit(float(1 << 21))
+def gamma_quantile(p: float) -> float:
+    """Of gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x)."""
+    low, high = 0.0, 60.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if -math.expm1(-mid) - mid * math.exp(-mid) < p else (low, mid)
+    return high
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[Column, Column, Column]:
+    """Quantiles of r, the logarithms of those of c, and of those of c below its first level."""
+    at = [(i + 0.5) / LEVELS for i in range(LEVELS)]
+    wide = [gamma_quantile(p) for p in at]
+    deep = [gamma_quantile(p / LEVELS) for p in at]
+    values = (wide, [math.log(x) for x in wide], [math.log(x) for x in deep])
+    # One literal each, which the optimiser folds into an array.
+    return tuple(F.split(F.lit(",".join(f"{x:.6g}" for x in v)), ",").cast("array<double>") for v in values)
 
 
 def _random(dealt: DataFrame, per_row: int) -> DataFrame:
     """Adds for each position of a row the values that depend on word and position alone.
 
-    They are columns of their own, so that each logarithm is taken once for all weights.
+    They are columns of their own, so that each is looked up once for all weights.
     """
     hashes = {}
     for k in range(per_row):
         position = (F.col("part") * per_row + k).cast("long")
-        hashes |= {f"x{k}": F.xxhash64("word", position), f"y{k}": F.xxhash64(position, "word")}
+        hashes |= {f"x{k}": F.xxhash64("word", position)}
     dealt = dealt.withColumns(hashes)
+    wide, log_wide, log_deep = _tables()
+    bits = LEVELS.bit_length() - 1
+
+    def level(x: Column, shift: int) -> Column:
+        return F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(LEVELS - 1)).cast("int")
+
     values = {}
     for k in range(per_row):
-        x, y = F.col(f"x{k}"), F.col(f"y{k}")
-        values |= {
-            f"r{k}": -F.log(_uniform(x) * _uniform(F.shiftrightunsigned(x, 21))),
-            f"c{k}": F.log(-F.log(_uniform(y) * _uniform(F.shiftrightunsigned(y, 21)))),
-            f"b{k}": _uniform(F.shiftrightunsigned(x, 42)),
-        }
+        x = F.col(f"x{k}")
+        c = F.when(level(x, bits) > 0, F.get(log_wide, level(x, bits))).otherwise(F.get(log_deep, level(x, 2 * bits)))
+        b = F.shiftrightunsigned(x, 3 * bits).bitwiseAND(F.lit((1 << 30) - 1))
+        values |= {f"r{k}": F.get(wide, level(x, 0)), f"c{k}": c, f"b{k}": (b + F.lit(0.5)) / F.lit(float(1 << 30))}
     return dealt.withColumns(values)
 
 
 def _sample(k: int, weight: Column) -> Column:
     """A long whose least one over the words names the sample in its low bits; ``weight`` is a logarithm."""
-    r, c, b, y = (F.col(f"{n}{k}") for n in "rcby")
+    r, c, b, x = (F.col(f"{n}{k}") for n in "rcbx")
     t = F.floor(weight / r + b)
     value = c - r * (t - b + F.lit(1.0))
     # 2^31 steps for each unit; the logarithm stays far within -2^6 and 2^6.
     scaled = F.shiftleft(((F.greatest(value, F.lit(-63.0)) + F.lit(64.0)) * F.lit(float(1 << 31))).cast("long"), ID_BITS)
-    name = F.shiftrightunsigned(y, 42).bitwiseXOR(t * F.lit(0x9E37)).bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    name = F.shiftrightunsigned(x, 64 - ID_BITS).bitwiseXOR(t * F.lit(0x9E37)).bitwiseAND(F.lit((1 << ID_BITS) - 1))
     return F.when(weight.isNotNull(), scaled.bitwiseOR(name))
 
 
@@ -121,7 +149,10 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``docs`` with ``bucket``, ascending in the id, and where each range's first id goes too."""
+    """``docs`` with ``bucket``, ascending in the id, and where each range's first id goes too.
+
+    Quantiles cut the ids into parts; each part has as many ranges as its bytes ask for.
+    """
     bounds = docs.agg(
         F.count("doc_id"), F.percentile_approx("doc_id", [i / QUANTILES for i in range(1, QUANTILES)], 10_000),
         F.min("doc_id"), F.max("doc_id"),
@@ -131,22 +162,32 @@ def _ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         return docs.withColumn("bucket", F.lit(-1).cast("long")), None
     edges = sorted({low, *inner})
     ends = [*edges[1:], high + 1]
-    per_part = max(1, -(-min(MOST_RANGES, -(-n // ROWS_PER_RANGE)) // len(edges)))
     part = F.lit(0)
     for e in edges[1:]:
         part = part + (F.col("doc_id") >= e).cast("int")
     docs = docs.withColumn("part", part)
-    start = F.element_at(F.array(*[F.lit(e).cast("long") for e in edges]), F.col("part") + 1)
-    end = F.element_at(F.array(*[F.lit(e).cast("long") for e in ends]), F.col("part") + 1)
+    held = docs.groupBy("part").agg(F.sum(F.octet_length("text"))).collect()  # a row a part
+    held = {r[0]: r[1] for r in held}
+    ranges = [max(1, -(-held.get(i, 0) // RANGE_BYTES)) for i in range(len(edges))]
+    before = [sum(ranges[:i]) for i in range(len(edges))]
+
+    def of_part(values: list[int]) -> Column:
+        return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("part") + 1)
+
+    start, end = of_part(edges), of_part(ends)
     share = (F.col("doc_id") - start).cast("double") / (end - start).cast("double")
-    within = F.least(F.lit(per_part - 1), F.floor(share * per_part))
+    within = F.least(of_part(ranges) - 1, F.floor(share * of_part(ranges)))
     # Rows without an id have no order; they are dealt out by text.
-    bucket = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(len(edges) * per_part)))
-    docs = docs.withColumn("bucket", bucket.otherwise(F.col("part") * per_part + within).cast("long")).drop("part")
+    bucket = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(sum(ranges))))
+    docs = docs.withColumn("bucket", bucket.otherwise(of_part(before) + within).cast("long")).drop("part")
     firsts = docs.filter("bucket >= 0").groupBy("bucket").agg(F.min("doc_id").alias("first"))
-    order = Window.orderBy("bucket")
-    last = F.max("bucket").over(Window.partitionBy())
-    return docs, firsts.select("first", F.coalesce(F.lag("bucket").over(order), last).alias("before"))
+    firsts = stage(firsts.withColumn("group", F.expr(f"bucket div {RANGES_AT_ONCE}")), "range-firsts")
+    last = F.max("last").over(Window.partitionBy())
+    groups = firsts.groupBy("group").agg(F.max("bucket").alias("last"))
+    groups = groups.select("group", F.coalesce(F.lag("last").over(Window.orderBy("group")), last).alias("earlier"))
+    order = Window.partitionBy("group").orderBy("bucket")
+    firsts = firsts.join(groups, "group").select("first", F.coalesce(F.lag("bucket").over(order), "earlier").alias("before"))
+    return docs, F.broadcast(firsts) if sum(ranges) * FIRST_BYTES <= BROADCAST_BYTES else firsts
 
 
 def fingerprint_with_edit(
@@ -163,7 +204,7 @@ def fingerprint_with_edit(
     if firsts is None:
         dealt = dealt.withColumn("at", own)
     else:
-        dealt = dealt.join(F.broadcast(stage(firsts, "range-firsts")), F.col("doc_id") == F.col("first"), "left")
+        dealt = dealt.join(firsts, F.col("doc_id") == F.col("first"), "left")
         guest = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest"))
         dealt = dealt.withColumn("at", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, guest))))
     # Not nullable, so that the join below adds no filter and both sides read one shuffle.
