@@ -8,7 +8,8 @@ from dataclasses import dataclass
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>",
+    # A quote begins a value only after an equals sign; nothing is tried twice.
+    r"|</?[a-zA-Z](?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>",
     re.S,
 )
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -17,9 +18,11 @@ _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: Their text is never shown.
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select head".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object canvas audio video select head annotation annotation-xml".split())
 #: Of these the content is not markup, so only their own end tag ends them.
 NOT_MARKUP = frozenset("script style textarea title iframe".split())
+#: Of these, the ones that stand inside a line and don't end its block.
+INLINE_RAW = frozenset("svg object audio video canvas annotation annotation-xml noscript script style template".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section summary "
@@ -50,8 +53,6 @@ class Block:
     path: tuple[Node, ...]
     text: str
     linked: int  # characters inside links
-    emphasis: int  # bold or italic characters
-    breaks: int
 
 
 def _node(tag: str, source: str) -> Node:
@@ -77,19 +78,34 @@ def blocks(page: str | None) -> list[Block]:
         return out
     path: list[Node] = []
     texts: list[str] = []
-    linked = emphasis = breaks = 0
-    in_link = in_bold = False
+    unclosed: set[str] = set()
+    linked = 0
+    in_link = False
 
     def flush() -> None:
-        nonlocal linked, emphasis, breaks
+        nonlocal linked
         if texts:
             raw = "".join(texts)
             if not raw.isspace():
                 text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
                 if text:
-                    out.append(Block(tuple(path), text, linked, emphasis, breaks))
+                    out.append(Block(tuple(path), text, linked))
             texts.clear()
-        linked = emphasis = breaks = 0
+        linked = 0
+
+    def end_of(tag: str, at: int) -> int | None:
+        """Behind the end tag that belongs to a start tag before ``at``, or none."""
+        if tag in unclosed:
+            return None
+        depth, edge = 1, re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>" + (r"|(?=<body[\s>])" if tag == "head" else ""), re.I)
+        for m in edge.finditer(page, at):
+            if m.end() == m.start():
+                return m.end()
+            depth += -1 if m.group(1) else 0 if tag in NOT_MARKUP or m.group().endswith("/>") else 1
+            if not depth:
+                return m.end()
+        unclosed.add(tag)
+        return None
 
     def shut(tags: tuple[str, ...], within: tuple[str, ...]) -> None:
         for i in range(len(path) - 1, -1, -1):
@@ -107,7 +123,6 @@ def blocks(page: str | None) -> list[Block]:
         if text:
             texts.append(text)
             linked += len(text) * in_link
-            emphasis += len(text) * in_bold
         if not m:
             break
         token, at = m.group(), m.end()
@@ -118,18 +133,13 @@ def blocks(page: str | None) -> list[Block]:
         tag = _NAME.match(token).group(1).lower()
         closing = token[1] == "/"
         if tag in RAW:
-            if tag in NOT_MARKUP and not closing:
-                end = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
-                flush()
-            elif not closing and not token.endswith("/>"):
-                # Nested elements of one name are rare here; the first end tag ends it.
-                end = re.compile(rf"</{tag}\s*>" + (r"|(?=<body[\s>])" if tag == "head" else ""), re.I).search(page, at)
-                if end:
-                    at = end.end()
-                elif tag != "head":
-                    at = size
-                flush()
+            if not closing and not (token.endswith("/>") and tag not in NOT_MARKUP):
+                end = end_of(tag, at)
+                # Without an end tag, text that is not markup runs to the end of the page;
+                # of the others only the start tag is skipped.
+                at = end if end is not None else size if tag in NOT_MARKUP else at
+                if tag not in INLINE_RAW:
+                    flush()
             continue
         if tag in BLOCK:
             flush()
@@ -146,12 +156,7 @@ def blocks(page: str | None) -> list[Block]:
                 path.append(_node(tag, token))
         elif tag == "a":
             in_link = not closing
-        elif tag in ("b", "strong", "i", "em"):
-            in_bold = not closing
-        elif tag == "br":
-            texts.append(" ")
-            breaks += 1
-        elif tag in ("input", "img", "embed"):
+        elif tag in ("br", "input", "img", "embed"):
             texts.append(" ")
     flush()
     return out

@@ -13,6 +13,7 @@ Very long pages are parsed whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -22,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import page_samples
 from .html_blocks import Block, blocks
 from .page_samples import labelled_pages
 
 #: Labelled pages, gradient steps, and the weight of the squared norm.
 PAGES, STEPS, RATE, RIDGE = 1000, 120, 0.15, 2e-4
 KNOWN_PATHS = 100_000
+#: Words that label what is no article, looked for in short blocks.
+LABELS = frozenset(page_samples.LABEL_WORDS)
 
 
 def path_features(path: tuple) -> list[str]:
@@ -54,6 +58,8 @@ def text_features(block: Block) -> list[str]:
     ]
     if block.linked and n < 60:
         out.append("short-link")
+    if n < 100:
+        out += [f"says:{w}" for w in LABELS.intersection(re.findall(r"[a-z]+", text.lower()))]
     if "©" in text:
         out.append("copyright")
     if "|" in text or "·" in text or "»" in text:

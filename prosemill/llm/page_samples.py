@@ -21,6 +21,14 @@ COMMENT = ("comments", "comment-list", "comment", "discussion", "replies", "resp
 SHARE = ("share", "social", "share-buttons", "social-links", "sharing", "toolbar", "actions", "meta-links")
 FOOT = ("footer", "site-footer", "page-footer", "bottom", "copyright", "colophon", "legal", "footer-links")
 HEAD = ("header", "site-header", "masthead", "top", "branding", "page-header", "logo", "topbar")
+LABELS = (
+    "Share this", "Share", "Follow us", "Related posts", "Related articles", "Read more", "You may also like", "Advertisement", "Sponsored", "Subscribe to our newsletter",
+    "Sign up", "Log in", "Leave a comment", "Comments", "Reply", "We use cookies", "Accept all cookies", "Privacy policy", "All rights reserved", "Tags", "Categories", "Search", "Menu", "Home", "Back to top",
+    "Print", "Tweet", "Next", "Previous",
+)
+#: Of the labels, the words that hardly stand in an article's short blocks.
+LABEL_WORDS = ("share", "follow", "related", "advertisement", "sponsored", "subscribe", "newsletter", "login", "comment", "comments", "reply", "cookies", "privacy", "rights", "tags", "categories", "menu", "tweet")
+BUILDER = ("elementor", "widget", "wrap", "et", "pb", "module", "fusion", "builder", "vc", "row", "column", "block", "wp", "section", "css", "element", "component", "cell")
 CONTENT = ("content", "post", "entry", "article", "story", "post-content", "entry-content", "article-body", "main-content", "story-body", "text", "body", "page-content", "markdown-body", "single-post", "articleBody", "prose", "post-body", "blog-post", "news-text")
 WRAP = ("wrapper", "container", "page", "row", "col", "grid", "layout", "site", "inner", "outer", "wrap", "columns")
 
@@ -110,11 +118,52 @@ class _Page:
         return self.named(COMMENT, ("div", "section", "section", "ol", "ul"), inner)
 
     def share(self) -> str:
-        return self.named(SHARE, ("div", "ul", "p"), " ".join(self.links(self.r.randint(2, 5))))
+        label = f"<span>{self.r.choice(LABELS)}</span> " if self.r.random() < 0.5 else ""
+        return self.named(SHARE, ("div", "ul", "p"), label + " ".join(self.links(self.r.randint(2, 5))))
+
+    def label(self) -> str:
+        """A short label without a telling name."""
+        tag = self.r.choice(("div", "span", "p", "h3", "h4"))
+        inner = f"<{tag}>{self.r.choice(LABELS)}</{tag}>"
+        return f'<div class="{self.built()}">{inner}</div>' if self.r.random() < 0.6 else inner
+
+    def built(self) -> str:
+        """A class name as page builders make them."""
+        return " ".join("-".join(self.r.choice(BUILDER) for _ in range(self.r.randint(1, 3))) for _ in range(self.r.choice((1, 1, 2))))
+
+    def linked(self, text: str) -> str:
+        """The text with some of its words in links, or all of it."""
+        words = text.split(" ")
+        if self.r.random() < 0.4 and len(words) < 12:
+            return f'<a href="/{self.word()}">{html.escape(text)}</a>'
+        i = self.r.randrange(len(words))
+        j = min(len(words), i + self.r.randint(1, 4))
+        parts = [html.escape(" ".join(x)) for x in (words[:i], words[i:j], words[j:])]
+        return " ".join(x for x in (parts[0], f'<a href="/{self.word()}">{parts[1]}</a>', parts[2]) if x)
+
+    def kept(self, text: str, links: float) -> str:
+        if self.r.random() < links:
+            self.main.append(text)
+            return self.linked(text)
+        return self.write(text, True)
+
+    def code(self) -> str:
+        return f"<pre>{self.write(self.words(3, 20), True)}</pre>"
+
+    def table(self) -> str:
+        cells = lambda: "".join(f"<td>{self.write(self.words(1, 4), True)}</td>" for _ in range(2))
+        return "<table>" + "".join(f"<tr>{cells()}</tr>" for _ in range(self.r.randint(1, 4))) + "</table>"
+
+    def definitions(self) -> str:
+        return "<dl>" + "".join(f"<dt>{self.write(self.words(1, 3), True)}</dt><dd>{self.write(self.sentence(), True)}</dd>" for _ in range(self.r.randint(1, 3))) + "</dl>"
+
+    def figure(self) -> str:
+        return f"<figure><img src=/x.png><figcaption>{self.write(self.sentence(3, 12), True)}</figcaption></figure>"
 
     def body(self) -> str:
         """The main part, with things between that are none of it."""
         out, r = [], self.r
+        builder = r.random() < 0.3
         if r.random() < 0.85:
             title = self.words(2, 12).capitalize() + r.choice(("", "."))
             head = f"<{(t := r.choice(('h1', 'h1', 'h2')))}>{self.write(title, True)}</{t}>"
@@ -124,16 +173,23 @@ class _Page:
         for _ in range(r.choice((1, 2, 3, 5, 8, 14))):
             kind = r.random()
             if kind < 0.68:
-                text = self.write(self.prose(1, r.choice((1, 2, 8))), True)
-                out.append(r.choice((f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<div>{text}</div>", f"<p><em>{text}</em></p>")))
+                text = self.kept(self.prose(1, r.choice((1, 2, 8))), 0.25)
+                form = r.choice((f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p><strong>{text}</strong><br>", f"<div>{text}</div>", f"<p><em>{text}</em></p>", f"<section><p>{text}</p></section>"))
+                for _ in range(r.randint(1, 3) if builder else 0):
+                    form = f'<div class="{self.built()}">{form}</div>'
+                out.append(form)
             elif kind < 0.76:
                 out.append(f"<{(t := r.choice(('h2', 'h3')))}>{self.write(self.words(1, 7).capitalize(), True)}</{t}>")
             elif kind < 0.82:
-                out.append(self.list_of([self.write(self.sentence(2, 14), True) for _ in range(r.randint(2, 5))]))
+                some = r.choice((0.0, 0.0, 0.5, 1.0))
+                items = [self.kept(self.sentence(1, 14).rstrip(r.choice((".", "?!"))), some) for _ in range(r.randint(2, 6))]
+                out.append(self.list_of(items) if r.random() < 0.8 else "<ol>" + "".join(f"<li><p>{x}</p></li>" for x in items) + "</ol>")
             elif kind < 0.86:
                 out.append(f"<blockquote><p>{self.write(self.prose(1, 3), True)}</p></blockquote>")
             elif kind < 0.89:
-                out.append(f"<pre>{self.write(self.words(3, 20), True)}</pre>")
+                out.append(r.choice((self.code, self.table, self.definitions, self.figure))())
+            elif kind < 0.90:
+                out.append(self.label())
             elif kind < 0.94:
                 out.append(self.advert())
             elif kind < 0.96:
@@ -156,6 +212,9 @@ class _Page:
 
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.12:  # an article by itself
+            body = self.body()
+            return body if r.random() < 0.5 else f"<html><body>{body}</body></html>"
         before = [f for f, p in ((self.notice, 0.2), (self.header, 0.4), (self.menu, 0.8), (self.advert, 0.4), (self.share, 0.1), (self.form, 0.1), (self.aside, 0.15)) if r.random() < p]
         after = [f for f, p in ((self.share, 0.15), (self.aside, 0.3), (self.comments, 0.35), (self.form, 0.2), (self.advert, 0.3), (self.menu, 0.15), (self.notice, 0.1), (self.footer, 0.8)) if r.random() < p]
         body = "".join(f() for f in before) + self.body() + "".join(f() for f in after)

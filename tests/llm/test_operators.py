@@ -452,7 +452,7 @@ def test_extraction_on_unseen_pages():
 
 def test_blocks_decode_and_close():
     page = "<body><p>a &amp; b&nbsp;c<p><b>d\n e<br>f</b><div>g<script>var x='</p>';</script>h</div><ul><li>i<li>j</ul><!-- k --><p>l &#233;"
-    assert [b.text for b in html_blocks.blocks(page)] == ["a & b c", "d e f", "g", "h", "i", "j", "l é"]
+    assert [b.text for b in html_blocks.blocks(page)] == ["a & b c", "d e f", "gh", "i", "j", "l é"]
     assert html_blocks.blocks(None) == [] and html_blocks.blocks("plain text")[0].text == "plain text"
 
 
@@ -504,3 +504,109 @@ def test_arrow_sink_pads_only_the_last_row():
     writer.close()
     table = pa.ipc.open_stream(sink.getvalue()).read_all()
     assert table.column("ids").to_pylist() == [[0, 1, 2, 3], [4, 5, 0, 0]] and table.column("mask").to_pylist()[1] == [True, True, False, False]
+
+
+#: Pages written by hand, each with the text that belongs to its article.
+LAYOUTS = {
+    "one paragraph": ("<article><p>body text, long enough here.</p></article>", ["body text, long enough here."]),
+    "linked list": (
+        "<html><body><nav><ul><li><a href=/>Home</a></li><li><a href=/b>Blog</a></li></ul></nav><article><h1>Ten towns to see</h1><p>We went to ten towns, and liked most of them. Here they are.</p>"
+        "<ul><li><a href=/1>Northwick by the sea</a></li><li><a href=/2>Old Harrow and its market</a></li></ul><p>That is the list, in no order.</p></article><footer>&copy; 2024 Site</footer></body></html>",
+        ["Ten towns to see", "We went to ten towns, and liked most of them. Here they are.", "Northwick by the sea", "Old Harrow and its market", "That is the list, in no order."],
+    ),
+    "raw elements": (
+        "<body><article><h1>Energy</h1><p>Mass and energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> are one, as is well known.</p>"
+        "<p>An icon <svg><g><svg><text>inner</text></svg><text>outer</text></g></svg> stands here, inside the sentence.</p><script>if (a < b) { x = '</p>' }</script></article></body>",
+        ["Energy", "Mass and energy E=m are one, as is well known.", "An icon stands here, inside the sentence."],
+    ),
+    "unclosed": ("<body><article><p>First part of the text, as it is.<svg><p>The rest of it follows, after an icon left open.</article>", ["First part of the text, as it is.", "The rest of it follows, after an icon left open."]),
+    "apostrophes": ("<div class=post title=it's><p>It's a text with a quote, and that's all of it.</p><p>Another one follows, isn't it.</p></div>", ["It's a text with a quote, and that's all of it.", "Another one follows, isn't it."]),
+    "blog": (
+        '<html><body><div class="site-header"><a href="/">My site</a></div><div id="menu"><a href=/a>About</a> | <a href=/c>Contact</a></div><div class="post"><h2>A walk in the hills</h2>'
+        '<div class="entry-content"><p>We set out early, before the sun was up, and took the old road.</p><blockquote><p>The hills are older than the road, said the guide.</p></blockquote><p>It rained, of course. We went on.</p></div>'
+        '<div class="share-buttons">Share this <a href=#>Mail</a></div></div><div id="comments"><h3>2 comments</h3><div class="comment"><p>Lovely walk, thank you for telling us.</p></div></div><div id="sidebar"><h3>Archive</h3><ul><li><a href=/1>May</a></li></ul></div></body></html>',
+        ["A walk in the hills", "We set out early, before the sun was up, and took the old road.", "The hills are older than the road, said the guide.", "It rained, of course. We went on."],
+    ),
+    "main with aside": (
+        "<body><header><h1>Daily News</h1></header><main><h1>Council votes on bridge</h1><p>The council voted on Monday to mend the bridge, after a long debate.</p><aside><h4>More news</h4><p>Read about the harbour.</p></aside>"
+        "<p>Work begins in spring, and should last two years.</p></main><form><label>Mail</label><input><button>Subscribe</button></form><footer><p>&copy; Daily News</p></footer></body>",
+        ["Council votes on bridge", "The council voted on Monday to mend the bridge, after a long debate.", "Work begins in spring, and should last two years."],
+    ),
+    "page builder": (
+        '<body><div class="elementor-section"><div class="elementor-widget-wrap"><div class="elementor-widget-text"><p>Our workshop has made chairs since the war, all of them by hand.</p></div></div></div>'
+        '<div class="elementor-section"><div class="elementor-column"><p>Each takes a week, and the wood comes from the valley.</p></div></div><div class="elementor-share"><span>Share this</span></div><div class="footer">&copy; 2020 Workshop</div></body>',
+        ["Our workshop has made chairs since the war, all of them by hand.", "Each takes a week, and the wood comes from the valley."],
+    ),
+    "notices": (
+        '<body><div class="cookie-banner"><p>We use cookies to improve this site. Please accept them.</p><button>Accept</button></div><article><h1>Soup</h1><p>Take onions, leeks and a little salt; cook them for an hour.</p><ol><li>Cut the onions.</li><li>Heat the butter.</li></ol>'
+        '<div class="ad">Buy the best pots today!</div><p>Serve it hot, with bread.</p></article><div class="newsletter"><p>Get one recipe a week.</p></div></body>',
+        ["Soup", "Take onions, leeks and a little salt; cook them for an hour.", "Cut the onions.", "Heat the butter.", "Serve it hot, with bread."],
+    ),
+    "comments in article": (
+        '<html><body><article><h1>On patience</h1><p>Patience is a habit, and habits are made slowly.</p><p>It helps to wait.</p><section class="comments"><h3>Comments</h3><ul><li><p>I could not agree more with this.</p></li><li><p>Nor could I, to be honest.</p></li></ul></section></article><aside class="related"><h3>Related posts</h3><ul><li><a href=/x>On haste</a></li></ul></aside></body></html>',
+        ["On patience", "Patience is a habit, and habits are made slowly.", "It helps to wait."],
+    ),
+    "references": (
+        "<body><article><h1>Caf&#233; &amp; th&eacute;</h1><p>Prices&nbsp;rose\n by 5&#x25;, they &lt;say&gt;.</p><p>See <a href=/r>the report of the bureau</a> for more, or ask.</p></article></body>",
+        ["Café & thé", "Prices rose by 5%, they <say>.", "See the report of the bureau for more, or ask."],
+    ),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts_by_hand(name):
+    page, want = LAYOUTS[name]
+    assert html_extraction.default_field().main_text(page).split("\n") == want
+
+
+def test_viterbi_and_gradient_against_enumeration():
+    rng = np.random.default_rng(4)
+    chain = [html_blocks.Block((html_blocks.Node("p", (f"w{i % 3}",)),), "text " * (i + 1), 0) for i in range(7)]
+    for _ in range(20):
+        weights = {f: float(rng.normal()) for b in chain for f in html_extraction.path_features(b.path) + html_extraction.text_features(b)}
+        field = html_extraction.Field(weights, rng.normal(size=(2, 2)), rng.normal(size=2))
+
+        def score(labels, field=field):
+            total = field.start[labels[0]] + sum(field.emission(b) for b, y in zip(chain, labels, strict=True) if y)
+            return total + sum(field.moves[p, q] for p, q in zip(labels, labels[1:], strict=False))
+
+        every = [tuple(i >> k & 1 for k in range(7)) for i in range(128)]
+        assert tuple(map(int, field.decode(chain))) == max(every, key=score)
+    # One plain step up the likelihood of two pages, by the sums over all labellings.
+    pages = [("<article><p>one two.</p><p>three</p></article><nav><a>x</a></nav>", ["one two.", "three"]), ("<nav><a>y</a></nav><p>four five.</p>", ["four five."])]
+    field = html_extraction.fit(pages, steps=400, rate=0.05, ridge=0.05)
+
+    def loss(f):
+        out = 0.025 * (sum(w * w for w in f.weights.values()) + (f.moves**2).sum() + (f.start**2).sum())
+        for page, main in pages:
+            found = html_blocks.blocks(page)
+            gold = html_extraction._labels(found, main)
+
+            def score(labels, found=found):
+                total = f.start[labels[0]] + sum(f.emission(b) for b, y in zip(found, labels, strict=True) if y)
+                return total + sum(f.moves[p, q] for p, q in zip(labels, labels[1:], strict=False))
+
+            every = [tuple(i >> k & 1 for k in range(len(found))) for i in range(2 ** len(found))]
+            out += (math.log(sum(math.exp(score(y)) for y in every)) - score(gold)) / len(pages)
+        return out
+
+    least = loss(field)
+    for name in list(field.weights)[:6]:
+        for step in (-0.05, 0.05):
+            other = html_extraction.Field({**field.weights, name: field.weights[name] + step}, field.moves, field.start)
+            assert loss(other) > least
+    for i in range(2):
+        for j in range(2):
+            moved = field.moves.copy()
+            moved[i, j] += 0.05
+            assert loss(html_extraction.Field(field.weights, moved, field.start)) > least
+
+
+def test_many_open_tags_cost_no_square():
+    for page in ("<x " * 200_000, "<svg>" * 50_000 + "text", "<a '" * 100_000, "a<" * 300_000, "<!--" + "<p>x" * 50_000):
+        html_blocks.blocks(page)
+
+
+def test_a_very_long_page_is_read_whole():
+    page = "<article>" + "".join(f"<p>Sentence {i} of the text, as long as others.</p>" for i in range(20_000)) + "</article>"
+    assert html_extraction.default_field().main_text(page).count("\n") == 19_999
