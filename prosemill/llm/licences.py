@@ -5,13 +5,13 @@ equivalent spellings), and the SHA-256 of that form is joined to the digests of
 known licences: entire texts first, and in the same way each line, so that a
 one-line notice inside a document is found too.
 
-All of it is DataFrame expressions; the table of known digests has one row a
-licence text and is broadcast.  Only lines that match leave their task.
+All of it is DataFrame expressions in one scan of the texts; the table of known
+digests has one row a licence text and is broadcast.  Nothing is shuffled: the
+lines' digests are looked up in the row.
 
 Defined results: a null, empty or punctuation-only text has the digest of the
-empty form and no licence; rows of one id share their notices; repeated rows
-each get a row; a null id keeps its whole-text licence and has no notices; a
-form that several licences share names the first in order; an empty table gives
+empty form and no licence; repeated rows and rows without an id each get a row
+of their own; a form that several licences share names the first in order; an empty table gives
 an empty result; other columns of the input are ignored.
 """
 
@@ -83,6 +83,48 @@ _NAMES = (
     "products derived from this software without specific prior written permission.\n"
 )
 
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n"
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or "
+    "as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n"
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright "
+    "interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the "
+    "detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of "
+    "all present and future rights to this software under copyright law.\n"
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE "
+    "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT "
+    "OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable "
+    "for any damages arising from the use of this software.\n"
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it "
+    "and redistribute it freely, subject to the following restrictions:\n"
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If "
+    "you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not "
+    "required.\n"
+    "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n"
+    "3. This notice may not be removed or altered from any source distribution."
+)
+_BOOST = (
+    "Boost Software License - Version 1.0 - August 17th, 2003\n"
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+    "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, "
+    "and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the "
+    "Software is furnished to do so, all subject to the following:\n"
+    "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and "
+    "the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works "
+    "of the Software, unless such copies or derivative works are solely in the form of machine-executable object code "
+    "generated by a source language processor.\n"
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE "
+    "COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, "
+    "TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_FURNISHED = "permit persons to whom the Software is furnished to do so, subject to the following conditions:\n"
+_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n"
+
 #: Long licences, a file each, read on the driver.
 _FILES = tuple((p.stem, p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")))
 
@@ -95,6 +137,13 @@ KNOWN = (
     ("BSD-3-Clause", "BSD 3-Clause License\n" + _BSD.format(_NAMES)),
     ("MIT", "MIT License\n" + _GRANT),
     ("MIT", _GRANT),
+    ("MIT-0", _GRANT.replace(_FURNISHED + _NOTICE, "permit persons to whom the Software is furnished to do so.\n")),
+    ("MIT-0", "MIT No Attribution\n" + _GRANT.replace(_FURNISHED + _NOTICE, "permit persons to whom the Software is furnished to do so.\n")),
+    ("Unlicense", _UNLICENSE),
+    ("Unlicense", _UNLICENSE + "\nFor more information, please refer to <https://unlicense.org/>"),
+    ("Zlib", _ZLIB),
+    ("Zlib", "zlib License\n" + _ZLIB),
+    ("BSL-1.0", _BOOST),
     ("ISC", _ISC.format(", provided that the above copyright notice and this permission notice appear in all copies.")),
     ("0BSD", _ISC.format(".")),
     ("MIT", "Released under the MIT License."),
@@ -115,7 +164,13 @@ KNOWN = (
     ("CC0-1.0", "Licensed under CC0 1.0."),
     ("reserved", "All rights reserved."),
 )
-COPYRIGHT_LINE = r"(?im)^[ \t]*(copyright\b|\(c\)|©).*$"
+#: A line that begins with a copyright word or sign and has a year, a second sign or a holder's address.
+COPYRIGHT_LINE = (
+    r"(?im)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*(?:\b(?:19|20)[0-9][0-9]\b|\(c\)|©|<[^>\n]*>|\[[^\]\n]*\])[^\n]*$"
+)
+#: Any known form has one of these, as any text of that form has; other lines need no digest.
+MARK_WORDS = ("license", "licence", "spdx", "reserved", "permission", "permitted", "warranty", "public domain")
+MARKS = "(?i)" + "|".join(MARK_WORDS)
 
 
 def canonical(text: Column) -> Column:
@@ -146,19 +201,15 @@ def scan_licences(
     ``licence``: that of the entire text, or null.  ``notices``: the licences
     that lines name, in order, joined by commas.
     """
-    spark = docs.sparkSession
-    table = known_digests(spark, known)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lines = texts.filter(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    found = lines.select("doc_id", digest(F.col("line")).alias("digest")).join(F.broadcast(table), "digest")
-    found = found.groupBy("doc_id", "licence").agg(F.count("*").alias("n")).groupBy("doc_id").agg(
-        F.array_join(F.array_sort(F.collect_list("licence")), ",").alias("notices"), F.sum("n").alias("n_notices")
+    table = known_digests(docs.sparkSession, known)
+    named = {r.digest: r.licence for r in table.collect()}  # a row a known text
+    pairs = F.create_map(*[F.lit(x) for pair in named.items() for x in pair]) if named else F.create_map().cast("map<string,string>")
+    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: x.rlike(MARKS))
+    found = F.filter(F.transform(lines, lambda x: F.element_at(pairs, digest(x))), lambda x: x.isNotNull())
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text_col)).alias("digest"), F.coalesce(found, F.array().cast("array<string>")).alias("found"))
+    return d.join(F.broadcast(table), "digest", "left").select(
+        "doc_id", "digest", "licence", F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"), F.size("found").cast("long").alias("n_notices")
     )
-    whole = texts.select("doc_id", digest(F.col("text")).alias("digest")).join(F.broadcast(table), "digest", "left")
-    return whole.join(found, "doc_id", "left").select(
-        "doc_id", "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"),
-        F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"),
-    )
 
 
 def scan_sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
@@ -174,12 +225,13 @@ def scan_sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
     rows = ", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in known)
     return f"""
 WITH known AS (SELECT {form("t")} AS digest, min(licence) AS licence FROM (VALUES {rows}) v(licence, t) GROUP BY 1),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id IS NOT NULL),
-hits AS (SELECT doc_id, licence, count(*) AS n FROM (SELECT doc_id, {form("line")} AS digest FROM lines) JOIN known USING (digest)
+numbered AS (SELECT doc_id, text, row_number() OVER () AS row FROM documents),
+lines AS (SELECT row, unnest(string_split(text, chr(10))) AS line FROM numbered),
+hits AS (SELECT row, licence, count(*) AS n FROM (SELECT row, {form("line")} AS digest FROM lines) JOIN known USING (digest)
          GROUP BY 1, 2),
-found AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS notices, CAST(sum(n) AS BIGINT) AS n_notices
+found AS (SELECT row, string_agg(licence, ',' ORDER BY licence) AS notices, CAST(sum(n) AS BIGINT) AS n_notices
           FROM hits GROUP BY 1),
-whole AS (SELECT doc_id, {form("text")} AS digest FROM documents)
+whole AS (SELECT doc_id, row, {form("text")} AS digest FROM numbered)
 SELECT w.doc_id, w.digest, k.licence, coalesce(f.notices, '') AS notices, coalesce(f.n_notices, 0) AS n_notices
-FROM whole w LEFT JOIN known k ON k.digest = w.digest LEFT JOIN found f ON f.doc_id = w.doc_id
+FROM whole w LEFT JOIN known k ON k.digest = w.digest LEFT JOIN found f ON f.row = w.row
 """

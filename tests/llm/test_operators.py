@@ -467,10 +467,17 @@ def test_pages_with_odd_rows(spark):
 def test_licences(spark, odd):
     mit = dict((i, t) for i, t in reversed(licences.KNOWN))["MIT"]
     changed = "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ,").replace("LICENSE", "LICENCE")
+    prose = "Copyright is a right of authors, and it lapses.\n" + mit
     rows = [(1, mit), (2, changed), (3, mit + " more"), (4, "prose\nReleased under the MIT Licence\nAll rights reserved."), (5, None), (None, "All rights reserved.")]
-    out = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    rows += [(6, prose), (7, "COPYRIGHT © Some Holder\n" + mit), (8, "words " * 100_000 + "\nSPDX-License-Identifier: MIT"), (4, "prose")]
+    found = licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.n_notices for r in found if r.doc_id == 4) == [0, 2]
+    out = {r.doc_id: r for r in found if r.doc_id != 4 or r.n_notices}
+    assert out[6].licence is None and out[7].licence == "MIT" and (out[8].licence, out[8].notices) == (None, "MIT")
     assert out[1].licence == out[2].licence == "MIT" and out[3].licence is None
-    assert (out[4].notices, out[4].n_notices) == ("MIT,reserved", 2) and out[5].licence is None and out[None].licence == "reserved"
+    assert (out[4].notices, out[4].n_notices) == ("MIT,reserved", 2) and out[5].licence is None and (out[None].licence, out[None].n_notices) == ("reserved", 1)
+    for _, text in licences.KNOWN:
+        assert any(w in text.lower() for w in licences.MARK_WORDS)
     assert licences.scan_licences(odd[1]).count() == len(odd[0])
 
 
@@ -481,6 +488,9 @@ def test_licences_by_their_full_texts(spark):
     rows += [(10 + k, t.upper().replace("\n", "\n  ")) for k, t in enumerate(files.values())]
     out = {r.doc_id: r.licence for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (out[1], out[2]) == ("BSD-3-Clause", "BSD-2-Clause")
+    short = [(k, "\n\n" + t.replace(". ", ".\n")) for k, (_, t) in enumerate(licences.KNOWN) if 400 < len(t) < 5_000]
+    got = {r.doc_id: r.licence for r in licences.scan_licences(spark.createDataFrame(short, "doc_id long, text string")).collect()}
+    assert all(got[k] == licences.KNOWN[k][0] for k, _ in short) and {"Unlicense", "Zlib", "BSL-1.0", "MIT-0", "ISC", "0BSD"} <= set(got.values())
     assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= set(files)
     assert [out[10 + k] for k in range(len(files))] == list(files)
 
