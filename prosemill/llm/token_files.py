@@ -2,9 +2,11 @@
 
 Each file holds consecutive documents in ascending id order.  Its record
 batches carry two fixed-size lists, ``ids`` and ``mask``, of ``length``
-elements a row, so sequence *i* lies at a computed place and is read through a
-memory map without a copy.  A second stream beside it gives each document's
-place.  Only the last row of a file is padded (mask false).
+elements a row, so sequence *i* lies at a computed place: a reader fetches the
+one batch that holds it, from a local file through a memory map without a copy.
+A second stream beside it gives each document's place.  Only the last row of a
+file is padded (mask false).  The number of files follows from the bytes of the
+texts (``FILE_BYTES`` each), whatever the session's settings are.
 
 Defined results: a null text is an empty one and has the end id alone; a null
 document id sorts first; repeated rows are each written; ties between equal
@@ -23,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, stage
@@ -33,6 +35,8 @@ from .tokens import encoder, vocabulary_path
 BATCH_ROWS = 128
 #: Documents encoded at once.
 DOCS_AT_ONCE = 1_000
+#: Bytes of text of a file.
+FILE_BYTES = 24 << 20
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -82,37 +86,46 @@ class SequenceWriter:
 
 
 class SequenceReader:
-    """Random access to a file of sequences; local files are memory-mapped."""
+    """Random access to a file of sequences; local files are memory-mapped, of others one batch at a time is fetched."""
 
     def __init__(self, uri: str):
-        table = open_stream(uri)
-        self._batches = [b for b in table.to_batches() if b.num_rows]
-        self._views = [b.column(0).flatten().to_numpy(zero_copy_only=True) for b in self._batches]
-        self.length = table.schema.field("ids").type.list_size
-        self.rows = table.num_rows
+        self._file = open_file(uri)
+        self._schema = pa.ipc.read_schema(pa.ipc.read_message(self._file))
+        self._first = self._file.tell()
+        self.length = self._schema.field("ids").type.list_size
+        self._held = (-1, None, None)
+        # All batches but the last have one size, so the first one's tells where each begins.
+        self._batch(0)
+        self._step = self._file.tell() - self._first
+
+    def _batch(self, i: int) -> tuple[np.ndarray, pa.RecordBatch]:
+        if self._held[0] != i:
+            self._file.seek(self._first + i * (self._step if i else 0))
+            batch = pa.ipc.read_record_batch(pa.ipc.read_message(self._file), self._schema)
+            self._held = (i, batch.column(0).flatten().to_numpy(zero_copy_only=True), batch)
+        return self._held[1:]
 
     def sequence(self, i: int) -> tuple[np.ndarray, pa.Array]:
         """Ids and mask of sequence ``i``, neither of them copied."""
-        batch, row = divmod(i, BATCH_ROWS)
-        view = self._views[batch][row * self.length : (row + 1) * self.length]
-        return view, self._batches[batch].column(1)[row].values
+        number, row = divmod(i, BATCH_ROWS)
+        view, batch = self._batch(number)
+        return view[row * self.length : (row + 1) * self.length], batch.column(1)[row].values
 
     def run(self, start: int, n: int) -> np.ndarray:
         """The ``n`` ids from ``start`` on, across rows and batches."""
         step = BATCH_ROWS * self.length
         parts = []
         while n > 0:
-            batch, at = divmod(start, step)
-            part = self._views[batch][at : at + n]
+            number, at = divmod(start, step)
+            part = self._batch(number)[0][at : at + n]
             parts.append(part)
             start, n = start + len(part), n - len(part)
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint16)
 
 
-def open_stream(uri: str) -> pa.Table:
+def open_file(uri: str) -> pa.NativeFile:
     fs, path = pa.fs.FileSystem.from_uri(uri)
-    source = pa.memory_map(path) if isinstance(fs, pa.fs.LocalFileSystem) else fs.open_input_file(path)
-    return pa.ipc.open_stream(source).read_all()
+    return pa.memory_map(path) if isinstance(fs, pa.fs.LocalFileSystem) else fs.open_input_file(path)
 
 
 @dataclass
@@ -130,8 +143,7 @@ class TokenFiles:
             for frame in frames:
                 for part, base in zip(frame["part"], frame["base"], strict=True):
                     ids = SequenceReader(f"{folder}/part-{part:06d}.arrows")
-                    index = open_stream(f"{folder}/part-{part:06d}.index.arrows")
-                    for batch in index.to_batches():
+                    for batch in pa.ipc.open_stream(open_file(f"{folder}/part-{part:06d}.index.arrows")):
                         starts, counts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
                         crcs = [
                             zlib.crc32(ids.run(s, n).astype("<u4").tobytes())
@@ -160,6 +172,7 @@ def write_token_files(
     vocabulary: str | None = None,
     end_id: int = 0,
     length: int = 2048,
+    file_bytes: int = FILE_BYTES,
     path: str | None = None,
 ) -> TokenFiles:
     """Encode every whole text, end each with ``end_id`` and write the files.
@@ -210,14 +223,10 @@ def write_token_files(
                 names=["part", "docs", "tokens"],
             )
 
-    ordered = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
-    )
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ordered = texts.repartitionByRange(max(1, -(-total // file_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
     parts = stage(ordered.mapInArrow(write, "part long, docs long, tokens long"), "token-parts")
-    base, rows = 0, []
-    for r in parts.orderBy("part").collect():  # a row a file
-        rows.append((r.part, r.docs, r.tokens, base))
-        base += r.tokens
-    return TokenFiles(folder, spark.createDataFrame(rows, "part long, docs long, tokens long, base long"))
+    # A row a file.
+    before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return TokenFiles(folder, parts.withColumn("base", F.coalesce(before, F.lit(0))))

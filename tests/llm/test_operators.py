@@ -219,7 +219,8 @@ def test_sharding(odd, monkeypatch):
 
 def test_token_files_round_trip(odd, library, spark, tmp_path):
     rows, df = odd
-    files = token_files.write_token_files(df, path=f"file://{tmp_path}/t", length=16)
+    files = token_files.write_token_files(df, path=f"file://{tmp_path}/t", length=16, file_bytes=4_000)
+    assert files.parts.count() > 5
     got = sorted(files.documents().collect(), key=lambda r: r.start)
     assert len(got) == len(rows)
     at = 0
@@ -229,7 +230,9 @@ def test_token_files_round_trip(odd, library, spark, tmp_path):
         at += len(ids)
     part = files.parts.filter("tokens > 16").first().part
     reader = token_files.SequenceReader(f"file://{tmp_path}/t/part-{part:06d}.arrows")
+    again = reader.run(0, 3)
     ids, mask = reader.sequence(0)
+    assert ids[:3].tolist() == again.tolist()
     assert not ids.flags.owndata and len(ids) == 16 and len(mask) == 16 and mask.to_pylist() == [True] * 16
 
 
@@ -507,6 +510,20 @@ def test_empty_tables(empty, spark):
     assert html_extraction.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_reader_fetches_any_batch(tmp_path):
+    length, n = 4, token_files.BATCH_ROWS * 4 * 3 + 7
+    with pa.OSFile(f"{tmp_path}/x", "wb") as sink:
+        writer = token_files.SequenceWriter(sink, token_files.sequence_schema(50_000, length), length)
+        for i in range(0, n, 100):
+            writer.add(np.arange(i, min(n, i + 100)))
+        writer.close()
+    reader = token_files.SequenceReader(f"file://{tmp_path}/x")
+    for i in (0, 129, 3, 384, 300, 385):
+        ids, mask = reader.sequence(i)
+        assert [x for x, m in zip(ids.tolist(), mask.to_pylist(), strict=True) if m] == list(range(4 * i, min(n, 4 * i + 4)))
+    assert reader.run(500, 600).tolist() == list(range(500, 1100))
+
+
 def test_arrow_sink_pads_only_the_last_row():
     sink = pa.BufferOutputStream()
     writer = token_files.SequenceWriter(sink, token_files.sequence_schema(50_000, 4), 4)
