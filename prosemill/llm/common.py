@@ -19,10 +19,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: the session's ``spark.checkpoint.dir``.
 
-    Where the session names none (local tests) one is made and set.
+    Where a local session (as in tests) names none, one is made and set; on a
+    cluster that is an error, as a machine's own folder is not shared.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="prosemill-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -37,14 +41,15 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that :func:`fresh_path` has named, if it is there."""
+    with contextlib.suppress(Exception):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
 
-    atexit.register(remove)
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    atexit.register(remove, spark, path)
 
 
 #: Rows that go to a Python worker at once: whole texts and sets are large.

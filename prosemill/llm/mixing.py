@@ -7,8 +7,9 @@ its documents plus a fraction: documents are taken in a seeded order until the
 rest of the target is used up, the last of them in part.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-last in order; rows of size 0 take nothing; a repeated row is a document of
-its own; an empty table gives an empty result; other columns of the input are
+last in order; rows of size 0 take nothing; rows without an id are ordered by
+their text; a repeated row is a document of its own in the plan, and repeated
+rows are written as often as their sum of words asks for; an empty table gives an empty result; other columns of the input are
 ignored (:func:`mix_documents`) or kept (:func:`repeat_documents`).
 """
 
@@ -24,28 +25,25 @@ ROWS_PER_BUCKET = 20_000
 
 
 def water_fill(sources: DataFrame, total: float, max_epochs: float) -> DataFrame:
-    """Adds ``target`` to a table with ``source_size`` and ``weight``.
+    """Adds ``target`` to a table with ``source``, ``source_size`` and ``weight``.
 
-    Each pass is one aggregate of the (small) source table and clamps at least
-    one source, or is the last.
+    In order of limit over weight, a source is clamped as long as what is left
+    after the limits before it, shared by weight, passes its own.  The running
+    sums are those of the (small) source table.
     """
     limit = F.col("source_size") * F.lit(max_epochs)
-    level, clamped = 0.0, None
-    while True:
-        free = limit >= F.col("weight") * F.lit(level)
-        row = sources.agg(
-            F.coalesce(F.sum(F.when(~free, limit)), F.lit(0.0)).alias("fixed"),
-            F.sum((~free).cast("long")).alias("clamped"),
-            F.sum(F.when(free, F.col("weight"))).alias("weight"),
-        ).first()
-        if row.weight is None or row.clamped == clamped:
-            break
-        clamped, level = row.clamped, (total - row.fixed) / row.weight
-    return sources.withColumn("target", F.least(limit, F.col("weight") * F.lit(level)))
+    order = Window.orderBy(limit / F.col("weight"), F.col("source").asc_nulls_last())
+    before, on = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    d = sources.withColumn("limit", limit)
+    d = d.withColumns({"fixed": F.coalesce(F.sum("limit").over(before), F.lit(0.0)), "free": F.sum("weight").over(on)})
+    level = (F.lit(float(total)) - F.col("fixed")) / F.col("free")
+    first = d.filter(F.col("limit") >= F.col("weight") * level).agg(F.min_by(level, F.struct(F.col("limit") / F.col("weight"), F.col("source").isNull(), "source"))).first()[0]
+    target = F.col("limit") if first is None else F.least("limit", F.col("weight") * F.lit(first))
+    return d.withColumn("target", target).drop("limit", "fixed", "free")
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(text_col, F.lit(""))))))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
@@ -126,21 +124,28 @@ def mix_documents(
 
 
 def _first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its ``n``-th word."""
-    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    return F.array_join(F.slice(found, F.lit(1), n), " ")
+    """The text up to the end of its ``n``-th word, white space as it is."""
+    gaps, found = F.split(text, WORD, -1), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    pairs = F.slice(F.arrays_zip(gaps.alias("gap"), found.alias("word")), F.lit(1), n)
+    return F.array_join(F.transform(pairs, lambda p: F.concat(p["gap"], p["word"])), "")
 
 
-def repeat_documents(docs: DataFrame, taken: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeat_documents(
+    docs: DataFrame, taken: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
     """``docs`` as the mix takes them: whole copies, then the first words of a part.
 
-    A document of which nothing is taken is not in the mix.  Rows of one id and
-    text share their totals.
+    A document of which nothing is taken is not in the mix.  Rows of one id,
+    text and source are one here, with the sum of what is taken of each.
     """
-    per = taken.select("doc_id", "text_hash", "size", "taken").groupBy("doc_id", "text_hash")
-    per = per.agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    per = per.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash").filter("_taken > 0")
-    wanted = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+    key = ["_id", "_hash", "_source"]
+    per = taken.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), "size", "taken")
+    per = per.groupBy(*key).agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
+    per = stage(per.filter("_taken > 0"), "mix-takes")
+    wanted = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
+    got = docs.join(per, wanted)
+    if per.filter("_rows > 1").take(1):
+        got = got.filter("_rows = 1").unionByName(got.filter("_rows > 1").dropDuplicates(key))
     times = (F.col("_taken") / F.col("_size")).cast("int")
     part = F.col("_taken") - times * F.col("_size")
     copies = F.concat(
@@ -150,8 +155,4 @@ def repeat_documents(docs: DataFrame, taken: DataFrame, *, id_col: str = "doc_id
         F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")),
     )
     text = F.when(F.col("_part") > 0, _first_words(F.col(text_col), F.col("_part").cast("int"))).otherwise(F.col(text_col))
-    return (
-        docs.join(per, wanted)
-        .withColumn("_part", F.explode(copies))
-        .select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
-    )
+    return got.withColumn("_part", F.explode(copies)).select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -53,7 +53,7 @@ SMALL_KEY = 48
 #: Nodes and shingles of a block of a large key.
 BLOCK_NODES, BLOCK_SHINGLES = 2_000, 1_000_000
 #: The nodes that share a key are broadcast up to this size, and shuffled beyond it.
-INVOLVED_BYTES, BROADCAST_BYTES = 80, 16 << 20
+INVOLVED_BYTES, BROADCAST_BYTES = 300, 16 << 20
 
 _random = np.random.Generator(np.random.PCG64(20240607))
 _WORD_TIMES = _random.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,11 +147,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column(0),
                 batch.column(2),
                 batch.column(3),
+                batch.column(4),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(key, pa.binary()),
                 pa.array(signature, pa.binary()),
             ],
-            names=["doc_id", "pick", "row", "n_shingles", "set_key", "signature"],
+            names=["doc_id", "pick", "row", "text_hash", "n_shingles", "set_key", "signature"],
         )
 
 
@@ -349,14 +350,14 @@ def links_between(
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row."""
+    """``doc_id, n_shingles, component_id, kept, text_hash`` of every row; by id and hash a row is found again."""
     # pick: by it a row of each node is found again in a second reading of the texts.
     doc, text = F.col(id_col).cast("long"), F.col(text_col)
     texts = docs.select(
-        doc.alias("doc_id"), text.alias("text"), F.coalesce(doc, F.xxhash64(text)).alias("pick"), F.monotonically_increasing_id().alias("row")
+        doc.alias("doc_id"), text.alias("text"), F.coalesce(doc, F.xxhash64(text)).alias("pick"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("text_hash")
     )
     rows = stage(
-        texts.mapInArrow(_sign, "doc_id long, pick long, row long, n_shingles long, set_key binary, signature binary"), "signed"
+        texts.mapInArrow(_sign, "doc_id long, pick long, row long, text_hash long, n_shingles long, set_key binary, signature binary"), "signed"
     )
     nodes = rows.filter("n_shingles > 0").groupBy("set_key")
     nodes = nodes.agg(
@@ -375,7 +376,7 @@ def near_duplicates(
     shared = stage(keyed.join(hubs, "key"), "shared")
 
     involved = stage(shared.select("node").distinct().join(nodes.select("node", "pick", "set_key"), "node"), "involved")
-    members = _member_sets(texts.drop("row"), involved)
+    members = _member_sets(texts.drop("row", "text_hash"), involved)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         return stage(_with_both(pairs, members, "members").mapInArrow(_confirm(percent), "a long, b long"), "links")
@@ -401,8 +402,8 @@ def near_duplicates(
     linked = linked.select("set_key", "component").join(least, "component").select("set_key", "component_id", "first")
     alone = named.filter("component is null").select("set_key", F.col("least").alias("component_id"), F.col("row").alias("first"))
     named = linked.unionByName(alone)
-    out = rows.select("doc_id", "row", "n_shingles", "set_key").join(named, "set_key", "left")
+    out = rows.select("doc_id", "row", "text_hash", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     first = F.col("doc_id").isNull() & component.isNull() & (F.col("row") == F.coalesce("first", F.col("row")))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(False)) | first
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")

@@ -75,18 +75,19 @@ def base_statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
         F.col(lang_col).cast("string").alias("lang"),
         F.col(source_col).cast("string").alias("source"),
         text.alias("text"),
+        F.xxhash64(text_col).alias("text_hash"),
         F.trim(text, blanks).alias("body"),
     )
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.select(
-        "doc_id", "lang", "source",
+        "doc_id", "lang", "source", "text_hash",
         F.when(F.col("body") == "", F.array().cast("array<string>")).otherwise(F.split("body", WHITE)).alias("words"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.alias("lines"),
     )
     n = F.size("words")
     d = d.select(
-        "doc_id", "lang", "source", "n_symbols",
+        "doc_id", "lang", "source", "text_hash", "n_symbols",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -290,7 +291,7 @@ def quality_rules(
     subset: float = SUBSET,
     cutoff: float = CUTOFF,
 ) -> DataFrame:
-    """``doc_id``, the counts, ``base_failed``, ``kept`` and ``distance`` of every row."""
+    """``doc_id``, the counts, ``base_failed``, ``kept``, ``distance`` and ``text_hash`` of every row."""
     base = base_statistics(docs, id_col, text_col, lang_col, source_col)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     keys = {
@@ -321,5 +322,5 @@ def quality_rules(
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(cutoff, P), F.lit(True))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        kept.alias("kept"), "distance", "lang", "source",
+        kept.alias("kept"), "distance", "lang", "source", "text_hash",
     )

@@ -6,9 +6,10 @@ import random
 from collections import Counter
 
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from prosemill.llm import quality_classifier, tokens
+from prosemill.llm import mixing, quality_classifier, tokens
 
 from .test_operators import brute_components, words_of
 
@@ -74,8 +75,8 @@ def test_stages(spark, folder):
     assert abs(sum(taken.values()) - 1.5 * sum(size.values())) <= 3
     assert all(taken[s] <= 2 * size[s] + 1 for s in size) and taken["s0"] > taken["s2"]
 
-    encode = tokens.encoder(tokens.vocabulary_path())
-    want = Counter((r.doc_id, len(encode._library.encode(r.text, add_special_tokens=False).ids) + 1) for r in four.collect())
+    library = Tokenizer.from_file(tokens.vocabulary_path())
+    want = Counter((r.doc_id, len(library.encode(r.text, add_special_tokens=False).ids) + 1) for r in four.collect())
     lengths, places = Counter(), {}
     for r in pack(spark, four, path).collect():
         lengths[r.doc_id] += r.length
@@ -101,3 +102,37 @@ def test_repeated_rows_leave_one(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet").filter("doc_id in (1, 2)")
     out = corpus_pipeline.drop_near_duplicates(spark, docs.union(docs), folder[0])
     assert sorted(r.doc_id for r in out.collect()) == [1, 2]
+
+
+def test_rows_without_an_id_or_with_a_repeated_one(spark, folder):
+    rng = random.Random(21)
+    good = [words_of(rng, 120) for _ in range(4)]
+    rows = [(None, good[0]), (None, good[0]), (None, good[1]), (None, "a b c"), (None, None), (7, good[2]), (7, good[3]), (7, good[3] + " end"), (8, good[2])]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    ruled = corpus_pipeline.apply_quality_rules(spark, docs, folder[0])
+    assert Counter((r.doc_id, r.text) for r in ruled.collect()) == Counter((i, t) for i, t in rows if t and len(t) > 10)
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder[0]).collect())
+    # Three texts of id 7 make two groups of least id 7, so one document.
+    assert left[(None, good[0])] == left[(None, good[1])] == 1 and (8, good[2]) not in left
+    assert sum(n for (i, _), n in left.items() if i == 7) == 1
+
+
+def test_mixed_rows_are_not_inflated_and_keep_their_lines(spark):
+    rows = [(1, "a b\nc  d\te\n\nf g h", "x"), (1, "a b\nc  d\te\n\nf g h", "x"), (2, "i j k\nl", "y"), (None, "m\n n o", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix_documents(docs)
+    planned, got = Counter(), Counter()
+    for r in plan.collect():
+        planned[r.source] += r.taken
+    for r in mixing.repeat_documents(docs, plan).collect():
+        got[r.source] += len(r.text.split())
+        assert any(t.startswith(r.text) for _, t, _ in rows)
+    assert got == planned
+
+
+def test_empty_tables(spark, folder):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder[0])
+        assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder[0]).count() == 0
