@@ -2,28 +2,31 @@
 
 Each stage reads what its predecessor wrote and returns the columns of
 ``documents``; the last returns the packed pieces.
+
+Defined results: a row is told by its id and its text, so rows without an id
+are judged like others, and rows of one id with different texts each for
+themselves; a null or empty text is rejected by the quality rules; of repeated
+rows, and of rows of one near-duplicate group, one stays, of one id that of the
+least text hash; a null language or source is one of its own; an empty table,
+or one of which a stage keeps nothing, gives an empty result; other columns of
+the table are carried along.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosemill.llm import mixing, near_duplicates, packing, quality_classifier, quality_rules
-from prosemill.llm.common import fresh_path, stage
-
-
-#: Rows that go to a Python worker at once: whole texts are large.
-BATCH_ROWS = 1_000
+from prosemill.llm.common import fresh_path, remove, stage
 
 
-def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+#: What tells a row: its id and the hash of its text.
+KEY = ["doc_id", "text_hash"]
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    _small_batches(spark)
     model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.keep_good(docs, model)
 
@@ -31,18 +34,26 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
     judged = quality_rules.quality_rules(docs)
-    return _without(docs, judged.filter("not kept").select("doc_id"))
+    return _without(docs, judged.filter("not kept"), ["doc_id", "text_hash", "lang", "source"])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; of rows with one id, one."""
+    """One document of each group stays, and one of repeated rows."""
     judged = stage(near_duplicates.near_duplicates(docs), "judged")
-    kept = _without(docs, judged.filter("not kept").select("doc_id"))
-    repeated = judged.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    named, kept = judged.filter("doc_id is not null"), judged.filter("kept")
+    # Rows without an id may share a key; it goes if none of them is kept.
+    gone = judged.filter("doc_id is null").groupBy(*KEY).agg(F.max("kept").alias("kept")).filter("not kept").select(*KEY)
+    crowded = kept.groupBy("component_id").agg(F.min("text_hash").alias("first"), F.max("text_hash").alias("last")).filter("first < last")
+    beside = kept.join(crowded, "component_id").filter("text_hash <> first")
+    gone = gone.unionByName(named.filter("not kept").select(*KEY)).unionByName(beside.select(*KEY))
+    left = _without(docs, gone, KEY)
+    repeated = stage(judged.groupBy(*KEY).count().filter("count > 1").select(*KEY), "repeated")
     if not repeated.take(1):
-        return kept
-    twice = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(twice)
+        return left
+    left = left.withColumn("text_hash", F.xxhash64("text"))
+    same = _same(left, repeated.toDF("_0", "_1"), KEY)
+    twice = left.join(repeated.toDF("_0", "_1"), same, "left_semi").dropDuplicates(KEY)
+    return left.join(repeated.toDF("_0", "_1"), same, "left_anti").unionByName(twice).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,16 +65,25 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, capacity=1024, end_id=2)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` less the rows of some ids; the texts are not shuffled where the ids are few enough to send."""
-    gone = stage(gone.filter("doc_id is not null").distinct(), "gone")
-    if gone.count() * ID_BYTES <= BROADCAST_BYTES:
+def _same(docs: DataFrame, rows: DataFrame, key: list[str]) -> Column:
+    """Whether the columns of a key and those of ``rows``, in their order, are equal or both null."""
+    out = F.lit(True)
+    for name, other in zip(key, rows.columns, strict=True):
+        out = out & F.col(name).eqNullSafe(F.col(other))
+    return out
+
+
+def _without(docs: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
+    """``docs`` less the rows of some keys; the texts are not shuffled where the keys are few enough to send."""
+    gone = stage(gone.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(key)]).distinct(), "gone")
+    if gone.count() * KEY_BYTES <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    return hashed.join(gone, _same(hashed, gone, key), "left_anti").select(*docs.columns)
 
 
-#: Ids are broadcast up to this size and shuffled beyond it.
-ID_BYTES, BROADCAST_BYTES = 40, 16 << 20
+#: Keys are broadcast up to this size and shuffled beyond it.
+KEY_BYTES, BROADCAST_BYTES = 120, 16 << 20
 
 STAGES = [
     ("quality classifier", classify_quality),
@@ -78,12 +98,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over ``documents``, each written to the shared folder and read again.
+
+    What a stage has written is removed once the next one's result is.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, function) in enumerate(STAGES):
         docs = function(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             path = fresh_path(spark, f"pipeline-{i}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs
