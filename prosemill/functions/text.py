@@ -76,6 +76,22 @@ def spans(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, start, step, lambda s: s["out"])
 
 
+def gap_spans(text: Column, pattern: str) -> Column:
+    """What stands between matches, white space trimmed, with its place; empty gaps are dropped."""
+    found, gaps = all_matches(text, pattern), F.split(text, pattern, -1)
+    empty = F.array().cast("array<struct<text:string,start:int,end:int>>")
+    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+
+    def step(state: Column, pair: Column) -> Column:
+        body = trimmed(pair["gap"])
+        lead = F.length(pair["gap"]) - F.length(F.regexp_replace(pair["gap"], r"(?U)^\s+", ""))
+        one = F.struct(body.alias("text"), (state["at"] + lead).alias("start"), (state["at"] + lead + F.length(body)).alias("end"))
+        after = state["at"] + F.length(pair["gap"]) + F.coalesce(F.length(pair["found"]), F.lit(0))
+        return F.struct(after.alias("at"), F.when(body != "", F.array_append(state["out"], one)).otherwise(state["out"]).alias("out"))
+
+    return F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("found")), start, step, lambda s: s["out"])
+
+
 def half_up(value: Column, places: int = 0) -> Column:
     """Rounding half towards plus infinity."""
     return F.floor(value * 10**places + F.lit(0.5)) / F.lit(float(10**places)) if places else F.floor(value + F.lit(0.5))

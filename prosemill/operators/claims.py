@@ -1,22 +1,25 @@
 """Claims of a text and their support in given sources.
 
-Sentences are exploded once; a claim meets the sources of its document by an
-equi-join on the document, each pair is scored in its row, and the best source
-of a claim is a top-1 by window.
+A document's candidate sentences are found, filtered and cut in its row, so
+nothing is shuffled before the claims are rows.  A document's sources are one
+array, joined to its claims once; each claim meets each source in the row, and
+the best match is the first of the sorted matches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as X
 from ..functions import text as T
-from .preparation import sentence_rows
 
 MOST_CLAIMS = 24
+NEAR = 180
 DATES = r"(?i)" + X.whole(rf"{X.YEAR}|today|currently|as of|latest|newest|now")
-NEGATIONS = X.whole(r"no|not|never|none|cannot|without|[a-z]+n't")
+STRUCTURED = r"^(?:[-*+]|\d+\.|#{1,6})\s+\S"
+HEADING = r"^#{1,6}\s+\S"
+LOCATOR = r"(?i)^(?:https?://\S+|(?:doi:\s*)?10\.\d{4,9}/[-._;()/:A-Z0-9]+|\[(?:\d+|(?-i:[A-Z])[A-Za-z0-9_-]{1,20})\])?$"
 
 
 def names_of(sentence: Column) -> Column:
@@ -40,85 +43,161 @@ def keywords_of(sentence: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 5) & ~w.isin(*X.CLAIM_STOP_WORDS)))
 
 
+def without_references(sentence: Column) -> Column:
+    """The sentence without its URLs and citation marks."""
+    return T.trimmed(F.regexp_replace(F.regexp_replace(sentence, X.INLINE, " "), r"(?U)\s+", " "))
+
+
 def claim_type(sentence: Column) -> Column:
-    low = F.lower(sentence)
-    return (
-        F.when(low.rlike(X.whole("i think|i believe|in my view|opinion|arguably|perhaps")), "opinion")
-        .when(low.rlike(X.whole("will|going to|expected to|forecast|predict|likely to")), "prediction")
-        .when(low.rlike(X.whole("should|must|need to|recommend|consider|ought to")), "recommendation")
-        .when(low.rlike(X.whole("always|never|everyone|no one|best|worst")) & ~low.rlike(r"\d"), "unverifiable")
-        .otherwise("factual")
-    )
+    low, out = F.lower(sentence), F.when(F.lit(False), "")
+    for kind, words in X.CLAIM_TYPES:
+        out = out.when(low.rlike(X.whole(words)), kind)
+    return out.when(low.rlike(X.whole(X.ABSOLUTES)) & ~low.rlike(r"\d"), "unverifiable").otherwise("factual")
 
 
 def is_stale(sentence: Column) -> Column:
     return sentence.rlike(f"(?i){X.whole(X.STALE)}") | sentence.rlike(X.whole(r"20\d{2}"))
 
 
+def is_candidate(sentence: Column) -> Column:
+    """No question, and with a number, a verb of fact, or a name in a sentence that is long enough; cheap tests first."""
+    n, verb = F.length(sentence), F.lower(sentence).rlike(X.whole(X.CLAIM_VERBS))
+    named = sentence.rlike(X.NAME) & (F.size(names_of(sentence)) > 0)
+    return ~sentence.endswith("?") & (sentence.rlike(X.NUMBER) | (verb & (n >= 22)) | ((verb | (n >= 35)) & named))
+
+
+def is_step(sentence: Column) -> Column:
+    """A step of a procedure: an imperative without numbers and with one name at most."""
+    plain = T.trimmed(F.regexp_replace(sentence, r"(?U)^\s*(?:[-*]|\d+[.)])\s+", ""))
+    return plain.rlike(f"(?i)^(?:{X.STEP_VERBS}){X.END}") & ~plain.rlike(X.NUMBER) & (F.size(names_of(plain)) <= 1)
+
+
 def claims(prepared: DataFrame, most: int = MOST_CLAIMS) -> DataFrame:
-    """The first ``most`` claims of each document, in order, with what they say."""
-    s = sentence_rows(prepared).withColumn("claim", T.trimmed(F.col("text")))
-    s = s.withColumns({"names": names_of(F.col("claim")), "numbers": numbers_of(F.col("claim")), "dates": dates_of(F.col("claim"))})
-    verb = F.lower("claim").rlike(X.whole(X.CLAIM_VERBS))
-    years = F.exists("dates", lambda d: d.rlike(X.YEAR))
-    named, long = F.size("names") > 0, F.length("claim")
-    candidate = ~F.col("claim").endswith("?") & ((F.size("numbers") > 0) | years | (verb & ((long >= 22) | named)) | ((long >= 35) & named))
-    order = Window.partitionBy("doc_id").orderBy("ord")
-    s = s.filter(candidate).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
-    s = s.withColumns({"type": claim_type(F.col("claim")), "stale": is_stale(F.col("claim")), "keywords": keywords_of(F.col("claim"))})
-    sensitive = F.col("claim").rlike(f"(?i){X.whole(X.SENSITIVE)}")
+    """The first ``most`` claims of each document, in order, with what they say and where they stand."""
+    sentences = F.filter(T.spans(F.col("norm"), X.SENTENCE), lambda s: s["text"].rlike(r"[\p{L}\p{M}]"))
+    d = prepared.select("doc_id", "norm", sentences.alias("sentences"), T.gap_spans(F.col("norm"), "\n{2,}").alias("paras"))
+
+    def holds(place: Column):
+        return lambda p: (place >= p["start"]) & (place <= p["end"])
+
+    def candidate(s: Column) -> Column:
+        text = T.trimmed(s["text"])
+        listed = F.get(F.filter("paras", holds(s["start"])), F.lit(0))["text"].rlike(STRUCTURED)
+        return is_candidate(text) & ~(F.coalesce(listed, F.lit(False)) & is_step(text))
+
+    placed = F.transform("sentences", lambda s, i: F.struct(i.alias("ord"), s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end")))
+    d = d.withColumn("found", F.slice(F.filter(placed, candidate), 1, most)).filter(F.size("found") > 0)
+    headings = F.transform("paras", lambda p: F.split(p["text"], "\n")[0].rlike(HEADING))
+
+    def located(s: Column) -> Column:
+        behind = F.get(F.filter("paras", holds(s["end"])), F.lit(0))
+        until = F.least(F.coalesce(behind["end"], F.length("norm")), s["end"] + NEAR)
+        at = F.filter(F.transform("paras", lambda p, i: F.when((s["start"] >= p["start"]) & (s["start"] <= p["end"]), i)), lambda i: i.isNotNull())
+        return F.struct(
+            s["ord"].alias("ord"), s["start"].alias("start"), s["end"].alias("end"), T.trimmed(s["text"]).alias("claim"),
+            F.substring("norm", s["end"] + 1, F.greatest(F.lit(0), until - s["end"])).alias("tail"), F.get(at, F.lit(0)).alias("paragraph"),
+        )
+
+    d = d.select("doc_id", F.posexplode(F.transform("found", located)).alias("place", "c"), headings.alias("headings"))
+    upto = F.size(F.filter(F.slice("headings", F.lit(1), F.col("c.paragraph") + 1), lambda h: h))
+    section = F.when(~F.exists("headings", lambda h: h), 1).when(upto > 0, upto)
+    d = d.select("doc_id", (F.col("place") + 1).alias("place"), "c.*", section.alias("section"))
+    d = d.withColumn("plain", without_references(F.col("claim")))
+    d = d.withColumns(
+        {
+            "inline": F.array_distinct(F.concat(T.all_matches(F.col("claim"), X.INLINE), T.all_matches(F.col("tail"), X.INLINE))),
+            "names": names_of(F.col("plain")), "numbers": numbers_of(F.col("plain")), "dates": dates_of(F.col("plain")), "keywords": keywords_of(F.col("plain")),
+            "type": claim_type(F.col("claim")), "stale": is_stale(F.col("plain")),
+        }
+    )
+    sensitive = F.col("plain").rlike(f"(?i){X.whole(X.SENSITIVE)}")
     telling = (F.col("type") == "factual") & ((F.size("numbers") > 0) | (F.size("names") > 1))
     weight = F.when(F.col("stale") | sensitive, "high").when(telling, "medium").otherwise("low")
-    return s.select("doc_id", "ord", "place", "claim", "type", "stale", weight.alias("importance"), "names", "numbers", "dates", "keywords")
+    return d.withColumn("importance", weight).drop("tail")
 
 
 def normalized_sources(sources: DataFrame) -> DataFrame:
-    """``doc_id, source_ord, label, body`` of sources: a bare locator has no text, an empty source is dropped."""
+    """``doc_id, source_ord, label, body`` of all sources given; a bare locator has an empty body."""
     text = T.trimmed(F.coalesce("text", F.lit("")))
-    locator = text.rlike(r"(?i)^(?:https?://\S+|doi:\s*10\.\S+|\[[^\]]*\])?$")
-    body = F.lower(F.when(locator, "").otherwise(text))
-    label = F.coalesce("title", "url", "citation", "id", F.concat(F.lit("source-"), (F.col("source_ord") + 1).cast("string")))
-    d = sources.select("doc_id", "source_ord", label.alias("label"), body.alias("body"), text.alias("raw"))
-    return d.filter((F.col("body") != "") | (F.col("raw") != "")).drop("raw")
-
-
-def source_matches(claim_rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each claim with each source of its document that shares a keyword."""
-    tokens = F.array_distinct(T.all_matches(F.col("body"), r"[\p{L}\p{M}\d][\p{L}\p{M}\d'-]*"))
-    s = sources.filter("body <> ''").withColumn("tokens", tokens)
-    d = claim_rows.join(s, "doc_id")
+    locator = text.rlike(LOCATOR)
+    label = F.coalesce("title", "url", "citation", "id", F.when(locator & (text != ""), text), F.concat(F.lit("source-"), (F.col("source_ord") + 1).cast("string")))
+    return sources.select("doc_id", "source_ord", label.alias("label"), F.lower(F.when(locator, "").otherwise(text)).alias("body"))
+
+
+def contains_value(body: Column, value: Column) -> Column:
+    """Whether the (lower-case) body holds a value that no letter or digit touches."""
+    low = F.lower(value)
+    return F.contains(body, low) & F.rlike(body, F.concat(F.lit(f"(?<!{X.LETTER})\\Q"), low, F.lit(f"\\E(?!{X.LETTER})")))
+
+
+def with_matches(claim_rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Claims with ``matches``, best first, and the numbers of sources given and of those with text."""
+    body = F.collect_list(F.struct("source_ord", "label", "body"))
+    given = sources.groupBy("doc_id").agg(F.array_sort(body).alias("sources"))
+    d = claim_rows.join(given, "doc_id", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<struct<source_ord:int,label:string,body:string>>")))
+    texts = F.filter("sources", lambda s: s["body"] != "")
+    d = d.withColumns({"n_given": F.size("sources").cast("long"), "sources": texts}).withColumn("n_sources", F.size("sources").cast("long"))
     k = F.size("keywords")
-    overlap = F.size(F.array_intersect("keywords", "tokens"))
-    needed = F.least(F.lit(5), F.greatest(F.least(F.lit(3), k), F.ceil(k * 0.45).cast("int")))
-    d = d.withColumns({"overlap": overlap, "needed": needed, "coverage": F.when(k > 0, overlap / k).otherwise(0.0)}).filter("overlap > 0")
-    body = F.concat(F.lit(" "), F.regexp_replace("body", r"[^\p{L}\p{M}\d%.,'-]+", " "), F.lit(" "))
-    plain = F.regexp_replace(body, r"[.,]+ ", " ")
+    years = F.filter("dates", lambda x: x.rlike(X.whole(X.YEAR)))
+    d = d.withColumns(
+        {
+            "years": years,
+            "needed": F.least(F.lit(5), F.greatest(F.least(F.lit(3), k), F.ceil(k * 0.45).cast("int"))),
+            "anchors": F.when(F.size("numbers") > 0, F.col("numbers")).when(F.size(years) > 0, years).otherwise(F.slice("keywords", 1, 6)),
+            "negated": F.col("plain").rlike(f"(?i){X.whole(X.NEGATIONS)}"),
+        }
+    )
+
+    def match(s: Column) -> Column:
+        def lacking(values: str) -> Column:
+            return F.filter(values, lambda v: ~contains_value(s["body"], v))
+
+        overlap = F.size(F.filter("keywords", lambda w: contains_value(s["body"], w)))
+        segments = F.split(s["body"], r"(?<=[.!?])\s+|\n+")
+        denied = F.exists(segments, lambda x: x.rlike(f"(?i){X.whole(X.NEGATIONS)}") & F.exists("anchors", lambda a: contains_value(x, a)))
+        return F.struct(
+            overlap.alias("overlap"), s["source_ord"].alias("source_ord"), s["label"].alias("label"), lacking("numbers").alias("numbers"),
+            lacking("years").alias("years"), lacking("names").alias("names"), (F.col("negated") != denied).alias("conflict"),
+        )
+
+    def judged(m: Column) -> Column:
+        coverage = m["overlap"] / F.size("keywords")
+        agrees = (F.size(m["numbers"]) == 0) & (F.size(m["years"]) == 0) & (F.size(m["names"]) == 0) & ~m["conflict"]
+        small = (coverage >= 0.92) & (m["overlap"] >= F.least(F.col("needed"), F.lit(2)))
+        strong = agrees & (small | ((m["overlap"] >= F.col("needed")) & (coverage >= 0.38)))
+        return F.struct(
+            (-coverage).alias("turn"), (~agrees).alias("late"), m["source_ord"].alias("source_ord"), m["label"].alias("label"), m["overlap"].alias("overlap"), coverage.alias("coverage"),
+            agrees.alias("agrees"), strong.alias("strong"), m["numbers"].alias("numbers"), m["years"].alias("years"), m["names"].alias("names"), m["conflict"].alias("conflict"),
+        )
 
-    def lacking(values: Column) -> Column:
-        return F.size(F.filter(values, lambda v: ~F.contains(F.col("plain"), F.concat(F.lit(" "), F.lower(v), F.lit(" ")))))
+    found = F.filter(F.transform("sources", match), lambda m: m["overlap"] > 0)
+    d = d.withColumn("matches", F.when(k > 0, found)).drop("sources", "anchors", "negated")
+    matches = F.array_sort(F.transform("matches", judged))
+    return d.withColumn("matches", F.coalesce(matches, F.array().cast(_MATCHES)))
 
-    d = d.withColumn("plain", plain)
-    years = F.filter("dates", lambda x: x.rlike(X.YEAR))
-    negated = F.lower("claim").rlike(NEGATIONS) != F.col("body").rlike(NEGATIONS)
-    agrees = (lacking(F.col("numbers")) == 0) & (lacking(years) == 0) & (lacking(F.col("names")) == 0) & ~negated
-    d = d.withColumn("agrees", agrees)
-    small = (F.col("coverage") >= 0.92) & (F.col("overlap") >= F.least(F.col("needed"), F.lit(2)))
-    strong = F.col("agrees") & (small | ((F.col("overlap") >= F.col("needed")) & (F.col("coverage") >= 0.38)))
-    return d.select("doc_id", "ord", "source_ord", "label", "overlap", "needed", "coverage", "agrees", strong.alias("strong"))
+
+_MATCHES = (
+    "array<struct<turn:double,late:boolean,source_ord:int,label:string,overlap:int,coverage:double,agrees:boolean,strong:boolean,"
+    "numbers:array<string>,years:array<string>,names:array<string>,conflict:boolean>>"
+)
+
+
+def source_matches(matched: DataFrame) -> DataFrame:
+    """A row for each claim and source that shares a keyword with it."""
+    d = matched.select("doc_id", "place", "needed", F.posexplode("matches").alias("rank", "m"))
+    return d.select("doc_id", "place", "rank", "m.source_ord", "m.label", "m.overlap", "needed", "m.coverage", "m.agrees", "m.strong")
 
 
 def claim_status(claim_rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Every claim with the status that its best source gives it, and the support it needs."""
-    best = Window.partitionBy("doc_id", "ord").orderBy(F.desc("coverage"), F.desc(F.col("agrees").cast("int")), "source_ord")
-    top = source_matches(claim_rows, sources).withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n")
-    with_text = sources.filter("body <> ''").groupBy("doc_id").agg(F.count("*").alias("n_sources"))
-    d = claim_rows.join(top, ["doc_id", "ord"], "left").join(with_text, "doc_id", "left").fillna(0, ["n_sources", "overlap"]).fillna(0.0, ["coverage"])
-    d = d.withColumn("strong", F.coalesce("strong", F.lit(False)))
+    """Every claim with the status that its best source gives it, the support it needs, what is lacking and what to do."""
+    d = with_matches(claim_rows, sources)
+    best = F.get("matches", F.lit(0))
+    d = d.withColumns({"overlap": F.coalesce(best["overlap"], F.lit(0)), "coverage": F.coalesce(best["coverage"], F.lit(0.0)), "strong": F.coalesce(best["strong"], F.lit(False))})
     status = (
         F.when(F.col("type") != "factual", "not_checked")
         .when((F.col("coverage") >= 0.48) & F.col("strong"), "supported")
         .when((F.col("overlap") >= 2) & (F.col("coverage") >= 0.25), "partially_supported")
-        .when((F.col("n_sources") == 0) & F.col("claim").rlike(X.CITATION), "inline_citation_only")
+        .when((F.size("inline") > 0) & (F.col("n_sources") == 0), "inline_citation_only")
         .when(F.col("n_sources") > 0, "unsupported")
         .otherwise("not_checked")
     )
@@ -133,33 +212,91 @@ def claim_status(claim_rows: DataFrame, sources: DataFrame) -> DataFrame:
         .when(F.col("importance") == "medium", "recommended")
         .otherwise("none")
     )
-    return d.withColumn("need", need)
+    strong = F.transform(F.filter("matches", lambda m: m["strong"]), lambda m: m["label"])
+    some = F.transform(F.slice("matches", 1, 2), lambda m: m["label"])
+    none = F.array().cast("array<string>")
+    evidence = F.when(F.size(strong) > 0, strong).when(s == "partially_supported", some).otherwise(none)
+    d = d.withColumns({"need": need, "evidence": evidence, "support_coverage": T.half_up(F.col("coverage"), 2)})
+    d = d.withColumn("gaps", support_gaps())
+    action = (
+        F.when((s == "supported") & F.col("stale"), "keep_and_recheck")
+        .when(s == "supported", "keep_visible")
+        .when(s == "partially_supported", "tighten_wording")
+        .when(s == "inline_citation_only", "provide_cited_material")
+        .when(s == "unsupported", F.when(F.col("need") == "essential", "support_or_qualify").otherwise("support_qualify_or_remove"))
+        .when(F.col("stale") | (F.size("gaps") > 0), "check_current_material")
+        .otherwise("review_need")
+    )
+    note = F.when(s != "not_checked", s).when(F.col("stale"), "may_be_stale").otherwise("not_checked")
+    return d.withColumns({"action": action, "note": note})
+
+
+def support_gaps() -> Column:
+    """Codes of what a claim's support lacks, with up to three of the values concerned; five at most, in order."""
+    s, best = F.col("status"), F.get("matches", F.lit(0))
+    open_ = s != "supported"
+
+    def values(code: str, xs: Column) -> Column:
+        return F.concat(F.lit(f"{code}:"), F.array_join(F.slice(xs, 1, 3), ","))
+
+    nothing = (F.col("n_sources") == 0) & (s == "not_checked")
+    cover = F.concat(F.lit("coverage:"), T.half_up(best["coverage"] * 100).cast("int").cast("string"))
+    found = [
+        (nothing & (F.col("n_given") > 0), F.lit("sources_without_text")),
+        (nothing & (F.col("n_given") == 0), F.lit("no_sources")),
+        (s == "unsupported", F.lit("no_match")),
+        (s == "partially_supported", F.lit("partial_overlap")),
+        (F.size(best["numbers"]) > 0, values("number_mismatch", best["numbers"])),
+        (F.size(best["years"]) > 0, values("date_mismatch", best["years"])),
+        (F.size(best["names"]) > 0, values("name_missing", best["names"])),
+        (best["conflict"], F.lit("negation_mismatch")),
+        (s == "inline_citation_only", F.lit("citation_unchecked")),
+        ((F.size("inline") > 0) & open_ & (s != "inline_citation_only"), F.lit("citation_not_enough")),
+        ((F.size("numbers") > 0) & open_, values("number_needs_support", F.col("numbers"))),
+        ((F.col("stale") | (F.size("dates") > 0)) & open_, F.lit("time_sensitive")),
+        ((F.size("names") > 1) & open_, values("names_need_support", F.col("names"))),
+        ((F.size("matches") > 0) & (s == "partially_supported"), cover),
+    ]
+    return F.slice(F.array_compact(F.array(*[F.when(test, code) for test, code in found])), 1, 5)
+
+
+CONFLICTS = r"^(?:number_mismatch|date_mismatch|negation_mismatch)"
 
 
 def claim_review(statuses: DataFrame) -> DataFrame:
-    """Counts a document, and its source band."""
+    """Counts a document, its source band and the caveats that hold."""
 
     def n(test: Column) -> Column:
         return F.count_if(test)
 
-    s = F.col("status")
+    s, factual = F.col("status"), F.col("type") == "factual"
     d = statuses.groupBy("doc_id").agg(
         F.count("*").alias("claims"),
-        n(F.col("type") == "factual").alias("factual"),
+        n(factual).alias("factual"),
         n(s == "supported").alias("supported"),
         n(s == "partially_supported").alias("partial"),
         n(s == "unsupported").alias("unsupported"),
         n(s == "inline_citation_only").alias("inline_only"),
+        n(factual & (s == "not_checked")).alias("not_checked"),
         n(F.col("stale")).alias("stale"),
         n(F.col("need") == "essential").alias("essential"),
+        n(F.exists("gaps", lambda g: g.rlike(CONFLICTS))).alias("conflicts"),
         F.max("n_sources").alias("n_sources"),
+        F.max("n_given").alias("n_given"),
     )
     c = F.col
-    weak = c("unsupported") + c("partial") + c("inline_only")
+    checked = c("supported") + c("partial") + c("unsupported")
     band = (
-        F.when((c("factual") == 0) | (c("n_sources") == 0), "not_checked")
-        .when((c("supported") > 0) & (weak == 0), "supported")
+        F.when((c("factual") == 0) | (c("n_given") == 0) | (checked == 0), "not_checked")
+        .when(c("unsupported") + c("partial") + c("inline_only") == 0, "supported")
         .when(c("supported") + c("partial") + c("inline_only") > 0, "mixed")
         .otherwise("weakly_supported")
     )
-    return d.withColumn("source_band", band)
+    caveats = F.array_compact(
+        F.array(
+            F.when((c("n_sources") == 0) & (c("factual") > 0), F.when(c("n_given") > 0, "sources_without_text").otherwise("no_sources")),
+            F.when(c("inline_only") > 0, "citations_are_no_proof"),
+            F.when(c("conflicts") > 0, "conflicts_are_partial"),
+        )
+    )
+    return d.withColumns({"source_band": band, "caveats": caveats})

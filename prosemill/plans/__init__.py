@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import report_queries, scoring_queries, source_queries, text_queries
+from . import claim_queries, report_queries, scoring_queries, source_queries, text_queries
 
-MODULES = (text_queries, scoring_queries, source_queries, report_queries)
+MODULES = (text_queries, scoring_queries, source_queries, claim_queries, report_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

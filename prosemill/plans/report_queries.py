@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import claims as C
 from ..operators import preparation as P
 from ..operators import proofreading
 from ..operators import report as A
 from ..operators import scoring as R
 from . import scoring_queries as SQ
+from . import claim_queries as CQ
 from . import source_queries as OQ
 from . import sql as S
 from . import text_queries as TQ
@@ -18,7 +18,7 @@ from . import text_queries as TQ
 def _tables(spark, sf_dir):
     m = SQ.measured(spark, sf_dir)
     d = TQ.prepared(spark, sf_dir)
-    statuses = C.claim_status(C.claims(d), OQ._sources(spark, sf_dir, d))
+    statuses = CQ.statuses(spark, sf_dir)
     issues = proofreading.issues(P.with_language(d))
     return m, statuses, issues
 
@@ -29,7 +29,7 @@ def dimension_findings(spark, sf_dir):
 
 def all_spans(spark, sf_dir):
     m, _, issues = _tables(spark, sf_dir)
-    return A.all_spans(R.phrase_spans(m), OQ.claim_spans(spark, sf_dir), issues).groupBy("source", "label").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
+    return A.all_spans(R.phrase_spans(m), CQ.claim_spans(spark, sf_dir), issues).groupBy("source", "label").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
 
 
 def top_actions(spark, sf_dir):
@@ -39,12 +39,12 @@ def top_actions(spark, sf_dir):
 
 def report_sections(spark, sf_dir):
     m, statuses, issues = _tables(spark, sf_dir)
-    return A.sections(statuses, issues, A.all_spans(R.phrase_spans(m), OQ.claim_spans(spark, sf_dir), issues), A.dimension_findings(m))
+    return A.sections(statuses, issues, A.all_spans(R.phrase_spans(m), CQ.claim_spans(spark, sf_dir), issues), A.dimension_findings(m))
 
 
 def report_markdown(spark, sf_dir):
     m, statuses, issues = _tables(spark, sf_dir)
-    spans = A.all_spans(R.phrase_spans(m), OQ.claim_spans(spark, sf_dir), issues)
+    spans = A.all_spans(R.phrase_spans(m), CQ.claim_spans(spark, sf_dir), issues)
     return A.markdown(A.sections(statuses, issues, spans, A.dimension_findings(m), "checklist"))
 
 
@@ -80,5 +80,5 @@ QUERIES = {f.__name__: f for f in (dimension_findings, all_spans, top_actions, r
 
 ORACLE = {
     "dimension_findings": SQ._scored("SELECT doc_id, kind, name, score FROM fi", SQ._Q, _FINDINGS),
-    "top_actions": SQ._scored("SELECT doc_id, CAST(place AS INTEGER) AS place, kind, name, weight FROM ak WHERE place <= 8", SQ._Q, _FINDINGS, OQ._CLAIMS, OQ._STATUS, _ISSUES, _ACTIONS),
+    "top_actions": SQ._scored("SELECT doc_id, CAST(place AS INTEGER) AS place, kind, name, weight FROM ak WHERE place <= 8", SQ._Q, _FINDINGS, *CQ.STATUS, _ISSUES, _ACTIONS),
 }

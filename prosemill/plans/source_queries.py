@@ -1,4 +1,4 @@
-"""Queries over pages, requests and claims, each with its SQL."""
+"""Queries over pages, requests and proofreading, each with its SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as X
 from ..functions import text as T
-from ..operators import claims as C
 from ..operators import preparation as P
 from ..operators import proofreading as R
 from ..sources import pages as G
@@ -70,70 +69,11 @@ def url_redaction(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", F.concat(host, F.lit("/…")).alias("shown"))
 
 
-def claim_rows(spark, sf_dir):
-    d = C.claims(prepared(spark, sf_dir))
-    return d.select("doc_id", "place", "type", "stale", "importance", *[F.size(x).alias(f"n_{x}") for x in ("names", "numbers", "dates", "keywords")])
-
-
-def claim_keywords(spark, sf_dir):
-    d = C.claims(prepared(spark, sf_dir)).select("doc_id", "place", F.explode("keywords").alias("keyword"))
-    return d.groupBy("keyword").agg(F.count("*").alias("n"))
-
-
-def _sources(spark, sf_dir, docs):
-    """Evidence of a document: the benchmark item that its id names."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    n = items.count()
-    d = docs.select("doc_id", F.pmod("doc_id", F.lit(n)).alias("item_id")).join(items, "item_id")
-    d = d.select("doc_id", F.lit(0).alias("source_ord"), F.col("item_id").cast("string").alias("id"), "text", *[F.lit(None).cast("string").alias(c) for c in ("title", "url", "citation")])
-    return C.normalized_sources(d)
-
-
-def _statuses(spark, sf_dir):
-    d = prepared(spark, sf_dir)
-    return C.claim_status(C.claims(d), _sources(spark, sf_dir, d))
-
-
-def claim_status(spark, sf_dir):
-    return _statuses(spark, sf_dir).select("doc_id", "place", "overlap", "status", "need")
-
-
-def claim_review(spark, sf_dir):
-    return C.claim_review(_statuses(spark, sf_dir))
-
-
-def claims_csv(spark, sf_dir):
-    """The rows of the claims file, arrays joined by semicolons; ``DataFrameWriter.csv`` quotes them."""
-    d = C.claims(prepared(spark, sf_dir))
-    return d.select("doc_id", "place", "type", "importance", *[F.array_join(x, "; ").alias(x) for x in ("names", "numbers", "dates")], "claim")
-
-
 def proof_issues(spark, sf_dir):
     d = R.issues(P.with_language(prepared(spark, sf_dir)))
     return d.select("doc_id", "place", "rule", "start", "end", "suggestion")
 
 
-def claim_spans(spark, sf_dir):
-    """Where claims that need attention stand: unsupported, cited only inline, or likely stale."""
-    d = prepared(spark, sf_dir)
-    places = P.sentence_rows(d).select("doc_id", "ord", "start", "end")
-    found = C.claim_status(C.claims(d), _sources(spark, sf_dir, d)).select("doc_id", "ord", "status", "stale")
-    label = F.when(F.col("status").isin("unsupported", "inline_citation_only"), F.col("status")).when(F.col("stale"), "freshness_risk")
-    d = found.withColumn("label", label).filter("label is not null").join(places, ["doc_id", "ord"])
-    return d.select("doc_id", "start", "end", "label")
-
-
-def claim_locations(spark, sf_dir):
-    """The paragraph that holds each claim: sentences and paragraphs meet by their places."""
-    d = prepared(spark, sf_dir)
-    parts = T.spans(F.col("norm"), r"(?s)(?:(?!\n\n).)+")
-    p = d.select("doc_id", F.posexplode(F.filter(parts, lambda x: T.trimmed(x["text"]) != "")).alias("paragraph", "p"))
-    p = p.select("doc_id", "paragraph", F.col("p.start").alias("ps"), F.col("p.end").alias("pe"))
-    s = P.sentence_rows(d).select("doc_id", "ord", F.col("start").alias("ss"))
-    c = C.claims(d).select("doc_id", "ord", "place").join(s, ["doc_id", "ord"])
-    return c.join(p, "doc_id").filter("ss >= ps and ss < pe").select("doc_id", "place", "paragraph")
-
-
 def section_tree(spark, sf_dir):
     return P.sections(P.blocks(prepared(spark, sf_dir)))
 
@@ -152,9 +92,8 @@ def text_excerpt(spark, sf_dir):
 
 def goal_inference(spark, sf_dir):
     low = F.lower("text")
-    goals = (("source_support", "source|claim|citation|evidence|support"), ("clarity_rewrite", "clarity|rewrite|readability|plain|edit"), ("risk_review", "risk|integrity|provenance|safety|trust"), ("publish_ready_review", "publish|ready|approval|final"), ("editorial_triage", "triage|scan|overview|checklist"))
     out = F.when(F.lit(False), "")
-    for goal, words in goals:
+    for goal, words in X.GOAL_WORDS:
         out = out.when(low.rlike(X.whole(words)), goal)
     d = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return d.select("conv_id", "turn", out.alias("goal"))
@@ -197,7 +136,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_title, page_size_gate, url_normalize, url_guard_ipv4, html_to_text, html_candidate_scores, readable_extract, editor_markup_text, url_redaction,
-        claim_rows, claim_keywords, claim_status, claim_review, claims_csv, claim_spans, claim_locations, section_tree, proof_issues, proof_merge, text_excerpt, goal_inference, dedupe_window, rate_limit_tumbling,
+        section_tree, proof_issues, proof_merge, text_excerpt, goal_inference, dedupe_window, rate_limit_tumbling,
         rate_limit_daily, input_gates, input_fingerprint, sanitize_fields,
     )
 }
@@ -243,31 +182,6 @@ _EDITOR = _chain(
     *[(rf"(?i)<h{k}[^>]*>", f"{_NL} || '{'#' * k} '") for k in range(1, 7)], (r"(?i)</(?:p|div|section|article|main|blockquote|li|ul|ol|h[1-6])>", _NL),
     (r"<[^>]+>", "' '"), (r"[ \t\x{00a0}]+", "' '"), (r"[ \t]*\n[ \t]*", _NL), (r"\n{3,}", f"{_NL} || {_NL}"), *_TRIM,
 )
-_NAMES = f"list_filter(list_transform(range(1, len(nm) + 1), lambda i: CASE WHEN i = 1 AND regexp_matches(claim, '^[A-Z]') AND nm[1] IN ({', '.join(map(S.quoted, X.OPENERS))}) THEN NULL WHEN regexp_matches(nm[i], '^(?:{X.ROLE_NOUNS})$') THEN NULL ELSE nm[i] END), lambda x: x IS NOT NULL)"
-
-
-def _ordered(xs: str) -> str:
-    """Distinct in order of first occurrence, eight at most."""
-    return f"list_filter({xs}, lambda x, i: list_position({xs}, x) = i)[1:8]"
-
-
-_YEARS = r"\b(?:20\d{2}|19\d{2}|today|currently|as of|latest|newest|now)\b"
-_KEY = r"list_distinct(list_filter(regexp_extract_all(lower(claim), '[\p{L}\p{M}][\p{L}\p{M}''-]*'), lambda w: length(w) >= 5 AND w NOT IN (" + ", ".join(map(S.quoted, X.CLAIM_STOP_WORDS)) + ")))"
-_CLAIMS = f"""
-se AS (SELECT doc_id, ord, {_chain("text", *_TRIM)} AS claim FROM {S.span_rows("t", "norm", r"[^.!?\n]+(?:[.!?]+|$)")} WHERE regexp_matches(text, '[\\p{{L}}\\p{{M}}]')),
-s1 AS (SELECT *, regexp_extract_all(claim, '{S.NAME_SQL}') AS nm, regexp_extract_all(claim, '{S.NUMBER_SQL}') AS nu0, regexp_extract_all(claim, '(?i){_YEARS}') AS da0 FROM se),
-s2 AS (SELECT *, {_NAMES} AS nm1 FROM s1),
-s3 AS (SELECT *, {_ordered("nm1")} AS names, {_ordered("nu0")} AS numbers, {_ordered("da0")} AS dates FROM s2),
-s4 AS (SELECT * FROM s3 WHERE NOT ends_with(claim, '?') AND (len(numbers) > 0 OR len(list_filter(dates, lambda d: regexp_matches(d, '(?:20\\d{{2}}|19\\d{{2}})'))) > 0
-  OR (regexp_matches(lower(claim), '\\b(?:{X.CLAIM_VERBS})\\b') AND (length(claim) >= 22 OR len(names) > 0)) OR (length(claim) >= 35 AND len(names) > 0))),
-s5 AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS INTEGER) AS place, {_KEY} AS keywords,
-  CASE WHEN regexp_matches(lower(claim), '\\b(?:i think|i believe|in my view|opinion|arguably|perhaps)\\b') THEN 'opinion'
-       WHEN regexp_matches(lower(claim), '\\b(?:will|going to|expected to|forecast|predict|likely to)\\b') THEN 'prediction'
-       WHEN regexp_matches(lower(claim), '\\b(?:should|must|need to|recommend|consider|ought to)\\b') THEN 'recommendation'
-       WHEN regexp_matches(lower(claim), '\\b(?:always|never|everyone|no one|best|worst)\\b') AND NOT regexp_matches(claim, '\\d') THEN 'unverifiable' ELSE 'factual' END AS type,
-  regexp_matches(claim, '(?i)\\b(?:{X.STALE})\\b') OR regexp_matches(claim, '\\b20\\d{{2}}\\b') AS stale FROM s4),
-c AS (SELECT *, CASE WHEN stale OR regexp_matches(claim, '(?i)\\b(?:{X.SENSITIVE})\\b') THEN 'high'
-  WHEN type = 'factual' AND (len(numbers) > 0 OR len(names) > 1) THEN 'medium' ELSE 'low' END AS importance FROM s5 WHERE place <= {C.MOST_CLAIMS})"""
 _PROOF = " UNION ALL ".join(
     [f"SELECT doc_id, '1-misspelling' AS rule, {i} AS i, {S.quoted(right)} AS suggestion, start, \"end\" FROM {S.span_rows('en', 'norm', rf'(?i)\b(?:{wrong})\b')}" for i, (wrong, right) in enumerate(X.MISSPELLINGS)]
     + [f"SELECT doc_id, '3-spacing', 0, ' ', start, \"end\" FROM {S.span_rows('en', 'norm', '[ \\t]{2,}')}"]
@@ -275,35 +189,7 @@ _PROOF = " UNION ALL ".join(
 )
 _GUARD = " OR ".join(f"number BETWEEN {a} AND {b}" for a, b in (G._range(n, k) for n, k in G.PRIVATE))
 
-_NEGATED = r"\b(?:no|not|never|none|cannot|without|[a-z]+n't)\b"
-_STATUS = f"""
-sr AS (SELECT doc_id, lower({_chain("b.text", *_TRIM)}) AS body FROM documents JOIN benchmark b ON b.item_id = doc_id % (SELECT count(*) FROM benchmark)
-       WHERE NOT regexp_matches({_chain("b.text", *_TRIM)}, '(?i)^(?:https?://\\S+|doi:\\s*10\\.\\S+|\\[[^\\]]*\\])?$')),
-so AS (SELECT doc_id, body, list_distinct(regexp_extract_all(body, '[\\p{{L}}\\p{{M}}\\d][\\p{{L}}\\p{{M}}\\d''-]*')) AS tokens,
-  regexp_replace(' ' || regexp_replace(body, '[^\\p{{L}}\\p{{M}}\\d%.,''-]+', ' ', 'g') || ' ', '[.,]+ ', ' ', 'g') AS plain FROM sr),
-m0 AS (SELECT c.*, so.doc_id IS NOT NULL AS sourced, coalesce(len(list_intersect(keywords, tokens)), 0) AS ov, len(keywords) AS kn,
-  len(list_filter(list_concat(list_concat(names, numbers), list_filter(dates, lambda d: regexp_matches(d, '(?:20\\d{{2}}|19\\d{{2}})'))), lambda v: NOT contains(plain, ' ' || lower(v) || ' '))) AS lacking,
-  regexp_matches(lower(claim), {S.quoted(_NEGATED)}) <> regexp_matches(body, {S.quoted(_NEGATED)}) AS negated
-  FROM c LEFT JOIN so ON so.doc_id = c.doc_id),
-m1 AS (SELECT *, CASE WHEN kn > 0 THEN ov / CAST(kn AS DOUBLE) ELSE 0.0 END AS cov, least(5, greatest(least(3, kn), CAST(ceil(kn * 0.45::DOUBLE) AS INTEGER))) AS needed FROM m0),
-m2 AS (SELECT *, ov > 0 AND lacking = 0 AND NOT negated AND ((cov >= 0.92 AND ov >= least(needed, 2)) OR (ov >= needed AND cov >= 0.38)) AS strong FROM m1),
-m3 AS (SELECT *, CASE WHEN type <> 'factual' THEN 'not_checked' WHEN cov >= 0.48 AND strong THEN 'supported' WHEN ov >= 2 AND cov >= 0.25 THEN 'partially_supported'
-  WHEN NOT sourced AND regexp_matches(claim, {S.quoted("(?i)" + S.CITATION_SQL)}) THEN 'inline_citation_only' WHEN sourced THEN 'unsupported' ELSE 'not_checked' END AS status FROM m2),
-sc AS (SELECT *, CASE WHEN type <> 'factual' OR status = 'supported' THEN 'none' WHEN stale OR importance = 'high' THEN 'essential'
-  WHEN status = 'unsupported' THEN CASE WHEN sourced THEN 'essential' ELSE 'important' END WHEN status = 'inline_citation_only' THEN 'important'
-  WHEN status = 'partially_supported' OR importance = 'medium' THEN 'recommended' ELSE 'none' END AS need FROM m3)"""
-
 ORACLE = {
-    "claim_status": S.with_prepared("SELECT doc_id, place, ov AS overlap, status, need FROM sc", _CLAIMS, _STATUS),
-    "claim_review": S.with_prepared(
-        """SELECT *, CASE WHEN factual = 0 OR n_sources = 0 THEN 'not_checked' WHEN supported > 0 AND unsupported + partial + inline_only = 0 THEN 'supported'
-  WHEN supported + partial + inline_only > 0 THEN 'mixed' ELSE 'weakly_supported' END AS source_band FROM (SELECT doc_id, count(*) AS claims,
-  count(*) FILTER (type = 'factual') AS factual, count(*) FILTER (status = 'supported') AS supported, count(*) FILTER (status = 'partially_supported') AS partial,
-  count(*) FILTER (status = 'unsupported') AS unsupported, count(*) FILTER (status = 'inline_citation_only') AS inline_only, count(*) FILTER (stale) AS stale,
-  count(*) FILTER (need = 'essential') AS essential, CAST(max(CAST(sourced AS INTEGER)) AS BIGINT) AS n_sources FROM sc GROUP BY doc_id)""",
-        _CLAIMS,
-        _STATUS,
-    ),
     "page_title": f"SELECT page_id, CASE WHEN x <> '' THEN {_fragment('x')} END AS title FROM (SELECT page_id, regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1) AS x FROM pages)",
     "page_size_gate": f"SELECT strlen(html) <= {G.MOST_BYTES} AS accepted, count(*) AS n, CAST(sum(strlen(html)) AS BIGINT) AS bytes FROM pages GROUP BY 1",
     "url_normalize": f"WITH {_NURL} SELECT * FROM nu",
@@ -318,9 +204,6 @@ ch AS (SELECT page_id, coalesce(score >= greatest(60.0::DOUBLE, {_WORDS.format("
 tx AS (SELECT page_id, chosen, CASE WHEN chosen THEN text ELSE f END AS x FROM ch), tw AS (SELECT *, {_WORDS.format("x")} AS words FROM tx)
 SELECT page_id, length(x) AS n_chars, words, chosen, CAST(CASE WHEN words >= 180 THEN 0.86 WHEN words >= 80 THEN 0.68 WHEN words >= 30 THEN 0.42 ELSE 0.18 END AS DOUBLE) AS confidence FROM tw""",
     "editor_markup_text": f"SELECT page_id, length(x) AS n_chars, md5(x) AS digest FROM (SELECT page_id, {_EDITOR} AS x FROM pages)",
-    "claim_rows": S.with_prepared("SELECT doc_id, place, type, stale, importance, len(names) AS n_names, len(numbers) AS n_numbers, len(dates) AS n_dates, len(keywords) AS n_keywords FROM c", _CLAIMS),
-    "claim_keywords": S.with_prepared("SELECT keyword, count(*) AS n FROM (SELECT unnest(keywords) AS keyword FROM c) GROUP BY 1", _CLAIMS),
-    "claims_csv": S.with_prepared("SELECT doc_id, place, type, importance, array_to_string(names, '; ') AS names, array_to_string(numbers, '; ') AS numbers, array_to_string(dates, '; ') AS dates, claim FROM c", _CLAIMS),
     "proof_issues": S.with_language(
         f"""SELECT doc_id, CAST(k AS INTEGER) AS place, rule, start, "end", suggestion FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rule, i, start) AS k FROM ({_PROOF} UNION ALL
   SELECT doc_id, '2-repeated', 0, '', start, "end" FROM rp)) WHERE k <= {R.MOST_ISSUES}""",
@@ -332,13 +215,6 @@ SELECT page_id, length(x) AS n_chars, words, chosen, CAST(CASE WHEN words >= 180
         """ru AS (SELECT *, ord - row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS island FROM pr)""",
         """rp AS (SELECT doc_id, start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY ord) AS z FROM ru) WHERE z % 2 = 1)""",
     ),
-    "claim_spans": S.with_prepared(
-        """SELECT sc.doc_id, x.start, x."end", CASE WHEN status IN ('unsupported', 'inline_citation_only') THEN status ELSE 'freshness_risk' END AS label
-FROM sc JOIN sx x ON x.doc_id = sc.doc_id AND x.ord = sc.ord WHERE status IN ('unsupported', 'inline_citation_only') OR stale""",
-        _CLAIMS,
-        _STATUS,
-        f"""sx AS (SELECT * FROM {S.span_rows("t", "norm", r"[^.!?\n]+(?:[.!?]+|$)")})""",
-    ),
     "text_excerpt": S.with_prepared(f"SELECT doc_id, CASE WHEN length(f) > 72 THEN substring(f, 1, 72) || '…' ELSE f END AS excerpt FROM (SELECT doc_id, {_chain('norm', (chr(92) + 's+', chr(39) + ' ' + chr(39)), *_TRIM)} AS f FROM d)"),
     "section_tree": S.with_prepared(
         f"""SELECT doc_id, ord, kind, section, CASE WHEN kind = 'heading' THEN coalesce((SELECT max(b.ord) FROM bk b WHERE b.doc_id = a.doc_id AND b.ord < a.ord AND b.kind = 'heading' AND b.level < a.level), -1) END AS parent
@@ -346,11 +222,7 @@ FROM (SELECT *, coalesce(max(CASE WHEN kind = 'heading' THEN ord END) OVER (PART
         "pp AS (SELECT doc_id, CAST(unnest(range(0, len(paras))) AS INTEGER) AS ord, unnest(paras) AS x FROM t)",
         f"bk AS (SELECT doc_id, ord, {TQ._KIND} AS kind, CASE WHEN {TQ._KIND} = 'heading' THEN length(regexp_extract({TQ._FIRST}, '^(#+)', 1)) END AS level FROM pp)",
     ),
-    "goal_inference": r"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\b(?:source|claim|citation|evidence|support)\b') THEN 'source_support'
-  WHEN regexp_matches(lower(text), '\b(?:clarity|rewrite|readability|plain|edit)\b') THEN 'clarity_rewrite'
-  WHEN regexp_matches(lower(text), '\b(?:risk|integrity|provenance|safety|trust)\b') THEN 'risk_review'
-  WHEN regexp_matches(lower(text), '\b(?:publish|ready|approval|final)\b') THEN 'publish_ready_review'
-  WHEN regexp_matches(lower(text), '\b(?:triage|scan|overview|checklist)\b') THEN 'editorial_triage' END AS goal FROM conversations""",
+    "goal_inference": "SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '\\b(?:{w})\\b') THEN '{g}'" for g, w in X.GOAL_WORDS) + " END AS goal FROM conversations",
     "dedupe_window": f"SELECT event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) <= {V.DUPLICATE_SECONDS * 1_000_000}, false) AS duplicate FROM events",
     "rate_limit_tumbling": "SELECT user_id AS key, epoch_us(ts) // 3600000000 * 3600 AS start, count(*) AS n, greatest(0, count(*) - 1) AS rejected FROM events GROUP BY 1, 2",
     "rate_limit_daily": f"SELECT 'site' AS key, epoch_us(ts) // 86400000000 * 86400 AS start, count(*) AS n, greatest(0, count(*) - {V.PER_DAY}) AS rejected FROM events GROUP BY 1, 2",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as X
@@ -13,9 +13,10 @@ from ..sources import tables
 from . import sql as S
 
 
-def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prepared(spark: SparkSession, sf_dir: str, text: Column | None = None) -> DataFrame:
+    """The prepared documents; ``text`` takes the place of theirs."""
     docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return P.prepare(tables.spread(docs))
+    return P.prepare(docs if text is None else docs.withColumn("text", text))
 
 
 def text_normalize(spark, sf_dir):
