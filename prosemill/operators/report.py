@@ -24,22 +24,9 @@ def severity(score: Column, inverted: bool) -> Column:
     return F.when(value >= 72, "high").when(value >= 45, "medium").otherwise("low")
 
 
-def provenance_findings() -> dict[str, Column]:
-    c = F.col
-    return {
-        "lexical_repetition": (c("repeated_word_rate") > 0.08) | (c("repeated_phrases") > 1) | (c("repeated_openings") > 1),
-        "discourse_regularity": (c("n_paragraphs") >= 4) & (c("closing") | (c("list_items") >= 3)),
-        "connector_density": c("connectors") > 0,
-        "formatting_density": c("formatting_density") > 0.28,
-        "sentence_rhythm": (c("n_sentences") >= 6) & (c("sentence_variation") < 0.42),
-        "register_mismatch": c("institutional") & ~c("formal"),
-        "specific_texture": (c("n_words") >= 120) & (c("n_numbers") + c("n_names") == 0),
-    }
-
-
 def dimension_findings(d: DataFrame) -> DataFrame:
     """``doc_id, kind, ord, name, score`` of every dimension of either kind with a finding."""
-    q, p, found = R.quality_scores(), R.provenance_scores(), provenance_findings()
+    q, p, found = R.quality_scores(), R.provenance_scores(), R.provenance_findings()
     rows = [F.struct(F.lit("quality").alias("kind"), F.lit(i).alias("ord"), F.lit(n).alias("name"), q[n].alias("score"), (q[n] < limit).alias("found")) for i, (n, _, limit, _) in enumerate(R.QUALITY)]
     rows += [F.struct(F.lit("provenance").alias("kind"), F.lit(100 + i).alias("ord"), F.lit(n).alias("name"), p[n].alias("score"), found[n].alias("found")) for i, (n, _, _) in enumerate(R.PROVENANCE)]
     return d.select("doc_id", F.inline(F.array(*rows))).filter("found").drop("found")

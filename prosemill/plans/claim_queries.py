@@ -218,13 +218,13 @@ m0 AS MATERIALIZED (SELECT z.doc_id, z.place, source_ord, label, needed, len(key
   negated <> (len(list_filter(denied, lambda seg: len(list_filter(anchors, lambda a: {_has(_marked("seg"), "a")})) > 0)) > 0) AS conflict
   FROM z JOIN den ON den.doc_id = z.doc_id),
 m1 AS (SELECT *, overlap / CAST(kn AS DOUBLE) AS coverage, len(no_numbers) + len(no_years) + len(no_names) = 0 AND NOT conflict AS agrees FROM m0 WHERE overlap > 0),
-mm AS (SELECT *, agrees AND ((coverage >= 0.92 AND overlap >= least(needed, 2)) OR (overlap >= needed AND coverage >= 0.38)) AS strong,
+mt AS (SELECT *, agrees AND ((coverage >= 0.92 AND overlap >= least(needed, 2)) OR (overlap >= needed AND coverage >= 0.38)) AS strong,
   CAST(row_number() OVER (PARTITION BY doc_id, place ORDER BY coverage DESC, agrees DESC, source_ord) - 1 AS INTEGER) AS rank FROM m1),
 counts AS (SELECT doc_id, count(*) AS n_given, count(*) FILTER (body <> '') AS n_sources FROM src GROUP BY 1),
-ev AS (SELECT doc_id, place, list(label ORDER BY rank) FILTER (strong) AS strong_labels, list(label ORDER BY rank) FILTER (rank < 2) AS first_labels FROM mm GROUP BY ALL),
+ev AS (SELECT doc_id, place, list(label ORDER BY rank) FILTER (strong) AS strong_labels, list(label ORDER BY rank) FILTER (rank < 2) AS first_labels FROM mt GROUP BY ALL),
 s0 AS (SELECT y.*, coalesce(n_given, 0) AS n_given, coalesce(n_sources, 0) AS n_sources, coalesce(overlap, 0) AS overlap, coalesce(coverage, 0.0) AS coverage, coalesce(strong, false) AS strong,
   no_numbers, no_years, no_names, conflict, rank IS NOT NULL AS matched, strong_labels, first_labels
-  FROM y LEFT JOIN counts ON counts.doc_id = y.doc_id LEFT JOIN mm ON mm.doc_id = y.doc_id AND mm.place = y.place AND rank = 0 LEFT JOIN ev ON ev.doc_id = y.doc_id AND ev.place = y.place),
+  FROM y LEFT JOIN counts ON counts.doc_id = y.doc_id LEFT JOIN mt ON mt.doc_id = y.doc_id AND mt.place = y.place AND rank = 0 LEFT JOIN ev ON ev.doc_id = y.doc_id AND ev.place = y.place),
 s1 AS (SELECT *, CASE WHEN type <> 'factual' THEN 'not_checked' WHEN coverage >= 0.48 AND strong THEN 'supported' WHEN overlap >= 2 AND coverage >= 0.25 THEN 'partially_supported'
   WHEN len(inline) > 0 AND n_sources = 0 THEN 'inline_citation_only' WHEN n_sources > 0 THEN 'unsupported' ELSE 'not_checked' END AS status FROM s0),
 s2 AS (SELECT *, CASE WHEN type <> 'factual' OR status = 'supported' THEN 'none' WHEN stale OR importance = 'high' THEN 'essential'
@@ -280,7 +280,7 @@ ORACLE = {
         "FROM documents)", r"FROM (SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '\. ([A-Z])', ' [12]. See https://example.org/\1 and doi:10.1234/x.y1. \1', 'g') END AS text) FROM documents))"
     ),
     "source_normalize": S.with_prepared("SELECT doc_id, source_ord, label, md5(body) AS digest FROM src", _SOURCES),
-    "claim_source_matches": _status("SELECT doc_id, place, rank, source_ord, label, overlap, needed, coverage, agrees, strong FROM mm"),
+    "claim_source_matches": _status("SELECT doc_id, place, rank, source_ord, label, overlap, needed, coverage, agrees, strong FROM mt"),
     "claim_status": _status("SELECT doc_id, place, overlap, status, need FROM sc"),
     "claim_support_need": _status("SELECT status, importance, need, action, note, count(*) AS n FROM sc GROUP BY ALL"),
     "claim_gaps": _status("SELECT doc_id, place, array_to_string(gaps, '|') AS gaps FROM sc"),

@@ -48,20 +48,11 @@ def report_markdown(spark, sf_dir):
     return A.markdown(A.sections(statuses, issues, spans, A.dimension_findings(m), "checklist"))
 
 
-_FOUND = {
-    "lexical_repetition": "repeated_word_rate > 0.08 OR repeated_phrases > 1 OR repeated_openings > 1",
-    "discourse_regularity": "n_paragraphs >= 4 AND (closing OR list_items >= 3)",
-    "connector_density": "connector_density > 0",
-    "formatting_density": "formatting_density > 0.28",
-    "sentence_rhythm": "n_sentences >= 6 AND sentence_variation < 0.42",
-    "register_mismatch": "institutional AND NOT formal",
-    "specific_texture": "n_words >= 120 AND n_numbers + n_names = 0",
-}
 _FINDINGS = (
     "fi AS ("
     + " UNION ALL ".join(
         [f"SELECT doc_id, 'quality' AS kind, {i} AS ord, '{n}' AS name, s_{n} AS score FROM qs WHERE s_{n} < {lim}" for i, (n, _, lim, _) in enumerate(R.QUALITY)]
-        + [f"SELECT doc_id, 'provenance', {100 + i}, '{n}', {SQ._risk(n)} FROM qs WHERE {_FOUND[n]}" for i, (n, _, _) in enumerate(R.PROVENANCE)]
+        + [f"SELECT doc_id, 'provenance', {100 + i}, '{n}', {SQ._risk(n)} FROM qs WHERE {SQ.FOUND_SQL[n]}" for i, (n, _, _) in enumerate(R.PROVENANCE)]
     )
     + ")"
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as X
@@ -14,7 +14,45 @@ from . import text_queries as TQ
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.measured(tables.spread(tables.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
+    return R.measured(tables.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
+def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured documents with metadata made from their ids."""
+    d = tables.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    pick = lambda n, *xs: F.get(F.array(*[F.lit(x) for x in xs]), F.pmod("doc_id", F.lit(n)).cast("int"))
+    return R.measured(d.withColumns({"genre_hint": pick(7, *HINTS), "channel": pick(5, "policy", "web"), "audience": pick(4, "readers"), "locale": pick(3, "en-GB"), "goal": pick(2, "source_support")}))
+
+
+HINTS = ("Policy", "marketing", "poem", "support", "academic")
+
+
+def dimension_confidence(spark, sf_dir):
+    """Scores and confidences of all dimensions where the metadata say something."""
+    d = profiled(spark, sf_dir)
+    q = R.quality_dimensions(d).select("doc_id", "dimension", "score", "confidence", "finding")
+    return q.unionByName(R.provenance_dimensions(d).select("doc_id", "dimension", "score", "confidence", "finding"))
+
+
+def profile_bands(spark, sf_dir):
+    d = R.with_provenance(R.with_quality(profiled(spark, sf_dir)))
+    return d.select("doc_id", "genre", "genre_confidence", "quality_band", "provenance_band", "provenance_confidence")
+
+
+def overall_quality(spark, sf_dir):
+    return R.with_quality(measured(spark, sf_dir)).groupBy("quality_band").agg(F.count("*").alias("n"), F.sum("quality_score").cast("long").alias("total"))
+
+
+def quality_recommendations(spark, sf_dir):
+    return R.quality_recommendations(measured(spark, sf_dir)).select("doc_id", F.array_join("advice", "|").alias("advice"))
+
+
+def bloat_only(spark, sf_dir):
+    return R.phrase_spans(measured(spark, sf_dir)).filter("label = 'bloated_phrase'").select("doc_id", "phrase", "start", "end")
+
+
+def formulaic_only(spark, sf_dir):
+    return R.phrase_spans(measured(spark, sf_dir)).filter("label = 'formulaic_phrase'").select("doc_id", "phrase", "severity", "start", "end")
 
 
 def quality_dimensions(spark, sf_dir):
@@ -30,7 +68,7 @@ def provenance_dimensions(spark, sf_dir):
 
 
 def score_contributions(spark, sf_dir):
-    return R.contributions(measured(spark, sf_dir)).select("doc_id", "dimension", "metric", "impact")
+    return R.contributions(measured(spark, sf_dir)).select("doc_id", "dimension", "metric", "value", "impact")
 
 
 def provenance_band(spark, sf_dir):
@@ -55,9 +93,10 @@ def top_findings(spark, sf_dir):
     from pyspark.sql import Window
 
     d = measured(spark, sf_dir)
-    q = R.quality_dimensions(d).filter("finding").select("doc_id", "ord", "dimension", (100 - F.col("score")).alias("concern"))
+    p = R.provenance_dimensions(d).filter("finding").select("doc_id", "ord", "dimension", F.col("score").alias("concern"))
+    q = R.quality_dimensions(d).filter("finding").select("doc_id", (F.col("ord") + 100).alias("ord"), "dimension", (100 - F.col("score")).alias("concern"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("concern"), "ord")
-    return q.withColumn("place", F.row_number().over(order)).filter("place <= 5").select("doc_id", "place", "dimension", "concern")
+    return p.unionByName(q).withColumn("place", F.row_number().over(order)).filter("place <= 5").select("doc_id", "place", "dimension", "concern")
 
 
 def report_summary(spark, sf_dir):
@@ -141,8 +180,12 @@ g AS (SELECT mm.* EXCLUDE (ss, ps, ls, tl, sn, hn), l.language, {S.GENRE.replace
   regexp_matches(mm.low, {S.quoted(rf"\b(?:{X.ACTION_CALLS})\b")}) AS has_action, regexp_matches(mm.low, '\\b(?:{R.FORMAL_MARKS})\\b') AS formal_mark,
   regexp_matches(mm.low, '{R.INSTITUTIONAL}') AS institutional, regexp_matches(mm.low, '{R.CLOSINGS}') AS closing
   FROM mm JOIN l USING (doc_id)),
-f AS (SELECT *, genre IN ('legal', 'academic') AS dense, genre IN ({", ".join(map(S.quoted, X.FORMAL_GENRES))}) AS formal,
-  n_words / greatest(1.0::DOUBLE, n_paragraphs) AS pavg, (list_items > 0 AND n_words > 120) AS listed FROM g)"""
+gh AS (SELECT g.* EXCLUDE (genre), CASE WHEN lower(genre_hint) IN ({", ".join(map(S.quoted, X.GENRES))}) THEN lower(genre_hint) ELSE genre END AS genre,
+  CASE WHEN lower(genre_hint) IN ({", ".join(map(S.quoted, X.GENRES))}) THEN 0.75 WHEN genre IN ('academic', 'legal') THEN 0.55 WHEN genre = 'marketing' THEN 0.45 ELSE 0.25 END AS genre_confidence,
+  coalesce(lower(genre_hint), genre) AS gg, genre_hint, channel, audience, locale, goal FROM g JOIN meta USING (doc_id)),
+f AS (SELECT *, regexp_matches(gg || ' ' || coalesce(channel, ''), '{X.DENSE_CONTEXT}') AS dense, regexp_matches(gg || ' ' || coalesce(channel, ''), '{X.TONE_CONTEXT}') AS formal_tone,
+  gg IN ({", ".join(map(S.quoted, X.FORMAL_GENRES))}) AS formal_genre, gg IN ({", ".join(map(S.quoted, X.FORMAL_GENRES))}) OR coalesce(channel IN ({", ".join(map(S.quoted, X.FORMAL_GENRES))}), false) AS formal,
+  n_words / greatest(1.0::DOUBLE, n_paragraphs) AS pavg, (list_items > 0 AND n_words > 120) AS listed FROM gh)"""
 
 
 def _clamp(x: str) -> str:
@@ -156,17 +199,17 @@ QUALITY_SQL = {
     "specificity": "least(100, 30 + 8 * n_numbers + 4 * n_names + least(18, 1.4::DOUBLE * name_density))",
     "depth": "least(100, 35 + 8 * n_causal + least(25, 4 * n_paragraphs) + least(14, 6 * evidence_density))",
     "structure": "55 + least(20, 4 * headings) + CASE WHEN n_paragraphs >= 3 THEN 12 ELSE -10 END + CASE WHEN listed THEN 8 ELSE 0 END",
-    "tone_fit": "CASE WHEN dense OR NOT formal_mark THEN 76 - least(12, 4 * qualifier_density) ELSE 52 END",
+    "tone_fit": "CASE WHEN formal_tone OR NOT formal_mark THEN 76 - least(12, 4 * qualifier_density) ELSE 52 END",
     "actionability": "CASE WHEN has_action THEN 78 + least(16, 5 * action_density) WHEN n_words > 160 THEN 48 ELSE 62 END",
-    "evidence_density": "CASE WHEN citations + urls > 0 THEN 68 + least(24, 24 * citation_proximity) WHEN (claim_like > 0 AND n_words > 120) OR n_words > 180 THEN 45 ELSE 62 END",
+    "evidence_density": "CASE WHEN citations + urls > 0 THEN 68 + least(24, 24 * citation_proximity) WHEN (claim_like > 0 AND (n_words > 120 OR coalesce(genre_hint = 'marketing', false) OR coalesce(goal = 'source_support', false))) OR n_words > 180 THEN 45 ELSE 62 END",
     "mechanics": "100 - least(38, 5 * passive_rate) - least(24, 0.6::DOUBLE * noun_density)",
     "readability_formula": "100 - 2 * abs(mean_sentence - 18) - 0.25::DOUBLE * greatest(0, pavg - 110)",
 }
-_B = "CASE WHEN formal THEN 0.78::DOUBLE ELSE 1.0 END"
-_SP = "CASE WHEN genre = 'legal' THEN 0.72::DOUBLE WHEN formal THEN 0.86::DOUBLE WHEN genre = 'marketing' THEN 1.12::DOUBLE ELSE 1.0 END"
+_B = "CASE WHEN formal_genre THEN 0.78::DOUBLE ELSE 1.0 END"
+_SP = "CASE WHEN gg IN ('legal', 'policy') THEN 0.72::DOUBLE WHEN formal_genre THEN 0.86::DOUBLE WHEN gg = 'marketing' THEN 1.12::DOUBLE ELSE 1.0 END"
 _RISKS = {
     "lexical_repetition": [("repeated_word_rate", "repeated_word_rate", "420"), ("repeated_phrases", "repeated_phrases", "8"), ("low_diversity", "CASE WHEN normalized_diversity < 3.2 AND n_words > 120 THEN 1.0 ELSE 0.0 END", "18"), ("repeated_openings", "repeated_openings", "10")],
-    "discourse_regularity": [("connector_density", "connector_density", f"55 * {_B}"), ("template", "CASE WHEN n_paragraphs >= 4 AND (closing OR list_items >= 3) THEN 1.0 ELSE 0.0 END", f"35 * {_B}"), ("uniform_paragraphs", "CASE WHEN n_paragraphs >= 4 AND paragraph_variation < 0.35 THEN 1.0 ELSE 0.0 END", f"25 * {_B}")],
+    "discourse_regularity": [("connector_density", "connector_density", f"55 * {_B}"), ("template", "CASE WHEN n_paragraphs >= 4 AND (closing OR list_items >= 3) THEN 1.0 ELSE 0.0 END", f"35 * {_B}"), ("uniform_sentences", "CASE WHEN n_paragraphs >= 4 AND sentence_variation < 0.35 THEN 1.0 ELSE 0.0 END", f"25 * {_B}")],
     "connector_density": [("connector_density", "connector_density", f"90 * {_B}")],
     "formatting_density": [("formatting_density", "formatting_density", f"120 * {_B}"), ("headings", "CASE WHEN headings >= 3 THEN 1.0 ELSE 0.0 END", f"20 * {_B}"), ("tables", "CASE WHEN table_lines >= 2 THEN 1.0 ELSE 0.0 END", f"20 * {_B}")],
     "sentence_rhythm": [("sentence_variation", "CASE WHEN n_sentences >= 6 AND sentence_variation < 0.32 THEN 62 WHEN n_sentences >= 6 AND sentence_variation < 0.42 THEN 42 ELSE 12 END", _B)],
@@ -184,8 +227,48 @@ def _risk(n: str) -> str:
     return _clamp(" + ".join(_impact(v, w) for _, v, w in _RISKS[n]))
 
 
-def _scored(select: str, *more: str) -> str:
-    return S.with_language(select, TQ._STATS, TQ._REFERENCES, MEASURED, *more)
+_NO_META = "meta AS (SELECT doc_id, NULL::VARCHAR AS genre_hint, NULL::VARCHAR AS channel, NULL::VARCHAR AS audience, NULL::VARCHAR AS locale, NULL::VARCHAR AS goal FROM documents)"
+_META = "meta AS (SELECT doc_id, " + ", ".join(
+    f"CAST(list_extract([{', '.join(map(S.quoted, xs))}], CAST(doc_id % {n} AS INTEGER) + 1) AS VARCHAR) AS {c}"
+    for n, c, xs in ((7, "genre_hint", HINTS), (5, "channel", ("policy", "web")), (4, "audience", ("readers",)), (3, "locale", ("en-GB",)), (2, "goal", ("source_support",)))
+) + " FROM documents)"
+
+
+def _scored(select: str, *more: str, meta: str = _NO_META) -> str:
+    return S.with_language(select, TQ._STATS, TQ._REFERENCES, meta, MEASURED, *more)
+
+
+FOUND_SQL = {
+    "lexical_repetition": "repeated_word_rate > 0.08 OR repeated_phrases > 1 OR repeated_openings > 1",
+    "discourse_regularity": "n_paragraphs >= 4 AND (closing OR list_items >= 3)",
+    "connector_density": "connector_density > 0",
+    "formatting_density": "formatting_density > 0.28",
+    "sentence_rhythm": "n_sentences >= 6 AND sentence_variation < 0.42",
+    "register_mismatch": "institutional AND NOT formal",
+    "specific_texture": "n_words >= 120 AND n_numbers + n_names = 0",
+}
+_SURE = {n: str(v) for n, _, _, v in R.QUALITY} | {n: str(v) for n, _, v in R.PROVENANCE} | {
+    "specificity": "CASE WHEN audience IS NOT NULL OR locale IS NOT NULL THEN 0.65 ELSE 0.45 END",
+    "tone_fit": "CASE WHEN genre_hint IS NOT NULL OR channel IS NOT NULL OR audience IS NOT NULL THEN 0.70 ELSE 0.38 END",
+    "mechanics": "CASE WHEN language = 'en' THEN 0.62 ELSE 0.35 END",
+    "register_mismatch": "CASE WHEN genre_hint IS NOT NULL OR channel IS NOT NULL THEN 0.58 ELSE 0.35 END",
+    "specific_texture": "CASE WHEN audience IS NOT NULL OR locale IS NOT NULL THEN 0.50 ELSE 0.28 END",
+}
+_TEXTURE = "CASE language " + " ".join(f"WHEN '{k}' THEN '{', '.join(v)}'" for k, v in X.TEXTURE.items()) + " ELSE 'local examples and audience-specific details' END"
+#: Value, weight and, where it isn't their product, the impact of each quality contribution.
+_QUALITY_PARTS = {
+    "readability": (("mean_sentence", "mean_sentence", "-2.2", "-2.2::DOUBLE * greatest(0, mean_sentence - CASE WHEN dense THEN 24 ELSE 20 END)"), ("paragraph_average", "pavg", "-0.35", "-0.35::DOUBLE * greatest(0, pavg - CASE WHEN dense THEN 145 ELSE 120 END)"), ("long_sentence_rate", "long_sentence_rate", "-36", "-least(18.0::DOUBLE, 36 * long_sentence_rate)"), ("long_paragraph_rate", "long_paragraph_rate", "-32", "-least(16.0::DOUBLE, 32 * long_paragraph_rate)")),
+    "scannability": (("long_sentence_rate", "long_sentence_rate", "-68", "-least(34.0::DOUBLE, 68 * long_sentence_rate)"), ("long_paragraph_rate", "long_paragraph_rate", "-56", "-least(28.0::DOUBLE, 56 * long_paragraph_rate)"), ("heading_coverage", "heading_coverage", "3", "least(12.0::DOUBLE, 3 * headings + CASE WHEN listed THEN 5 ELSE 0 END)")),
+    "bloat": (("bloat_phrases", "n_bloat", "-12", ""), ("repeated_word_rate", "repeated_word_rate", "-160", "")),
+    "specificity": (("numbers", "n_numbers", "8", ""), ("names", "n_names", "4", "")),
+    "depth": (("causal_marks", "n_causal", "8", ""), ("evidence_density", "evidence_density", "6", "")),
+    "structure": (("heading_coverage", "heading_coverage", "10", ""), ("paragraphs", "n_paragraphs", "4", "")),
+    "tone_fit": (("qualifier_density", "qualifier_density", "-4", ""),),
+    "actionability": (("action_density", "action_density", "5", ""),),
+    "evidence_density": (("citation_proximity", "citation_proximity", "24", ""), ("evidence_density", "evidence_density", "8", "")),
+    "mechanics": (("passive_rate", "passive_rate", "-5", ""), ("noun_density", "noun_density", "-0.6::DOUBLE", "")),
+    "readability_formula": (("mean_sentence", "mean_sentence", "-2", ""),),
+}
 
 
 _Q = "qs AS (SELECT *, " + ", ".join(f"{_clamp(v)} AS s_{k}" for k, v in QUALITY_SQL.items()) + " FROM f)"
@@ -215,6 +298,12 @@ QUERIES = {
     "band_rollup": band_rollup,
     "source_scorecard": source_scorecard,
     "phrase_spans": bloat_spans,
+    "bloat_spans": bloat_only,
+    "formulaic_spans": formulaic_only,
+    "overall_quality": overall_quality,
+    "quality_recommendations": quality_recommendations,
+    "dimension_confidence": dimension_confidence,
+    "profile_bands": profile_bands,
     "top_findings": top_findings,
     "report_summary": report_summary,
     "content_audit": content_audit,
@@ -224,13 +313,27 @@ QUERIES = {
     "redacted_reports": redacted_reports,
 }
 
-_LONG = "ql AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS ord, '{n}' AS dimension, '{f}' AS family, s_{n} AS score, s_{n} < {lim} AS finding FROM qs" for i, (n, f, lim, _) in enumerate(R.QUALITY)) + ")"
+_LONG = "ql AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS ord, '{n}' AS dimension, '{f}' AS family, s_{n} AS score, s_{n} < {lim} AS finding, CAST({_SURE[n]} AS DOUBLE) AS confidence FROM qs" for i, (n, f, lim, _) in enumerate(R.QUALITY)) + ")"
+
+_PL = "pl AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, {i} AS ord, '{n}' AS dimension, '{f}' AS family, {_risk(n)} AS score, coalesce({FOUND_SQL[n]}, false) AS finding, CAST({_SURE[n]} AS DOUBLE) AS confidence, '{', '.join(X.FALSE_POSITIVES[f])}' AS contexts, {f'CASE WHEN {FOUND_SQL[n]} THEN {_TEXTURE} END' if n == 'specific_texture' else 'NULL::VARCHAR'} AS texture FROM f"
+    for i, (n, f, _) in enumerate(R.PROVENANCE)
+) + ")"
 
 ORACLE = {
     "quality_dimensions": _scored("SELECT * FROM ql", _Q, _LONG),
     "quality_band": _scored("SELECT doc_id, quality_score, quality_band FROM qb", _Q, _QB),
-    "provenance_dimensions": _scored(" UNION ALL ".join(f"SELECT doc_id, {i} AS ord, '{n}' AS dimension, '{f}' AS family, {_risk(n)} AS score FROM f" for i, (n, f, _) in enumerate(R.PROVENANCE))),
-    "score_contributions": _scored(" UNION ALL ".join(f"SELECT doc_id, '{n}' AS dimension, '{m}' AS metric, {_impact(v, w)} AS impact FROM f" for n, parts in _RISKS.items() for m, v, w in parts)),
+    "provenance_dimensions": _scored("SELECT * FROM pl", _PL),
+    "score_contributions": _scored(
+        " UNION ALL ".join(
+            [f"SELECT doc_id, '{n}' AS dimension, '{m}' AS metric, floor(CAST({v} AS DOUBLE) * 10000 + 0.5::DOUBLE) / 10000.0::DOUBLE AS value, {_impact(v, w) if not i else f'floor(({i}) * 100 + 0.5::DOUBLE) / 100.0::DOUBLE'} AS impact FROM f" for n, parts in _QUALITY_PARTS.items() for m, v, w, i in parts]
+            + [f"SELECT doc_id, '{n}' AS dimension, '{m}' AS metric, floor(CAST({v} AS DOUBLE) * 10000 + 0.5::DOUBLE) / 10000.0::DOUBLE AS value, {_impact(v, w)} AS impact FROM f" for n, parts in _RISKS.items() for m, v, w in parts]
+        )
+    ),
+    "dimension_confidence": _scored("SELECT doc_id, dimension, score, confidence, finding FROM ql UNION ALL SELECT doc_id, dimension, score, confidence, finding FROM pl", _Q, _LONG, _PL, meta=_META),
+    "profile_bands": _scored("SELECT doc_id, genre, CAST(genre_confidence AS DOUBLE) AS genre_confidence, quality_band, provenance_band, provenance_confidence FROM pb", _Q, _QB, _P, meta=_META),
+    "overall_quality": _scored("SELECT quality_band, count(*) AS n, CAST(sum(quality_score) AS BIGINT) AS total FROM qb GROUP BY 1", _Q, _QB),
+    "quality_recommendations": _scored("SELECT doc_id, coalesce(string_agg(dimension, '|' ORDER BY ord) FILTER (finding AND k <= 8), '') AS advice FROM (SELECT *, sum(CAST(finding AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM ql) GROUP BY doc_id", _Q, _LONG),
     "provenance_band": _scored("SELECT doc_id, provenance_band, provenance_confidence FROM pb", _Q, _QB, _P),
     "band_rollup": _scored("SELECT quality_band, provenance_band, count(*) AS n FROM pb GROUP BY CUBE (quality_band, provenance_band)", _Q, _QB, _P),
     "source_scorecard": _scored("SELECT source, count(*) AS n, CAST(sum(quality_score) AS BIGINT) AS total, max(quality_score) AS best, min(quality_score) AS worst FROM qb GROUP BY source", _Q, _QB),
@@ -241,9 +344,10 @@ ORACLE = {
         )
     ),
     "top_findings": _scored(
-        "SELECT doc_id, CAST(place AS INTEGER) AS place, dimension, concern FROM (SELECT doc_id, dimension, 100 - score AS concern, row_number() OVER (PARTITION BY doc_id ORDER BY 100 - score DESC, ord) AS place FROM ql WHERE finding) WHERE place <= 5",
+        "SELECT doc_id, CAST(place AS INTEGER) AS place, dimension, concern FROM (SELECT doc_id, dimension, 100 - score AS concern, row_number() OVER (PARTITION BY doc_id ORDER BY 100 - score DESC, ord) AS place FROM (SELECT doc_id, dimension, score, ord + 100 AS ord, finding FROM ql UNION ALL SELECT doc_id, dimension, 100 - score, ord, finding FROM pl) WHERE finding) WHERE place <= 5",
         _Q,
         _LONG,
+        _PL,
     ),
     "report_summary": _scored(
         "SELECT doc_id, n_words, language, genre, quality_band, provenance_band, quality_band || ':' || CASE provenance_band WHEN 'insufficient_evidence' THEN 'abstained' WHEN 'high' THEN 'clustered' WHEN 'elevated' THEN 'elevated' ELSE 'low' END AS headline FROM pb",
@@ -262,3 +366,7 @@ ORACLE = {
     "report_filter": _scored("SELECT id, quality_band, provenance_band FROM st WHERE quality_band IN ('fair', 'poor') AND provenance_band <> 'insufficient_evidence' AND starts_with(strftime(created_at, '%Y-%m-%d'), '2023-11-1')", _Q, _QB, _P, _STORE),
     "redacted_reports": _scored("SELECT id, quality_band, provenance_band, word_count, CASE WHEN stored_raw_text THEN input_excerpt END AS input_excerpt FROM st", _Q, _QB, _P, _STORE),
 }
+ORACLE["bloat_spans"] = S.with_language(" UNION ALL ".join(f"SELECT doc_id, {S.quoted(p)} AS phrase, start, \"end\" FROM {S.span_rows('l', 'low', p)}" for p in X.BLOAT))
+ORACLE["formulaic_spans"] = S.with_language(
+    " UNION ALL ".join(f"SELECT doc_id, {S.quoted(p)} AS phrase, '{sev}' AS severity, start, \"end\" FROM {S.span_rows(f'(SELECT * FROM l WHERE language = {S.quoted(c)})', 'low', p)}" for _, c, p, _, sev in X.PHRASES)
+)

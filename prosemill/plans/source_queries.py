@@ -17,7 +17,7 @@ from .text_queries import prepared
 
 
 def _pages(spark, sf_dir):
-    return tables.spread(tables.table(spark, sf_dir, "pages"))
+    return tables.table(spark, sf_dir, "pages")
 
 
 def _events(spark, sf_dir):
