@@ -5,10 +5,10 @@ word length and the square roots of the shares of symbols, of repeated lines
 and of words in repeated windows.  Length is not among them: a long clean text
 is no outlier, and short ones have a rule of their own.  Per language and
 source, concentration steps seek the three quarters of the texts whose
-covariance has the least determinant.  They begin at four estimates (medians
-with median deviations, and the covariances of squashed values, of directions
-and of two halves by hash); after a few steps the start of least determinant
-goes on until that stops falling.  After one reweighting, a text whose squared
+covariance has the least determinant.  They begin at three estimates (medians
+with median deviations, and the covariances of squashed values and of
+directions); after a few steps the start of least determinant goes on until that
+stops falling.  After one reweighting, a text whose squared
 Mahalanobis distance passes the chi-square quantile is rejected.
 
 All of it is DataFrame expressions.  Texts are read once; the steps are
@@ -37,7 +37,7 @@ SUBSET = 0.75
 #: Steps of every start, and of the best start at most; those end when no group's
 #: determinant falls by more than ``LEAST_FALL`` of itself.
 FIRST_STEPS, MOST_STEPS, LEAST_FALL = 2, 30, 1e-3
-STARTS = 4
+STARTS = 3
 REWEIGHT, CUTOFF = 0.975, 0.999
 #: Least standard deviation of each statistic in texts of any length, for what
 #: chance repeats; sampling noise at the text's own length comes on top.
@@ -219,31 +219,22 @@ def _starts(members: DataFrame, few: bool) -> DataFrame:
     unit = {f"u_{x}": F.sqrt(F.greatest(F.pow(F.col(f"s_{x}") * 1.4826, 2), F.col(f"w_{x}"))) for x in NAMES}
     spread = stage(spread.withColumns(unit).select("group", *[f"m_{x}" for x in NAMES], *unit), "quality-start")
     z = [(F.col(x) - F.col(f"m_{x}")) / F.col(f"u_{x}") for x in NAMES]
-    d = _with(members, spread, few).withColumns({f"z{i}": c for i, c in enumerate(z)})
+    d = _with(members, spread, few).select("group", *[c.alias(f"z{i}") for i, c in enumerate(z)])
     norm = F.lit(0.0)
     for i in range(P):
         norm = norm + F.col(f"z{i}") * F.col(f"z{i}")
-    d = d.withColumns({"norm": F.sqrt(norm), "side": F.pmod(F.xxhash64(*NAMES), F.lit(2))})
-
-    def moment(of, i: int, j: int) -> Column:
-        return F.avg(of(i) * of(j)) * F.first(f"u_{NAMES[i]}") * F.first(f"u_{NAMES[j]}")
-
-    squashed = lambda i: F.tanh(f"z{i}")
     # Of a direction each part has a square of 1/P on average; scaled back to one.
-    direction = lambda i: F.col(f"z{i}") / F.greatest("norm", F.lit(1e-6)) * math.sqrt(P)
-    half = lambda i: F.when((F.col("side") == 0) & (F.col("norm") < 2 * math.sqrt(P)), F.col(f"z{i}"))
-    means = [F.first(f"m_{x}").alias(f"m_{x}") for x in NAMES]
-    found = d.groupBy("group").agg(
-        *means,
-        *[F.first(f"u_{x}").alias(f"u_{x}") for x in NAMES],
-        *[F.coalesce(moment(of, i, j), F.lit(0.0)).alias(f"k{k}_{i}{j}") for k, of in ((1, squashed), (2, direction), (3, half)) for i in range(P) for j in range(i + 1)],
-    )
+    scale = math.sqrt(P) / F.greatest(F.sqrt(norm), F.lit(1e-6))
+    d = d.select("group", *[F.tanh(f"z{i}").alias(f"y1{i}") for i in range(P)], *[(F.col(f"z{i}") * scale).alias(f"y2{i}") for i in range(P)])
+    found = d.groupBy("group").agg(*[F.avg(F.col(f"y{k}{i}") * F.col(f"y{k}{j}")).alias(f"k{k}_{i}{j}") for k in (1, 2) for i in range(P) for j in range(i + 1)])
+    found = found.join(spread, "group")
 
     def estimate(k: int) -> Column:
         cells = []
         for i in range(P):
             for j in range(i + 1):
-                value = F.col(f"k{k}_{i}{j}") if k else F.pow(F.col(f"u_{NAMES[i]}"), 2) if i == j else F.lit(0.0)
+                units = F.col(f"u_{NAMES[i]}") * F.col(f"u_{NAMES[j]}")
+                value = F.col(f"k{k}_{i}{j}") * units if k else units if i == j else F.lit(0.0)
                 cells.append(value.alias(f"c{i}{j}"))
         return F.struct(F.lit(k).alias("start"), *cells)
 
@@ -264,21 +255,17 @@ def least_determinant(members: DataFrame, subset: float, few: bool) -> DataFrame
     for _ in range(FIRST_STEPS):
         near = _nearest(_distance(_with(each, fit, few, keys)).select(*keys, *values, "d2"), subset, few, keys)
         fit = stage(_moments(near, scale, keys), "quality-fit")
-    best = fit.groupBy("group").agg(F.min_by(F.struct(*FIT, "logdet"), F.struct("logdet", "start")).alias("f"))
-    best = stage(best.select("group", "f.*"), "quality-fit")
+    start = fit.groupBy("group").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
+    fit = stage(fit.join(start, list(keys)), "quality-fit")
     for _ in range(MOST_STEPS):
-        near = _nearest(_distance(_with(members, best.drop("logdet"), few)).select("group", *values, "d2"), subset, few)
-        now = _moments(near, scale)
-        both = best.withColumn("at", F.lit(0)).unionByName(now.withColumn("at", F.lit(1)))
-        both = both.groupBy("group").agg(
-            F.min_by(F.struct(*FIT, "logdet"), F.struct("logdet", "at")).alias("f"),
-            (F.max(F.when(F.col("at") == 0, F.col("logdet"))) - F.min("logdet")).alias("fall"),
-        )
-        both = stage(both.select("group", "f.*", "fall"), "quality-fit")
-        best = both.drop("fall")
-        if (both.agg(F.max("fall")).first()[0] or 0.0) <= LEAST_FALL:
+        # The other starts have no estimate any more, so their rows drop out of the join.
+        near = _nearest(_distance(_with(each, fit, few, keys)).select(*keys, *values, "d2"), subset, few, keys)
+        now = stage(_moments(near, scale, keys), "quality-fit")
+        fall = fit.select("group", F.col("logdet").alias("before")).join(now.select("group", "logdet"), "group").agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        fit = now
+        if (fall or 0.0) <= LEAST_FALL:
             break
-    return best.drop("logdet")
+    return fit.drop("start", "logdet")
 
 
 def quality_rules(
