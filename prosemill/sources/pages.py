@@ -12,7 +12,11 @@ MOST_BYTES = 2_000_000
 # Elements whose content is none, and words that name a container of content.
 CHROME = ("script", "style", "noscript", "svg", "template", "nav", "header", "footer", "aside", "form", "button", "iframe", "canvas")
 CONTENT_WORDS = "article|content|entry|main|post|story|body"
+# What a page's content may be, the most redirects, and elements whose end breaks a line.
+CONTENT_TYPES = r"(?i)^\s*(?:text/html|text/plain|application/xhtml\+xml)(?:\s*;|\s*$)"
+MOST_REDIRECTS = 5
 BLOCK_ENDS = r"(?i)</(?:p|div|article|section|main|h[1-6]|li|blockquote|tr|table|ul|ol)>"
+# The named references that are decoded.
 ENTITIES = (("&apos;", "'"), ("&gt;", ">"), ("&lt;", "<"), ("&nbsp;", " "), ("&quot;", '"'), ("&amp;", "&"))
 # Private and reserved IPv4 ranges, as network and prefix length.
 PRIVATE = (
@@ -49,15 +53,117 @@ def _range(network: str, bits: int) -> tuple[int, int]:
     return low, low + (1 << (32 - bits)) - 1
 
 
-def is_private(host: Column) -> Column:
-    """Local names and private or reserved IPv4 addresses."""
-    number = ipv4_number(host)
-    out = (host == "localhost") | host.endswith(".localhost") | host.endswith(".local")
+def _is_private_v4(number: Column) -> Column:
+    out = F.lit(False)
     for network, bits in PRIVATE:
         out = out | F.coalesce(number.between(*_range(network, bits)), F.lit(False))
     return out
 
 
+def _once(x: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def ipv6_parts(host: Column) -> Column:
+    """The eight numbers of an IPv6 address, brackets or not, compressed or not, with a dotted end or not; null where it is none."""
+    bare = F.regexp_replace(F.lower(host), r"^\[|\]$", "")
+    dotted = r":((?:\d{1,3}\.){3}\d{1,3})$"
+
+    def undotted(x: Column) -> Column:
+        def tail(n: Column) -> Column:
+            return F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(F.lit(0xFFFF)))))
+
+        end = F.regexp_extract(x, dotted, 1)
+        head = F.substring(x, F.lit(1), F.length(x) - F.length(end))
+        return F.when(x.rlike(dotted), F.concat(head, _once(ipv4_number(end), tail))).otherwise(x)
+
+    def parts(x: Column) -> Column:
+        return F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ":"))
+
+    def filled(halves: Column) -> Column:
+        head, rest = parts(halves[0]), F.when(F.size(halves) == 2, parts(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+        zeros = 8 - F.size(head) - F.size(rest)
+        return F.when((F.size(halves) == 1) & (zeros == 0), head).when((F.size(halves) == 2) & (zeros >= 1), F.concat(head, F.array_repeat(F.lit("0"), zeros), rest))
+
+    def numbers(whole: Column) -> Column:
+        return F.when(F.forall(whole, lambda x: x.rlike("^[0-9a-f]{1,4}$")), F.transform(whole, lambda x: F.conv(x, 16, 10).cast("int")))
+
+    whole = _once(_once(bare, undotted), lambda x: _once(F.split(x, "::", -1), filled))
+    return F.when(bare.contains(":"), _once(whole, numbers))
+
+
+def is_private_v6(parts: Column) -> Column:
+    """Unspecified, loopback, discard, local, multicast and documentation ranges, and mapped private IPv4 addresses."""
+    p = [F.get(parts, F.lit(i)) for i in range(8)]
+    none = F.forall(F.slice(parts, 1, 7), lambda x: x == 0)
+    mapped = F.forall(F.slice(parts, 1, 5), lambda x: x == 0) & (p[5] == 0xFFFF)
+    inner = _is_private_v4(p[6].cast("long") * 65536 + p[7])
+    reserved = (
+        (none & p[7].isin(0, 1))
+        | ((p[0] == 0x0100) & (p[1] == 0))
+        | (p[0].bitwiseAND(F.lit(0xFE00)) == 0xFC00)
+        | (p[0].bitwiseAND(F.lit(0xFFC0)) == 0xFE80)
+        | (p[0].bitwiseAND(F.lit(0xFF00)) == 0xFF00)
+        | (p[0] == 0x2002)
+        | ((p[0] == 0x2001) & (((p[1] == 2) & (p[2] == 0)) | p[1].between(0x10, 0x1F) | (p[1] == 0x0DB8)))
+    )
+    return F.coalesce(F.when(mapped, inner).otherwise(reserved), F.lit(False))
+
+
+def is_private(host: Column) -> Column:
+    """Local names, and private or reserved addresses of either kind."""
+    name = (host == "localhost") | host.endswith(".localhost") | host.endswith(".local")
+    return F.coalesce(name, F.lit(False)) | _once(ipv4_number(host), _is_private_v4) | _once(ipv6_parts(host), is_private_v6)
+
+
+def url_host(url: Column) -> Column:
+    """The host of a web address, of an IPv6 one without its brackets."""
+    bracketed = F.regexp_extract(url, r"(?i)^https?://(?:[^/?#@]*@)?\[([^\]]*)\]", 1)
+    return F.when(bracketed != "", F.lower(bracketed)).otherwise(host_of(url))
+
+
+def gate(url: Column, redirects: Column, addresses: Column, content_type: Column, html: Column) -> Column:
+    """Why a fetched page is refused, or ``accepted``: the first that holds.
+
+    ``redirects`` are the addresses it went through, ``addresses`` those its
+    hosts resolved to; a null array is an empty one.
+    """
+    none = F.array().cast("array<string>")
+    hops = F.coalesce(redirects, none)
+    return (
+        F.when(normalized_url(url).isNull() | F.exists(hops, lambda u: ~u.rlike("(?i)^https?://")), "not_web")
+        .when(is_private(url_host(normalized_url(url))) | F.exists(hops, lambda u: is_private(url_host(u))), "private")
+        .when(F.exists(F.coalesce(addresses, none), is_private), "resolves_to_private")
+        .when(F.size(hops) > MOST_REDIRECTS, "too_many_redirects")
+        .when(~F.coalesce(content_type.rlike(CONTENT_TYPES), F.lit(True)), "unsupported_type")
+        .when(~within_size(html), "too_large")
+        .otherwise("accepted")
+    )
+
+
+def is_plain(content_type: Column) -> Column:
+    return F.coalesce(content_type.rlike(r"(?i)^\s*text/plain"), F.lit(False))
+
+
+def decoded(text: Column) -> Column:
+    """Named, decimal and hexadecimal references decoded in one pass; unknown ones stay."""
+    pattern = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|" + "|".join(n[1:-1] for n, _ in ENTITIES) + ");"
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES for x in pair])
+
+    def one(m: Column) -> Column:
+        digits = F.regexp_extract(m, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+        number = F.when(m.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        letter = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(m.startswith("&#"), F.when(valid, letter).otherwise(m)).otherwise(F.element_at(named, m))
+
+    found, gaps = T.all_matches(text, pattern), F.split(text, pattern, -1)
+    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("found"))
+    whole = F.array_join(F.transform(pairs, lambda p: F.concat(p["gap"], F.when(p["found"].isNull(), "").otherwise(one(p["found"])))), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+
+
 def within_size(html: Column) -> Column:
     return F.octet_length(F.coalesce(html, F.lit(""))) <= MOST_BYTES
 
@@ -78,9 +184,7 @@ def fragment_text(html: Column) -> Column:
     out = F.regexp_replace(out, "[ \t\u00a0]+", " ")
     out = F.regexp_replace(out, r"[ \t]*\n[ \t]*", "\n")
     out = F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
-    for name, character in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(character))
-    return out
+    return decoded(out)
 
 
 def page_title(html: Column) -> Column:

@@ -104,7 +104,8 @@ CLAIM = "The harbour project increased regional exports by 40 in Lisbon."
         (CLAIM, "supported"),
         (CLAIM.replace("40", "55"), "partially_supported"),
         (CLAIM.replace("Lisbon", "Madrid"), "partially_supported"),
-        (CLAIM.replace("increased", "has not increased"), "partially_supported"),
+        (CLAIM.replace("increased", "did not increase"), "partially_supported"),
+        (CLAIM + " The storm was not mild, and gardens were flooded.", "supported"),
         ("Gardens need water and light every morning.", "unsupported"),
         ("https://a.example/page", "not_checked"),
     ],
@@ -122,6 +123,31 @@ def test_claim_rules(spark):
     assert review.claims == 4 and review.inline_only == 1 and review.source_band == "not_checked"
 
 
+def judged(spark, text, *given):
+    return claims.claim_status(claims.claims(preparation.prepare(docs(spark, text))), sources(spark, *given)).orderBy("place").collect()
+
+
+def test_a_reference_behind_a_claim_counts_and_is_no_keyword(spark):
+    rows = judged(spark, "The harbour project increased exports in Lisbon. See https://example.org/report.\n\nGardens need 3 lamps in Porto.")
+    assert rows[0].status == "inline_citation_only" and rows[0].inline == ["https://example.org/report."] and rows[0].action == "provide_cited_material"
+    assert rows[-1].inline == [] and "number_needs_support:3" in rows[-1].gaps
+    cited = claims.claims(preparation.prepare(docs(spark, "The harbour of Lisbon was rebuilt [Silva20]."))).first()
+    assert "silva" not in cited.keywords and cited.names == ["Lisbon"]
+
+
+def test_steps_of_a_procedure_are_no_claims(spark):
+    text = "1. Open the settings of the Account page.\n\n2. Select the language that is used.\n\n3. Wait for 5 minutes, as it is slow."
+    assert [r.ord for r in claims.claims(preparation.prepare(docs(spark, text))).collect() if "Open" in r.claim or "Select" in r.claim] == []
+
+
+def test_gaps_name_what_conflicts(spark):
+    row = judged(spark, CLAIM, CLAIM.replace("40", "55"), "Gardens need water.")[0]
+    assert row.status == "partially_supported" and row.gaps[:2] == ["partial_overlap", "number_mismatch:40"] and row.evidence == ["0"]
+    assert judged(spark, CLAIM, "https://a.example/page")[0].gaps[0] == "sources_without_text" and judged(spark, CLAIM)[0].gaps[0] == "no_sources"
+    best = judged(spark, CLAIM, "The harbour project is old.", CLAIM)[0]
+    assert best.status == "supported" and best.evidence == ["1"] and best.action == "keep_visible"
+
+
 def test_claims_stop_at_the_limit(spark):
     text = " ".join(f"Porto has {i} bridges." for i in range(40))
     assert claims.claims(preparation.prepare(docs(spark, text))).count() == claims.MOST_CLAIMS
