@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import scoring as R
 
 # What an action of each kind adds, by goal; rows a section keeps.
@@ -16,7 +17,7 @@ GOALS = {
     "default": {"claim": 55, "quality": 45, "proofreading": 35, "other": 30},
 }
 SECTION_ROWS = {"claims": 16, "issues": 16, "spans": 14, "quality": 10, "provenance": 8}
-PROFILES = {"full": ("claims", "issues", "spans", "quality", "provenance"), "checklist": ("claims", "issues", "quality", "provenance"), "machine": ()}
+PROFILES = {"full": ("claims", "issues", "spans", "quality", "provenance"), "checklist": ("claims", "issues", "quality", "provenance"), "machine": ("diagnostics",)}
 
 
 def severity(score: Column, inverted: bool) -> Column:
@@ -42,6 +43,55 @@ def all_spans(phrases: DataFrame, claim_spans: DataFrame, issues: DataFrame) ->
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def headline() -> Column:
+    """The quality band and what comes first: sources to review, then the provenance band."""
+    band = F.col("provenance_band")
+    code = (
+        F.when(F.col("source_band").isin("weakly_supported", "mixed"), "source_review")
+        .when(band == "insufficient_evidence", "abstained")
+        .when(band == "high", "clustered")
+        .when(band == "elevated", "elevated")
+        .otherwise("low")
+    )
+    return F.concat_ws(":", "quality_band", code)
+
+
+# The audit's cards that are means of quality dimensions.
+CARDS = {
+    "plain_language": ("readability", "scannability", "mechanics", "readability_formula"),
+    "scannability": ("structure", "scannability"),
+    "reader_value": ("specificity", "depth", "actionability"),
+}
+
+
+def content_audit(d: DataFrame) -> DataFrame:
+    """``doc_id, card, score, status, severity``: six cards a document.
+
+    ``d``: scored documents with the counts of their claims and issues.
+    """
+    s, c = R.quality_scores(), F.col
+    rows = []
+
+    def card(name: str, score: Column, status: Column, level: Column) -> None:
+        rows.append(F.struct(F.lit(name).alias("card"), score.cast("int").alias("score"), status.alias("status"), level.alias("severity")))
+
+    for name, parts in CARDS.items():
+        total = s[parts[0]]
+        for p in parts[1:]:
+            total = total + s[p]
+        score = T.half_up(total / len(parts))
+        status = F.when(score >= 78, "strong").when(score >= 62, "good").when(score >= 42, "review").otherwise("needs_work")
+        card(name, score, status, F.when(score < 45, "high").when(score < 65, "medium").otherwise("low"))
+    unresolved = c("unsupported") + c("inline_only") + c("partial") + c("not_checked")
+    level = F.when((unresolved > 0) | (c("stale") > 0), "medium").otherwise("low")
+    card("evidence_readiness", s["evidence_density"], F.when(unresolved > 0, "review").otherwise(c("source_band")), level)
+    band = c("provenance_band")
+    card("provenance", F.lit(None), band, F.when(band == "high", "high").when(band == "elevated", "medium").otherwise("low"))
+    ran = F.when(c("language") == "en", "available").otherwise("abstained")
+    card("proofreading", F.lit(None), ran, F.when(c("n_grave") > 0, "medium").otherwise("low"))
+    return d.select("doc_id", F.inline(F.array(*rows)))
+
+
 def actions(statuses: DataFrame, issues: DataFrame, findings: DataFrame, goal: str = "default", most: int = 8) -> DataFrame:
     """``doc_id, place, kind, name, weight``: the weightiest actions of a document; ties keep their order."""
     bonus = GOALS[goal]
@@ -67,8 +117,14 @@ def actions(statuses: DataFrame, issues: DataFrame, findings: DataFrame, goal: s
     return d.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most).select("doc_id", "place", "kind", "name", "weight")
 
 
-def sections(statuses: DataFrame, issues: DataFrame, spans: DataFrame, findings: DataFrame, profile: str = "full") -> DataFrame:
-    """``doc_id, section, place, item`` of the profile's sections, each cut at its number of rows."""
+def sections(statuses: DataFrame, issues: DataFrame, spans: DataFrame, findings: DataFrame, profile: str = "full", metrics: DataFrame | None = None) -> DataFrame:
+    """``doc_id, section, place, item`` of the profile's sections, each cut at its number of rows.
+
+    ``metrics`` (``doc_id, metric, value``) are the machine profile's diagnostics.
+    """
+    if profile == "machine":
+        order = Window.partitionBy("doc_id").orderBy("metric")
+        return metrics.select("doc_id", F.lit("diagnostics").alias("section"), F.row_number().over(order).alias("place"), F.concat_ws("=", "metric", F.col("value").cast("string")).alias("item"))
     good = F.col("kind") == "quality"
     parts = {
         "claims": statuses.select("doc_id", F.col("place").alias("o"), F.col("place").alias("p"), F.concat_ws(":", "status", "need").alias("item")),
@@ -78,7 +134,7 @@ def sections(statuses: DataFrame, issues: DataFrame, spans: DataFrame, findings:
         "provenance": findings.filter(~good).select("doc_id", (-F.col("score")).alias("o"), F.col("ord").alias("p"), F.col("name").alias("item")),
     }
     out = None
-    for name in PROFILES[profile] or tuple(parts):
+    for name in PROFILES[profile]:
         order = Window.partitionBy("doc_id").orderBy("o", "p", "item")
         d = parts[name].withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SECTION_ROWS[name])
         d = d.select("doc_id", F.lit(name).alias("section"), "place", "item")
