@@ -215,6 +215,20 @@ def test_sharding(odd, monkeypatch):
             groups[text[r.doc_id]].add(r.shard)
     assert all(len(g) == 1 for g in groups.values())
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    # Groups are indivisible, so shards differ by no more than the largest group.
+    group_sizes = Counter()
+    for r in rows:
+        group_sizes[r[1] or ""] += len((r[1] or "").encode()) + 16
+    assert sum(sizes.values()) == sum(group_sizes.values())
+    assert max(sizes.values()) - min(sizes[i] for i in range(4)) <= max(group_sizes.values())
+
+
+def test_shards_of_many_small_groups_are_even(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUPS_PER_BUCKET", 100)
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, words_of(rng, rng.randint(1, 60))) for i in range(1_000)], "doc_id long, text string")
+    sizes = [r[0] for r in sharding.shard_documents(df, shards=8).groupBy("shard").sum("size").select("sum(size)").collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) < 200
 
 
 def test_token_files_round_trip(odd, library, spark, tmp_path):
@@ -426,6 +440,72 @@ def test_dual_coordinate_descent_finds_the_margin():
     assert w[0] == pytest.approx(1, abs=1e-3) and w[1] == pytest.approx(-1, abs=1e-3)
 
 
+def test_ratios_descent_and_curve_against_plain_versions():
+    rng = np.random.default_rng(7)
+    rows = [np.unique(rng.integers(0, 40, 12)) for _ in range(60)]
+    labels = np.array([int((r < 12).sum() > 3) for r in rows])
+    counts = [[1 + sum(1 for r, y in zip(rows, labels, strict=True) if y == k and b in r) for b in range(40)] for k in (0, 1)]
+    total = [sum(c) + (1 << quality_classifier.BITS) - 40 for c in counts]
+    ratio = quality_classifier.log_count_ratios(rows, labels)
+    for b in range(40):
+        assert ratio[b] == pytest.approx(math.log(counts[1][b] / total[1] / (counts[0][b] / total[0])), abs=1e-5)
+    # The dual of the hinge loss by many small projected steps.
+    x = np.zeros((60, 40))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.linalg.norm(ratio[r])
+    signs = np.where(labels > 0, 1.0, -1.0)
+    q = (x @ x.T) * np.outer(signs, signs)
+    alpha = np.zeros(60)
+    for _ in range(20_000):
+        alpha = np.clip(alpha - 0.05 * (q @ alpha - 1), 0, 1)
+    want = (alpha * signs) @ x
+    units = [(r, x[i, r]) for i, r in enumerate(rows)]
+    got = quality_classifier.dual_coordinate_descent(units, signs, np.ones(60), 40, 500)
+    loss = lambda w: w @ w / 2 + np.maximum(0, 1 - signs * (x @ w)).sum()
+    assert loss(got) <= loss(want) * 1.001
+    margins = x @ got
+    slope, offset = quality_classifier._logistic(margins, labels, np.ones(60))
+    target = np.where(labels > 0, 1 - 1 / (2 + labels.sum()), 1 / (2 + 60 - labels.sum()))
+    entropy = lambda a, b: -(target * np.log(1 / (1 + np.exp(-a * margins - b))) + (1 - target) * np.log(1 / (1 + np.exp(a * margins + b)))).sum()
+    least = entropy(slope, offset)
+    assert all(entropy(slope + da, offset + db) > least - 1e-2 for da in (-0.5, 0, 0.5) for db in (-0.5, 0, 0.5))
+
+
+def brute_determinant(x: np.ndarray, v: np.ndarray, share: float, scale: float, rng) -> float:
+    """The least determinant by concentration steps from many random subsets."""
+    h, best = int(np.ceil(share * len(x))), math.inf
+    for _ in range(40):
+        some = rng.choice(len(x), 10, replace=False)
+        for _ in range(60):
+            mean, cov = x[some].mean(0), np.cov(x[some].T, bias=True) * (scale if len(some) == h else 1)
+            d = x - mean
+            d2 = np.array([di @ np.linalg.solve(cov + np.diag(vi), di) for di, vi in zip(d, v, strict=True)])
+            new = np.argsort(d2, kind="stable")[:h]
+            if set(new) == set(some):
+                break
+            some = new
+        best = min(best, np.linalg.slogdet(np.cov(x[some].T, bias=True) * scale + np.diag(v[some].mean(0)))[1])
+    return best
+
+
+def test_least_determinant_is_that_of_many_random_starts(spark):
+    rng = np.random.default_rng(11)
+    n, names = 300, quality_rules.NAMES
+    x = rng.normal(size=(n, 4)) * (0.2, 0.05, 0.1, 0.1) + (1.5, 0.2, 0.3, 0.2)
+    x[:50] += (1.0, 0.3, 0.0, 0.4)
+    v = np.full((n, 4), 1e-4)
+    df = spark.createDataFrame([("g", *map(float, a), *map(float, b)) for a, b in zip(x, v, strict=True)], ["group", *names, *[f"v_{k}" for k in names]])
+    fit = quality_rules.least_determinant(df, quality_rules.SUBSET, True).first()
+    cov = np.zeros((4, 4))
+    for i in range(4):
+        for j in range(i + 1):
+            cov[i, j] = cov[j, i] = fit[f"c{i}{j}"]
+    scale = quality_rules.SUBSET / quality_rules.chi2_below(quality_rules.chi2_quantile(quality_rules.SUBSET, 4), 6)
+    got = np.linalg.slogdet(cov + np.diag(v.mean(0)))[1]
+    assert got <= brute_determinant(x, v, quality_rules.SUBSET, scale, rng) + 0.05
+    assert all(abs(fit[f"m_{k}"] - m) < 0.05 for k, m in zip(names, (1.5, 0.2, 0.3, 0.2), strict=True))
+
+
 def test_classifier_on_held_out_rows(spark, odd, empty):
     rng = random.Random(4)
     rows = [(i, words_of(rng, 60) if i % 3 else " ".join([rng.choice(("BUY!!", "win$$")) for _ in range(30)] + [words_of(rng, 30)]), "en", "a", 0, "k", 0, "s") for i in range(300)]
