@@ -1,21 +1,9 @@
-"""Tables of a folder, spread over the cores before heavy in-row work."""
+"""Tables of a folder.  How many tasks read one follows from ``spark.sql.files.maxPartitionBytes``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files fill fewer tasks than that.
-
-    A small table is often one row group and so one task.  The check reads no
-    column; a large table has more splits than cores and is left in place.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    filled = df.select(F.spark_partition_id().alias("p")).distinct().count()
-    return df.repartition(cores) if filled < cores else df
