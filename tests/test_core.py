@@ -136,7 +136,7 @@ def test_a_reference_behind_a_claim_counts_and_is_no_keyword(spark):
 
 
 def test_steps_of_a_procedure_are_no_claims(spark):
-    text = "1. Open the settings of the Account page.\n\n2. Select the language that is used.\n\n3. Wait for 5 minutes, as it is slow."
+    text = "1. Open the settings page that is shown.\n\n2. Select the language that is used.\n\n3. Wait for 5 minutes, as it is slow."
     assert [r.ord for r in claims.claims(preparation.prepare(docs(spark, text))).collect() if "Open" in r.claim or "Select" in r.claim] == []
 
 
