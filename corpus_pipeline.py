@@ -9,7 +9,7 @@ themselves; a null or empty text is rejected by the quality rules; of repeated
 rows, and of rows of one near-duplicate group, one stays, of one id that of the
 least text hash; a null language or source is one of its own; an empty table,
 or one of which a stage keeps nothing, gives an empty result; other columns of
-the table are carried along.
+the table are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosemill.llm import mixing, near_duplicates, packing, quality_classifier, quality_rules
-from prosemill.llm.common import fresh_path, remove, stage
+from prosemill.llm.common import free_names, fresh_path, remove, stage
 
 
 #: What tells a row: its id and the hash of its text.
@@ -50,10 +50,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = stage(judged.groupBy(*KEY).count().filter("count > 1").select(*KEY), "repeated")
     if not repeated.take(1):
         return left
-    left = left.withColumn("text_hash", F.xxhash64("text"))
-    same = _same(left, repeated.toDF("_0", "_1"), KEY)
-    twice = left.join(repeated.toDF("_0", "_1"), same, "left_semi").dropDuplicates(KEY)
-    return left.join(repeated.toDF("_0", "_1"), same, "left_anti").unionByName(twice).select(*docs.columns)
+    hashed, keys, same = _keyed(left, repeated, KEY)
+    twice = hashed.join(keys, same, "left_semi").dropDuplicates(["doc_id", hashed.columns[-1]])
+    return _as(docs, hashed.join(keys, same, "left_anti").unionByName(twice))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,21 +64,27 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, capacity=1024, end_id=2)
 
 
-def _same(docs: DataFrame, rows: DataFrame, key: list[str]) -> Column:
-    """Whether the columns of a key and those of ``rows``, in their order, are equal or both null."""
-    out = F.lit(True)
-    for name, other in zip(key, rows.columns, strict=True):
-        out = out & F.col(name).eqNullSafe(F.col(other))
-    return out
+def _keyed(docs: DataFrame, rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame, Column]:
+    """``docs`` with the hash of the text, ``rows`` under names of their own, and whether their keys are equal or both null."""
+    text_hash, *names = free_names(docs, "text_hash", *[f"key_{i}" for i in range(len(key))])
+    hashed, rows = docs.withColumn(text_hash, F.xxhash64("text")), rows.select(*key).toDF(*names)
+    same = F.lit(True)
+    for k, name in zip(key, names, strict=True):
+        same = same & F.col(text_hash if k == "text_hash" else k).eqNullSafe(F.col(name))
+    return hashed, rows, same
+
+
+def _as(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _without(docs: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     """``docs`` less the rows of some keys; the texts are not shuffled where the keys are few enough to send."""
-    gone = stage(gone.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(key)]).distinct(), "gone")
+    gone = stage(gone.select(*key).distinct(), "gone")
+    hashed, keys, same = _keyed(docs, gone, key)
     if gone.count() * KEY_BYTES <= BROADCAST_BYTES:
-        gone = F.broadcast(gone)
-    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    return hashed.join(gone, _same(hashed, gone, key), "left_anti").select(*docs.columns)
+        keys = F.broadcast(keys)
+    return _as(docs, hashed.join(keys, same, "left_anti"))
 
 
 #: Keys are broadcast up to this size and shuffled beyond it.

@@ -101,3 +101,14 @@ def buckets_for(rows: int, each: int) -> int:
 
 def bucket_of(n: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("long")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where a column of ``df`` has them, so that those columns are carried along untouched."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -11,13 +11,14 @@ least), which costs less than taking logarithms; b makes ties as good as
 impossible.
 
 All of it is DataFrame expressions.  Texts are shuffled once, into small
-ranges of ids of about ``RANGE_BYTES``, where the next text is the next row: the
-first row of each range is sent to the range before it too.  Words are counted
+ranges of ids of about ``RANGE_BYTES`` and ``MOST_RANGE`` times that at most (but
+for one row, or equal rows of one part of the input), where the next text is the
+next row: the first row of each range is sent to the range before it too.  Words are counted
 and samples taken without another shuffle, since a range holds whole texts.
 
 Defined results: a null text is an empty one; a text without words has an
 empty fingerprint, like only another empty one; rows of one id follow each
-other by text, and repeated rows each get a row; a row without an id has no
+other by a hash of their texts, and repeated rows each get a row; a row without an id has no
 next document, so its edited text is its own first half and ``near_next`` is
 null; an empty table gives an empty result; other columns are ignored.
 """
@@ -37,8 +38,14 @@ LEVELS = 1024
 #: Positions of one row of the sampling aggregate: more would make its compiled code too long.
 PER_ROW = 4
 RANGE_BYTES = 256 << 10
-#: First ids of ranges are broadcast up to this size, and shuffled beyond it.
-FIRST_BYTES, BROADCAST_BYTES = 16, 16 << 20
+#: A range that holds more than so many times as much is cut again, into parts by quantiles.
+MOST_RANGE, SPLIT = 3, 64
+#: What a row weighs beside its text.
+ROW_BYTES = 64
+#: The order of rows: rows of one id follow each other by a hash of their texts.
+ORDER = ("doc_id", "hash", "origin")
+#: First ids of ranges and cuts are broadcast up to this size, and shuffled beyond it.
+FIRST_BYTES, CUT_BYTES, BROADCAST_BYTES = 16, 8 * 64 + 32, 16 << 20
 #: Ranges that are put in order at once, and then their groups.
 RANGES_AT_ONCE = 4_096
 #: Quantiles by which ids are cut before each part is cut evenly.
@@ -111,18 +118,32 @@ def signatures(rows: DataFrame, keys: list[str], texts: list[str], samples: int
     """``keys`` and a fingerprint (``f0``, ``f1``, ...) of each of the text columns.
 
     Where ``rows`` are already partitioned by one of the keys nothing is shuffled.
-    A row whose texts have no words gives no row.
+    A row whose texts have no words gives no row.  A word is sampled once for
+    each weight that it has, and the sample counts for all texts with that
+    weight: those of a key have most of their words in common.
     """
     sides = [F.struct(F.lit(i).alias("side"), F.col(t).alias("text")) for i, t in enumerate(texts)]
     each = rows.select(*keys, F.explode(F.array(*sides)).alias("of"))
     each = each.select(*keys, F.col("of.side").alias("side"), F.explode(_word_array(F.col("of.text"))).alias("word"))
     counts = [F.count(F.when(F.col("side") == i, 1)).alias(f"w{i}") for i in range(len(texts))]
     counted = each.select(*keys, "side", F.xxhash64("word").alias("word")).groupBy(*keys, "word").agg(*counts)
-    weights = [F.when(F.col(f"w{i}") > 0, F.log(f"w{i}")).alias(f"l{i}") for i in range(len(texts))]
+    weights = [F.col(f"w{i}") for i in range(len(texts))]
+    alike = weights[0] > 0
+    for w in weights[1:]:
+        alike = alike & (w == weights[0])
+    own = [F.struct(F.lit(1 << i).alias("of"), w.alias("weight")) for i, w in enumerate(weights)]
+    every = F.array(F.struct(F.lit((1 << len(texts)) - 1).alias("of"), weights[0].alias("weight")))
     parts = -(-samples // PER_ROW)
-    dealt = counted.select(*keys, "word", *weights).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    least = [F.min(_sample(k, F.col(f"l{i}"))).alias(f"m{i}_{k}") for k in range(PER_ROW) for i in range(len(texts))]
-    sampled = _random(dealt, PER_ROW).groupBy(*keys, "part").agg(*least)
+    dealt = counted.select(*keys, "word", F.inline(F.when(alike, every).otherwise(F.array(*own)))).filter("weight > 0")
+    dealt = dealt.select(*keys, "word", "of", F.log("weight").alias("weight"))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    least = [F.min(_sample(k, F.col("weight"))).alias(f"m{k}") for k in range(PER_ROW)]
+    sampled = _random(dealt, PER_ROW).groupBy(*keys, "part", "of").agg(*least)
+
+    def own_least(i: int, k: int) -> Column:
+        return F.min(F.when(F.col("of").bitwiseAND(F.lit(1 << i)) > 0, F.col(f"m{k}"))).alias(f"m{i}_{k}")
+
+    sampled = sampled.groupBy(*keys, "part").agg(*[own_least(i, k) for i in range(len(texts)) for k in range(PER_ROW)])
 
     def hexes(i: int) -> Column:
         low = F.lit((1 << ID_BITS) - 1)
@@ -148,25 +169,24 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((x == "") | (y == ""), (x == y).cast("double")).otherwise(equal / n)
 
 
-def _ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``docs`` with ``bucket``, ascending in the id, and where each range's first id goes too.
+def _cells(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` with ``bucket``, ascending in the id, and about how many there are.
 
-    Quantiles cut the ids into parts; each part has as many ranges as its bytes ask for.
+    Quantiles cut the ids into parts, and each part is cut evenly into as many
+    ranges as its bytes ask for.
     """
     bounds = docs.agg(
         F.count("doc_id"), F.percentile_approx("doc_id", [i / QUANTILES for i in range(1, QUANTILES)], 10_000),
         F.min("doc_id"), F.max("doc_id"),
     ).first()
     n, inner, low, high = bounds
-    if not n:
-        return docs.withColumn("bucket", F.lit(-1).cast("long")), None
-    edges = sorted({low, *inner})
-    ends = [*edges[1:], high + 1]
+    edges = sorted({low, *inner}) if n else [0]
+    ends = [*edges[1:], high + 1 if n else 1]
     part = F.lit(0)
     for e in edges[1:]:
         part = part + (F.col("doc_id") >= e).cast("int")
-    docs = docs.withColumn("part", part)
-    held = docs.groupBy("part").agg(F.sum(F.octet_length("text"))).collect()  # a row a part
+    docs = docs.withColumn("part", F.when(F.col("doc_id").isNotNull(), part).otherwise(-1))
+    held = docs.groupBy("part").agg(F.sum(F.octet_length("text") + ROW_BYTES)).collect()  # a row a part
     held = {r[0]: r[1] for r in held}
     ranges = [max(1, -(-held.get(i, 0) // RANGE_BYTES)) for i in range(len(edges))]
     before = [sum(ranges[:i]) for i in range(len(edges))]
@@ -177,17 +197,62 @@ def _ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     start, end = of_part(edges), of_part(ends)
     share = (F.col("doc_id") - start).cast("double") / (end - start).cast("double")
     within = F.least(of_part(ranges) - 1, F.floor(share * of_part(ranges)))
-    # Rows without an id have no order; they are dealt out by text.
-    bucket = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(sum(ranges))))
-    docs = docs.withColumn("bucket", bucket.otherwise(of_part(before) + within).cast("long")).drop("part")
-    firsts = docs.filter("bucket >= 0").groupBy("bucket").agg(F.min("doc_id").alias("first"))
-    firsts = stage(firsts.withColumn("group", F.expr(f"bucket div {RANGES_AT_ONCE}")), "range-firsts")
+    # Rows without an id have no order; they are dealt out by text, and equal ones by where they were read.
+    loose = -1 - F.pmod(F.xxhash64("hash", "origin"), F.lit(max(1, -(-held.get(-1, 0) // RANGE_BYTES))))
+    bucket = F.when(F.col("part") < 0, loose).otherwise(of_part(before) + within).cast("long")
+    return docs.withColumn("bucket", bucket).drop("part"), sum(ranges)
+
+
+def _ranges(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """As :func:`_cells`, but buckets that hold too much are cut again, into as many ``SPLIT`` parts a round as numbers leave room for.
+
+    A bucket of many ids is cut at their quantiles, one of a single id at those
+    of its texts' hashes, and one of equal texts by where they were read.
+    """
+    docs, n = _cells(docs)
+    span = 1
+    while n * span * 2 * SPLIT < 1 << 60:
+        ordered = docs.filter("bucket >= 0")
+        ends = [x for c in ORDER for x in (F.min(c).alias(f"low_{c}"), F.max(c).alias(f"high_{c}"))]
+        big = ordered.groupBy("bucket").agg(F.sum(F.octet_length("text") + ROW_BYTES).alias("bytes"), *ends)
+        cut = F.lit(None).cast("int")
+        for i, c in reversed(list(enumerate(ORDER))):
+            cut = F.when(F.col(f"low_{c}") < F.col(f"high_{c}"), i).otherwise(cut)
+        big = stage(big.filter(F.col("bytes") > MOST_RANGE * RANGE_BYTES).select("bucket", cut.alias("by")).filter("by is not null"), "range-big")
+        found = big.count()
+        if not found:
+            break
+        if found * CUT_BYTES <= BROADCAST_BYTES:
+            big = F.broadcast(big)
+        value = F.coalesce(*[F.when(F.col("by") == i, F.col(c).cast("long")) for i, c in enumerate(ORDER)])
+        at = F.percentile_approx(value, [i / SPLIT for i in range(1, SPLIT)], 10_000)
+        cuts = stage(ordered.join(big, "bucket").groupBy("bucket", "by").agg(F.array_distinct(at).alias("cuts")), "range-cuts")
+        if found * CUT_BYTES <= BROADCAST_BYTES:
+            cuts = F.broadcast(cuts)
+        docs = docs.join(cuts, "bucket", "left")
+        # Rows at a quantile, between two, below and above all: numbers stay in order.
+        below = F.size(F.filter("cuts", lambda c: c < value)) + F.size(F.filter("cuts", lambda c: c <= value))
+        below = F.when(F.col("by").isNull(), 0).otherwise(below)
+        bucket = F.when(F.col("bucket") >= 0, F.col("bucket") * (2 * SPLIT) + below).otherwise(F.col("bucket")).cast("long")
+        docs, span = docs.withColumn("bucket", bucket).drop("by", "cuts"), span * 2 * SPLIT
+    return docs, n, span
+
+
+def _guests(docs: DataFrame, n: int, span: int) -> DataFrame:
+    """The first row of each range, with the range before it as its ``bucket``; before the first is the last."""
+    docs = docs.filter("bucket >= 0")
+    least = stage(docs.groupBy("bucket").agg(F.min("doc_id").alias("least")), "range-least").withColumnRenamed("bucket", "of")
+    if n * FIRST_BYTES <= BROADCAST_BYTES:
+        least = F.broadcast(least)
+    some = docs.join(least, (F.col("bucket") == F.col("of")) & (F.col("doc_id") == F.col("least")))
+    firsts = some.groupBy("bucket").agg(F.min(F.struct("doc_id", "hash", "text", "origin")).alias("first"))
+    firsts = stage(firsts.select("bucket", "first.*").withColumn("group", F.expr(f"bucket div {RANGES_AT_ONCE * span}")), "range-firsts")
     last = F.max("last").over(Window.partitionBy())
     groups = firsts.groupBy("group").agg(F.max("bucket").alias("last"))
     groups = groups.select("group", F.coalesce(F.lag("last").over(Window.orderBy("group")), last).alias("earlier"))
     order = Window.partitionBy("group").orderBy("bucket")
-    firsts = firsts.join(groups, "group").select("first", F.coalesce(F.lag("bucket").over(order), "earlier").alias("before"))
-    return docs, F.broadcast(firsts) if sum(ranges) * FIRST_BYTES <= BROADCAST_BYTES else firsts
+    before = F.coalesce(F.lag("bucket").over(order), F.col("earlier"))
+    return firsts.join(groups, "group").select("doc_id", "text", "hash", "origin", before.alias("bucket"))
 
 
 def fingerprint_with_edit(
@@ -199,18 +264,12 @@ def fingerprint_with_edit(
     edited_fingerprint, near_edited, near_next``.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    dealt, firsts = _ranges(texts)
-    own = F.struct("bucket", F.lit(False).alias("guest"))
-    if firsts is None:
-        dealt = dealt.withColumn("at", own)
-    else:
-        dealt = dealt.join(firsts, F.col("doc_id") == F.col("first"), "left")
-        guest = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest"))
-        dealt = dealt.withColumn("at", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, guest))))
+    dealt, n, span = _ranges(texts.withColumns({"hash": F.xxhash64("text"), "origin": F.spark_partition_id()}))
+    guests = _guests(dealt, n, span).withColumn("guest", F.lit(True))
+    dealt = dealt.withColumn("guest", F.lit(False)).unionByName(guests)
     # Not nullable, so that the join below adds no filter and both sides read one shuffle.
-    bucket = F.coalesce("at.bucket", F.lit(-1).cast("long"))
-    dealt = dealt.select("doc_id", "text", bucket.alias("bucket"), F.col("at.guest").alias("guest"))
-    order = Window.partitionBy("bucket").orderBy("guest", "doc_id", "text")
+    dealt = dealt.withColumn("bucket", F.coalesce("bucket", F.lit(-1).cast("long")))
+    order = Window.partitionBy("bucket").orderBy("guest", *ORDER, "text")
     after = F.when(F.col("doc_id").isNotNull(), F.lead("text").over(order))
     rows = dealt.select("bucket", "guest", "doc_id", "text", after.alias("next"), F.row_number().over(order).alias("place"))
     n = F.length("text")

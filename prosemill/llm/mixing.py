@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, buckets_for, stage, word_count
+from .common import WORD, buckets_for, free_names, stage, word_count
 
 WEIGHTS = (5, 2, 1)
 ROWS_PER_BUCKET = 20_000
@@ -138,21 +138,22 @@ def repeat_documents(
     A document of which nothing is taken is not in the mix.  Rows of one id,
     text and source are one here, with the sum of what is taken of each.
     """
-    key = ["_id", "_hash", "_source"]
-    per = taken.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), "size", "taken")
-    per = per.groupBy(*key).agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
-    per = stage(per.filter("_taken > 0"), "mix-takes")
-    wanted = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
+    of_id, of_hash, of_source, size, takes, rows, part = free_names(docs, "of_id", "of_hash", "of_source", "of_size", "takes", "of_rows", "part")
+    key = [of_id, of_hash, of_source]
+    per = taken.select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash), F.col("source").alias(of_source), "size", "taken")
+    per = per.groupBy(*key).agg(F.max("size").alias(size), F.sum("taken").alias(takes), F.count("*").alias(rows))
+    per = stage(per.filter(F.col(takes) > 0), "mix-takes")
+    wanted = F.col(id_col).eqNullSafe(F.col(of_id)) & (F.xxhash64(text_col) == F.col(of_hash)) & F.col(source_col).cast("string").eqNullSafe(F.col(of_source))
     got = docs.join(per, wanted)
-    if per.filter("_rows > 1").take(1):
-        got = got.filter("_rows = 1").unionByName(got.filter("_rows > 1").dropDuplicates(key))
-    times = (F.col("_taken") / F.col("_size")).cast("int")
-    part = F.col("_taken") - times * F.col("_size")
+    if per.filter(F.col(rows) > 1).take(1):
+        got = got.filter(F.col(rows) == 1).unionByName(got.filter(F.col(rows) > 1).dropDuplicates(key))
+    times = (F.col(takes) / F.col(size)).cast("int")
+    rest = F.col(takes) - times * F.col(size)
     copies = F.concat(
         F.when(times > 0, F.transform(F.sequence(F.lit(1), times), lambda _: F.lit(0).cast("long"))).otherwise(
             F.array().cast("array<long>")
         ),
-        F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")),
+        F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")),
     )
-    text = F.when(F.col("_part") > 0, _first_words(F.col(text_col), F.col("_part").cast("int"))).otherwise(F.col(text_col))
-    return got.withColumn("_part", F.explode(copies)).select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    text = F.when(F.col(part) > 0, _first_words(F.col(text_col), F.col(part).cast("int"))).otherwise(F.col(text_col))
+    return got.withColumn(part, F.explode(copies)).select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -261,4 +261,6 @@ def keep_good(docs: DataFrame, model: QualityModel, *, text_col: str = "text") -
             keep = [m.score(indicators(t)) >= THRESHOLD for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(good, docs.schema)
+    # Under plain names, as a name with a dot would be taken for a field of another.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(good, plain.schema).toDF(*docs.columns)

@@ -5,10 +5,10 @@ word length and the square roots of the shares of symbols, of repeated lines
 and of words in repeated windows.  Length is not among them: a long clean text
 is no outlier, and short ones have a rule of their own.  Per language and
 source, concentration steps seek the three quarters of the texts whose
-covariance has the least determinant.  They begin at three estimates (medians
-with median deviations, and the covariances of squashed values and of
-directions); after a few steps the start of least determinant goes on until that
-stops falling.  After one reweighting, a text whose squared
+covariance has the least determinant.  They begin at four estimates (medians
+with median deviations, and the covariances of squashed values, of directions
+and of the rows near the medians); after a few steps the start of least
+determinant goes on until that stops falling.  After one reweighting, a text whose squared
 Mahalanobis distance passes the chi-square quantile is rejected.
 
 All of it is DataFrame expressions.  Texts are read once; the steps are
@@ -37,7 +37,7 @@ SUBSET = 0.75
 #: Steps of every start, and of the best start at most; those end when no group's
 #: determinant falls by more than ``LEAST_FALL`` of itself.
 FIRST_STEPS, MOST_STEPS, LEAST_FALL = 2, 30, 1e-3
-STARTS = 3
+STARTS = 4
 REWEIGHT, CUTOFF = 0.975, 0.999
 #: Least standard deviation of each statistic in texts of any length, for what
 #: chance repeats; sampling noise at the text's own length comes on top.
@@ -141,11 +141,9 @@ def _noise() -> dict[str, Column]:
     return {f"v_{x}": F.lit(FLOORS[x] ** 2) + v for x, v in of.items()}
 
 
-def _moments(members: DataFrame, scale: float, keys: tuple[str, ...] = ("group",)) -> DataFrame:
-    """Per group the means, the covariance, and ``logdet`` of it with the mean noise on its diagonal."""
-    sums = [F.count("*").alias("n")]
-    sums += [F.avg(x).alias(f"m_{x}") for x in NAMES]
-    sums += [F.avg(f"v_{x}").alias(f"w_{x}") for x in NAMES]
+def _covariances(members: DataFrame, scale: float, keys: tuple[str, ...] = ("group",)) -> DataFrame:
+    """Per group the means and the covariance."""
+    sums = [F.avg(x).alias(f"m_{x}") for x in NAMES]
     sums += [F.avg(F.col(x) * F.col(y)).alias(f"p{i}{j}") for i, x in enumerate(NAMES) for j, y in enumerate(NAMES[: i + 1])]
     g = members.groupBy(*keys).agg(*sums)
     cov = [
@@ -153,15 +151,42 @@ def _moments(members: DataFrame, scale: float, keys: tuple[str, ...] = ("group",
         for i, x in enumerate(NAMES)
         for j, y in enumerate(NAMES[: i + 1])
     ]
-    g = _factors(g.select(*keys, *[f"m_{x}" for x in NAMES], *[f"w_{x}" for x in NAMES], *cov), "w")
+    return g.select(*keys, *[f"m_{x}" for x in NAMES], *cov)
+
+
+#: Columns of an estimate: means and the lower triangle of the covariance.
+FIT = (*(f"m_{x}" for x in NAMES), *(f"c{i}{j}" for i in range(P) for j in range(i + 1)))
+#: The inverse of the covariance's factor, by which members are brought to unit variance.
+INVERSE = tuple(f"k{i}{j}" for i in range(P) for j in range(i + 1))
+#: The group's noise, the mean of that of all its members, which is one in every step.
+NOISE = tuple(f"w_{x}" for x in NAMES)
+
+
+def _shaped(fits: DataFrame) -> DataFrame:
+    """With ``logdet`` and ``INVERSE`` of the covariance plus the group's noise."""
+    d = _factors(fits, "w")
+    for i in range(P):
+        for j in range(i + 1):
+            value = F.lit(1.0) if i == j else F.lit(0.0)
+            for k in range(j, i):
+                value = value - F.col(f"l{i}{k}") * F.col(f"k{k}{j}")
+            d = d.withColumn(f"k{i}{j}", value / F.col(f"l{i}{i}"))
     logdet = F.lit(0.0)
     for i in range(P):
         logdet = logdet + 2 * F.log(F.col(f"l{i}{i}"))
-    return g.select(*keys, *FIT, logdet.alias("logdet"))
+    return d.withColumn("logdet", logdet).drop(*[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
 
 
-#: Columns of an estimate: means and the lower triangle of the covariance.
-FIT = (*(f"m_{x}" for x in NAMES), *(f"c{i}{j}" for i in range(P) for j in range(i + 1)))
+def _group_distance(d: DataFrame) -> DataFrame:
+    """With ``d2`` under the covariance of which ``logdet`` is the determinant."""
+    total = F.lit(0.0)
+    for i in range(P):
+        z = F.lit(0.0)
+        for j in range(i + 1):
+            z = z + F.col(f"k{i}{j}") * (F.col(NAMES[j]) - F.col(f"m_{NAMES[j]}"))
+        d = d.withColumn(f"z{i}", z)
+        total = total + F.col(f"z{i}") * F.col(f"z{i}")
+    return d.withColumn("d2", total)
 
 
 def _factors(d: DataFrame, noise: str) -> DataFrame:
@@ -178,7 +203,7 @@ def _factors(d: DataFrame, noise: str) -> DataFrame:
 
 
 def _distance(d: DataFrame) -> DataFrame:
-    """With ``d2``, the squared Mahalanobis distance under the covariance plus the row's noise."""
+    """With ``d2``, the squared Mahalanobis distance under the covariance plus the row's own noise."""
     d = _factors(d, "v")
     for i, x in enumerate(NAMES):
         rest = F.col(x) - F.col(f"m_{x}")
@@ -208,7 +233,7 @@ def _nearest(members: DataFrame, share: float, few: bool, keys: tuple[str, ...]
 
 
 def _starts(members: DataFrame, few: bool) -> DataFrame:
-    """``group, start`` and an estimate each, about the medians in units of the median deviation."""
+    """``group, start``, an estimate each and the group's noise, about the medians in units of the median deviation."""
     middle = members.groupBy("group").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in NAMES])
     off = _with(members, middle, few)
     spread = off.groupBy("group").agg(
@@ -217,16 +242,20 @@ def _starts(members: DataFrame, few: bool) -> DataFrame:
         *[F.avg(f"v_{x}").alias(f"w_{x}") for x in NAMES],
     )
     unit = {f"u_{x}": F.sqrt(F.greatest(F.pow(F.col(f"s_{x}") * 1.4826, 2), F.col(f"w_{x}"))) for x in NAMES}
-    spread = stage(spread.withColumns(unit).select("group", *[f"m_{x}" for x in NAMES], *unit), "quality-start")
+    spread = stage(spread.withColumns(unit).select("group", *[f"m_{x}" for x in NAMES], *NOISE, *unit), "quality-start")
     z = [(F.col(x) - F.col(f"m_{x}")) / F.col(f"u_{x}") for x in NAMES]
     d = _with(members, spread, few).select("group", *[c.alias(f"z{i}") for i, c in enumerate(z)])
     norm = F.lit(0.0)
     for i in range(P):
         norm = norm + F.col(f"z{i}") * F.col(f"z{i}")
+    norm = F.sqrt(norm)
     # Of a direction each part has a square of 1/P on average; scaled back to one.
-    scale = math.sqrt(P) / F.greatest(F.sqrt(norm), F.lit(1e-6))
-    d = d.select("group", *[F.tanh(f"z{i}").alias(f"y1{i}") for i in range(P)], *[(F.col(f"z{i}") * scale).alias(f"y2{i}") for i in range(P)])
-    found = d.groupBy("group").agg(*[F.avg(F.col(f"y{k}{i}") * F.col(f"y{k}{j}")).alias(f"k{k}_{i}{j}") for k in (1, 2) for i in range(P) for j in range(i + 1)])
+    scale = math.sqrt(P) / F.greatest(norm, F.lit(1e-6))
+    # Beyond twice the length that normal rows have on average a row counts for nothing.
+    near = F.when(norm < 2 * math.sqrt(P), 1.0).otherwise(0.0)
+    ways = ((1, F.tanh), (2, lambda x: x * scale), (3, lambda x: x * near))
+    d = d.select("group", *[way(F.col(f"z{i}")).alias(f"y{k}{i}") for k, way in ways for i in range(P)])
+    found = d.groupBy("group").agg(*[F.avg(F.col(f"y{k}{i}") * F.col(f"y{k}{j}")).alias(f"q{k}_{i}{j}") for k, _ in ways for i in range(P) for j in range(i + 1)])
     found = found.join(spread, "group")
 
     def estimate(k: int) -> Column:
@@ -234,38 +263,52 @@ def _starts(members: DataFrame, few: bool) -> DataFrame:
         for i in range(P):
             for j in range(i + 1):
                 units = F.col(f"u_{NAMES[i]}") * F.col(f"u_{NAMES[j]}")
-                value = F.col(f"k{k}_{i}{j}") * units if k else units if i == j else F.lit(0.0)
+                value = F.col(f"q{k}_{i}{j}") * units if k else units if i == j else F.lit(0.0)
                 cells.append(value.alias(f"c{i}{j}"))
         return F.struct(F.lit(k).alias("start"), *cells)
 
-    found = found.select("group", *[f"m_{x}" for x in NAMES], F.explode(F.array(*map(estimate, range(STARTS)))).alias("e"))
-    return found.select("group", "e.start", *[f"m_{x}" for x in NAMES], *[f"e.c{i}{j}" for i in range(P) for j in range(i + 1)])
+    found = found.select("group", *[f"m_{x}" for x in NAMES], *NOISE, F.explode(F.array(*map(estimate, range(STARTS)))).alias("e"))
+    return found.select("group", "e.start", *[f"m_{x}" for x in NAMES], *[f"e.c{i}{j}" for i in range(P) for j in range(i + 1)], *NOISE)
 
 
 def least_determinant(members: DataFrame, subset: float, few: bool) -> DataFrame:
-    """``group`` and the estimate of each group's subset of least determinant.
+    """``group``, the estimate of each group's subset of least determinant, and its ``logdet``.
 
-    ``members`` has ``group``, the statistics and their noises.
+    ``members`` has ``group``, the statistics and their noises.  Distances and
+    determinants are those of one covariance, the subset's plus the group's
+    noise, so nearest members can't have a larger one but for the grid on which
+    they are cut; of all that a group has seen the least is returned.  A group
+    whose determinant has stopped falling takes no part in further steps.
     """
-    keys, values = ("group", "start"), [*NAMES, *[f"v_{x}" for x in NAMES]]
+    keys = ("group", "start")
     # Makes the covariance of the nearest share of normal data that of all of it.
     scale = subset / chi2_below(chi2_quantile(subset, P), P + 2)
-    fit = stage(_starts(members, few), "quality-fit")
-    each = members.withColumn("start", F.explode(F.array(*map(F.lit, range(STARTS)))))
+    fit = stage(_shaped(_starts(members, few)), "quality-fit")
+    noise = fit.filter("start = 0").select("group", *NOISE)
+    values = members.select("group", *NAMES)
+
+    def step(of: DataFrame, fit: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        shape = fit.select(*keys, *[f"m_{x}" for x in NAMES], *INVERSE)
+        near = _nearest(_group_distance(_with(of, shape, few, keys)).select(*keys, *NAMES, "d2"), subset, few, keys)
+        return stage(_shaped(_covariances(near, scale, keys).join(noise, "group")), "quality-fit")
+
+    each = values.withColumn("start", F.explode(F.array(*map(F.lit, range(STARTS)))))
+    seen = None
     for _ in range(FIRST_STEPS):
-        near = _nearest(_distance(_with(each, fit, few, keys)).select(*keys, *values, "d2"), subset, few, keys)
-        fit = stage(_moments(near, scale, keys), "quality-fit")
-    start = fit.groupBy("group").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
-    fit = stage(fit.join(start, list(keys)), "quality-fit")
+        fit = step(each, fit, keys)
+        seen = fit if seen is None else seen.unionByName(fit)
+    columns = [*FIT, *NOISE, *INVERSE, "logdet"]
+    least = seen.groupBy("group").agg(F.min_by(F.struct(*columns), F.struct("logdet", "start")).alias("f"))
+    least = stage(least.select("group", "f.*", F.lit(True).alias("falls")), "quality-fit")
     for _ in range(MOST_STEPS):
-        # The other starts have no estimate any more, so their rows drop out of the join.
-        near = _nearest(_distance(_with(each, fit, few, keys)).select(*keys, *values, "d2"), subset, few, keys)
-        now = stage(_moments(near, scale, keys), "quality-fit")
-        fall = fit.select("group", F.col("logdet").alias("before")).join(now.select("group", "logdet"), "group").agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
-        fit = now
-        if (fall or 0.0) <= LEAST_FALL:
+        now = step(values, least.filter("falls"), ("group",))
+        both = least.join(now.select("group", F.struct(*columns).alias("now")), "group", "left")
+        fall = F.col("logdet") - F.col("now.logdet")
+        taken = [F.when(fall > 0, F.col(f"now.{c}")).otherwise(F.col(c)).alias(c) for c in columns]
+        least = stage(both.select("group", *taken, F.coalesce(fall > LEAST_FALL, F.lit(False)).alias("falls")), "quality-fit")
+        if not least.filter("falls").take(1):
             break
-    return fit.drop("start", "logdet")
+    return least.select("group", *FIT, "logdet")
 
 
 def quality_rules(
@@ -299,9 +342,9 @@ def quality_rules(
     members = stage(members.join(needed, "group"), "quality-members")
 
     few = needed.count() * GROUP_BYTES * STARTS <= BROADCAST_BYTES
-    fit = least_determinant(members, subset, few)
+    fit = least_determinant(members, subset, few).drop("logdet")
     inner = _distance(_with(members, fit, few)).filter(F.col("d2") <= chi2_quantile(REWEIGHT, P))
-    fit = stage(_moments(inner.select("group", *NAMES, *[f"v_{x}" for x in NAMES]), 1.0).drop("logdet"), "quality-fit")
+    fit = stage(_covariances(inner.select("group", *NAMES), 1.0), "quality-fit")
     by_source = chosen.join(fit.withColumnRenamed("group", "chosen"), "chosen").drop("chosen")
 
     out = _distance(base.join(F.broadcast(by_source) if chosen.count() * GROUP_BYTES <= BROADCAST_BYTES else by_source, "g2", "left"))

@@ -9,8 +9,8 @@ file is padded (mask false).  The number of files follows from the bytes of the
 texts (``FILE_BYTES`` each), whatever the session's settings are.
 
 Defined results: a null text is an empty one and has the end id alone; a null
-document id sorts first; repeated rows are each written; ties between equal
-ids are ordered by text; an empty table gives no file; other columns of the
+document id sorts first; repeated rows are each written; rows of one id (or of
+none) are ordered by a hash of their texts and may fill any number of files; an empty table gives no file; other columns of the
 input are ignored.
 """
 
@@ -225,7 +225,10 @@ def write_token_files(
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = texts.repartitionByRange(max(1, -(-total // file_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id are spread by their texts, and equal rows by the input's partitions.
+    texts = texts.withColumns({"hash": F.xxhash64("text"), "origin": F.spark_partition_id()})
+    ordered = texts.repartitionByRange(max(1, -(-total // file_bytes)), "doc_id", "hash", "origin")
+    ordered = ordered.sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     parts = stage(ordered.mapInArrow(write, "part long, docs long, tokens long"), "token-parts")
     # A row a file.
     before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

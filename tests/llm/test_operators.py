@@ -237,11 +237,17 @@ def test_token_files_round_trip(odd, library, spark, tmp_path):
     assert files.parts.count() > 5
     got = sorted(files.documents().collect(), key=lambda r: r.start)
     assert len(got) == len(rows)
-    at = 0
-    for r, (doc, text) in zip(got, sorted(((r[0], r[1] or "") for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1])), strict=True):
-        ids = library(text) + [0]
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        at += len(ids)
+    at, left = 0, Counter()
+    for r in rows:
+        ids = library(r[1] or "") + [0]
+        left[r[0], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    for r in got:
+        assert r.start == at
+        left[r.doc_id, r.n_tokens, r.ids_crc32] -= 1
+        at += r.n_tokens
+    assert set(left.values()) == {0}
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert order == sorted(order)
     part = files.parts.filter("tokens > 16").first().part
     reader = token_files.SequenceReader(f"file://{tmp_path}/t/part-{part:06d}.arrows")
     again = reader.run(0, 3)
@@ -250,6 +256,17 @@ def test_token_files_round_trip(odd, library, spark, tmp_path):
     assert not ids.flags.owndata and len(ids) == 16 and len(mask) == 16 and mask.to_pylist() == [True] * 16
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_token_files_of_many_rows_of_one_id(spark, tmp_path, doc_id):
+    rng = random.Random(4)
+    rows = [(doc_id, words_of(rng, 40)) for _ in range(800)] + [(doc_id, "same " * 60)] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    files = token_files.write_token_files(df, path=f"file://{tmp_path}/t", length=64, file_bytes=20_000)
+    docs = [r.docs for r in files.parts.collect()]
+    assert sum(docs) == len(rows) and len(docs) > 8 and max(docs) < 3 * np.median(docs)
+    assert files.documents().count() == len(rows)
+
+
 def brute_counts(text: str | None) -> tuple:
     words = (text or "").encode().split()
     words = [w.decode() for w in words]
@@ -349,6 +366,35 @@ def test_fingerprints(odd, spark, monkeypatch):
     assert all(r.near_next is None for r in odd_out if r.doc_id is None)
 
 
+def test_fingerprint_ranges_hold_little_of_any_ids(spark, monkeypatch):
+    """Dense and sparse ids, one id many times, equal rows and rows without an id."""
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 4_000)
+    rng = random.Random(6)
+    rows = [(i, words_of(rng, 6)) for i in range(6_000)] + [(10**9 * (i + 1), words_of(rng, 6)) for i in range(300)]
+    rows += [(77, words_of(rng, 6)) for _ in range(1_500)] + [(5 * 10**8, "equal rows of one id")] * 1_500 + [(None, "no id")] * 1_500
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+    df = df.withColumn("hash", fingerprints.F.xxhash64("text")).withColumn("origin", fingerprints.F.spark_partition_id())
+    dealt, _, _ = fingerprints._ranges(df)
+    held = dealt.groupBy("bucket").agg(fingerprints.F.sum(fingerprints.F.octet_length("text") + 64).alias("n"), fingerprints.F.min("doc_id").alias("a"), fingerprints.F.max("doc_id").alias("b"))
+    held = sorted((r.bucket, r.n, r.a, r.b) for r in held.collect())
+    sizes = [h[1] for h in held]
+    # Equal rows of one part of the input can't be told apart: 1,500 of 84 bytes over 24 parts.
+    assert max(sizes) <= 3 * 4_000 + 1_500 * 84 // 24 * 2 and dealt.count() == len(rows)
+    ends = [(a, b) for _, _, a, b in held if a is not None]
+    assert all(b <= c for (_, b), (c, _) in zip(ends, ends[1:], strict=False))
+
+
+def test_fingerprints_of_many_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 600)
+    rows = [(i // 40, f"word{i} " * 3) for i in range(120)] + [(9, "same text")] * 60 + [(None, "no id")] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = fingerprints.fingerprint_with_edit(df, samples=8).collect()
+    assert len(out) == len(rows)
+    after = Counter(r.near_next for r in out if r.doc_id == 9)
+    assert after[1.0] == 59 and sum(after.values()) == 60
+    assert all(r.near_next is None for r in out if r.doc_id is None) and all(r.near_next == 0 for r in out if r.doc_id in (0, 1, 2))
+
+
 def brute_components(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
     sets = {}
     for doc, text in rows:
@@ -506,6 +552,95 @@ def test_least_determinant_is_that_of_many_random_starts(spark):
     assert all(abs(fit[f"m_{k}"] - m) < 0.05 for k, m in zip(names, (1.5, 0.2, 0.3, 0.2), strict=True))
 
 
+def fit_of(row) -> tuple[np.ndarray, np.ndarray]:
+    cov = np.zeros((4, 4))
+    for i in range(4):
+        for j in range(i + 1):
+            cov[i, j] = cov[j, i] = row[f"c{i}{j}"]
+    return np.array([row[f"m_{k}"] for k in quality_rules.NAMES]), cov
+
+
+def noisy_members(spark, seed: int):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g, n in (("a", 400), ("b", 150), ("c", 30)):
+        v = rng.uniform(1e-4, 0.05, size=(n, 4))
+        x = rng.normal(size=(n, 4)) * np.sqrt(0.01 + v) + rng.normal(size=4)
+        x[: n // 6] += rng.normal(size=4) * 2
+        rows += [(g, *map(float, a), *map(float, b)) for a, b in zip(x, v, strict=True)]
+    return rows, spark.createDataFrame(rows, ["group", *quality_rules.NAMES, *[f"v_{k}" for k in quality_rules.NAMES]])
+
+
+def test_no_step_raises_the_determinant_that_is_returned(spark, monkeypatch):
+    rows, df = noisy_members(spark, 21)
+    before = {}
+    for most in (0, 1, 2, 4, 8):
+        monkeypatch.setattr(quality_rules, "MOST_STEPS", most)
+        fits = {r.group: r for r in quality_rules.least_determinant(df, quality_rules.SUBSET, True).collect()}
+        assert set(fits) == {"a", "b", "c"}
+        for g, r in fits.items():
+            noise = np.mean([x[5:] for x in rows if x[0] == g], axis=0)
+            assert r.logdet == pytest.approx(np.linalg.slogdet(fit_of(r)[1] + np.diag(noise))[1], abs=1e-6)
+            assert r.logdet <= before.get(g, math.inf) + 1e-12
+            before[g] = r.logdet
+
+
+def test_verdicts_against_a_plain_version(spark):
+    """``kept`` of every row, from determinants of many random starts."""
+    rng = random.Random(17)
+    docs = []
+    for i in range(420):
+        text = words_of(rng, rng.randint(60, 300))
+        if i % 12 == 0:
+            text = " ".join(w + rng.choice(("##", "$", "&&&")) * (1 + i % 3) for w in text.split())
+        if i % 15 == 0:
+            text = "\n".join([*text.split(" "), *["again and again"] * (i % 40)])
+        docs.append((i, text, "en" if i % 3 else "de", "s" if i % 2 else "t", 0, "k", 0, "s"))
+    out = quality_rules.quality_rules(spark.createDataFrame(docs, SCHEMA)).collect()
+    q, groups = quality_rules, defaultdict(list)
+    for r in out:
+        if not r.base_failed:
+            groups[r.lang, r.source].append(r)
+    plain = np.random.default_rng(2)
+    checked = 0
+    for (lang, _), rows in groups.items():
+        fitted = rows if len(rows) >= q.LEAST_GROUP else [r for (x, _), y in groups.items() if x == lang for r in y]
+        assert len(fitted) >= q.LEAST_GROUP
+        lines = {i: len([x for x in t.split("\n") if x.split()]) for i, t, *_ in docs}
+
+        def vectors(some):
+            w, c = np.array([r.n_words for r in some]), np.array([r.word_chars for r in some])
+            n = np.array([lines[r.doc_id] for r in some])
+            x = np.stack([np.log(c / w), np.sqrt([r.n_symbols for r in some] / c), np.sqrt([r.n_dup_lines for r in some] / n), np.sqrt([r.n_repeat_words for r in some] / w)], 1)
+            v = np.stack([0.25 / w, 0.25 / c, 0.25 / n, 0.25 * q.WINDOW_WORDS / w], 1) + np.square(list(q.FLOORS.values()))
+            return x, v
+
+        x, v = vectors(fitted)
+        h, scale = math.ceil(q.SUBSET * len(x)), q.SUBSET / q.chi2_below(q.chi2_quantile(q.SUBSET, 4), 6)
+        best = (math.inf, None, None)
+        for _ in range(60):
+            some = plain.choice(len(x), 5, replace=False)
+            for _ in range(40):
+                m, s = x[some].mean(0), np.cov(x[some].T, bias=True) * scale
+                z = x - m
+                d2 = np.einsum("ij,jk,ik->i", z, np.linalg.inv(s + np.diag(v.mean(0))), z)
+                some = np.argsort(d2, kind="stable")[:h]
+            m, s = x[some].mean(0), np.cov(x[some].T, bias=True) * scale
+            best = min(best, (np.linalg.slogdet(s + np.diag(v.mean(0)))[1], m.tolist(), s.tolist()))
+
+        def distances(x, v, m, s):
+            return np.array([(a - m) @ np.linalg.inv(s + np.diag(b)) @ (a - m) for a, b in zip(x, v, strict=True)])
+
+        inner = x[distances(x, v, np.array(best[1]), np.array(best[2])) <= q.chi2_quantile(q.REWEIGHT, 4)]
+        m, s = inner.mean(0), np.cov(inner.T, bias=True)
+        for r, d2 in zip(rows, distances(*vectors(rows), m, s), strict=True):
+            # The subset is cut on a grid, so a row at the edge of the quantile may fall on either side.
+            if abs(d2 / q.chi2_quantile(q.CUTOFF, 4) - 1) > 0.1:
+                assert r.kept == (d2 <= q.chi2_quantile(q.CUTOFF, 4))
+                checked += 1
+    assert checked > 380 and 10 < sum(not r.kept for r in out) < 80
+
+
 def test_classifier_on_held_out_rows(spark, odd, empty):
     rng = random.Random(4)
     rows = [(i, words_of(rng, 60) if i % 3 else " ".join([rng.choice(("BUY!!", "win$$")) for _ in range(30)] + [words_of(rng, 30)]), "en", "a", 0, "k", 0, "s") for i in range(300)]

@@ -136,3 +136,17 @@ def test_empty_tables(spark, folder):
         out = stage(spark, docs, folder[0])
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder[0]).count() == 0
+
+
+def test_columns_of_any_name_are_carried_along(spark, folder):
+    """Names that the stages use themselves, in a table where every stage has something to drop."""
+    path, rows = folder
+    names = ["text_hash", "key_0", "key_1", "size", "taken", "part", "of_id", "takes", "TEXT_HASH_", "a.b"]
+    mine = spark.createDataFrame([(*r, *[f"{n}:{r[0]}" for n in names]) for r in rows + rows[5:8]], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    docs = mine
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, path)
+        assert docs.columns == mine.columns, name
+        got = docs.collect()
+        assert got and all(tuple(r)[5:] == tuple(f"{n}:{r.doc_id}" for n in names) for r in got), name
+    assert corpus_pipeline.STAGES[4][1](spark, docs, path).count() > 0
