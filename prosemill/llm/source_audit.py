@@ -43,7 +43,7 @@ SLICE_BYTES = 3 << 20
 #: Distinct terms, or postings, that a task holds before it hands them on.
 HELD = 400_000
 #: Cells (sources times terms) of a block in which distances are summed.
-BLOCK_CELLS = 2_000_000
+BLOCK_CELLS = 100_000
 #: Counts that are gathered before equal ones are added up.
 LOOSE = 2_000_000
 
