@@ -118,32 +118,18 @@ def signatures(rows: DataFrame, keys: list[str], texts: list[str], samples: int
     """``keys`` and a fingerprint (``f0``, ``f1``, ...) of each of the text columns.
 
     Where ``rows`` are already partitioned by one of the keys nothing is shuffled.
-    A row whose texts have no words gives no row.  A word is sampled once for
-    each weight that it has, and the sample counts for all texts with that
-    weight: those of a key have most of their words in common.
+    A row whose texts have no words gives no row.
     """
     sides = [F.struct(F.lit(i).alias("side"), F.col(t).alias("text")) for i, t in enumerate(texts)]
     each = rows.select(*keys, F.explode(F.array(*sides)).alias("of"))
     each = each.select(*keys, F.col("of.side").alias("side"), F.explode(_word_array(F.col("of.text"))).alias("word"))
     counts = [F.count(F.when(F.col("side") == i, 1)).alias(f"w{i}") for i in range(len(texts))]
     counted = each.select(*keys, "side", F.xxhash64("word").alias("word")).groupBy(*keys, "word").agg(*counts)
-    weights = [F.col(f"w{i}") for i in range(len(texts))]
-    alike = weights[0] > 0
-    for w in weights[1:]:
-        alike = alike & (w == weights[0])
-    own = [F.struct(F.lit(1 << i).alias("of"), w.alias("weight")) for i, w in enumerate(weights)]
-    every = F.array(F.struct(F.lit((1 << len(texts)) - 1).alias("of"), weights[0].alias("weight")))
+    weights = [F.when(F.col(f"w{i}") > 0, F.log(f"w{i}")).alias(f"l{i}") for i in range(len(texts))]
     parts = -(-samples // PER_ROW)
-    dealt = counted.select(*keys, "word", F.inline(F.when(alike, every).otherwise(F.array(*own)))).filter("weight > 0")
-    dealt = dealt.select(*keys, "word", "of", F.log("weight").alias("weight"))
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    least = [F.min(_sample(k, F.col("weight"))).alias(f"m{k}") for k in range(PER_ROW)]
-    sampled = _random(dealt, PER_ROW).groupBy(*keys, "part", "of").agg(*least)
-
-    def own_least(i: int, k: int) -> Column:
-        return F.min(F.when(F.col("of").bitwiseAND(F.lit(1 << i)) > 0, F.col(f"m{k}"))).alias(f"m{i}_{k}")
-
-    sampled = sampled.groupBy(*keys, "part").agg(*[own_least(i, k) for i in range(len(texts)) for k in range(PER_ROW)])
+    dealt = counted.select(*keys, "word", *weights).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    least = [F.min(_sample(k, F.col(f"l{i}"))).alias(f"m{i}_{k}") for k in range(PER_ROW) for i in range(len(texts))]
+    sampled = _random(dealt, PER_ROW).groupBy(*keys, "part").agg(*least)
 
     def hexes(i: int) -> Column:
         low = F.lit((1 << ID_BITS) - 1)
@@ -162,11 +148,9 @@ def signatures(rows: DataFrame, keys: list[str], texts: list[str], samples: int
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal positions of two fingerprints; two empty ones are alike."""
     x, y = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
-    n = (F.length(x) / 6).cast("int")
-    equal = F.size(
-        F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.substring(x, i * 6 + 1, F.lit(6)) == F.substring(y, i * 6 + 1, F.lit(6)))
-    )
-    return F.when((x == "") | (y == ""), (x == y).cast("double")).otherwise(equal / n)
+    # Cut at once: a substring by its place would be sought from the beginning of the text each time.
+    equal = F.zip_with(*[F.regexp_extract_all(v, F.lit(".{6}"), F.lit(0)) for v in (x, y)], lambda p, q: p == q)
+    return F.when((x == "") | (y == ""), (x == y).cast("double")).otherwise(F.size(F.filter(equal, lambda e: e)) / F.size(equal))
 
 
 def _cells(docs: DataFrame) -> tuple[DataFrame, int]:

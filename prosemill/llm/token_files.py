@@ -34,7 +34,7 @@ from .tokens import encoder, vocabulary_path
 #: Sequences of one record batch.
 BATCH_ROWS = 128
 #: Documents encoded at once.
-DOCS_AT_ONCE = 1_000
+DOCS_AT_ONCE = 250
 #: Bytes of text of a file.
 FILE_BYTES = 24 << 20
 

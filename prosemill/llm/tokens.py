@@ -10,6 +10,7 @@ the vocabulary (such as its end mark), go to the library whole.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
@@ -23,7 +24,7 @@ ENDINGS = ".,;:!?#*$%&|"
 #: White space beside the space and the line feed: a text with any goes to the library whole.
 OTHER_WHITE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 #: Missing pieces joined into one call of the library.
-PIECES_AT_ONCE = 1_000
+PIECES_AT_ONCE = 200
 
 
 class TextEncoder:
@@ -34,6 +35,8 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
+        if hasattr(self._library.model, "_resize_cache"):
+            self._library.model._resize_cache(0)  # pieces are remembered here
         self._added = [t.content for t in self._library.get_added_tokens_decoder().values()]
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
@@ -68,13 +71,13 @@ class TextEncoder:
         joined = ["\n".join([p[1:] if p[0] == "\n" else " " + p for p in g]) for g in groups]
         learned: dict[str, bytes] = {}
         for group, got in zip(groups, self._library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, "<u4")
-            cuts = np.flatnonzero(ids == self._feed_id)
-            raw = ids.tobytes()
-            starts = [0, *((cuts + 1) * 4).tolist()]
-            ends = [*(cuts * 4).tolist(), len(raw)]
-            for p, a, b in zip(group, starts, ends, strict=True):
-                learned[p] = self._feed + raw[a:b] if p[0] == "\n" else raw[a:b]
+            raw = array("I", got.ids).tobytes()
+            cuts = (np.flatnonzero(np.frombuffer(raw, "<u4") == self._feed_id) * 4).tolist()
+            starts = [0, *[c + 4 for c in cuts]]
+            learned.update(zip(group, [raw[a:b] for a, b in zip(starts, [*cuts, len(raw)], strict=True)], strict=True))
+        for p in missing:
+            if p[0] == "\n":
+                learned[p] = self._feed + learned[p]
         return learned
 
     def _ending(self, text: str) -> bytes:
@@ -84,12 +87,11 @@ class TextEncoder:
             self._endings[text] = self._ids(text)
         return self._endings[text]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text (null: empty) as little-endian uint32 bytes."""
-        cut = [self._pieces(t) if t else None for t in texts]
+    def _know(self, pieces: set[str]) -> None:
+        """Puts the pieces among the young ones."""
         young, old = self._young, self._old
         split, missing = [], set()
-        for p in set().union(*filter(None, cut)).difference(young):
+        for p in pieces:
             if p in old:
                 young[p] = old[p]
                 continue
@@ -107,10 +109,21 @@ class TextEncoder:
             young.update(self._learn(list(missing)))
         for p, core in split:
             young[p] = young[core] + self._ending(p[len(core) :])
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text (null: empty) as little-endian uint32 bytes."""
+        young = self._young
+        cut = [self._pieces(t) if t else None for t in texts]
+        got = [list(map(young.get, pieces)) if pieces else None for pieces in cut]
+        # Pieces that are not known yet, by text: one look-up of each piece serves both the test and the result.
+        open_ = [[i for i, v in enumerate(vs) if v is None] if vs and None in vs else () for vs in got]
+        self._know({pieces[i] for pieces, places in zip(cut, open_, strict=True) for i in places})
         out = []
-        for text, pieces in zip(texts, cut, strict=True):
+        for text, pieces, vs, places in zip(texts, cut, got, open_, strict=True):
             if pieces:
-                out.append(b"".join(map(young.__getitem__, pieces))[4:])
+                for i in places:
+                    vs[i] = young[pieces[i]]
+                out.append(b"".join(vs)[4:])
             else:
                 out.append(self._ids(text) if text else b"")
         if len(young) > self._room:
