@@ -142,10 +142,13 @@ def _noise() -> dict[str, Column]:
 
 
 def _covariances(members: DataFrame, scale: float, keys: tuple[str, ...] = ("group",)) -> DataFrame:
-    """Per group the means and the covariance."""
-    sums = [F.avg(x).alias(f"m_{x}") for x in NAMES]
-    sums += [F.avg(F.col(x) * F.col(y)).alias(f"p{i}{j}") for i, x in enumerate(NAMES) for j, y in enumerate(NAMES[: i + 1])]
-    g = members.groupBy(*keys).agg(*sums)
+    """Per group the means and the covariance of the rows whose statistics aren't null."""
+    # Sums and one count: means of their own would make the compiled code too long.
+    sums = [F.sum(x).alias(f"s_{x}") for x in NAMES]
+    sums += [F.sum(F.col(x) * F.col(y)).alias(f"s{i}{j}") for i, x in enumerate(NAMES) for j, y in enumerate(NAMES[: i + 1])]
+    g = members.groupBy(*keys).agg(F.count(NAMES[0]).alias("n"), *sums)
+    means = [(F.col(f"s_{x}") / F.col("n")).alias(f"m_{x}") for x in NAMES]
+    g = g.select(*keys, *means, *[(F.col(f"s{i}{j}") / F.col("n")).alias(f"p{i}{j}") for i in range(P) for j in range(i + 1)])
     cov = [
         ((F.col(f"p{i}{j}") - F.col(f"m_{x}") * F.col(f"m_{y}")) * F.lit(scale)).alias(f"c{i}{j}")
         for i, x in enumerate(NAMES)
@@ -255,8 +258,10 @@ def _starts(members: DataFrame, few: bool) -> DataFrame:
     near = F.when(norm < 2 * math.sqrt(P), 1.0).otherwise(0.0)
     ways = ((1, F.tanh), (2, lambda x: x * scale), (3, lambda x: x * near))
     d = d.select("group", *[way(F.col(f"z{i}")).alias(f"y{k}{i}") for k, way in ways for i in range(P)])
-    found = d.groupBy("group").agg(*[F.avg(F.col(f"y{k}{i}") * F.col(f"y{k}{j}")).alias(f"q{k}_{i}{j}") for k, _ in ways for i in range(P) for j in range(i + 1)])
-    found = found.join(spread, "group")
+    cells = [f"{k}_{i}{j}" for k, _ in ways for i in range(P) for j in range(i + 1)]
+    sums = [F.sum(F.col(f"y{k}{i}") * F.col(f"y{k}{j}")).alias(f"s{k}_{i}{j}") for k, _ in ways for i in range(P) for j in range(i + 1)]
+    found = d.groupBy("group").agg(F.count("*").alias("n"), *sums)
+    found = found.select("group", *[(F.col(f"s{c}") / F.col("n")).alias(f"q{c}") for c in cells]).join(spread, "group")
 
     def estimate(k: int) -> Column:
         cells = []
@@ -343,14 +348,18 @@ def quality_rules(
 
     few = needed.count() * GROUP_BYTES * STARTS <= BROADCAST_BYTES
     fit = least_determinant(members, subset, few).drop("logdet")
-    inner = _distance(_with(members, fit, few)).filter(F.col("d2") <= chi2_quantile(REWEIGHT, P))
-    fit = stage(_covariances(inner.select("group", *NAMES), 1.0), "quality-fit")
+    # Nulls, which no mean counts: a filter would be pushed below the distance and repeat it term by term.
+    inner = F.col("d2") <= chi2_quantile(REWEIGHT, P)
+    near = _distance(_with(members, fit, few)).select("group", *[F.when(inner, F.col(x)).alias(x) for x in NAMES])
+    fit = stage(_covariances(near, 1.0), "quality-fit")
     by_source = chosen.join(fit.withColumnRenamed("group", "chosen"), "chosen").drop("chosen")
 
     out = _distance(base.join(F.broadcast(by_source) if chosen.count() * GROUP_BYTES <= BROADCAST_BYTES else by_source, "g2", "left"))
     out = out.withColumn("distance", F.when(~F.col("base_failed"), F.col("d2")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(cutoff, P), F.lit(True))
-    return out.select(
+    out = out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         kept.alias("kept"), "distance", "lang", "source", "text_hash",
     )
+    # Written, as a caller's filter on a verdict would repeat the distance term by term.
+    return stage(out, "quality-verdicts")
