@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -11,9 +12,19 @@ from pyspark.sql import functions as F
 from . import lexicon as X
 
 
+def composed(text: Column) -> Column:
+    """Canonical composition (NFC) by the ICU library that Spark carries.
+
+    A text of characters before the first combining mark is composed already,
+    so the call is made for the others only.
+    """
+    made = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(text.rlike("[^\\x00-\\u02FF]"), made).otherwise(text)
+
+
 def normalized(text: Column) -> Column:
-    """Line ends as line feeds; null as the empty text.  Input is taken to be NFC."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
+    """Line ends as line feeds, composed; null as the empty text."""
+    return composed(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"))
 
 
 @lru_cache(maxsize=1)
@@ -33,6 +44,15 @@ def without_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, marked, plain), r"\p{M}+", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    Inside a lambda a plain column would be computed for every element again,
+    since the optimiser puts an expression in the place where it is named once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def all_matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 

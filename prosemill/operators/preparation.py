@@ -105,6 +105,26 @@ def genre_of(text: Column) -> Column:
     )
 
 
+def assumptions(hint: Column, genre_hint: Column) -> Column:
+    """Codes of what was assumed of language and genre, in order; ``language`` and the words are in the row."""
+    given = F.lower(F.substring(T.trimmed(hint), 1, 2))
+    known = given.isin(*X.LANGUAGES)
+    hits = F.greatest(*stop_word_hits(F.col("words")).values())
+    top = F.col("language")
+    explicit = F.lower(T.trimmed(genre_hint)).isin(*X.GENRES)
+    genre = F.col("genre")
+    inferred = F.when(genre == "academic", "genre_from_citation_markers").when(genre == "legal", "genre_from_legal_markers").when(genre == "marketing", "genre_from_calls").otherwise("genre_weakly_inferred")
+    none = F.coalesce(explicit, F.lit(False))
+    return F.array_compact(
+        F.array(
+            F.when((F.size("words") > 0) & (hits == 0) & known, "language_from_hint"),
+            F.when((hits > 0) & known & (given != top), "language_hint_differs"),
+            F.when(genre_hint.isNotNull() & (genre_hint != "") & ~none, "genre_hint_unknown"),
+            F.when(~none, inferred),
+        )
+    )
+
+
 def genre_confidence(genre: Column) -> Column:
     return F.when(genre.isin("academic", "legal"), 0.55).when(genre == "marketing", 0.45).otherwise(0.25)
 
@@ -120,7 +140,7 @@ def paragraphs(prepared: DataFrame) -> DataFrame:
         "doc_id", F.size("parts").alias("n"), F.posexplode("parts").alias("ord", "text")
     )
     tokens = F.size(T.all_matches(F.col("text"), r"[^\s]+"))
-    structured = F.col("text").rlike(r"^(?:[-*+]|\d+\.|#{1,6})\s+\S")
+    structured = F.col("text").rlike(r"^(?:#{1,6}\s+|[-*+]|\d+\.|>|\|)")
     role = (
         F.when(structured, "structured_item")
         .when(tokens < 12, "short_note")

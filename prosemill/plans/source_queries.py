@@ -74,10 +74,6 @@ def proof_issues(spark, sf_dir):
     return d.select("doc_id", "place", "rule", "start", "end", "suggestion")
 
 
-def section_tree(spark, sf_dir):
-    return P.sections(P.blocks(prepared(spark, sf_dir)))
-
-
 def proof_merge(spark, sf_dir):
     """Basic issues with those of a second provider (here one that reports spelling at the same places)."""
     base = R.issues(P.with_language(prepared(spark, sf_dir)))
@@ -136,7 +132,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_title, page_size_gate, url_normalize, url_guard_ipv4, html_to_text, html_candidate_scores, readable_extract, editor_markup_text, url_redaction,
-        section_tree, proof_issues, proof_merge, text_excerpt, goal_inference, dedupe_window, rate_limit_tumbling,
+        proof_issues, proof_merge, text_excerpt, goal_inference, dedupe_window, rate_limit_tumbling,
         rate_limit_daily, input_gates, input_fingerprint, sanitize_fields,
     )
 }
@@ -216,12 +212,6 @@ SELECT page_id, length(x) AS n_chars, words, chosen, CAST(CASE WHEN words >= 180
         """rp AS (SELECT doc_id, start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY ord) AS z FROM ru) WHERE z % 2 = 1)""",
     ),
     "text_excerpt": S.with_prepared(f"SELECT doc_id, CASE WHEN length(f) > 72 THEN substring(f, 1, 72) || '…' ELSE f END AS excerpt FROM (SELECT doc_id, {_chain('norm', (chr(92) + 's+', chr(39) + ' ' + chr(39)), *_TRIM)} AS f FROM d)"),
-    "section_tree": S.with_prepared(
-        f"""SELECT doc_id, ord, kind, section, CASE WHEN kind = 'heading' THEN coalesce((SELECT max(b.ord) FROM bk b WHERE b.doc_id = a.doc_id AND b.ord < a.ord AND b.kind = 'heading' AND b.level < a.level), -1) END AS parent
-FROM (SELECT *, coalesce(max(CASE WHEN kind = 'heading' THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord), -1) AS section FROM bk) a""",
-        "pp AS (SELECT doc_id, CAST(unnest(range(0, len(paras))) AS INTEGER) AS ord, unnest(paras) AS x FROM t)",
-        f"bk AS (SELECT doc_id, ord, {TQ._KIND} AS kind, CASE WHEN {TQ._KIND} = 'heading' THEN length(regexp_extract({TQ._FIRST}, '^(#+)', 1)) END AS level FROM pp)",
-    ),
     "goal_inference": "SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '\\b(?:{w})\\b') THEN '{g}'" for g, w in X.GOAL_WORDS) + " END AS goal FROM conversations",
     "dedupe_window": f"SELECT event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) <= {V.DUPLICATE_SECONDS * 1_000_000}, false) AS duplicate FROM events",
     "rate_limit_tumbling": "SELECT user_id AS key, epoch_us(ts) // 3600000000 * 3600 AS start, count(*) AS n, greatest(0, count(*) - 1) AS rejected FROM events GROUP BY 1, 2",

@@ -10,7 +10,7 @@ def quoted(text: str) -> str:
 
 
 PREPARED = r"""
-d AS (SELECT doc_id, lang, source, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS norm
+d AS (SELECT doc_id, lang, source, nfc_normalize(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS norm
       FROM documents),
 p AS (SELECT *, strip_accents(norm) AS plain FROM d),
 t AS (SELECT *, lower(plain) AS low,

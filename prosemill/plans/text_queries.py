@@ -209,7 +209,7 @@ QUERIES = {
     "metrics_unpivot": metrics_unpivot,
 }
 
-_ROLE = r"""CASE WHEN regexp_matches(x, '^(?:[-*+]|\d+\.|#{1,6})\s+\S') THEN 'structured_item' WHEN n_tokens < 12 THEN 'short_note'
+_ROLE = r"""CASE WHEN regexp_matches(x, '^(?:#{1,6}\s+|[-*+]|\d+\.|>|\|)') THEN 'structured_item' WHEN n_tokens < 12 THEN 'short_note'
   WHEN ord = 0 THEN 'opening' WHEN ord = total - 1 THEN 'closing' ELSE 'body' END"""
 _FIRST = r"regexp_replace(regexp_replace(string_split(x, chr(10))[1], '^\s+', ''), '\s+$', '')"
 _KIND = rf"""CASE WHEN regexp_matches({_FIRST}, '^#{{1,6}}\s+\S') THEN 'heading' WHEN regexp_matches({_FIRST}, '^(?:[-*+]|\d+\.)\s+\S') THEN 'list'
