@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as X
@@ -11,24 +14,40 @@ from ..functions import text as T
 MOST_ISSUES = 40
 
 
-def issues(prepared: DataFrame, most: int | None = MOST_ISSUES) -> DataFrame:
+RULES = ("1-misspelling", "2-repeated", "3-spacing", "4-wordy")
+#: Every fixed phrase with its rule, place in the rule's list, kind, severity and suggestion.  None begins where
+#: another ends, so that one pattern of them all finds what one of each would.
+PHRASES = {w: ("1-misspelling", i, "spelling", "medium", right) for i, (w, right) in enumerate(X.MISSPELLINGS)}
+PHRASES |= {w: ("4-wordy", i, "style", "low", short) for i, (w, short) in enumerate(X.WORDY)}
+
+
+def _literal(text: str, _: Column) -> Column:
+    return F.lit(text)
+
+
+def issues(prepared: DataFrame, most: int | None = MOST_ISSUES, rules: tuple[str, ...] = RULES) -> DataFrame:
     """``doc_id, place, rule, kind, severity, start, end, found, suggestion`` by rule, phrase and start.
 
-    ``prepared`` has ``language``; only English rows are read.
+    ``prepared`` has ``language``; only English rows are read.  All fixed
+    phrases are found by one pattern and told apart by a look-up.
     """
-
-    def found(rule: str, kind: str, severity: str, i: int, suggestion: str, column: str, pattern: str):
-        return F.struct(
-            F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.lit(i).alias("i"), F.lit(suggestion).alias("suggestion"), T.spans(F.col(column), pattern).alias("at")
-        )
-
-    rules = [found("1-misspelling", "spelling", "medium", i, right, "norm", "(?i)" + X.whole(wrong)) for i, (wrong, right) in enumerate(X.MISSPELLINGS)]
-    rules.append(found("2-repeated", "typography", "low", 0, "", "norm", rf"(?i){X.START}([\p{{L}}\p{{M}}]{{3,}})\s+\1{X.END}"))
-    rules.append(found("3-spacing", "typography", "low", 0, " ", "norm", r"[ \t]{2,}"))
-    rules += [found("4-wordy", "style", "low", i, short, "norm", "(?i)" + X.whole(phrase)) for i, (phrase, short) in enumerate(X.WORDY)]
-    d = prepared.filter("language = 'en'").select("doc_id", F.inline(F.array(*rules)))
-    d = d.select("doc_id", "rule", "kind", "severity", "i", "suggestion", F.explode("at").alias("a"))
-    d = d.select("doc_id", "rule", "kind", "severity", "i", "suggestion", F.col("a.start").alias("start"), F.col("a.end").alias("end"), F.col("a.text").alias("found"))
+    spans = "array<struct<text:string,start:int,end:int>>"
+    found = []
+
+    def keyed(pattern: str, key: Callable[[Column], Column]) -> None:
+        found.append(F.transform(T.spans(F.col("norm"), pattern).cast(spans), lambda a: F.struct(key(a).alias("key"), a.alias("a"))))
+
+    listed = {w: v for w, v in PHRASES.items() if v[0] in rules}
+    if listed:
+        keyed("(?i)" + X.whole("|".join(listed)), lambda a: F.lower(a["text"]))
+    for rule, pattern in (("2-repeated", rf"(?i){X.START}([\p{{L}}\p{{M}}]{{3,}})\s+\1{X.END}"), ("3-spacing", r"[ \t]{2,}")):
+        if rule in rules:
+            keyed(pattern, partial(_literal, rule))
+    known = listed | {"2-repeated": ("2-repeated", 0, "typography", "low", ""), "3-spacing": ("3-spacing", 0, "typography", "low", " ")}
+    names = ("rule", "i", "kind", "severity", "suggestion")
+    said = F.create_map(*[x for w, v in known.items() for x in (F.lit(w), F.struct(*[F.lit(y).alias(n) for n, y in zip(names, v, strict=True)]))])
+    d = prepared.filter("language = 'en'").select("doc_id", F.inline(F.concat(*found)))
+    d = d.select("doc_id", F.element_at(said, F.col("key")).alias("r"), "a").select("doc_id", "r.*", F.col("a.start").alias("start"), F.col("a.end").alias("end"), F.col("a.text").alias("found"))
     order = Window.partitionBy("doc_id").orderBy("rule", "i", "start")
     d = d.withColumn("place", F.row_number().over(order)).drop("i")
     return d if most is None else d.filter(F.col("place") <= most)

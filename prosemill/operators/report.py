@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import scoring as R
 
-# What an action of each kind adds, by goal; rows a section keeps.
+# What an action of each kind adds, by goal.
 GOALS = {
     "source_support": {"claim": 90, "proofreading": 8, "other": 15},
     "clarity_rewrite": {"proofreading": 120, "quality": 90, "claim": 0, "other": 10},
@@ -16,8 +16,6 @@ GOALS = {
     "publish_ready_review": {"claim": 70, "proofreading": 55, "quality": 45, "other": 25},
     "default": {"claim": 55, "quality": 45, "proofreading": 35, "other": 30},
 }
-SECTION_ROWS = {"claims": 16, "issues": 16, "spans": 14, "quality": 10, "provenance": 8}
-PROFILES = {"full": ("claims", "issues", "spans", "quality", "provenance"), "checklist": ("claims", "issues", "quality", "provenance"), "machine": ("diagnostics",)}
 
 
 def severity(score: Column, inverted: bool) -> Column:
@@ -64,11 +62,8 @@ CARDS = {
 }
 
 
-def content_audit(d: DataFrame) -> DataFrame:
-    """``doc_id, card, score, status, severity``: six cards a document.
-
-    ``d``: scored documents with the counts of their claims and issues.
-    """
+def audit_cards() -> Column:
+    """``card, score, status, severity`` of the six cards, in order, of a scored document with the counts of its claims and issues."""
     s, c = R.quality_scores(), F.col
     rows = []
 
@@ -89,7 +84,12 @@ def content_audit(d: DataFrame) -> DataFrame:
     card("provenance", F.lit(None), band, F.when(band == "high", "high").when(band == "elevated", "medium").otherwise("low"))
     ran = F.when(c("language") == "en", "available").otherwise("abstained")
     card("proofreading", F.lit(None), ran, F.when(c("n_grave") > 0, "medium").otherwise("low"))
-    return d.select("doc_id", F.inline(F.array(*rows)))
+    return F.array(*rows)
+
+
+def content_audit(d: DataFrame) -> DataFrame:
+    """``doc_id, card, score, status, severity``: six cards a document."""
+    return d.select("doc_id", F.inline(audit_cards()))
 
 
 def actions(statuses: DataFrame, issues: DataFrame, findings: DataFrame, goal: str = "default", most: int = 8) -> DataFrame:
@@ -115,37 +115,3 @@ def actions(statuses: DataFrame, issues: DataFrame, findings: DataFrame, goal: s
     d = d.withColumn("weight", rank * 10 + need * 14 + F.col("points") + extra)
     best = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "turn", "ord")
     return d.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most).select("doc_id", "place", "kind", "name", "weight")
-
-
-def sections(statuses: DataFrame, issues: DataFrame, spans: DataFrame, findings: DataFrame, profile: str = "full", metrics: DataFrame | None = None) -> DataFrame:
-    """``doc_id, section, place, item`` of the profile's sections, each cut at its number of rows.
-
-    ``metrics`` (``doc_id, metric, value``) are the machine profile's diagnostics.
-    """
-    if profile == "machine":
-        order = Window.partitionBy("doc_id").orderBy("metric")
-        return metrics.select("doc_id", F.lit("diagnostics").alias("section"), F.row_number().over(order).alias("place"), F.concat_ws("=", "metric", F.col("value").cast("string")).alias("item"))
-    good = F.col("kind") == "quality"
-    parts = {
-        "claims": statuses.select("doc_id", F.col("place").alias("o"), F.col("place").alias("p"), F.concat_ws(":", "status", "need").alias("item")),
-        "issues": issues.select("doc_id", F.col("place").alias("o"), F.col("place").alias("p"), F.col("rule").alias("item")),
-        "spans": spans.select("doc_id", F.col("source").alias("o"), F.col("start").alias("p"), F.col("label").alias("item")),
-        "quality": findings.filter(good).select("doc_id", F.col("score").alias("o"), F.col("ord").alias("p"), F.col("name").alias("item")),
-        "provenance": findings.filter(~good).select("doc_id", (-F.col("score")).alias("o"), F.col("ord").alias("p"), F.col("name").alias("item")),
-    }
-    out = None
-    for name in PROFILES[profile]:
-        order = Window.partitionBy("doc_id").orderBy("o", "p", "item")
-        d = parts[name].withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SECTION_ROWS[name])
-        d = d.select("doc_id", F.lit(name).alias("section"), "place", "item")
-        out = d if out is None else out.unionByName(d)
-    return out
-
-
-def markdown(section_rows: DataFrame) -> DataFrame:
-    """``doc_id, report``: the sections of each document as one Markdown text."""
-    ordered = F.array_sort(F.collect_list(F.struct("place", "item")))
-    d = section_rows.groupBy("doc_id", "section").agg(F.array_join(F.transform(ordered, lambda x: F.concat(F.lit("- "), x["item"])), "\n").alias("body"))
-    d = d.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "body"))).alias("parts"))
-    text = F.array_join(F.transform("parts", lambda p: F.concat(F.lit("## "), p["section"], F.lit("\n\n"), p["body"])), "\n\n")
-    return d.select("doc_id", F.concat(F.lit("# Report "), F.col("doc_id").cast("string"), F.lit("\n\n"), text).alias("report"))

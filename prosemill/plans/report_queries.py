@@ -96,17 +96,6 @@ def top_actions(spark, sf_dir):
     return A.actions(statuses, issues, A.dimension_findings(m))
 
 
-def report_sections(spark, sf_dir):
-    m, statuses, issues = _tables(spark, sf_dir)
-    return A.sections(statuses, issues, A.all_spans(R.phrase_spans(m), CQ.claim_spans(spark, sf_dir), issues), A.dimension_findings(m))
-
-
-def report_markdown(spark, sf_dir):
-    m, statuses, issues = _tables(spark, sf_dir)
-    spans = A.all_spans(R.phrase_spans(m), CQ.claim_spans(spark, sf_dir), issues)
-    return A.markdown(A.sections(statuses, issues, spans, A.dimension_findings(m), "checklist"))
-
-
 _FINDINGS = (
     "fi AS ("
     + " UNION ALL ".join(
@@ -126,7 +115,7 @@ ac AS (SELECT doc_id, 'claim' AS kind, 0 AS turn, place AS ord, 'claim-' || plac
 aw AS (SELECT *, {_RANK} + extra AS weight FROM ac),
 ak AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, turn, ord) AS place FROM aw)"""
 
-QUERIES = {f.__name__: f for f in (dimension_findings, all_spans, report_summary, content_audit, report_store_rows, report_list_topk, report_filter, redacted_reports, latest_report, top_actions, report_sections, report_markdown)}
+QUERIES = {f.__name__: f for f in (dimension_findings, all_spans, report_summary, content_audit, report_store_rows, report_list_topk, report_filter, redacted_reports, latest_report, top_actions)}
 
 _HEADLINE = "quality_band || ':' || CASE WHEN source_band IN ('weakly_supported', 'mixed') THEN 'source_review' WHEN provenance_band = 'insufficient_evidence' THEN 'abstained' WHEN provenance_band = 'high' THEN 'clustered' WHEN provenance_band = 'elevated' THEN 'elevated' ELSE 'low' END"
 _REVIEWED = f"""ic AS (SELECT doc_id, count(*) AS n_issues, count(*) FILTER (rule = '1-misspelling') AS n_grave FROM iss GROUP BY 1),
