@@ -147,7 +147,7 @@ def _proximity() -> Column:
 def connector_count(low: Column, language: Column) -> Column:
     """Formulaic phrases of the text's language."""
     total = F.lit(0)
-    for _, code, phrase, _, _ in X.PHRASES:
+    for code, phrase, _ in X.PHRASES:
         total = total + F.when(language == code, T.count_of(low, phrase)).otherwise(0)
     return total
 

@@ -109,7 +109,7 @@ MEASURED = f"""
 mm AS (SELECT m.*, {_ALL} FROM m LEFT JOIN prox USING (doc_id)),
 g AS (SELECT mm.* EXCLUDE (ss, ps, ls, tl, sn, hn), l.language, {S.GENRE.replace("norm", "mm.norm")} AS genre, {S.LENGTH.replace("words", "mm.words")} AS length_class,
   {" + ".join(S.hits("mm.low", p) for p in X.BLOAT)} AS n_bloat, {S.hits("mm.low", rf"\b(?:{X.CAUSAL})\b")} AS n_causal,
-  ({" + ".join(f"CASE WHEN l.language = '{c}' THEN {S.hits('mm.low', p)} ELSE 0 END" for _, c, p, _, _ in X.PHRASES)}) / CAST(greatest(1, len(mm.sentences)) AS DOUBLE) AS connector_density,
+  ({" + ".join(f"CASE WHEN l.language = '{c}' THEN {S.hits('mm.low', p)} ELSE 0 END" for c, p, _ in X.PHRASES)}) / CAST(greatest(1, len(mm.sentences)) AS DOUBLE) AS connector_density,
   regexp_matches(mm.low, {S.quoted(rf"\b(?:{X.ACTION_CALLS})\b")}) AS has_action, regexp_matches(mm.low, '\\b(?:{R.FORMAL_MARKS})\\b') AS formal_mark,
   regexp_matches(mm.low, '{R.INSTITUTIONAL}') AS institutional, regexp_matches(mm.low, '{R.CLOSINGS}') AS closing
   FROM mm JOIN l USING (doc_id)),
@@ -187,7 +187,7 @@ _SURE = {n: str(v) for n, _, _, v in R.QUALITY} | {n: str(v) for n, _, v in R.PR
     "register_mismatch": "CASE WHEN genre_hint IS NOT NULL OR channel IS NOT NULL THEN 0.58 ELSE 0.35 END",
     "specific_texture": "CASE WHEN audience IS NOT NULL OR locale IS NOT NULL THEN 0.50 ELSE 0.28 END",
 }
-_TEXTURE = "CASE language " + " ".join(f"WHEN '{k}' THEN '{', '.join(v)}'" for k, v in X.TEXTURE.items()) + " ELSE 'local examples and audience-specific details' END"
+_TEXTURE = "CASE language " + " ".join(f"WHEN '{k}' THEN '{', '.join(v)}'" for k, v in X.TEXTURE.items()) + " ELSE '" + ", ".join(X.ANY_TEXTURE) + "' END"
 #: Value, weight and, where it isn't their product, the impact of each quality contribution.
 _QUALITY_PARTS = {
     "readability": (("mean_sentence", "mean_sentence", "-2.2", "-2.2::DOUBLE * greatest(0, mean_sentence - CASE WHEN dense THEN 24 ELSE 20 END)"), ("paragraph_average", "pavg", "-0.35", "-0.35::DOUBLE * greatest(0, pavg - CASE WHEN dense THEN 145 ELSE 120 END)"), ("long_sentence_rate", "long_sentence_rate", "-36", "-least(18.0::DOUBLE, 36 * long_sentence_rate)"), ("long_paragraph_rate", "long_paragraph_rate", "-32", "-least(16.0::DOUBLE, 32 * long_paragraph_rate)")),
@@ -262,7 +262,7 @@ ORACLE = {
     "phrase_spans": S.with_language(
         " UNION ALL ".join(
             [f"SELECT doc_id, 'bloated_phrase' AS label, {S.quoted(p)} AS phrase, 'low' AS severity, start, \"end\" FROM {S.span_rows('l', 'low', p)}" for p in X.BLOAT]
-            + [f"SELECT doc_id, 'formulaic_phrase' AS label, {S.quoted(p)} AS phrase, '{sev}' AS severity, start, \"end\" FROM {S.span_rows(f'''(SELECT * FROM l WHERE language = '{c}')''', 'low', p)}" for _, c, p, _, sev in X.PHRASES]
+            + [f"SELECT doc_id, 'formulaic_phrase' AS label, {S.quoted(p)} AS phrase, '{sev}' AS severity, start, \"end\" FROM {S.span_rows(f'''(SELECT * FROM l WHERE language = '{c}')''', 'low', p)}" for c, p, sev in X.PHRASES]
         )
     ),
     "top_findings": _scored(
@@ -274,5 +274,5 @@ ORACLE = {
 }
 ORACLE["bloat_spans"] = S.with_language(" UNION ALL ".join(f"SELECT doc_id, {S.quoted(p)} AS phrase, start, \"end\" FROM {S.span_rows('l', 'low', p)}" for p in X.BLOAT))
 ORACLE["formulaic_spans"] = S.with_language(
-    " UNION ALL ".join(f"SELECT doc_id, {S.quoted(p)} AS phrase, '{sev}' AS severity, start, \"end\" FROM {S.span_rows(f'(SELECT * FROM l WHERE language = {S.quoted(c)})', 'low', p)}" for _, c, p, _, sev in X.PHRASES)
+    " UNION ALL ".join(f"SELECT doc_id, {S.quoted(p)} AS phrase, '{sev}' AS severity, start, \"end\" FROM {S.span_rows(f'(SELECT * FROM l WHERE language = {S.quoted(c)})', 'low', p)}" for c, p, sev in X.PHRASES)
 )

@@ -220,3 +220,7 @@ SELECT page_id, length(x) AS n_chars, words, chosen, CAST(CASE WHEN words >= 180
     "input_fingerprint": S.with_prepared("SELECT doc_id, sha256('salt:' || norm) AS fingerprint FROM d"),
     "sanitize_fields": f"SELECT conv_id, turn, regexp_replace(lower(role), '[^a-z0-9_-]', '', 'g') AS role, substring({_chain('text', ('<[^>]*>', chr(39) * 2), (r'\s+', chr(39) + ' ' + chr(39)), *_TRIM)}, 1, 160) AS text FROM conversations",
 }
+ORACLE["proof_merge"] = f"""WITH ba AS MATERIALIZED (SELECT * FROM ({ORACLE["proof_issues"]})),
+mo AS (SELECT doc_id, '5-other' AS rule, start, "end" + 1 AS "end", 1 AS late, place FROM ba b WHERE rule IN ('1-misspelling', '4-wordy') AND place % 2 = 1
+  AND NOT EXISTS (SELECT 1 FROM ba c WHERE c.doc_id = b.doc_id AND c.start = b.start AND c."end" = b."end" + 1))
+SELECT doc_id, rule, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY late, place) AS k FROM (SELECT doc_id, rule, start, "end", 0 AS late, place FROM ba UNION ALL SELECT * FROM mo)) WHERE k <= {R.MOST_ISSUES} GROUP BY ALL"""

@@ -258,7 +258,7 @@ UNION ALL SELECT doc_id, 'citation' AS kind, start, "end", text FROM {S.span_row
     "formatting_density": _metric(_SELECT["format"]),
     "connector_markers": S.with_language(
         "SELECT doc_id, language, n AS connectors, n / CAST(greatest(1, len(sentences)) AS DOUBLE) AS density FROM (SELECT *, "
-        + " + ".join(f"CASE WHEN language = '{c}' THEN {S.hits('low', p)} ELSE 0 END" for _, c, p, _, _ in X.PHRASES)
+        + " + ".join(f"CASE WHEN language = '{c}' THEN {S.hits('low', p)} ELSE 0 END" for c, p, _ in X.PHRASES)
         + " AS n FROM l)"
     ),
     "metrics_unpivot": _ALL,

@@ -89,7 +89,7 @@ cv AS (SELECT re.doc_id, list_concat(list_concat(list_filter([CASE WHEN length_c
 cw AS MATERIALIZED (SELECT doc_id, caveat, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS ord FROM (SELECT doc_id, every[i] AS caveat, min(i) AS ord FROM (SELECT doc_id, every, unnest(range(1, len(every) + 1)) AS i FROM cv) GROUP BY ALL))"""
 _LANGUAGE = "lm AS MATERIALIZED (SELECT doc_id, CAST(language_confidence AS DOUBLE) AS confidence, language_mixed AS mixed FROM l)"
 _PHRASES = " UNION ALL ".join(
-    [f"SELECT doc_id, {i} AS turn, start, 'formulaic_phrase' AS label, '{sev}' AS severity, 'phrase' AS status FROM {S.span_rows(f'(SELECT * FROM l WHERE language = {S.quoted(c)})', 'low', p)}" for i, (_, c, p, _, sev) in enumerate(X.PHRASES)]
+    [f"SELECT doc_id, {i} AS turn, start, 'formulaic_phrase' AS label, '{sev}' AS severity, 'phrase' AS status FROM {S.span_rows(f'(SELECT * FROM l WHERE language = {S.quoted(c)})', 'low', p)}" for i, (c, p, sev) in enumerate(X.PHRASES)]
     + [f"SELECT doc_id, {100 + i}, start, 'bloated_phrase', 'low', 'phrase' FROM {S.span_rows('l', 'low', p)}" for i, p in enumerate(X.BLOAT)]
 )
 _MARKED = "CASE WHEN status IN ('unsupported', 'inline_citation_only') THEN status WHEN stale THEN 'freshness_risk' END"
