@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import clean as K
 from ..sources import pages as G
 from ..sources import store, tables
+from ..streaming import governance as V
 from . import sql as S
 
 
@@ -54,9 +55,19 @@ def page_bodies(spark, sf_dir):
 
 
 def entity_decode(spark, sf_dir):
-    i = F.col("event_id") + 33
-    text = F.concat(F.lit("a&#"), i.cast("string"), F.lit("; &amp;lt; &#x"), F.hex(i * 3), F.lit("; &copy; &quot;&#X"), F.lower(F.hex(i)), F.lit(";&nbsp;&#0; &#99999999;"))
-    return _events(spark, sf_dir).select("event_id", F.md5(G.decoded(text)).alias("digest"))
+    """Pages with their references and some of every kind after them: odd cases, lengths, zero, the last code point and beyond."""
+    pages = tables.table(spark, sf_dir, "pages")
+    n = F.length("html")
+    extra = F.concat(F.lit(REFERENCES), n.cast("string"), F.lit("; &amp;lt; &#x"), F.hex(n.cast("long")), F.lit(";"))
+    return pages.select("page_id", F.md5(G.decoded(F.concat("html", extra))).alias("digest"))
+
+
+REFERENCES = "&AMP; &Nbsp;&qUot; &#0; &bogus; &#00000065; &#x1F600; &#X10ffff; &#x110000; &#99999999; &#xD800; &#"
+
+
+def renewing_limit(spark, sf_dir):
+    """Which events of a user are accepted under three at most, a day after the last of which the count lapses."""
+    return V.renewing_decisions(_events(spark, sf_dir), "user_id", "ts", "event_id", limit=3, seconds=86_400).select("event_id", "accepted")
 
 
 def field_sanitizers(spark, sf_dir):
@@ -118,7 +129,7 @@ def job_status_counts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        url_guard_ipv6, page_gates, page_bodies, entity_decode, field_sanitizers, list_caps, json_path, url_summaries, input_hmac, rolling_hash, source_lines, job_lifecycle, job_status_counts,
+        url_guard_ipv6, page_gates, page_bodies, entity_decode, renewing_limit, field_sanitizers, list_caps, json_path, url_summaries, input_hmac, rolling_hash, source_lines, job_lifecycle, job_status_counts,
     )
 }
 
@@ -144,8 +155,17 @@ SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '[::ffff:' || (event_id % 256)
     OR (f = 8193 AND (s = 2 OR s BETWEEN 16 AND 31)) END AS private FROM a""",
     "page_gates": """SELECT page_id, CASE WHEN page_id % 11 <> 0 AND page_id % 7 <> 0 AND page_id % 13 = 0 THEN 'not_web' WHEN page_id % 11 = 0 THEN 'private' WHEN page_id % 9 = 0 OR page_id % 10 = 0 THEN 'resolves_to_private'
   WHEN page_id % 7 = 0 THEN 'too_many_redirects' WHEN page_id % 4 = 2 THEN 'unsupported_type' WHEN strlen(html) > 2000000 THEN 'too_large' ELSE 'accepted' END AS gate FROM pages""",
-    "entity_decode": """SELECT event_id, md5('a' || chr(CAST(event_id + 33 AS INTEGER)) || ' &lt; ' || CASE WHEN (event_id + 33) * 3 BETWEEN 55296 AND 57343 THEN '&#x' || to_hex((event_id + 33) * 3) || ';' ELSE chr(CAST((event_id + 33) * 3 AS INTEGER)) END
-  || ' &copy; "' || chr(CAST(event_id + 33 AS INTEGER)) || ' &#0; &#99999999;') AS digest FROM events""",
+    "entity_decode": r"""WITH t AS (SELECT page_id, html || '@REFS@' || length(html) || '; &amp;lt; &#x' || to_hex(length(html)) || ';' AS x FROM pages),
+r AS (SELECT page_id, regexp_extract_all(x, '(?i)&(?:#x[0-9a-f]+|#[0-9]+|[a-z][a-z0-9]+);') AS ms, string_split_regex(x, '(?i)&(?:#x[0-9a-f]+|#[0-9]+|[a-z][a-z0-9]+);') AS gs FROM t),
+n AS (SELECT page_id, i, ms[i] AS m, gs[i] AS g, CASE WHEN regexp_matches(ms[i], '^&#[xX]') THEN try_cast('0x0' || regexp_extract(ms[i], '(?i)^&#x0*([0-9a-f]*);', 1) AS BIGINT)
+  WHEN starts_with(ms[i], '&#') THEN try_cast(regexp_extract(ms[i], '^&#([0-9]+);', 1) AS BIGINT) END AS code FROM (SELECT *, unnest(range(1, len(gs) + 1)) AS i FROM r))
+SELECT page_id, md5(string_agg(g || CASE WHEN m IS NULL THEN '' WHEN starts_with(m, '&#') THEN CASE WHEN code BETWEEN 0 AND 1114111 AND code NOT BETWEEN 55296 AND 57343 THEN chr(CAST(code AS INTEGER)) ELSE m END
+  ELSE CASE lower(m) WHEN '&amp;' THEN '&' WHEN '&apos;' THEN chr(39) WHEN '&gt;' THEN '>' WHEN '&lt;' THEN '<' WHEN '&nbsp;' THEN ' ' WHEN '&quot;' THEN '"' ELSE m END END, '' ORDER BY i)) AS digest FROM n GROUP BY page_id""".replace("@REFS@", REFERENCES),
+    "renewing_limit": """WITH RECURSIVE ev AS MATERIALIZED (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+st(event_id, user_id, k, last, n, accepted) AS (SELECT event_id, user_id, k, t, 1, true FROM ev WHERE k = 1
+  UNION ALL SELECT ev.event_id, ev.user_id, ev.k, CASE WHEN ev.t - st.last >= 86400000000 OR st.n < 3 THEN ev.t ELSE st.last END, CASE WHEN ev.t - st.last >= 86400000000 THEN 1 WHEN st.n < 3 THEN st.n + 1 ELSE st.n END, ev.t - st.last >= 86400000000 OR st.n < 3
+  FROM st JOIN ev ON ev.user_id = st.user_id AND ev.k = st.k + 1)
+SELECT event_id, accepted FROM st""",
     "field_sanitizers": """SELECT event_id, CASE WHEN lower(event_type) IN ('click', 'error', 'view') THEN lower(event_type) ELSE 'other' END AS kind, CASE WHEN event_id % 4 = 0 THEN 1.0 ELSE least(100.0, greatest(0.0, value)) END::DOUBLE AS value,
   event_id % 3 = 0 AS flag, 'ab,' || event_type AS keys FROM events""",
     "list_caps": """SELECT doc_id, CAST(least(80, len(string_split(coalesce(text, ''), ' '))) AS INTEGER) AS n_metrics,

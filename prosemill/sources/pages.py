@@ -147,16 +147,23 @@ def is_plain(content_type: Column) -> Column:
 
 
 def decoded(text: Column) -> Column:
-    """Named, decimal and hexadecimal references decoded in one pass; unknown ones stay."""
-    pattern = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|" + "|".join(n[1:-1] for n, _ in ENTITIES) + ");"
+    """Named, decimal and hexadecimal references decoded in one pass, whatever their case and length.
+
+    Unknown names, numbers beyond the last code point and halves of pairs stay
+    as they are.
+    """
+    pattern = r"&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]+);"
     named = F.create_map(*[F.lit(x) for pair in ENTITIES for x in pair])
 
     def one(m: Column) -> Column:
-        digits = F.regexp_extract(m, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
-        number = F.when(m.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
-        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        digits = F.regexp_extract(m, r"^&#[xX]?0*([0-9a-fA-F]*);$", 1)
+        hexadecimal = F.lower(m).startswith("&#x")
+        # Longer ones are beyond any code point.
+        beyond = F.length(digits) > F.when(hexadecimal, 6).otherwise(7)
+        number = F.when(beyond, -1).when(digits == "", 0).when(hexadecimal, F.conv(digits, 16, 10).try_cast("long")).otherwise(digits.try_cast("long"))
+        valid = number.between(0, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
         letter = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        return F.when(m.startswith("&#"), F.when(valid, letter).otherwise(m)).otherwise(F.element_at(named, m))
+        return F.when(m.startswith("&#"), F.when(valid, letter).otherwise(m)).otherwise(F.coalesce(F.element_at(named, F.lower(m)), m))
 
     found, gaps = T.all_matches(text, pattern), F.split(text, pattern, -1)
     pairs = F.arrays_zip(gaps.alias("gap"), found.alias("found"))

@@ -53,18 +53,52 @@ def decide(times: list[float], start: float | None, count: int, limit: int, seco
     return out, start, count
 
 
+def renewing_decisions(requests: DataFrame, key: str, time: str, tie: str, limit: int = PER_HOUR, seconds: int = 3_600) -> DataFrame:
+    """Batch: ``key, time, tie, accepted`` of stored requests under the renewing limit.
+
+    Each decision depends on those before it, so a key's requests go through
+    one task in order of time; they are streamed from the sorted partition, and
+    no more than one key's count is held, however many requests it has.
+    """
+    fields = requests.schema
+    kind = ", ".join(f"{c} {fields[c].dataType.simpleString()}" for c in (key, time, tie)) + ", accepted boolean"
+
+    def decided(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, start, count = None, None, 0
+        for frame in frames:
+            accepted: list[bool] = []
+            for own, rows in frame.groupby(key, sort=False, dropna=False):
+                if last is None or not (own == last[0] or (pd.isna(own) and pd.isna(last[0]))):
+                    last, start, count = (own,), None, 0
+                some, start, count = decide(rows["micros"].tolist(), start, count, limit, seconds * 1_000_000)
+                accepted += some
+            yield frame.drop(columns="micros").assign(accepted=accepted)
+
+    d = requests.select(key, time, tie, F.unix_micros(F.col(time).cast("timestamp")).alias("micros"))
+    return d.repartition(key).sortWithinPartitions(key, "micros", tie).mapInPandas(decided, kind)
+
+
 def renewing_limit(requests: DataFrame, key: str, time: str, limit: int = PER_HOUR, seconds: int = 3_600) -> DataFrame:
-    """Streams: ``key, time, accepted`` under a limit whose window each accepted request renews."""
+    """Streams: ``key, time, accepted`` under a limit whose window each accepted request renews.
+
+    A key's state is dropped once the watermark is past its last accepted
+    request by the window, when it could change no decision any more.
+    """
     name = key
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, count = state.get if state.exists else (None, 0)
         rows = pd.concat(list(frames)).sort_values(time)
         accepted, start, count = decide([t.timestamp() for t in rows[time]], start, count, limit, seconds)
         state.update((start, count))
+        state.setTimeoutTimestamp(int(max((start + seconds) * 1000, state.getCurrentWatermarkMs() + 1)))
         yield pd.DataFrame({name: [k[0]] * len(rows), time: rows[time].to_numpy(), "accepted": accepted})
 
     kind = requests.schema[key].dataType.simpleString()
-    return requests.groupBy(key).applyInPandasWithState(
-        update, f"{key} {kind}, {time} timestamp, accepted boolean", "start double, n long", "append", GroupStateTimeout.NoTimeout
+    watched = requests.withWatermark(time, f"{seconds} seconds")
+    return watched.groupBy(key).applyInPandasWithState(
+        update, f"{key} {kind}, {time} timestamp, accepted boolean", "start double, n long", "append", GroupStateTimeout.EventTimeTimeout
     )
