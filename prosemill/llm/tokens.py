@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import cache, use_cache
 
@@ -25,6 +28,8 @@ ENDINGS = ".,;:!?#*$%&|"
 OTHER_WHITE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 #: Missing pieces joined into one call of the library.
 PIECES_AT_ONCE = 200
+#: Code points of the texts that are cut at once.
+CHARS_AT_ONCE = 4 << 20
 
 
 class TextEncoder:
@@ -53,8 +58,8 @@ class TextEncoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """Pieces, each standing for " piece" or, with a line feed first, for itself."""
+    def _marked(self, text: str) -> str | None:
+        """The text with a space before each piece, each standing for " piece" or, with a line feed first, for itself; None if it can't be cut."""
         if not text or not self._can_cut:
             return None
         if text[0] in " \n" or text[-1] in " \n":
@@ -64,7 +69,7 @@ class TextEncoder:
         if any(map(text.__contains__, OTHER_WHITE)) or any(map(text.__contains__, self._added)):
             return None
         # The first stands after a line feed here, whose id is taken off again.
-        return ("\n" + text).replace("\n", " \n")[1:].split(" ")
+        return ("\n" + text).replace("\n", " \n")[1:]
 
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
         groups = [missing[i : i + PIECES_AT_ONCE] for i in range(0, len(missing), PIECES_AT_ONCE)]
@@ -112,24 +117,50 @@ class TextEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: empty) as little-endian uint32 bytes."""
-        young = self._young
-        cut = [self._pieces(t) if t else None for t in texts]
-        got = [list(map(young.get, pieces)) if pieces else None for pieces in cut]
-        # Pieces that are not known yet, by text: one look-up of each piece serves both the test and the result.
-        open_ = [[i for i, v in enumerate(vs) if v is None] if vs and None in vs else () for vs in got]
-        self._know({pieces[i] for pieces, places in zip(cut, open_, strict=True) for i in places})
-        out = []
-        for text, pieces, vs, places in zip(texts, cut, got, open_, strict=True):
-            if pieces:
-                for i in places:
-                    vs[i] = young[pieces[i]]
-                out.append(b"".join(vs)[4:])
-            else:
-                out.append(self._ids(text) if text else b"")
-        if len(young) > self._room:
-            self._old, self._young = young, {}
+        return [ids for some in _slices(texts) for ids in self._encode(some)]
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        marked = [self._marked(t) if t else None for t in texts]
+        parts = iter(self._spread([m for m in marked if m is not None]))
+        out = [next(parts) if m is not None else self._ids(t) if t else b"" for t, m in zip(texts, marked, strict=True)]
+        if len(self._young) > self._room:
+            self._old, self._young = self._young, {}
         return out
 
+    def _spread(self, marked: list[str]) -> list[bytes]:
+        """The ids of texts that can be cut: each distinct piece is looked up once, and its ids go wherever it stands."""
+        if not marked:
+            return []
+        lists = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
+        pieces = lists.flatten().dictionary_encode()
+        distinct, at = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        young = self._young
+        known = list(map(young.get, distinct))
+        open_ = [i for i, v in enumerate(known) if v is None]
+        self._know({distinct[i] for i in open_})
+        for i in open_:
+            known[i] = young[distinct[i]]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        length = sizes[at]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        raw = ids[np.repeat(first[at] - upto[:-1], length) + np.arange(upto[-1])].tobytes()
+        # A text's first piece stands after a line feed, whose id is taken off again.
+        ends = (upto[lists.offsets.to_numpy()] * 4).tolist()
+        return [raw[a + 4 : b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    some, held = [], 0
+    for t in texts:
+        some.append(t)
+        held += len(t) if t else 0
+        if held >= CHARS_AT_ONCE:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
 
 _encoders: dict[str, TextEncoder] = {}
 
