@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import claim_queries, governance_queries, proof_queries, report_queries, scoring_queries, shape_queries, source_queries, structure_queries, text_queries, view_queries
+from . import claim_queries, governance_queries, proof_queries, report_queries, request_queries, scoring_queries, shape_queries, source_queries, structure_queries, text_queries, view_queries
 
-MODULES = (text_queries, scoring_queries, source_queries, claim_queries, report_queries, governance_queries, structure_queries, view_queries, proof_queries, shape_queries)
+MODULES = (text_queries, scoring_queries, source_queries, claim_queries, report_queries, governance_queries, structure_queries, view_queries, proof_queries, shape_queries, request_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -56,7 +56,7 @@ def html_candidate_scores(spark, sf_dir):
 
 
 def readable_extract(spark, sf_dir):
-    return G.readable(_pages(spark, sf_dir)).select("page_id", "n_chars", "words", "chosen", "confidence")
+    return G.readable(_pages(spark, sf_dir)).select("page_id", "n_chars", "words", "chosen", "confidence", F.array_join("notes", "|").alias("notes"))
 
 
 def editor_markup_text(spark, sf_dir):
@@ -196,9 +196,10 @@ ORACLE = {
     "readable_extract": f"""WITH {_CANDIDATES},
 be AS (SELECT page_id, score, text FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord) AS k FROM cs WHERE words >= 25) WHERE k = 1),
 fu AS (SELECT page_id, {_fragment("clean")} AS f FROM cl),
-ch AS (SELECT page_id, coalesce(score >= greatest(60.0::DOUBLE, {_WORDS.format("f")} * 0.18::DOUBLE), false) AS chosen, text, f FROM fu LEFT JOIN be USING (page_id)),
-tx AS (SELECT page_id, chosen, CASE WHEN chosen THEN text ELSE f END AS x FROM ch), tw AS (SELECT *, {_WORDS.format("x")} AS words FROM tx)
-SELECT page_id, length(x) AS n_chars, words, chosen, CAST(CASE WHEN words >= 180 THEN 0.86 WHEN words >= 80 THEN 0.68 WHEN words >= 30 THEN 0.42 ELSE 0.18 END AS DOUBLE) AS confidence FROM tw""",
+ch AS (SELECT page_id, coalesce(score >= greatest(60.0::DOUBLE, {_WORDS.format("f")} * 0.18::DOUBLE), false) AS chosen, score IS NOT NULL AS found, text, f FROM fu LEFT JOIN be USING (page_id)),
+tx AS (SELECT page_id, chosen, found, CASE WHEN chosen THEN text ELSE f END AS x FROM ch), tw AS (SELECT *, {_WORDS.format("x")} AS words FROM tx)
+SELECT page_id, length(x) AS n_chars, words, chosen, CAST(CASE WHEN words >= 180 THEN 0.86 WHEN words >= 80 THEN 0.68 WHEN words >= 30 THEN 0.42 ELSE 0.18 END AS DOUBLE) AS confidence,
+  concat_ws('|', CASE WHEN chosen THEN 'container_chosen' WHEN found THEN 'whole_page_after_scoring' END, CASE WHEN words < 80 THEN 'little_text' END) AS notes FROM tw""",
     "editor_markup_text": f"SELECT page_id, length(x) AS n_chars, md5(x) AS digest FROM (SELECT page_id, {_EDITOR} AS x FROM pages)",
     "proof_issues": S.with_language(
         f"""SELECT doc_id, CAST(k AS INTEGER) AS place, rule, start, "end", suggestion FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rule, i, start) AS k FROM ({_PROOF} UNION ALL

@@ -223,7 +223,7 @@ def with_score(fragments: DataFrame) -> DataFrame:
 
 
 def readable(pages: DataFrame) -> DataFrame:
-    """``page_id, n_chars, words, chosen, confidence, text``: the best container, or the whole page."""
+    """``page_id, n_chars, words, chosen, confidence, text, notes``: the best container, or the whole page, and codes of how it went."""
     d = pages.select("page_id", without_chrome(F.col("html")).alias("clean"))
     scored = with_score(candidates(d)).filter("words >= 25")
     best = scored.groupBy("page_id").agg(F.max_by(F.struct("score", "text"), F.struct("score", -F.col("ord"))).alias("best"))
@@ -233,7 +233,9 @@ def readable(pages: DataFrame) -> DataFrame:
     d = d.withColumns({"chosen": chosen, "text": F.when(chosen, F.col("best.text")).otherwise(F.col("full"))})
     words = T.count_of(F.col("text"), X.WORD)
     sure = F.when(words >= 180, 0.86).when(words >= 80, 0.68).when(words >= 30, 0.42).otherwise(0.18)
-    return d.select("page_id", F.length("text").alias("n_chars"), words.alias("words"), "chosen", sure.alias("confidence"), "text")
+    how = F.when(F.col("chosen"), "container_chosen").when(F.col("best").isNotNull(), "whole_page_after_scoring")
+    notes = F.array_compact(F.array(how, F.when(words < 80, "little_text")))
+    return d.select("page_id", F.length("text").alias("n_chars"), words.alias("words"), "chosen", sure.alias("confidence"), "text", notes.alias("notes"))
 
 
 def editor_text(markup: Column) -> Column:

@@ -8,7 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from prosemill.sources import requests, sinks
+from prosemill.sources import pages, requests, sinks, store
 
 
 def test_options_win_and_problems_are_told(spark, tmp_path):
@@ -67,3 +67,27 @@ def test_reports_and_events(spark, tmp_path):
     at = F.lit("2024-01-02 03:04:05.678").cast("timestamp")
     line = d.limit(1).select(sinks.event("analysis.started", "Begun.", F.struct(F.lit(1).alias("n")), at)).first()[0]
     assert json.loads(line) == {"type": "analysis.started", "message": "Begun.", "data": {"n": 1}, "timestamp": "2024-01-02T03:04:05.678Z"}
+
+
+def test_reports_are_taken_out_of_their_days_only(spark, tmp_path):
+    rows = [(i, f"2024-01-0{1 + i // 3} 10:00:00", "h", 5, "good", "low", 3) for i in range(9)]
+    names = "id long, created_at string, input_hash string, input_length int, quality_band string, provenance_band string, word_count int"
+    d = spark.createDataFrame(rows, names).withColumn("created_at", F.to_timestamp("created_at"))
+    path = str(tmp_path / "s")
+    store.save_reports(d, path)
+    untouched = {p.name for p in (tmp_path / "s" / "created_day=2024-01-01").glob("part-*")}
+    store.remove_reports(spark, path, [4, 6, 7, 8, 99])
+    assert sorted(r.id for r in store.read_reports(spark, path).collect()) == [0, 1, 2, 3, 5]
+    assert {p.name for p in (tmp_path / "s" / "created_day=2024-01-01").glob("part-*")} == untouched
+    assert not (tmp_path / "s" / "created_day=2024-01-03").exists()
+    store.remove_reports(spark, path, [99])
+    assert store.read_reports(spark, path).count() == 5
+    assert not store.is_ready(d) and store.missing_columns(d, store.COLUMNS)[0] == "source_type"
+
+
+def test_notes_of_an_extraction(spark):
+    long = "Words that tell something stand here. " * 40
+    html = [f"<article><p>{long}</p></article>", "<p>short</p>", f"<div>{long}</div><article>{'one two three ' * 10}</article>"]
+    d = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+    got = {r.page_id: r.notes for r in pages.readable(d).collect()}
+    assert got == {0: ["container_chosen"], 1: ["little_text"], 2: ["whole_page_after_scoring"]}
