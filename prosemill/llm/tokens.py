@@ -21,7 +21,7 @@ from .common import cache, use_cache
 
 #: Distinct pieces (about 170 bytes each) of each of the two generations that a
 #: Python worker remembers; one that falls out is encoded again when it returns.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 550_000
 #: Punctuation taken off the end of a missing piece, so that its word is looked up.
 ENDINGS = ".,;:!?#*$%&|"
 #: White space beside the space and the line feed: a text with any goes to the library whole.
@@ -92,24 +92,29 @@ class TextEncoder:
             self._endings[text] = self._ids(text)
         return self._endings[text]
 
-    def _know(self, pieces: set[str]) -> None:
-        """Puts the pieces among the young ones."""
+    def _know(self, pieces: list[str]) -> None:
+        """Puts pieces that are not among the young ones there."""
         young, old = self._young, self._old
-        split, missing = [], set()
+        if old:
+            known = list(map(old.get, pieces))
+            young.update((p, v) for p, v in zip(pieces, known, strict=True) if v is not None)
+            pieces = [p for p, v in zip(pieces, known, strict=True) if v is None]
+        split = []
+        missing = {}
         for p in pieces:
-            if p in old:
-                young[p] = old[p]
-                continue
-            core = p.rstrip(ENDINGS)
             # Letters or digits before punctuation end a pre-token there.
-            if core != p and core and core[-1].isalnum():
-                split.append((p, core))
-                p = core
-            if p not in young:
-                missing.add(p)
-        known = [p for p in missing if p in old]
-        young.update((p, old[p]) for p in known)
-        missing.difference_update(known)
+            if p and p[-1] in ENDINGS:
+                core = p.rstrip(ENDINGS)
+                if core and core[-1].isalnum():
+                    split.append((p, core))
+                    if core not in young:
+                        v = old.get(core)
+                        if v is None:
+                            missing[core] = None
+                        else:
+                            young[core] = v
+                    continue
+            missing[p] = None
         if missing:
             young.update(self._learn(list(missing)))
         for p, core in split:
@@ -137,7 +142,7 @@ class TextEncoder:
         young = self._young
         known = list(map(young.get, distinct))
         open_ = [i for i, v in enumerate(known) if v is None]
-        self._know({distinct[i] for i in open_})
+        self._know([distinct[i] for i in open_])
         for i in open_:
             known[i] = young[distinct[i]]
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
