@@ -36,7 +36,7 @@ def test_accents_and_words(spark):
 def test_paragraph_roles_and_blocks(spark):
     text = "# Head\n\nfirst " + "word " * 15 + "\n\n- item one\n- item two\n\n> said\n\nlast " + "word " * 15
     d = preparation.prepare(docs(spark, text))
-    assert [r.role for r in preparation.paragraphs(d).orderBy("ord").collect()] == ["structured_item", "body", "structured_item", "short_note", "closing"]
+    assert [r.role for r in preparation.paragraphs(d).orderBy("ord").collect()] == ["structured_item", "body", "structured_item", "structured_item", "closing"]
     assert [r.kind for r in preparation.blocks(d).orderBy("ord").collect()] == ["heading", "paragraph", "list", "quote", "paragraph"]
 
 
