@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# The checker's name, matches read of an answer, issues kept in all, and replacements of a match.
-SOURCE, MOST_MATCHES, MOST_MERGED, MOST_REPLACEMENTS = "languagetool-local", 40, 60, 5
+# Matches read of an answer, issues kept in all, and replacements of a match.
+MOST_MATCHES, MOST_MERGED, MOST_REPLACEMENTS = 40, 60, 5
 LOCAL_HOSTS = ("localhost", "127.0.0.1", "::1", "[::1]")
 ENDPOINT = "/v2/check"
 CONFIDENCE = {"spelling": 0.82, "grammar": 0.76, "typography": 0.8, "punctuation": 0.8, "style": 0.66}
