@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -239,3 +240,31 @@ def test_citation_proximity(spark):
     far = "The tower is 40 m high. " + "Bells ring loudly here now and then. " * 8 + "See [12]."
     got = [r.citation_proximity for r in metrics.with_metrics(preparation.prepare(docs(spark, near, none, far))).orderBy("doc_id").collect()]
     assert got == [1.0, 0.0, 0.5]
+
+
+def test_sentences_of_a_long_line_without_a_closing_mark(spark):
+    """A line without a mark at its end is read once; from each of its characters it would take minutes."""
+    line = "word " * 60000
+    docs = spark.createDataFrame([(1, line + "\nIt is 5. Ends" + line), (2, "a.b\n!c d?! e\nf")], "doc_id long, text string")
+    began = time.perf_counter()
+    found = preparation.sentence_rows(preparation.prepare(docs)).select("doc_id", "ord", "start", "end").collect()
+    assert time.perf_counter() - began < 30
+    n = len(line)
+    assert [tuple(r) for r in found] == [(1, 0, n + 1, n + 9), (1, 1, n + 9, 2 * n + 14), (2, 0, 0, 2), (2, 1, 5, 10), (2, 2, 13, 14)]
+
+
+def test_claims_of_a_text_of_many_sentences(spark):
+    """Places are running totals, paragraphs are found by order: neither grows with the square of the sentences."""
+    docs = spark.createDataFrame([(1, "# Head\n\n" + "Rome has 12 gates. " * 20000 + "\n\nIt was built in 753.")], "doc_id long, text string")
+    began = time.perf_counter()
+    found = claims.claims(preparation.prepare(docs), 1 << 30).select("start", "end", "paragraph", "section").collect()
+    assert time.perf_counter() - began < 60
+    assert len(found) == 20001 and tuple(found[0]) == (8, 26, 1, 1) and tuple(found[-1]) == (380010, 380030, 2, 1)
+
+
+def test_running_totals_and_counts(spark):
+    row = spark.range(1).select(
+        T.running_totals(F.sequence(F.lit(1), F.lit(9))).alias("totals"), T.running_totals(F.array().cast("array<int>")).alias("none"),
+        T.counts_upto(F.array(*map(F.lit, (0, 3, 4, 4, 9))), F.array(*map(F.lit, (1, 4, 10)))).alias("counts"),
+    ).first()
+    assert row["totals"] == [1, 3, 6, 10, 15, 21, 28, 36, 45] and row["none"] == [] and row["counts"] == [0, 1, 2, 2, 2]
