@@ -268,3 +268,9 @@ def test_running_totals_and_counts(spark):
         T.counts_upto(F.array(*map(F.lit, (0, 3, 4, 4, 9))), F.array(*map(F.lit, (1, 4, 10)))).alias("counts"),
     ).first()
     assert row["totals"] == [1, 3, 6, 10, 15, 21, 28, 36, 45] and row["none"] == [] and row["counts"] == [0, 1, 2, 2, 2]
+
+
+def test_mixed_language_at_the_limit(spark):
+    """55 of 100 are 0.55 of them, though 100 * 0.55 is more than 55 in floating point."""
+    d = preparation.prepare(docs(spark, "the " * 100 + "el " * 55, "the " * 100 + "el " * 54))
+    assert [r.language_mixed for r in preparation.with_language(d).orderBy("doc_id").collect()] == [True, False]
