@@ -274,3 +274,8 @@ def test_mixed_language_at_the_limit(spark):
     """55 of 100 are 0.55 of them, though 100 * 0.55 is more than 55 in floating point."""
     d = preparation.prepare(docs(spark, "the " * 100 + "el " * 55, "the " * 100 + "el " * 54))
     assert [r.language_mixed for r in preparation.with_language(d).orderBy("doc_id").collect()] == [True, False]
+
+
+def test_spans_of_a_text_without_matches(spark):
+    rows = spark.createDataFrame([("a [1] b",), ("",), ("plain",), (None,)], "t string").select(T.spans(F.col("t"), r"\[\d+\]").alias("s")).collect()
+    assert [None if r.s is None else [tuple(x) for x in r.s] for r in rows] == [[("[1]", 2, 5)], [], [], None]
