@@ -109,9 +109,10 @@ def merged(base: DataFrame, outcome: DataFrame, most: int = MOST_MERGED) -> Data
     ``base`` has ``doc_id, place, start, end, kind, severity``.
     """
     key = ["doc_id", "start", "end", "kind"]
-    more = outcome.select("doc_id", F.inline("found")).join(base.select(*key), key, "left_anti")
-    once = Window.partitionBy(*key).orderBy("index")
-    more = more.withColumn("turn", F.row_number().over(once)).filter("turn = 1")
+    # No column itself is exploded: the optimiser would test its size, and so compute it, a second time.
+    more = outcome.select("doc_id", F.inline(F.transform("found", lambda x: x)))
     parts = base.select(*key, "severity", F.lit(0).alias("late"), "place").unionByName(more.select(*key, "severity", F.lit(1).alias("late"), F.col("index").alias("place")))
+    # Those of a place and kind are brought together once; a join with ``base`` would compute it a second time.
+    parts = parts.withColumn("turn", F.row_number().over(Window.partitionBy(*key).orderBy("late", "place"))).filter("late = 0 OR turn = 1")
     order = Window.partitionBy("doc_id").orderBy("late", "place")
-    return parts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    return parts.drop("turn").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)

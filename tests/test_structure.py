@@ -9,6 +9,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from prosemill.functions import lexicon as X
 from prosemill.functions import shapes
 from prosemill.functions import text as T
 from prosemill.operators import checker, preparation, proofreading, structure
@@ -185,3 +186,14 @@ def test_stored_requests_are_decided_in_order(spark):
         own = sorted((t, i) for v, t, i in rows if v == who)
         want, _, _ = governance.decide([t for t, _ in own], None, 0, 4, 900)
         assert [got[i] for _, i in own] == want
+
+
+def test_issues_compute_the_words_once(spark):
+    """A filter on the language was pushed below the words and computed them eleven times; merging computed the local issues twice."""
+    d = preparation.with_language(preparation.prepare(docs(spark, "in order to recieve  the the")))
+    own = d.select("doc_id", "norm", F.lit("available").alias("status"), F.array().cast("array<string>").alias("caveats"))
+    answers = spark.createDataFrame([(0, "http://localhost:1", answer((0, 2, [], "grammar", "")), None)], "doc_id long, url string, answer string, failed string")
+    merged = checker.merged(proofreading.issues(d), checker.outcomes(own, answers))
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(X.WORD) == 1 and plan.count("from_json") + plan.count("jsontostructs") == 1 and "LeftAnti" not in plan
+    assert merged.count() == proofreading.issues(d).count() + 1
