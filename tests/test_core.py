@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from prosemill.functions import lexicon as X
 from prosemill.functions import text as T
 from prosemill.operators import claims, metrics, preparation, proofreading, scoring
 from prosemill.sources import pages, store
@@ -279,3 +280,33 @@ def test_mixed_language_at_the_limit(spark):
 def test_spans_of_a_text_without_matches(spark):
     rows = spark.createDataFrame([("a [1] b",), ("",), ("plain",), (None,)], "t string").select(T.spans(F.col("t"), r"\[\d+\]").alias("s")).collect()
     assert [None if r.s is None else [tuple(x) for x in r.s] for r in rows] == [[("[1]", 2, 5)], [], [], None]
+
+
+def test_counts_by_class_are_those_of_plain_patterns(spark):
+    """One pattern and a look-up count what a pattern for each class would, also beside digits, marks and other letters."""
+    import random
+    import re
+    from collections import Counter
+
+    rng = random.Random(3)
+    some = "may might open so that as a result debido a car since nation station3 _action mayß ßtion stationß a-may may's ity xity may2 many use reuse SHALL".split(" ")
+    texts = ["".join(rng.choice(some) + rng.choice([" ", " ", "-", ". ", "_", "ß", "\n"]) for _ in range(80)) for _ in range(30)]
+    d = metrics.with_metrics(preparation.prepare(docs(spark, *texts)))
+    counts = d.select("doc_id", "low", "words", "n_hedges", "n_qualifiers", "n_actions", "n_nouns", "repeated_phrases", "repeated_4", metrics.causal_count(F.col("low"), F.col("counted")).alias("causal")).collect()
+
+    def n(pattern, text):
+        return len(re.findall(pattern, text))
+
+    def whole(words):
+        return rf"(?<![A-Za-z0-9_])(?:{words})(?![A-Za-z0-9_])"
+
+    for r in counts:
+        assert (r.n_hedges, r.n_qualifiers, r.n_actions, r.causal) == tuple(n(whole(x), r.low) for x in (X.HEDGES, X.QUALIFIERS, X.ACTIONS, X.CAUSAL))
+        assert r.n_nouns == n(rf"(?<![A-Za-z0-9_])[^\W\d_]+(?:{X.NOUN_ENDINGS})(?![A-Za-z0-9_])", r.low)
+        grams = {k: [g for i in range(len(r.words) - k + 1) if len(g := " ".join(r.words[i : i + k])) >= 4 * k] for k in (3, 4)}
+        assert r.repeated_phrases == sum(v > 1 for v in Counter(grams[3]).values()) and r.repeated_4 == len(grams[4]) - len(set(grams[4]))
+
+
+def test_lines_are_trimmed_once_for_all_metrics(spark):
+    plan = metrics.with_metrics(preparation.prepare(docs(spark, "a"))).select(*metrics.NAMES)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?U)^\s+") <= 2  # of lines and of paragraphs; it was one for each kind of line
