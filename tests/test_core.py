@@ -310,3 +310,48 @@ def test_counts_by_class_are_those_of_plain_patterns(spark):
 def test_lines_are_trimmed_once_for_all_metrics(spark):
     plan = metrics.with_metrics(preparation.prepare(docs(spark, "a"))).select(*metrics.NAMES)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(r"(?U)^\s+") <= 2  # of lines and of paragraphs; it was one for each kind of line
+
+
+def test_sentences_behind_the_last_claim_are_not_tested(spark):
+    def even(x, i):
+        return F.when(x > 5, F.raise_error(F.lit("tested")).cast("boolean")).otherwise(x % 2 == 0)
+
+    xs = F.sequence(F.lit(1), F.lit(9))
+    row = spark.range(1).select(T.first_where(xs, even, 2).alias("few"), T.first_where(xs, lambda x, i: x % 2 == 0, 1 << 30).alias("all"), T.first_where(F.array().cast("array<int>"), even, 2).alias("none")).first()
+    assert (row["few"], row["all"], row["none"]) == ([1, 3], [1, 3, 5, 7], [])
+
+
+def test_what_a_source_denies_is_told_once(spark):
+    """A source is cut into sentences before its document's claims are joined to it, not for each claim."""
+    plan = claims.claim_status(claims.claims(preparation.prepare(docs(spark, CLAIM))), sources(spark, CLAIM))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join ", 1)
+    assert "(?<=[.!?])" not in above and "(?<=[.!?])" in below
+
+
+def test_trimmed_takes_any_white_space_off_the_ends(spark):
+    ends = ["", " ", "\n", "\t ", " ", " \r\n", "　 \x85"]
+    inner = ["", "a", "a b", "a   b\n\nc", "\U0001f600", "x   y " * 3 + "z"]
+    texts = [a + x + b for a in ends for x in inner for b in ends]
+    assert [r.t for r in docs(spark, *texts).orderBy("doc_id").select(T.trimmed(F.col("text")).alias("t")).collect()] == [x.strip() for x in texts]
+
+
+def test_patterns_that_branch_find_what_plain_ones_find(spark):
+    import random
+    import re
+
+    rng = random.Random(5)
+    pairs = [
+        (claims.STALE, f"(?i){X.whole(X.STALE + '|' + '20[0-9]{2}')}"), (claims.SENSITIVE, f"(?i){X.whole(X.SENSITIVE)}"), (claims.NEGATED, f"(?i){X.whole(X.NEGATIONS)}"),
+        (claims.VERBS, X.whole(X.CLAIM_VERBS)), (claims.DATES, f"(?i){X.whole(X.YEAR + '|today|currently|as of|latest|newest|now')}"),
+        (claims.TELLING, X.whole("|".join([*(w for _, w in X.CLAIM_TYPES), X.ABSOLUTES]))),
+    ]
+    some = [w for x in (X.STALE, X.SENSITIVE, X.NEGATIONS.replace("lacks?", "lack|lacks"), X.CLAIM_VERBS, X.ABSOLUTES, *(w for _, w in X.CLAIM_TYPES)) for w in x.split("|")] + ["2024", "1999", "As Of", "NOW", "x", "is_", "éis"]
+    for _ in range(3000):
+        text = "".join(rng.choice(some) + rng.choice([" ", "-", "", "_", "é", "1", ". "]) for _ in range(3))
+        for quick, plain in pairs:
+            assert re.findall(quick, text) == re.findall(plain, text), (quick, text)
+
+
+def test_references_and_white_space_leave_a_plain_sentence(spark):
+    texts = ["It is so.", "It  is\tso.", "See [12] and https://a.example/x now.", "At doi: 10.1234/ab.c it is.", "It is."]
+    assert [r.t for r in docs(spark, *texts).orderBy("doc_id").select(claims.without_references(F.col("text")).alias("t")).collect()] == ["It is so.", "It is so.", "See and now.", "At it is.", "It is."]
