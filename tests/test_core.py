@@ -355,3 +355,24 @@ def test_patterns_that_branch_find_what_plain_ones_find(spark):
 def test_references_and_white_space_leave_a_plain_sentence(spark):
     texts = ["It is so.", "It  is\tso.", "See [12] and https://a.example/x now.", "At doi: 10.1234/ab.c it is.", "It is."]
     assert [r.t for r in docs(spark, *texts).orderBy("doc_id").select(claims.without_references(F.col("text")).alias("t")).collect()] == ["It is so.", "It is so.", "See and now.", "At it is.", "It is."]
+
+
+def test_places_are_looked_up_for_claims_only(spark):
+    """No place of every sentence is put in order among the paragraphs; what stands behind a claim is cut only from a text that may refer."""
+    d = docs(spark, "# Head\n\nRome has 3 hills.\n\n- Open the door.\n- It has 4 locks.\n\nParis is in France. See [7] there.", "Rome has 3 hills.\n\nIt had 5 kings [2] once. Why?", "")
+    plan = claims.claims(preparation.prepare(d)).select("doc_id", "paragraph", "section")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan
+    found = claims.claims(preparation.prepare(d)).orderBy("doc_id", "place").collect()
+    assert [(r.doc_id, r.claim, r.paragraph, r.section, r.inline) for r in found] == [
+        (0, "Rome has 3 hills.", 1, 1, []), (0, "- It has 4 locks.", 2, 1, []), (0, "Paris is in France.", 3, 1, ["[7]"]), (0, "See [7] there.", 3, 1, ["[7]"]),
+        (1, "Rome has 3 hills.", 0, 1, []), (1, "It had 5 kings [2] once.", 1, 1, ["[2]"]),
+    ]
+
+
+def test_search_by_halves_counts_what_is_not_behind(spark):
+    from bisect import bisect_right
+
+    for xs in ([], [0], [2, 2, 5], list(range(0, 40, 3))):
+        starts = F.array(*map(F.lit, xs)).cast("array<int>")
+        d = spark.range(-1, 45).select("id", T.count_upto(F.col("id"), starts, T.search_steps(starts)).alias("n"))
+        assert all(r.n == bisect_right(xs, r.id) for r in d.collect())
