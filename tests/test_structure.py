@@ -197,3 +197,16 @@ def test_issues_compute_the_words_once(spark):
     plan = merged._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(X.WORD) == 1 and plan.count("from_json") + plan.count("jsontostructs") == 1 and "LeftAnti" not in plan
     assert merged.count() == proofreading.issues(d).count() + 1
+
+
+def test_a_map_of_numbers_is_cleaned_once(spark):
+    """Its entries were cleaned again for each entry and each one behind it, and each part of the JSON was parsed by itself."""
+    d = docs(spark, '{"rawMetrics": {"B": "7", "A": "1", "b c": "2", "a": 3, "bc": "4", "x": "many"}, "claims": [{"claim": " <b>a</b>\\tb "}], "spans": [{}]}')
+    made = d.select(F.map_entries(shapes.sanitised(F.col("text"), shapes.RESULT)["rawMetrics"]).alias("m"))
+    assert [tuple(e) for e in made.first().m] == [("b", 7.0), ("a", 3.0), ("bc", 4.0)]
+    plan = d.select(shapes.stored(F.col("text"), F.col("doc_id") == 0).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_entries") == 1 and plan.count("from_json") + plan.count("jsontostructs") == 1
+    parts = {n: shapes.RESULT[n] for n in ("claims", "spans")}
+    kept, bare = (d.select(shapes.stored(F.col("text"), F.lit(x), parts).alias("r")).first().r for x in (True, False))
+    assert kept.claims[0].claim == "a b" and len(kept.spans) == 1 and list(kept.asDict()) == ["claims", "spans"]
+    assert bare.claims[0].claim is None and bare.claims[0].type == "unverifiable" and bare.spans == []
