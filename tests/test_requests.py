@@ -91,3 +91,14 @@ def test_notes_of_an_extraction(spark):
     d = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
     got = {r.page_id: r.notes for r in pages.readable(d).collect()}
     assert got == {0: ["container_chosen"], 1: ["little_text"], 2: ["whole_page_after_scoring"]}
+
+
+def test_the_latest_report_carries_no_text(spark, tmp_path):
+    """Whole reports were aggregated, so that every text was hashed and shuffled for three columns of one row."""
+    rows = [(1, "2024-01-02", "t" * 9), (3, "2024-01-02", "u"), (9, "2024-01-01", "v"), (None, "2024-01-02", "w"), (5, None, "x")]
+    d = spark.createDataFrame(rows, "id long, created_at string, input_text string")
+    assert tuple(store.latest_report(d).first()) == (3, "2024-01-02", "u") and store.latest_report(d.filter("false")).count() == 0
+    d.write.parquet(str(tmp_path / "r"))
+    latest = store.latest_report(store.read_reports(spark, str(tmp_path / "r"))).select("id")
+    read = latest._jdf.queryExecution().sparkPlan().toString()
+    assert "ReadSchema" in read and "input_text" not in read and latest.first().id == 3
