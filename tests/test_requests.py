@@ -102,3 +102,14 @@ def test_the_latest_report_carries_no_text(spark, tmp_path):
     latest = store.latest_report(store.read_reports(spark, str(tmp_path / "r"))).select("id")
     read = latest._jdf.queryExecution().sparkPlan().toString()
     assert "ReadSchema" in read and "input_text" not in read and latest.first().id == 3
+
+
+def test_a_day_of_reports_is_not_split_by_the_tasks(spark, tmp_path):
+    """Each task wrote a file for each day, so files grew with tasks times days."""
+    rows = [(i, f"2024-01-0{1 + i % 3} 10:00:00", "h", 5, "good", "low", 3) for i in range(60)]
+    names = "id long, created_at string, input_hash string, input_length int, quality_band string, provenance_band string, word_count int"
+    d = spark.createDataFrame(rows, names).withColumn("created_at", F.to_timestamp("created_at")).repartition(6)
+    store.save_reports(d, str(tmp_path / "s"))
+    assert len(list((tmp_path / "s").glob("created_day=*/part-*"))) == 3
+    store.remove_reports(spark, str(tmp_path / "s"), [0, 3])
+    assert len(list((tmp_path / "s").glob("created_day=*/part-*"))) == 3 and store.read_reports(spark, str(tmp_path / "s")).count() == 58
