@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prosemill.operators import claims, preparation, proofreading, scoring, views
-from prosemill.plans import report_queries
+from prosemill.plans import report_queries, view_queries
 
 LONG = "The river town kept its market. Traders came from Lisbon and sold 40 baskets in 2019. " * 24
 
@@ -90,3 +90,10 @@ def test_reports_meet_their_claims_without_their_texts(spark):
     """Whole texts, also those that no report keeps, were shuffled to be hashed behind the joins."""
     found = joined(report_queries.report_store_rows(spark, "/root/testdata/sf0.001"))
     assert any("input_hash#" in x for x in found) and not any("norm#" in x for x in found)
+
+
+def test_sections_take_each_claim_once_and_no_text(spark):
+    """Claims were computed a second time for their review, and texts and words were shuffled to look for phrases and languages behind the joins."""
+    found = joined(view_queries.sectioned(spark, "/root/testdata/sf0.001"))
+    names = [{c.split("#")[0] for c in x.split()} for x in found]
+    assert sum("sources" in x for x in names) == 1 and not any({"low", "words"} & x for x in names)
